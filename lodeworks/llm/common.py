@@ -69,3 +69,39 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(32))
     x = x * np.uint64(0xD6E8FEB86659FD93)
     return x ^ (x >> np.uint64(32))
+
+
+def pack_arrays(*arrays: np.ndarray) -> bytes:
+    """Arrays as one compressed binary value."""
+    import zstandard
+
+    head = ",".join(f"{a.dtype.str}:{len(a)}" for a in arrays).encode()
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([len(head).to_bytes(4, "little"), head, *(np.ascontiguousarray(a).tobytes() for a in arrays)]))
+
+
+def unpack_arrays(value: bytes) -> list[np.ndarray]:
+    import zstandard
+
+    raw = zstandard.ZstdDecompressor().decompress(value)
+    at = 4 + int.from_bytes(raw[:4], "little")
+    out = []
+    for part in raw[4:at].decode().split(","):
+        kind, n = part.split(":")
+        out.append(np.frombuffer(raw, np.dtype(kind), int(n), at))
+        at += out[-1].nbytes
+    return out
+
+
+def concat_packed(values: list[bytes], kinds: str) -> list[np.ndarray]:
+    """The arrays of several packed values, each joined; kinds are their types where there are no values."""
+    if not values:
+        return [np.zeros(0, k) for k in kinds.split()]
+    return [np.concatenate(x) for x in zip(*map(unpack_arrays, values))]
+
+
+def split_by(bucket: np.ndarray, *arrays: np.ndarray):
+    """(bucket, arrays of its rows) for each bucket that has rows."""
+    order = np.argsort(bucket, kind="stable")
+    names, starts = np.unique(bucket[order], return_index=True)
+    for name, rows in zip(names.tolist(), np.split(order, starts[1:])):
+        yield name, [a[rows] for a in arrays]

@@ -32,12 +32,24 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"), _tokenizer(WORD_BPE))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodeworks.llm.substring_dedup import substring_dedup
+
+    return substring_dedup(read(spark, sf_dir, "documents"), with_text=False).drop("kept")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodeworks.llm.exact_dedup import exact_dedup
 
     return exact_dedup(read(spark, sf_dir, "documents"))
 
 
+def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodeworks.llm.simhash import simhash_dedup
+
+    return simhash_dedup(read(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodeworks.llm.packing import pack_documents
 
@@ -51,7 +63,7 @@ def op10_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_line_dedup, op4_token_counts, op7_exact_dedup, op9_packing, op10_token_blocks)}
+    return {f.__name__: f for f in (op3_line_dedup, op4_token_counts, op5_substring_dedup, op7_exact_dedup, op8_simhash_dedup, op9_packing, op10_token_blocks)}
 
 
 OP3_SQL = r"""
