@@ -38,6 +38,12 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(read(spark, sf_dir, "documents"), with_text=False).drop("kept")
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodeworks.llm.decontamination import leaks
+
+    return leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodeworks.llm.exact_dedup import exact_dedup
 
@@ -63,7 +69,7 @@ def op10_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_line_dedup, op4_token_counts, op5_substring_dedup, op7_exact_dedup, op8_simhash_dedup, op9_packing, op10_token_blocks)}
+    return {f.__name__: f for f in (op3_line_dedup, op4_token_counts, op5_substring_dedup, op6_decontamination, op7_exact_dedup, op8_simhash_dedup, op9_packing, op10_token_blocks)}
 
 
 OP3_SQL = r"""
@@ -87,6 +93,49 @@ FROM l LEFT JOIN (SELECT doc_id, count(*) AS n FROM s GROUP BY 1) c ON c.doc_id
 LEFT JOIN (SELECT doc_id, count(*) AS n FROM g GROUP BY 1) d ON d.doc_id = l.doc_id LEFT JOIN kept ON kept.doc_id = l.doc_id
 """
 
+def _sql_marked(column: str) -> str:
+    from lodeworks.llm.decontamination import NAME_STEPS, NUMBER_STEPS
+
+    for pattern, replacement in [*NAME_STEPS, *NUMBER_STEPS]:
+        replacement = replacement.replace("$", "\\")
+        column = f"regexp_replace({column}, '{pattern}', '{replacement}', 'g')"
+    return f"lower({column})"
+
+
+def op6_sql() -> str:
+    from lodeworks.llm.decontamination import LEAST, NUMBER, SHARE, TYPED, UNIT, WINDOW
+
+    token, typed = rf"[\p{{L}}\p{{N}}{NUMBER}-{UNIT}]+", f"[{NUMBER}-{UNIT}]"
+    tokens = lambda table, key: f"SELECT {key}, regexp_extract_all(m, '{token}') AS words, regexp_extract_all(regexp_replace(m, '{TYPED}', '\\1', 'g'), '{token}') AS t FROM (SELECT DISTINCT {key}, {_sql_marked("coalesce(text, '')")} AS m FROM {table})"
+    return f"""
+WITH d AS ({tokens("documents", "doc_id")}), b AS (
+  SELECT *, least(len(t), {WINDOW}) AS n FROM ({tokens("benchmark", "item_id")}) WHERE len(t) >= {LEAST}
+), bw AS (
+  SELECT item_id, n, p, list_slice(t, p + 1, p + n) AS t, list_slice(words, p + 1, p + n) AS words FROM (SELECT *, unnest(range(len(t) - n + 1)) AS p FROM b)
+), bn AS (SELECT item_id, count(DISTINCT p) AS item_windows FROM bw GROUP BY 1
+), bs AS (
+  SELECT * FROM bw WHERE len(list_filter(words, lambda w: regexp_matches(w, '^{typed}'))) * 2 < n
+), dw AS (
+  SELECT doc_id, n, p, list_slice(t, p + 1, p + n) AS t, list_slice(words, p + 1, p + n) AS words
+  FROM (SELECT d.*, l.n, unnest(range(len(t) - l.n + 1)) AS p FROM d, (SELECT DISTINCT n FROM b) l WHERE len(t) >= l.n)
+), m AS (
+  SELECT dw.doc_id, bs.item_id, dw.p - bs.p AS diagonal, bs.p, bs.words AS bw, dw.words AS dw FROM dw JOIN bs ON dw.n = bs.n AND dw.t = bs.t
+), g AS (
+  SELECT doc_id, item_id, diagonal, count(DISTINCT p) AS matched_windows FROM m GROUP BY ALL
+), v AS (
+  SELECT DISTINCT doc_id, item_id, diagonal, x, y FROM (SELECT doc_id, item_id, diagonal, unnest(bw) AS x, unnest(dw) AS y FROM m) WHERE regexp_matches(x, '^{typed}')
+), c AS (
+  SELECT doc_id, item_id, diagonal, count(*) = count(DISTINCT x) AND count(*) = count(DISTINCT y) AS consistent, bool_and(x = y) AS same FROM v GROUP BY ALL
+), ok AS (
+  SELECT g.doc_id, g.item_id, g.matched_windows, bn.item_windows, coalesce(c.same, true) AS same_values
+  FROM g JOIN bn USING (item_id) LEFT JOIN c ON c.doc_id = g.doc_id AND c.item_id = g.item_id AND c.diagonal = g.diagonal
+  WHERE coalesce(c.consistent, true) AND g.matched_windows >= greatest(1, ceil(bn.item_windows * {SHARE}))
+)
+SELECT doc_id, item_id, matched_windows, item_windows, same_values FROM ok
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matched_windows DESC, same_values DESC, item_windows DESC) = 1
+"""
+
+
 OP7_SQL = r"""
 WITH t AS (
   SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS x FROM documents
@@ -98,4 +147,4 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(x) AS text_
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": OP3_SQL, "op7_exact_dedup": OP7_SQL}
+    return {"op3_line_dedup": OP3_SQL, "op6_decontamination": op6_sql(), "op7_exact_dedup": OP7_SQL}

@@ -137,7 +137,8 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def write_token_blocks(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, segment_ids: int = SEGMENT_IDS, shards: int | None = None) -> None:
     """Write every document's ids, an end id behind each, in ascending doc_id order (null first; rows of one doc_id by text)."""
     shards = shards or parallelism(docs.sparkSession)
-    ordered = id_and_text(docs).repartitionByRange(shards, "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    # Ranges of the id alone: their bounds come from a sample of keys at the driver.
+    ordered = id_and_text(docs).repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(_segments(tokenizer_path, end_id, segment_ids), SEGMENTS).write.option("compression", "none").parquet(path)
 
 
