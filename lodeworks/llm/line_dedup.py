@@ -46,8 +46,10 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     windows = _windows(docs, window)
     where = F.struct("doc_id", "text_hash", "selected")
     again = windows.groupBy("fingerprint").agg(F.min(where).alias("a"), F.max(where).alias("z")).where("a <> z").select(F.col("fingerprint").alias("f"))
+    again = materialize(again, "line-fingerprints")  # written: the join below gets an exchange of its own, which AQE can split where a line is hot
     candidates = materialize(windows.join(again, F.col("fingerprint") == F.col("f"), "left_semi"), "line-windows")
     first = candidates.groupBy("k1", "k2").agg(F.min(F.struct(*PLACE)).alias("first"), F.max(F.struct(*PLACE)).alias("last")).where("first <> last").select(F.col("k1").alias("g1"), F.col("k2").alias("g2"), "first")
+    first = materialize(first, "line-firsts")
     hit = candidates.join(first, (F.col("k1") == F.col("g1")) & (F.col("k2") == F.col("g2")))
     return hit.where(F.struct(*PLACE) > F.col("first")).select("doc_id", "text_hash", "covers")
 
