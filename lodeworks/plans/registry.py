@@ -23,7 +23,8 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    pass
+    """Importing the modules registers their queries."""
+    from lodeworks.plans import retrieval, sources  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
@@ -37,4 +38,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["c5_rank_fusion"](spark, sf_dir)
+    return queries()["f2_federated_top_k"](spark, sf_dir)
