@@ -6,7 +6,9 @@ pairs that no longer stand are passed over, the right symbol is unlinked and the
 neighbours are pushed.  The word's count is its symbols at the start minus the merges made.
 
 Texts are prepared as the vocabulary file says: special tokens' strings are found first (one token
-each), then NFC, lower case, and words by the file's pattern, white space dropped.  Blanks never
+each), then NFC, lower case, and words by the file's pattern, white space dropped.  Chunks with
+characters beyond Latin letters are prepared by the library's own normaliser and pre-tokenizer, since
+Unicode tables of other libraries may be older or newer; merges are counted here in any case.  Blanks never
 belong to a word, so Arrow cuts texts at them and dictionary-encodes the chunks, and each distinct
 chunk of a batch is counted once; a worker remembers a bounded number of words between batches.
 """
@@ -32,6 +34,7 @@ from lodeworks.llm.common import id_and_text
 #: Words remembered by a worker; beyond that it starts anew.
 REMEMBERED = 500_000
 LIMIT = 2048
+BEYOND_LATIN = "\u0250"
 
 
 class MergeCounter:
@@ -48,9 +51,16 @@ class MergeCounter:
         self.special = regex.compile("|".join(regex.escape(t["content"]) for t in spec["added_tokens"])) if spec["added_tokens"] else None
         self.words = regex.compile(next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"))
         self.known: dict[str, int] = {}
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        if spec.get("post_processor") or not self.mark:
+            raise ValueError("this vocabulary file needs other steps than the counter takes")
 
     def count_word(self, word: str) -> int:
-        symbols = [self.symbol[b] for b in word.encode()]
+        return self.count_symbols([self.symbol[b] for b in word.encode()])
+
+    def count_symbols(self, symbols: list[str]) -> int:
         symbols[-1] += self.mark
         n = len(symbols)
         if n == 1:
@@ -77,9 +87,12 @@ class MergeCounter:
         return left
 
     def count_plain(self, text: str) -> int:
-        """Of a text without special tokens' strings, already in NFC and lower case."""
+        """Of a text without special tokens' strings."""
+        if not text.isascii() and max(text) >= BEYOND_LATIN:
+            pieces = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+            return sum(self.count_symbols(list(word)) for word, _ in pieces if word)
         known, total = self.known, 0
-        for word in self.words.findall(text):
+        for word in self.words.findall(unicodedata.normalize("NFC", text).lower()):
             n = known.get(word)
             if n is None:
                 if len(known) >= REMEMBERED:
@@ -88,17 +101,11 @@ class MergeCounter:
             total += n
         return total
 
-    @staticmethod
-    def prepared(text: str) -> str:
-        """NFC, then each character's lower case (no rule for a final sigma)."""
-        text = unicodedata.normalize("NFC", text)
-        return "".join(map(str.lower, text)) if "\u03a3" in text else text.lower()
-
     def count_text(self, text: str) -> int:
         if self.special is None:
-            return self.count_plain(self.prepared(text))
+            return self.count_plain(text)
         found = len(self.special.findall(text))
-        return found + sum(self.count_plain(self.prepared(part)) for part in (self.special.split(text) if found else [text]))
+        return found + sum(self.count_plain(part) for part in (self.special.split(text) if found else [text]))
 
     def count(self, texts: pa.Array) -> np.ndarray:
         """Chunk by chunk: special tokens' strings have no blanks, and neither NFC nor lower case reaches over one."""
