@@ -6,9 +6,10 @@ word beginnings of one length) and the fixed list; a voter votes toxic if one of
 
 A generative label model - a latent class with a vote probability for each voter and class - is fitted
 by expectation maximisation to the counts of vote patterns over all documents (2 ** voters rows at most), labelled
-training rows holding their class.  Correlations of voters within the classes are estimated from
-the posteriors; a voter's evidence is divided by the voters that its own repeats, and the model
-fitted again.
+training rows holding their class.  Before that, correlations that the class does not explain are estimated from
+moments: were voters independent within the classes, their covariances would be products of one
+number each, which triplets of voters give (a lower quartile: voters that repeat each other inflate them); what a pair's covariance has beyond that product is its
+correlation.  In the fit, a voter's evidence is divided by the voters that its own repeats.
 
 A linear classifier on cue presence is then trained on the posteriors of a bounded sample of documents, and
 scores every document.  Labels, lang, source and doc_id are never features.
@@ -36,7 +37,7 @@ from lodeworks.llm.common import id_and_text, materialize
 from lodeworks.llm.training import SAMPLE_ROWS, descend, fold, hash_sample, sigmoid, training_labels
 
 HELD_OUT = (5, 0)
-MOST_CUES, LEAST_DOCS, LEAST_ODDS = 2000, 4, 2.5
+MOST_CUES, LEAST_DOCS, LEAST_ODDS = 2000, 4, 3.5
 BEGINNINGS = (3, 4, 5)
 GROUPS = 4  # of words, and of each length of beginnings
 EDGES = ".,;:!?\"'()[]{}<>*#|-_"
@@ -127,9 +128,8 @@ class LabelModel:
         self.discount = np.ones(votes.shape[1])
         self.prior = prior
         self.rates = np.stack([np.full(votes.shape[1], 0.02), np.full(votes.shape[1], 0.5)])  # of a vote, by class
-        self._fit()
         self.correlations = self._correlations()
-        self.discount = 1 / (1 + np.maximum(self.correlations, 0).sum(axis=1))
+        self.discount = 1 / (1 + self.correlations.sum(axis=1))
         self._fit()
 
     def log_odds(self, votes: np.ndarray) -> np.ndarray:
@@ -150,18 +150,21 @@ class LabelModel:
             self.rates[1] = np.maximum(self.rates[1], self.rates[0])  # a vote never speaks for clean
 
     def _correlations(self) -> np.ndarray:
-        """Of the voters within the classes, mean over the classes by weight; zero on the diagonal."""
-        p = self.posterior(self.votes, self.known)
-        total = np.zeros((self.votes.shape[1],) * 2)
-        for w in (p * self.weight, (1 - p) * self.weight):
-            if w.sum() < 2:
-                continue
-            c = self.votes - (w @ self.votes) / w.sum()
-            cov = (c * w[:, None]).T @ c / w.sum()
-            sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-            total += np.where(np.diag(cov)[:, None] * np.diag(cov)[None, :] > 1e-8, cov / sd[:, None] / sd[None, :], 0) * w.sum() / self.weight.sum()
-        np.fill_diagonal(total, 0)
-        return total
+        """Of the voters beyond what a shared class explains, from 0 to 1; zero on the diagonal."""
+        w = self.weight / self.weight.sum()
+        centred = self.votes - w @ self.votes
+        cov = (centred * w[:, None]).T @ centred
+        sd = np.sqrt(np.maximum(np.diag(cov), 1e-12))
+        n = len(sd)
+        strength = np.zeros(n)
+        for i in range(n):
+            triplets = [cov[i, j] * cov[i, k] / cov[j, k] for j in range(n) for k in range(j + 1, n) if i not in (j, k) and cov[j, k] > 1e-9 and cov[i, j] > 0 and cov[i, k] > 0]
+            strength[i] = math.sqrt(min(float(np.quantile(triplets, 0.25)), sd[i] ** 2)) if triplets else 0
+        beyond = np.clip((cov - np.outer(strength, strength)) / np.outer(sd, sd), 0, 1)
+        beyond[np.diag(cov) < 1e-9] = 0
+        beyond[:, np.diag(cov) < 1e-9] = 0
+        np.fill_diagonal(beyond, 0)
+        return beyond
 
 
 def train_classifier(cues: list[list[int]], soft: np.ndarray, n_cues: int, l2: float = 1e-4) -> np.ndarray:
