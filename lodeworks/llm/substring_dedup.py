@@ -46,8 +46,8 @@ from lodeworks.llm.run_index import RunIndex
 
 LENGTH, GRAM = 50, 16
 CROWD = 4096
-BATCH_BYTES = 16 << 20
-BUCKET_BYTES = 32 << 20  # of text for each anchor bucket
+BATCH_BYTES = 8 << 20
+BUCKET_BYTES = 16 << 20  # of text for each anchor bucket
 DOC_BUCKET_BYTES = 16 << 20
 #: Kinds of rows that travel: anchors; marks; asked contexts; contexts of crowded grams.
 ANCHOR, MARK, ASK, CROWDED = range(4)
@@ -406,11 +406,16 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, wit
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes; null unless with_text)."""
     docs = id_and_text(docs)
     plan = Plan(length, gram, docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
-    found = docs.mapInArrow(_anchor_rows(plan), ROWS).groupBy("bucket").applyInArrow(_verdicts(plan), ROWS)
+
+    def dealt(rows: DataFrame, n: int):
+        """By bucket, to a number of partitions that grows with the text and not with a setting."""
+        return rows.repartition(n, "bucket").groupBy("bucket")
+
+    found = dealt(docs.mapInArrow(_anchor_rows(plan), ROWS), plan.buckets).applyInArrow(_verdicts(plan), ROWS)
     verdicts = materialize(found, "anchor-verdicts")
     packed = docs.mapInArrow(_packed_documents(plan), "bucket int, key long, doc_id long, packed binary")
     asked = verdicts.where(F.col("kind").isin(ASK, CROWDED))
-    contexts = packed.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(_contexts(plan), ROWS)
-    indexed = materialize(contexts.groupBy("bucket").applyInArrow(_index_marks(plan), ROWS), "index-marks")
+    contexts = dealt(packed, plan.doc_buckets).cogroup(dealt(asked, plan.doc_buckets)).applyInArrow(_contexts(plan), ROWS)
+    indexed = materialize(dealt(contexts, plan.index_buckets).applyInArrow(_index_marks(plan), ROWS), "index-marks")
     marks = verdicts.where(F.col("kind") == MARK).unionByName(indexed)
-    return packed.groupBy("bucket").cogroup(marks.groupBy("bucket")).applyInArrow(_results(plan, with_text), RESULT)
+    return dealt(packed, plan.doc_buckets).cogroup(dealt(marks, plan.doc_buckets)).applyInArrow(_results(plan, with_text), RESULT)
