@@ -287,6 +287,7 @@ def verified_links(docs: DataFrame, members: DataFrame, words: int, similarity:
     hash, and each pair of chunks is a task's group, so no task holds more than two chunks.
     """
     chunks = members.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select(F.col("root").alias("r"), F.ceil(F.col("n") / BLOCK).cast("int").alias("chunks"))
+    chunks = materialize(chunks, "candidate-chunks")  # written: the join below gets an exchange of its own, which AQE can split where a group is hot
     members = members.join(chunks, F.col("root") == F.col("r")).select(F.col("doc_id").alias("member"), "root", "chunks", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int").alias("chunk"))
     texts = id_and_text(docs).join(members, F.col("doc_id") == F.col("member")).select("doc_id", "root", "chunks", "chunk", "text")
 
