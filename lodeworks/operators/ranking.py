@@ -30,21 +30,30 @@ def date_term(year: Column) -> Column:
     return F.least(F.greatest(F.coalesce(year, F.lit(0)) - 1900, F.lit(0)), F.lit(200))
 
 
-def relevance_score(query: Column, title: Column, abstract: Column, citations: Column, year: Column, has_pdf: Column, open_access: Column, sort: str = "relevance") -> Column:
-    tokens = meaningful_tokens(query)
-    score = 1000 * (normalize_title(title) == normalize_title(query)).cast("int") + 100 * token_hits(tokens, meaningful_tokens(title)) + 20 * token_hits(tokens, meaningful_tokens(F.coalesce(abstract, F.lit(""))))
-    score = score + citation_term(citations, sort == "citations") + 3 * has_pdf.cast("int") + F.coalesce(open_access, F.lit(False)).cast("int")
-    return (score + date_term(year) if sort == "date" else score).cast("long")
+def with_tokens(rows: DataFrame) -> DataFrame:
+    """rows (query, title, text) with their tokens and normalised titles as columns, so that each is computed once."""
+    return rows.withColumns({
+        "query_tokens": meaningful_tokens(F.col("query")),
+        "title_tokens": meaningful_tokens(F.col("title")),
+        "text_tokens": meaningful_tokens(F.coalesce("text", F.lit(""))),
+        "exact": normalize_title(F.col("title")) == normalize_title(F.col("query")),
+    })
 
 
-def is_relevant(query: Column, haystack: Column) -> Column:
-    tokens = meaningful_tokens(query)
-    return token_hits(tokens, meaningful_tokens(haystack)) >= least_hits(F.size(tokens))
+def relevance_score(sort: str = "relevance") -> Column:
+    """The integer score of rows of with_tokens that also have citations, year, has_pdf and open_access."""
+    q = F.col("query_tokens")
+    score = 1000 * F.col("exact").cast("int") + 100 * token_hits(q, F.col("title_tokens")) + 20 * token_hits(q, F.col("text_tokens"))
+    score = score + citation_term(F.col("citations"), sort == "citations") + 3 * F.col("has_pdf").cast("int") + F.coalesce("open_access", F.lit(False)).cast("int")
+    return (score + date_term(F.col("year")) if sort == "date" else score).cast("long")
 
 
-def has_strong_overlap(query: Column, haystack: Column) -> Column:
-    tokens = meaningful_tokens(query)
-    return token_hits(tokens, meaningful_tokens(haystack)) >= strong_hits(F.size(tokens))
+def is_relevant(query_tokens: Column, tokens: Column) -> Column:
+    return token_hits(query_tokens, tokens) >= least_hits(F.size(query_tokens))
+
+
+def has_strong_overlap(query_tokens: Column, tokens: Column) -> Column:
+    return token_hits(query_tokens, tokens) >= strong_hits(F.size(query_tokens))
 
 
 def is_precise(query: Column, title: Column) -> Column:

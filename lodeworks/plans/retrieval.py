@@ -96,9 +96,8 @@ SQL_SCORE = "1000 * (tn = qn)::INT + 100 * len(list_filter(qt, lambda t: list_co
     f"({SQL_SCORE} + CASE WHEN c = 0 THEN 0 ELSE length(c::VARCHAR) - 1 END + least(greatest(coalesce(year, 0) - 1900, 0), 200))::BIGINT AS by_date FROM s",
 )
 def score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = scored(spark, sf_dir)
-    args = [F.col(c) for c in ("query", "title", "text", "citations", "year", "has_pdf", "open_access")]
-    return rows.select("query_id", "doc_id", *(R.relevance_score(*args, sort=s).alias(f"by_{s}") for s in ("relevance", "citations", "date")))
+    rows = R.with_tokens(scored(spark, sf_dir))
+    return rows.select("query_id", "doc_id", *(R.relevance_score(s).alias(f"by_{s}") for s in ("relevance", "citations", "date")))
 
 
 SQL_LISTS = """
@@ -133,9 +132,9 @@ def rank_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 def federated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: rankings -> fusion -> relevance filter -> integer score -> stable order -> top k."""
     fused = R.fuse(ranked_lists(spark, sf_dir), key="doc_id")
-    rows = fused.join(F.broadcast(queries_table(spark)), "query_id").join(papers(spark, sf_dir), "doc_id").where(R.is_relevant(F.col("query"), F.col("text")))
-    args = [F.col(c) for c in ("query", "title", "text", "citations", "year", "has_pdf", "open_access")]
-    rows = rows.select("query_id", "doc_id", R.relevance_score(*args).alias("score"), F.round("rrf", 12).alias("rrf"), "first_seen")
+    rows = fused.join(F.broadcast(queries_table(spark)), "query_id").join(papers(spark, sf_dir), "doc_id")
+    rows = R.with_tokens(rows).where(R.is_relevant(F.col("query_tokens"), F.col("text_tokens")))
+    rows = rows.select("query_id", "doc_id", R.relevance_score().alias("score"), F.round("rrf", 12).alias("rrf"), "first_seen")
     return R.top_k(rows, "query_id", [F.desc("score"), F.desc("rrf"), F.col("first_seen"), F.col("doc_id")], 10).drop("first_seen")
 
 
