@@ -79,17 +79,27 @@ class RunIndex:
         out[live] = done
         return out
 
-    def matching_statistics(self, most: int) -> np.ndarray:
-        """For each place of the text, how long its suffix matches the one before it in the suffix array."""
+    def matching_statistics(self, most: int, exact: int = 0) -> np.ndarray:
+        """For each place of the text, how long its suffix matches the one before it in the suffix array.
+
+        Measures at run ends stop at `most`; places that such a measure leaves below `exact` are measured themselves.
+        """
         sampled = np.full(len(self.text), -1, np.int64)
         measured = self._common(self.head_places, self.end_places, most)
         measured[self.heads == 0] = 0
         sampled[self.head_places] = measured
         last = np.maximum.accumulate(np.where(sampled >= 0, np.arange(len(self.text)), -1))
         place = np.arange(len(self.text))
-        return np.where(last >= 0, np.maximum(0, sampled[last] - (place - last)), 0)
+        match = np.where(last >= 0, np.maximum(0, sampled[last] - (place - last)), 0)
+        short = np.flatnonzero((last >= 0) & (sampled[last] >= most) & (match < exact))
+        if len(short):
+            before = np.empty(len(self.text), np.int64)
+            before[self.sa] = np.roll(self.sa, 1)
+            match[short] = self._common(short, before[short], exact)
+            match[self.sa[0]] = 0
+        return match
 
     def groups(self, length: int, most: int) -> np.ndarray:
         """For each place of the suffix array, the number of its group of suffixes that share `length` symbols."""
-        match = self.matching_statistics(most)[self.sa]
+        match = self.matching_statistics(most, length)[self.sa]
         return np.cumsum(match < length) - (len(match) > 0 and match[0] < length)

@@ -128,6 +128,24 @@ def local_substring_dedup(texts):
     return out
 
 
+def test_substring_dedup_of_a_passage_repeated_in_one_document():
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    shared, left, right = word(60), word(90), word(90)
+    texts = [word(200) + shared + word(200), word(150), (left + shared + right) * 20 + word(40)]
+    assert local_substring_dedup(texts) == brute_substrings(texts)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_groups_of_long_repetitions(seed):
+    """Matches far longer than the measures at run ends."""
+    rng = np.random.default_rng(seed)
+    text = np.append(np.append(rng.integers(1, 5, 30), np.tile(rng.integers(1, 5, 17 + seed), 40)), 0).astype(np.uint16)
+    index = RunIndex(text)
+    strings = [text[i : i + 10].tolist() for i in index.sa.tolist()]
+    assert index.groups(10, 40).tolist() == np.cumsum([i > 0 and a != b for i, (a, b) in enumerate(zip(strings, [strings[0], *strings]))]).tolist()
+
+
 @pytest.mark.parametrize("seed", range(40))
 def test_run_index(seed):
     rng = np.random.default_rng(seed)
