@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 from lodeworks.llm.common import id_and_text, materialize, mix64
 from lodeworks.llm.components import connected_components, local_forest
+from lodeworks.llm.prefix_filter import prefix_links
 
 SHINGLE, MAX_BITS, SEED = 4, 4, 42
 STRETCH = 1 << 16
@@ -313,10 +314,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ma
     """doc_id, keep_id of the documents that are near copies: their shingle sets' Jaccard similarity is verified.
 
     Candidates are found by fingerprints of the distinct words, which move by few bits when a few words
-    change; a group is a component of verified links, and its smallest doc_id stays.  Rows without doc_id
-    are nobody's copy.
+    change; a prefix filter then finds all pairs that these miss.  A group is a component of verified links, and
+    its smallest doc_id stays.  Rows without doc_id are nobody's copy.
     """
     prints = materialize(fingerprints(docs.where(F.col("doc_id").isNotNull()), 1, True), "word-fingerprints")
     groups = fingerprint_components(prints, max_bits).select("doc_id", F.col("component_id").alias("root")).distinct()
-    roots = connected_components(verified_links(docs, materialize(groups, "candidate-groups"), words, similarity), "verified-links")
+    links = materialize(verified_links(docs, materialize(groups, "candidate-groups"), words, similarity), "near-links")
+    known = materialize(connected_components(links, "verified-links"), "near-groups")
+    roots = connected_components(known.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(prefix_links(docs, known, words, similarity)), "all-links")
     return roots.select(F.col("node").alias("doc_id"), F.col("root").alias("keep_id"))

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from lodeworks.llm import components, simhash, substring_dedup
+from lodeworks.llm import components, prefix_filter, simhash, substring_dedup
 from lodeworks.llm.exact_dedup import exact_dedup
 from lodeworks.llm.line_dedup import line_dedup
 from lodeworks.llm.run_index import RunIndex
@@ -252,6 +252,40 @@ def test_near_duplicates_are_verified(spark, monkeypatch):
     assert got == {i: r for i, r in root.items() if r != i}
 
 
+def test_near_duplicates_are_complete(spark):
+    """Ends appended or cut off, blocks replaced, a passage in half of the documents: all pairs, whatever their fingerprints."""
+    rng = random.Random(12)
+    words = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n)]
+    passage, texts = words(40), []
+    for i in range(60):
+        w = words(rng.randint(20, 300)) + (passage if i % 2 else [])
+        part = max(1, len(w) // 9)
+        texts += [w, w + words(part) if i % 3 == 0 else w[:-part] if i % 3 == 1 else w[:part] + words(part // 2) + w[part + part // 2 :]]
+    texts = [" ".join(w) for w in texts] + ["", None, "one two", "one TWO"]
+    got = {r["doc_id"]: r["keep_id"] for r in simhash.near_duplicates(table(spark, texts)).collect()}
+    sets = {i: set(simhash.shingle_hashes(t or "", 5).tolist()) for i, t in enumerate(texts)}
+    root = {i: i for i in sets}
+    for b in sets:
+        for a in range(b):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                root[b] = min(root[b], root[a])
+    assert got == {i: r for i, r in root.items() if r != i} and len(got) > 50
+
+
+@pytest.mark.parametrize("short", [2, 32])
+def test_candidate_pairs_lose_no_similar_pair(monkeypatch, short):
+    monkeypatch.setattr(prefix_filter, "SHORT_RUN", short)
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 60, 40).astype(np.uint64)) for _ in range(120)]
+    ranks = rng.integers(0, 4, prefix_filter.SLOTS).astype(np.uint8)
+    group = [i // 2 if i < 20 else i + 1000 for i in range(len(sets))]
+    rows = [(p, i, group[i], len(s), n) for i, s in enumerate(sets) for n, p in enumerate(prefix_filter.prefix_of(s, ranks, 0.5))]
+    columns = [np.array(c, k) for c, k in zip(zip(*rows), (np.uint64, np.int64, np.int64, np.int64, np.int64))]
+    got = {(min(a, b), max(a, b)) for x, y in prefix_filter.candidate_pairs(*columns, 0.5) for a, b in zip(x.tolist(), y.tolist())}
+    whole = {(a, b) for b in range(120) for a in range(b) if group[a] != group[b] and len(np.intersect1d(sets[a], sets[b])) >= 0.5 * len(np.union1d(sets[a], sets[b]))}
+    assert whole and whole <= got
+
+
 def brute_lines(texts, window):
     first, marks = {}, {i: set() for i in range(len(texts))}
     for i, t in enumerate(texts):
