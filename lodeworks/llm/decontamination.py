@@ -4,7 +4,11 @@ A text becomes a sequence of tokens (runs of letters and digits, lower case).  N
 number and names (capitalised words inside a sentence, other than function words) are marked with a
 type; a template token is the type alone for these and the word itself otherwise.  Windows of
 ``window`` template tokens are hashed on both sides and hash-joined; an item shorter than that is
-searched with windows of its own length.  Windows of which half or more is placeholders do not count.
+searched with windows of its own length.  Windows of which half or more is placeholders are not searched
+as templates.
+
+Verbatim copies are also searched by plain tokens, all windows alike, whatever is a number or a name; so
+are found items that are mostly numbers, and items whose first word a word before them turns into a name.
 
 A match lies on a diagonal: the distance of the two positions.  A diagonal that has ``share`` of the
 item's windows is a leak.
@@ -54,11 +58,15 @@ def _tokens(text: Column) -> Column:
     return F.array_remove(F.split(text, TOKEN_BREAK), "")
 
 
-def windows(rows: DataFrame, key: str, lengths: list[int]) -> DataFrame:
-    """key, length, position, hash, words (the marked tokens; null where none is marked) of all windows of the given lengths."""
-    text = rows.select(F.col(key).cast("long").alias(key), marked(F.coalesce(F.col("text"), F.lit(""))).alias("m"))
-    any_mark = F.col("m").rlike(f"[{NUMBER}-{UNIT}]")
-    tokens = text.select(key, F.when(any_mark, _tokens("m")).alias("words"), _tokens(F.when(any_mark, F.regexp_replace("m", TYPED, "$1")).otherwise(F.col("m"))).alias("t"))
+def windows(rows: DataFrame, key: str, lengths: list[int], plain: bool = False) -> DataFrame:
+    """key, length, position, hash, words (the marked tokens; null where none is marked) of all windows of the given lengths; plain: of unmarked tokens."""
+    body = F.coalesce(F.col("text"), F.lit(""))
+    text = rows.select(F.col(key).cast("long").alias(key), (F.lower(body) if plain else marked(body)).alias("m"))
+    if plain:
+        tokens = text.select(key, F.lit(None).cast("array<string>").alias("words"), _tokens(F.col("m")).alias("t"))
+    else:
+        any_mark = F.col("m").rlike(f"[{NUMBER}-{UNIT}]")
+        tokens = text.select(key, F.when(any_mark, _tokens("m")).alias("words"), _tokens(F.when(any_mark, F.regexp_replace("m", TYPED, "$1")).otherwise(F.col("m"))).alias("t"))
 
     def of(length: int) -> Column:
         def one(i: Column) -> Column:
@@ -75,30 +83,36 @@ def windows(rows: DataFrame, key: str, lengths: list[int]) -> DataFrame:
     return tokens.select(key, F.explode(found).alias("w")).select(key, "w.*")
 
 
-def item_windows(items: DataFrame, window: int, least: int) -> DataFrame:
+def item_windows(items: DataFrame, window: int, least: int, plain: bool = False) -> DataFrame:
     """All that is searched for: item_id, n_windows, length, item_position, hash, item_words."""
-    every = windows(items.select("item_id", "text").distinct(), "item_id", list(range(least, window + 1)))
+    every = windows(items.select("item_id", "text").distinct(), "item_id", list(range(least, window + 1)), plain)
     longest = every.groupBy(F.col("item_id").alias("i")).agg(F.max("length").alias("longest"))
     own = every.join(longest, (F.col("item_id") == F.col("i")) & (F.col("length") == F.col("longest"))).drop("i", "longest")
     n = own.groupBy(F.col("item_id").alias("i")).agg(F.countDistinct("position").alias("n_windows"))
-    plain = F.col("words").isNull() | (F.size(F.filter("words", lambda w: w.rlike(f"^[{NUMBER}-{UNIT}]"))) * 2 < F.col("length"))
-    return own.join(n, F.col("item_id") == F.col("i")).where(plain).select("item_id", "n_windows", "length", F.col("position").alias("item_position"), "hash", F.col("words").alias("item_words"))
+    searched = F.col("words").isNull() | (F.size(F.filter("words", lambda w: w.rlike(f"^[{NUMBER}-{UNIT}]"))) * 2 < F.col("length"))
+    return own.join(n, F.col("item_id") == F.col("i")).where(searched).select("item_id", "n_windows", "length", F.col("position").alias("item_position"), "hash", F.col("words").alias("item_words"))
 
 
-def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, least: int = LEAST, share: float = SHARE) -> DataFrame:
-    """doc_id, item_id, matched_windows, item_windows, same_values: the best diagonal of each leaked item in each document."""
-    sought = item_windows(items, window, least).cache()
+def _diagonals(docs: DataFrame, items: DataFrame, window: int, least: int, share: float, plain: bool) -> DataFrame:
+    """doc_id, item_id, diagonal, matched_windows, item_windows, pairs (of values): diagonals with the share of windows."""
+    sought = item_windows(items, window, least, plain).cache()
     lengths = sorted({r["length"] for r in sought.select("length").distinct().collect()}) or [window]  # at most window - least + 1 values
     small = sought.count() <= BROADCAST_WINDOWS
     sought = sought.select("item_id", "n_windows", "item_position", "item_words", F.col("hash").alias("h"), F.col("length").alias("l"))
-    matched = windows(docs, "doc_id", lengths).join(F.broadcast(sought) if small else sought, (F.col("hash") == F.col("h")) & (F.col("length") == F.col("l")))
+    matched = windows(docs, "doc_id", lengths, plain).join(F.broadcast(sought) if small else sought, (F.col("hash") == F.col("h")) & (F.col("length") == F.col("l")))
     matched = matched.withColumn("diagonal", F.col("position") - F.col("item_position"))
     values = F.when(F.col("item_words").isNotNull() & F.col("words").isNotNull(), F.filter(F.arrays_zip(F.col("item_words").alias("x"), F.col("words").alias("y")), lambda p: p["x"].rlike(f"^[{NUMBER}-{UNIT}]")))
-    diagonals = matched.groupBy("doc_id", "item_id", "diagonal").agg(F.countDistinct("item_position").alias("matched_windows"), F.max("n_windows").alias("item_windows"), F.array_distinct(F.flatten(F.collect_set(values))).alias("pairs")).where(F.col("matched_windows") >= F.greatest(F.lit(1), F.ceil(F.col("item_windows") * share)))
+    return matched.groupBy("doc_id", "item_id", "diagonal").agg(F.countDistinct("item_position").alias("matched_windows"), F.max("n_windows").alias("item_windows"), F.array_distinct(F.flatten(F.collect_set(values))).alias("pairs")).where(F.col("matched_windows") >= F.greatest(F.lit(1), F.ceil(F.col("item_windows") * share)))
+
+
+def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, least: int = LEAST, share: float = SHARE) -> DataFrame:
+    """doc_id, item_id, matched_windows, item_windows, same_values: the best diagonal of each leaked item in each document."""
     ones = lambda field: F.size(F.array_distinct(F.transform("pairs", lambda p: p[field])))
-    consistent = (ones("x") == F.size("pairs")) & (ones("y") == F.size("pairs"))
     same = F.forall("pairs", lambda p: p["x"] == p["y"])
-    best = diagonals.where(consistent).groupBy("doc_id", "item_id").agg(F.max(F.struct("matched_windows", same.alias("same_values"), "item_windows")).alias("b"))
+    template = _diagonals(docs, items, window, least, share, False).where((ones("x") == F.size("pairs")) & (ones("y") == F.size("pairs")))
+    template = template.select("doc_id", "item_id", F.lit(2).alias("kind"), "matched_windows", same.alias("same_values"), "item_windows")
+    plain = _diagonals(docs, items, window, least, share, True).select("doc_id", "item_id", F.lit(0).alias("kind"), "matched_windows", F.lit(True).alias("same_values"), "item_windows")
+    best = template.unionByName(plain).groupBy("doc_id", "item_id").agg(F.max(F.struct("kind", "matched_windows", "same_values", "item_windows")).alias("b"))
     return best.select("doc_id", "item_id", F.col("b.matched_windows").cast("long").alias("matched_windows"), F.col("b.item_windows").cast("long").alias("item_windows"), "b.same_values")
 
 

@@ -33,6 +33,12 @@ def test_leaks(spark):
     assert {d for d, _ in got} <= {0, 1, 6, 7, 8}
 
 
+def test_verbatim_copies_of_numbers_and_of_short_items(spark):
+    items = [(1, "Sort 8, 3, 5, 1, 9, 2 and 7 ascending"), (2, "Find the mean of 12, 15, 18, 21, 24, 27, 30, 33, 36 and 39"), (3, "Compute the product of all primes")]
+    texts = [f"text before, {items[0][1]} and after", "so: " + items[1][1] + ".", "as an exercise Compute the product of all primes", "Sort 8, 3, 5, 1, 9, 2 and 6 ascending", "Find the mean of 1, 2, 3, 4, 5, 6, 7, 8, 9 and 10"]
+    assert found(spark, texts, items) == {(0, 1): True, (1, 2): True, (2, 3): True}
+
+
 def test_decontaminate_keeps_other_rows_and_columns(spark):
     docs = spark.createDataFrame([(1, QUESTION, "s"), (2, "fine", "s"), (None, "fine", "s"), (2, "fine", "s")], "doc_id long, text string, source string")
     kept = decontaminate(docs, spark.createDataFrame(ITEMS, "item_id long, text string"))
