@@ -39,6 +39,12 @@ def test_verbatim_copies_of_numbers_and_of_short_items(spark):
     assert found(spark, texts, items) == {(0, 1): True, (1, 2): True, (2, 3): True}
 
 
+def test_different_values_may_become_equal(spark):
+    item = "The farmer owns 3 cows and then buys 5 cows at the big market in town"
+    texts = [item.replace("3", "4").replace("5", "4"), item.replace("3", "6").replace("5", "7"), item]
+    assert found(spark, texts, [(1, item)]) == {(0, 1): False, (1, 1): False, (2, 1): True}
+
+
 def test_decontaminate_keeps_other_rows_and_columns(spark):
     docs = spark.createDataFrame([(1, QUESTION, "s"), (2, "fine", "s"), (None, "fine", "s"), (2, "fine", "s")], "doc_id long, text string, source string")
     kept = decontaminate(docs, spark.createDataFrame(ITEMS, "item_id long, text string"))
