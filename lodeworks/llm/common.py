@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -15,25 +16,65 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Of sessions of one process: their temporary folder.
+LOCAL_ROOTS: dict[str, str] = {}
+
+
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (in tests) a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, a session of one process (master local, as in tests) gets a temporary folder; a cluster is refused,
+    because each of its executors would write to its own disk.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = os.environ.get("LODEWORKS_SHARED_DIR")
-        if not root:
-            root = tempfile.mkdtemp(prefix="lodeworks-")
-            os.environ["LODEWORKS_SHARED_DIR"] = root
+        if not re.fullmatch(r"local(\[[^\[\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = LOCAL_ROOTS.get(spark.sparkContext.applicationId) or tempfile.mkdtemp(prefix="lodeworks-")
+        LOCAL_ROOTS[spark.sparkContext.applicationId] = root
     return root.rstrip("/")
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Tasks of a step that works bucket by bucket; with more buckets, a task has several, one after the other.
+MOST_PARTITIONS = 50_000
+
+
+def by_bucket(rows: DataFrame, buckets: int, work: Callable, schema: str) -> DataFrame:
+    """work(table of one bucket's rows) -> table, for each value of the column bucket (0 to buckets - 1) that has rows.
+
+    A partition for each bucket, up to MOST_PARTITIONS; a partition's rows are sorted by bucket (which spills), so
+    a task holds one bucket at a time.
+    """
+    partitions = min(buckets, MOST_PARTITIONS)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        held, current = [], None
+        for batch in batches:
+            names = batch.column("bucket").to_numpy()
+            starts = np.flatnonzero(np.append(True, names[1:] != names[:-1])) if len(names) else names
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(names)]):
+                if held and names[a] != current:
+                    yield from work(pa.Table.from_batches(held)).to_batches()
+                    held = []
+                current = names[a]
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield from work(pa.Table.from_batches(held)).to_batches()
+
+    dealt = rows.repartitionById(partitions, F.col("bucket") % F.lit(partitions))
+    return dealt.sortWithinPartitions("bucket").mapInArrow(run, schema)
+
+
 def parallelism(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 

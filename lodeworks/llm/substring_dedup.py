@@ -23,9 +23,14 @@ an index bucket: its 50-byte strings are dealt out by their own hashes, after th
 Every repeated string selects an anchor in each document, whose context is covered, asked for or crowded,
 so nothing is missed; contexts agree in a 64-bit and a gram hash before bytes are called equal.
 
+Identity.  Each row gets a number of its own when the documents are written, compressed, at the start; anchors,
+asks and marks carry that number and the doc_id, so no two rows are ever taken for one.  Buckets are partitions
+up to MOST_PARTITIONS; beyond that a task sorts its rows by bucket and works on one bucket after the other.
+
 Defined cases: null text is empty; documents shorter than 50 bytes stay whole; rows with one doc_id
-never delete from each other; a null doc_id counts as smaller than all others; an empty table gives an empty
-result; other columns are ignored; a document of any length is read in overlapping stretches.
+never delete from each other, whatever their texts; a null doc_id counts as smaller than all others (as -2 ** 63
+does); negative ids are ordered as numbers; an empty table gives an empty result; other columns are ignored; a
+document of any length is read in overlapping stretches.
 """
 
 from __future__ import annotations
@@ -35,13 +40,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeworks.llm import anchors as A
-from lodeworks.llm.common import concat_packed, id_and_text, materialize, pack_arrays, split_by, unpack_arrays
+from lodeworks.llm.common import by_bucket, concat_packed, id_and_text, materialize, mix64, pack_arrays, split_by, unpack_arrays
 from lodeworks.llm.run_index import RunIndex
 
 LENGTH, GRAM = 50, 16
@@ -49,10 +55,11 @@ CROWD = 4096
 BATCH_BYTES = 8 << 20
 BUCKET_BYTES = 16 << 20  # of text for each anchor bucket
 DOC_BUCKET_BYTES = 16 << 20
-#: Kinds of rows that travel: anchors; marks; asked contexts; contexts of crowded grams.
-ANCHOR, MARK, ASK, CROWDED = range(4)
+#: Kinds of rows that travel: anchors; marks; asked contexts; contexts of crowded grams; documents.
+ANCHOR, MARK, ASK, CROWDED, DOCUMENT = range(5)
 ROWS = "bucket int, kind int, payload binary"
-MARK_ARRAYS = "<u8 <i8 <i8"  # document key, start, end
+CORPUS = "bucket int, number long, doc_id long, packed binary"
+MARK_ARRAYS = "<u8 <i8 <i8"  # document number, start, end
 NO_ID = np.iinfo(np.int64).min
 
 
@@ -74,10 +81,6 @@ def _bounds(new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(new), np.cumsum(new) - 1
 
 
-def document_key(doc_id: int, text: bytes) -> int:
-    return xxhash.xxh64_intdigest(text, doc_id & 0xFFFFFFFF)
-
-
 class Plan:
     """Sizes of a run: buckets of anchors, of index contexts and of documents."""
 
@@ -87,14 +90,17 @@ class Plan:
         self.index_buckets = 4 * self.buckets
         self.doc_buckets = max(8, -(-n_bytes // DOC_BUCKET_BYTES))
 
+    def doc_bucket(self, number: np.ndarray) -> np.ndarray:
+        return (mix64(number) % np.uint64(self.doc_buckets)).astype(np.int64)
+
     def marks(self, key: np.ndarray, start: np.ndarray, end: np.ndarray, bucket_of) -> list[tuple[int, int, bytes]]:
         """Rows of kind MARK for each document bucket."""
         start = np.maximum(start, 0)
-        return [(bucket_of(b), MARK, pack_arrays(*part)) for b, part in split_by((key % np.uint64(self.doc_buckets)).astype(np.int64), key, start, end)]
+        return [(bucket_of(b), MARK, pack_arrays(*part)) for b, part in split_by(self.doc_bucket(key), key, start, end)]
 
 
 def _find_anchors(plan: Plan, keys: list[int], ids: list[int], texts: list[bytes]) -> list[np.ndarray]:
-    """gram hash, context hash, left and right half hashes, document key, doc_id, position of all anchors."""
+    """gram hash, context hash, left and right half hashes, document number, doc_id, position of all anchors."""
     out: list[list[np.ndarray]] = []
 
     def take(parts: list[bytes], key: list[int], doc: list[int], origin: int, low: int, high: int | None) -> None:
@@ -149,17 +155,19 @@ def _settle(gram: np.ndarray, context: np.ndarray, doc: np.ndarray) -> tuple[np.
 
 def _anchor_rows(plan: Plan):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, ids, texts, size = [], [], [], 0
         for batch in batches:
-            ids, texts = batch.column("doc_id").fill_null(NO_ID).to_pylist(), batch.column("text").to_pylist()
-            at = 0
-            while at < len(texts):
-                end, size = at, 0
-                while end < len(texts) and (end == at or size < BATCH_BYTES):
-                    size += len(texts[end])
-                    end += 1
-                raw = [t.encode() for t in texts[at:end]]
-                yield _row_batch(_combine(plan, _find_anchors(plan, [document_key(d, t) for d, t in zip(ids[at:end], raw)], ids[at:end], raw)))
-                at = end
+            unzip = zstandard.ZstdDecompressor()
+            for number, doc, packed in zip(batch.column("number").to_pylist(), batch.column("doc_id").fill_null(NO_ID).to_pylist(), batch.column("packed").to_pylist()):
+                numbers.append(number)
+                ids.append(doc)
+                texts.append(unzip.decompress(packed))
+                size += len(texts[-1])
+                if size >= BATCH_BYTES:
+                    yield _row_batch(_combine(plan, _find_anchors(plan, numbers, ids, texts)))
+                    numbers, ids, texts, size = [], [], [], 0
+        if texts:
+            yield _row_batch(_combine(plan, _find_anchors(plan, numbers, ids, texts)))
 
     return run
 
@@ -186,7 +194,7 @@ def _combine(plan: Plan, found: list[np.ndarray]) -> list[tuple[int, int, bytes]
                 keep[member] = False
                 keep[[low, high]] = crowded[[low, high]] = True
                 member = member[(member != low) & (member != high)]
-                for b, part in split_by((key[member] % np.uint64(plan.doc_buckets)).astype(np.int64), key[member], pos[member], np.zeros(len(member), np.int64)):
+                for b, part in split_by(plan.doc_bucket(key[member]), key[member], pos[member], np.zeros(len(member), np.int64)):
                     rows.append((b % plan.buckets, CROWDED, pack_arrays(*part)))
     kept = np.flatnonzero(keep)
     kept = kept[np.lexsort((pos[kept], key[kept]))]
@@ -220,7 +228,7 @@ def _verdicts(plan: Plan):
         for k, value in zip(kinds.tolist(), payloads):
             if k in (MARK, CROWDED):
                 key = unpack_arrays(value)[0]
-                rows.append((int(key[0] % np.uint64(plan.doc_buckets)), k, value))
+                rows.append((int(plan.doc_bucket(key[:1])[0]), k, value))
         parts = []
         for k, value in zip(kinds.tolist(), payloads):
             if k == ANCHOR:
@@ -251,7 +259,7 @@ def _verdicts(plan: Plan):
             route = ((gram[asked] // np.uint64(plan.buckets)) % np.uint64(plan.index_buckets)).astype(np.int64)
             for k in (ASK, CROWDED):
                 s = asked[kind == k]
-                for b, part in split_by((key[s] % np.uint64(plan.doc_buckets)).astype(np.int64), key[s], pos[s], route[kind == k]):
+                for b, part in split_by(plan.doc_bucket(key[s]), key[s], pos[s], route[kind == k]):
                     rows.append((b, k, pack_arrays(*part)))
         return pa.Table.from_batches([_row_batch(rows)])
 
@@ -261,21 +269,20 @@ def _verdicts(plan: Plan):
 def _contexts(plan: Plan):
     """Cut the asked contexts out of a bucket's documents; strings of crowded contexts by their hashes."""
 
-    def run(docs: pa.Table, verdicts: pa.Table) -> pa.Table:
+    def run(table: pa.Table) -> pa.Table:
         rows: list[tuple[int, int, bytes]] = []
         asked: dict[int, list] = {}
+        docs, verdicts = _documents_apart(table)
         for kind, value in zip(verdicts.column("kind").to_pylist(), verdicts.column("payload").to_pylist()):
             if kind in (ASK, CROWDED):
                 for key, (pos, route) in split_by(*unpack_arrays(value)):
                     asked.setdefault(key, []).append((kind, pos, route))
         cut: list[tuple[int, bytes, int, int, int]] = []
         strings: list[tuple[np.ndarray, int, int, np.ndarray]] = []
-        unzip, seen = zstandard.ZstdDecompressor(), set()
-        for key, doc, packed in zip(docs.column("key").to_pylist(), docs.column("doc_id").fill_null(NO_ID).to_pylist(), docs.column("packed").to_pylist()):
-            key &= (1 << 64) - 1
-            if key not in asked or key in seen:
+        unzip = zstandard.ZstdDecompressor()
+        for key, doc, packed in zip(docs.column("number").to_pylist(), docs.column("doc_id").fill_null(NO_ID).to_pylist(), docs.column("payload").to_pylist()):
+            if key not in asked:
                 continue
-            seen.add(key)
             text = unzip.decompress(packed)
             for kind, pos, route in asked[key]:
                 if kind == ASK:
@@ -343,7 +350,7 @@ def _index_marks(plan: Plan):
         asked, crowd = [], []
         for kind, value in zip(table.column("kind").to_pylist(), table.column("payload").to_pylist()):
             if kind == MARK:
-                rows.append((int(unpack_arrays(value)[0][0] % np.uint64(plan.doc_buckets)), MARK, value))
+                rows.append((int(plan.doc_bucket(unpack_arrays(value)[0][:1])[0]), MARK, value))
             else:
                 (asked if kind == ASK else crowd).append(value)
         if asked:
@@ -375,13 +382,14 @@ def cut_out(text: bytes, start: np.ndarray, end: np.ndarray) -> tuple[bytes, int
 
 
 def _results(plan: Plan, with_text: bool):
-    def run(docs: pa.Table, marks: pa.Table) -> pa.Table:
+    def run(table: pa.Table) -> pa.Table:
+        docs, marks = _documents_apart(table)
         key, start, end = concat_packed([v for k, v in zip(marks.column("kind").to_pylist(), marks.column("payload").to_pylist()) if k == MARK], MARK_ARRAYS)
         found = {k: (a, b) for k, (a, b) in split_by(key, start, end)}
         unzip, out = zstandard.ZstdDecompressor(), []
-        for k, doc, packed in zip(docs.column("key").to_pylist(), docs.column("doc_id").to_pylist(), docs.column("packed").to_pylist()):
+        for k, doc, packed in zip(docs.column("number").to_pylist(), docs.column("doc_id").to_pylist(), docs.column("payload").to_pylist()):
             text = unzip.decompress(packed)
-            kept, spans = cut_out(text, *found[k & (1 << 64) - 1]) if k & (1 << 64) - 1 in found else (text, 0)
+            kept, spans = cut_out(text, *found[k]) if k in found else (text, 0)
             out.append((doc, len(text), len(text) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept if with_text else None))
         kinds = [pa.int64()] * 4 + [pa.string(), pa.binary()]
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
@@ -394,28 +402,34 @@ def _packed_documents(plan: Plan):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zip_ = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            ids, raw = batch.column("doc_id").fill_null(NO_ID).to_pylist(), [t.encode() for t in batch.column("text").to_pylist()]
-            keys = np.array([document_key(d, t) for d, t in zip(ids, raw)], np.uint64)
-            bucket = (keys % np.uint64(plan.doc_buckets)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(keys.view(np.int64)), batch.column("doc_id"), pa.array([zip_.compress(t) for t in raw], pa.binary())], ["bucket", "key", "doc_id", "packed"])
+            bucket = plan.doc_bucket(batch.column("number").to_numpy().view(np.uint64)).astype(np.int32)
+            packed = [zip_.compress(t.encode()) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), batch.column("number"), batch.column("doc_id"), pa.array(packed, pa.binary())], ["bucket", "number", "doc_id", "packed"])
 
     return run
 
 
+def _documents_apart(table: pa.Table) -> tuple[pa.Table, pa.Table]:
+    """The rows of kind DOCUMENT, and the others."""
+    mask = pa.compute.equal(table.column("kind"), DOCUMENT)
+    return table.filter(mask), table.filter(pa.compute.invert(mask))
+
+
 def substring_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes; null unless with_text)."""
     docs = id_and_text(docs)
     plan = Plan(length, gram, docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    numbered = docs.select(F.monotonically_increasing_id().alias("number"), "doc_id", "text")
+    corpus = materialize(numbered.mapInArrow(_packed_documents(plan), CORPUS), "numbered-documents", "none")
 
-    def dealt(rows: DataFrame, n: int):
-        """By bucket, to a number of partitions that grows with the text and not with a setting."""
-        return rows.repartition(n, "bucket").groupBy("bucket")
+    def with_documents(rows: DataFrame) -> DataFrame:
+        no_row = F.lit(None).cast("long")
+        own = corpus.select("bucket", F.lit(DOCUMENT).alias("kind"), "number", "doc_id", F.col("packed").alias("payload"))
+        return own.unionByName(rows.select("bucket", "kind", no_row.alias("number"), no_row.alias("doc_id"), "payload"))
 
-    found = dealt(docs.mapInArrow(_anchor_rows(plan), ROWS), plan.buckets).applyInArrow(_verdicts(plan), ROWS)
-    verdicts = materialize(found, "anchor-verdicts")
-    packed = docs.mapInArrow(_packed_documents(plan), "bucket int, key long, doc_id long, packed binary")
+    verdicts = materialize(by_bucket(corpus.mapInArrow(_anchor_rows(plan), ROWS), plan.buckets, _verdicts(plan), ROWS), "anchor-verdicts")
     asked = verdicts.where(F.col("kind").isin(ASK, CROWDED))
-    contexts = dealt(packed, plan.doc_buckets).cogroup(dealt(asked, plan.doc_buckets)).applyInArrow(_contexts(plan), ROWS)
-    indexed = materialize(dealt(contexts, plan.index_buckets).applyInArrow(_index_marks(plan), ROWS), "index-marks")
+    contexts = by_bucket(with_documents(asked), plan.doc_buckets, _contexts(plan), ROWS)
+    indexed = materialize(by_bucket(contexts, plan.index_buckets, _index_marks(plan), ROWS), "index-marks")
     marks = verdicts.where(F.col("kind") == MARK).unionByName(indexed)
-    return dealt(packed, plan.doc_buckets).cogroup(dealt(marks, plan.doc_buckets)).applyInArrow(_results(plan, with_text), RESULT)
+    return by_bucket(with_documents(marks), plan.doc_buckets, _results(plan, with_text), RESULT)

@@ -98,34 +98,69 @@ def test_substring_dedup(spark, monkeypatch, seed, crowd, stretch):
     assert got == brute_substrings(texts)
 
 
-def local_substring_dedup(texts):
+def local_substring_dedup(texts, ids=None):
     """The operator's steps without Spark."""
     import pyarrow as pa
 
     s = substring_dedup
     raw = [t or "" for t in texts]
     plan = s.Plan(50, 16, sum(len(t.encode()) for t in raw))
-    docs = pa.RecordBatch.from_arrays([pa.array(range(len(raw)), pa.int64()), pa.array(raw)], ["doc_id", "text"])
+    docs = pa.RecordBatch.from_arrays([pa.array(range(len(raw)), pa.int64()), pa.array(ids or range(len(raw)), pa.int64()), pa.array(raw)], ["number", "doc_id", "text"])
+    (packed,) = s._packed_documents(plan)(iter([docs]))
     half = len(raw) // 2
 
-    def grouped(batches):
-        rows = [r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("bucket", "kind", "payload")))]
+    def rows_of(batches):
+        return [r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("bucket", "kind", "payload")))]
+
+    def grouped(rows):
         for bucket in sorted({r[0] for r in rows}):
-            yield bucket, pa.Table.from_batches([s._row_batch([r for r in rows if r[0] == bucket])])
-
-    found = [t for _, g in grouped(s._anchor_rows(plan)(iter([docs.slice(0, half), docs.slice(half)]))) for t in s._verdicts(plan)(g).to_batches()]
-    packed = pa.Table.from_batches(list(s._packed_documents(plan)(iter([docs]))))
-    part = lambda b: packed.filter(pa.compute.equal(packed["bucket"], b))
-    empty = pa.Table.from_batches([s._row_batch([])])
-    verdicts = dict(grouped(found))
-    contexts = [t for b, g in verdicts.items() for t in s._contexts(plan)(part(b), g).to_batches()]
-    marks = [t for _, g in grouped(contexts) for t in s._index_marks(plan)(g).to_batches()]
-    final = dict(grouped([*[b for b in found], *marks]))
-    out = {}
-    for b in range(plan.doc_buckets):
-        for r in s._results(plan, False)(part(b), final.get(b, empty)).to_pylist():
-            out[r["doc_id"]] = (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"])
-    return out
+            yield pa.Table.from_batches([s._row_batch([r for r in rows if r[0] == bucket])])
+
+    def with_documents(rows):
+        whole = [(b, s.DOCUMENT, n, d, p) for b, n, d, p in zip(*(packed.column(c).to_pylist() for c in packed.schema.names))] + [(b, k, None, None, p) for b, k, p in rows]
+        for bucket in sorted({r[0] for r in whole}):
+            yield pa.table({c: pa.array([r[i] for r in whole if r[0] == bucket], t) for i, (c, t) in enumerate(zip(["bucket", "kind", "number", "doc_id", "payload"], [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]))})
+
+    found = rows_of(s._verdicts(plan)(g) for g in grouped(rows_of(s._anchor_rows(plan)(iter([packed.slice(0, half), packed.slice(half)])))))
+    contexts = rows_of(s._contexts(plan)(g) for g in with_documents([r for r in found if r[1] in (s.ASK, s.CROWDED)]))
+    marks = rows_of(s._index_marks(plan)(g) for g in grouped(contexts))
+    results = [r for g in with_documents([*(r for r in found if r[1] == s.MARK), *marks]) for r in s._results(plan, False)(g).to_pylist()]
+    return sorted([(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in results], key=repr) if ids else {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in results}
+
+
+def brute_rows(rows, length=50):
+    """rows (doc_id, text) -> results of each row; null is smaller than all ids, rows of one id never delete from each other."""
+    raw = [(-(1 << 63) if i is None else i, (t or "").encode()) for i, t in rows]
+    first = {}
+    for i, x in raw:
+        for a in range(len(x) - length + 1):
+            w = x[a : a + length]
+            first[w] = min(first.get(w, i), i)
+    out = []
+    for (i, x), (doc, _) in zip(raw, rows):
+        gone = np.zeros(len(x), bool)
+        for a in range(len(x) - length + 1):
+            if first[x[a : a + length]] < i:
+                gone[a : a + length] = True
+        kept = bytes(b for b, g in zip(x, gone) if not g)
+        out.append((doc, len(x), int(gone.sum()), int((np.diff(gone.astype(int), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest()))
+    return sorted(out, key=repr)
+
+
+def odd_identities():
+    """Ids that agree in their low 32 bits, negative, null and repeated ids, over few texts with shared parts."""
+    rng = random.Random(21)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    shared = [word(90), word(70)]
+    whole = word(300)
+    return [(1, whole), (4294967297, whole), (0, whole), (None, whole), (-1, whole), (4294967295, whole), (None, whole), (-4294967295, word(40) + shared[0] + word(30)), (1 << 62, shared[0] + word(10) + shared[1]), (7, whole), (7, whole), (7, word(60) + shared[1]), (7, shared[1] + word(5)), (8, shared[1]), (-(1 << 62), None), (9, "")]
+
+
+def test_substring_dedup_of_odd_identities(spark):
+    rows = odd_identities()
+    assert local_substring_dedup([t for _, t in rows], [i for i, _ in rows]) == brute_rows(rows)
+    got = substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got), key=repr) == brute_rows(rows)
 
 
 def test_substring_dedup_of_a_passage_repeated_in_one_document():
