@@ -1,4 +1,3 @@
-import os
 import tempfile
 
 import pytest
@@ -10,7 +9,6 @@ SMALL = "/root/testdata/sf0.001"
 @pytest.fixture(scope="session")
 def spark():
     shared = tempfile.mkdtemp(prefix="lodeworks-test-")
-    os.environ["LODEWORKS_SHARED_DIR"] = shared
     session = (
         SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").config("spark.driver.memory", "4g")
         .config("spark.checkpoint.dir", shared).config("spark.ui.showConsoleProgress", "false").getOrCreate()
