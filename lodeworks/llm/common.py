@@ -43,6 +43,14 @@ def materialize(df: DataFrame, label: str, compression: str = "zstd") -> DataFra
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs, written with a number for each row, and that column's name (one that docs does not have)."""
+    name = "row_number"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    return materialize(docs.withColumn(name, F.monotonically_increasing_id()), "numbered-rows"), name
+
+
 #: Tasks of a step that works bucket by bucket; with more buckets, a task has several, one after the other.
 MOST_PARTITIONS = 50_000
 

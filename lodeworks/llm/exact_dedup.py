@@ -14,7 +14,8 @@ hash and the byte length of the normalised text all agree.
 Defined cases: null text equals empty text; texts equal after deleting ``[\\x20\\x09-\\x0D]`` form a
 group; the longest original text (in code points), then the smallest doc_id stays; null doc_ids sort
 last and never win over a number; rows repeating one doc_id with one text are each reported (the
-doc_id is what is kept); an empty table gives an empty result; other columns are ignored.
+doc_id is what is kept), unless a column that numbers the rows is named: then exactly one row of each group
+is kept, also where ids repeat or are null; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,13 +30,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeworks.llm.common import id_and_text, materialize, parallelism
+from lodeworks.llm.common import materialize, parallelism
 
 SPACE = b" \t\n\x0b\x0c\r"
 NO_ID = np.iinfo(np.int64).max
-DIGESTS = "doc_id long, n_chars int, digest binary, verify long, n_bytes long"
-ENTRIES = "slot int, digest binary, verify long, n_bytes long, n_chars int, keep_id long, group_size long"
-ENTRY_ARROW = pa.schema([("slot", pa.int32()), ("digest", pa.binary()), ("verify", pa.int64()), ("n_bytes", pa.int64()), ("n_chars", pa.int32()), ("keep_id", pa.int64()), ("group_size", pa.int64())])
+DIGESTS = "doc_id long, row long, n_chars int, digest binary, verify long, n_bytes long"
+ENTRIES = "slot int, digest binary, verify long, n_bytes long, n_chars int, keep_id long, keep_row long, group_size long"
+ENTRY_ARROW = pa.schema([("slot", pa.int32()), ("digest", pa.binary()), ("verify", pa.int64()), ("n_bytes", pa.int64()), ("n_chars", pa.int32()), ("keep_id", pa.int64()), ("keep_row", pa.int64()), ("group_size", pa.int64())])
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -47,19 +48,19 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             digest.append(hashlib.sha256(body).digest())
             verify.append(xxhash.xxh3_64_intdigest(body) - (1 << 63))
             n_bytes.append(len(body))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_chars, pa.int32()), pa.array(digest, pa.binary()), pa.array(verify, pa.int64()), pa.array(n_bytes, pa.int64())], ["doc_id", "n_chars", "digest", "verify", "n_bytes"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(n_chars, pa.int32()), pa.array(digest, pa.binary()), pa.array(verify, pa.int64()), pa.array(n_bytes, pa.int64())], ["doc_id", "row", "n_chars", "digest", "verify", "n_bytes"])
 
 
 def _columns(table: pa.Table) -> dict[str, np.ndarray]:
     ids = table.column("keep_id").fill_null(NO_ID).to_numpy()
     digest = np.frombuffer(b"".join(table.column("digest").to_pylist()), dtype=">u8").reshape(-1, 4).astype(np.uint64)
-    return {"digest": digest, "keep_id": ids} | {k: table.column(k).to_numpy() for k in ("slot", "verify", "n_bytes", "n_chars", "group_size")}
+    return {"digest": digest, "keep_id": ids} | {k: table.column(k).to_numpy() for k in ("slot", "verify", "n_bytes", "n_chars", "keep_row", "group_size")}
 
 
 def _fold(c: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     """One entry for each digest: c's rows are brought into order, the first of each group stays."""
     d = c["digest"]
-    order = np.lexsort((c["keep_id"], -c["n_chars"].astype(np.int64), c["n_bytes"], c["verify"], d[:, 3], d[:, 2], d[:, 1], d[:, 0]))
+    order = np.lexsort((c["keep_row"], c["keep_id"], -c["n_chars"].astype(np.int64), c["n_bytes"], c["verify"], d[:, 3], d[:, 2], d[:, 1], d[:, 0]))
     c = {k: v[order] for k, v in c.items()}
     d = c["digest"]
     new = np.ones(len(d), bool)
@@ -72,7 +73,7 @@ def _fold(c: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
 def _batch(c: dict[str, np.ndarray]) -> pa.RecordBatch:
     raw = c["digest"].astype(">u8").tobytes()
     digest = [raw[i : i + 32] for i in range(0, len(raw), 32)]
-    return pa.RecordBatch.from_arrays([pa.array(c["slot"], pa.int32()), pa.array(digest, pa.binary()), *(pa.array(c[k], t) for k, t in (("verify", pa.int64()), ("n_bytes", pa.int64()), ("n_chars", pa.int32()))), pa.array(c["keep_id"], pa.int64(), mask=c["keep_id"] == NO_ID), pa.array(c["group_size"], pa.int64())], schema=ENTRY_ARROW)
+    return pa.RecordBatch.from_arrays([pa.array(c["slot"], pa.int32()), pa.array(digest, pa.binary()), *(pa.array(c[k], t) for k, t in (("verify", pa.int64()), ("n_bytes", pa.int64()), ("n_chars", pa.int32()))), pa.array(c["keep_id"], pa.int64(), mask=c["keep_id"] == NO_ID), pa.array(c["keep_row"], pa.int64()), pa.array(c["group_size"], pa.int64())], schema=ENTRY_ARROW)
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,8 +93,10 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch(held)
 
 
-def digest_table(docs: DataFrame) -> DataFrame:
-    return id_and_text(docs).mapInArrow(_digest, DIGESTS)
+def digest_table(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """The digests of each row; row names the column that numbers the rows, if there is one."""
+    number = F.col(row).cast("long") if row else F.lit(0).cast("long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), number.alias("row"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_digest, DIGESTS)
 
 
 def _digit(column, r: int, radix: int):
@@ -102,14 +105,14 @@ def _digit(column, r: int, radix: int):
 
 
 def merge_runs(digests: DataFrame, radix: int | None = None, rounds: int = 2) -> DataFrame:
-    """digest, verify, n_bytes -> n_chars, keep_id, group_size: one row for each distinct text.
+    """digest, verify, n_bytes -> n_chars, keep_id, keep_row, group_size: one row for each distinct text.
 
     radix ** rounds partitions hold the result; by default that is the session's parallelism or a
     little more.
     """
     spark = digests.sparkSession
     radix = radix or max(2, math.ceil(parallelism(spark) ** (1 / rounds)))
-    runs = digests.select((F.spark_partition_id() % radix**rounds).alias("slot"), "digest", "verify", "n_bytes", "n_chars", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
+    runs = digests.select((F.spark_partition_id() % radix**rounds).alias("slot"), "digest", "verify", "n_bytes", "n_chars", F.col("doc_id").alias("keep_id"), F.col("row").alias("keep_row"), F.lit(1).cast("long").alias("group_size"))
     runs = runs.sortWithinPartitions("digest").mapInArrow(_merge, ENTRIES)  # level 0: inside the partition that read the rows
     for r in range(rounds):
         place = radix**r
@@ -119,17 +122,18 @@ def merge_runs(digests: DataFrame, radix: int | None = None, rounds: int = 2) ->
     return runs.drop("slot")
 
 
-def exact_dedup(docs: DataFrame, radix: int | None = None) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
-    digests = materialize(digest_table(docs), "digests")
+def exact_dedup(docs: DataFrame, radix: int | None = None, row: str | None = None) -> DataFrame:
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256; with row (the name of a column that numbers the rows) also row."""
+    digests = materialize(digest_table(docs, row), "digests")
     # Only texts that occur again travel back; all others are their own group.
-    again = merge_runs(digests, radix).where("group_size > 1").select(F.col("digest").alias("d"), F.col("verify").alias("v"), F.col("n_bytes").alias("b"), "keep_id", "group_size")
+    again = merge_runs(digests, radix).where("group_size > 1").select(F.col("digest").alias("d"), F.col("verify").alias("v"), F.col("n_bytes").alias("b"), "keep_id", "keep_row", "group_size")
     joined = digests.join(again, (F.col("digest") == F.col("d")) & (F.col("verify") == F.col("v")) & (F.col("n_bytes") == F.col("b")), "left")
     alone = F.col("group_size").isNull()
     return joined.select(
         "doc_id",
         F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        (alone | F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
+        (alone | F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("row") == F.col("keep_row"))).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
+        *(["row"] if row else []),
     )

@@ -12,8 +12,8 @@ prior times that of positives, so the smallest ratio, taken with a margin for it
 positives, plus the risk of unlabelled text as negative less prior times that of positives as negative,
 where that difference may not go below zero; a step that finds it there turns it back.
 
-Samples are bounded (SAMPLE_ROWS positives, as many unlabelled rows); every document is scored over its
-whole text.  Labels, lang, source and doc_id are never features.
+Samples are bounded (SAMPLE_ROWS positives, as many unlabelled rows) and drawn before any text is described; every
+document is then scored over its whole text in one pass.  Labels, lang, source and doc_id are never features.
 
 Defined cases: null and empty texts have all features zero and are scored by them; repeated rows are
 scored alike; without positives every score is 0.5; an empty table gives an empty result; other
@@ -26,10 +26,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodeworks.llm.common import id_and_text, materialize
+from lodeworks.llm.common import id_and_text
 from lodeworks.llm.training import SAMPLE_ROWS, descend, fold, hash_sample, sigmoid, training_labels
 
 HELD_OUT = (4, 2)
@@ -151,24 +151,39 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, l2: float = 1e-3) -> tuple
     return bins, descend(gradient, total + 1, 500, 0.05), prior
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """doc_id, held_out, score, predicted for each row."""
+def trained(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[Binned, np.ndarray, float] | None:
+    """The model; None without positives or without documents."""
     parts, part = HELD_OUT
-    rows = materialize(feature_rows(docs), "quality-features")
+    docs = id_and_text(docs)
     trusted = training_labels(labels, "quality", parts, part, 2 * sample_rows).where("label = 1")
     # At most 2 * sample_rows labels: a bounded side.
-    positive = rows.join(F.broadcast(trusted), F.col("doc_id") == F.col("label_doc"), "left_semi")
-    matrix = lambda df: np.array([list(x) for x in df.select("x").toPandas()["x"]], float).reshape(-1, len(FEATURES))
-    p, u = matrix(hash_sample(positive, sample_rows)), matrix(hash_sample(rows, sample_rows))
-    model = fit(p, u) if len(p) and len(u) else None
+    positive = docs.join(F.broadcast(trusted), F.col("doc_id") == F.col("label_doc"), "left_semi")
+    matrix = lambda df: np.array([list(x) for x in feature_rows(df).select("x").toPandas()["x"]], float).reshape(-1, len(FEATURES))
+    p, u = matrix(hash_sample(positive, sample_rows)), matrix(hash_sample(docs, sample_rows))
+    return fit(p, u) if len(p) and len(u) else None
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            value = np.full(batch.num_rows, 0.5)
-            if model and batch.num_rows:
-                bins, w, _ = model
-                value = sigmoid(_scores(w, bins.columns(batch.column("x").flatten().to_numpy().reshape(-1, len(FEATURES)))))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(value)], ["doc_id", "score"])
 
-    scored = rows.mapInArrow(score, "doc_id long, score double")
+def score_column(model: tuple[Binned, np.ndarray, float] | None, text: Column) -> Column:
+    """The score of a text, from 0 to 1."""
+
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        if model is None or not len(texts):
+            return pa.array(np.full(len(texts), 0.5))
+        bins, w, _ = model
+        return pa.array(sigmoid(_scores(w, bins.columns(np.stack([features(t or "") for t in texts.to_pylist()])))))
+
+    return score(text)
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """doc_id, held_out, score, predicted for each row."""
+    parts, part = HELD_OUT
+    docs = id_and_text(docs)
+    scored = docs.select("doc_id", score_column(trained(docs, labels, sample_rows), F.col("text")).alias("score"))
     return scored.select("doc_id", (fold("doc_id", parts) == part).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def good_documents(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The rows of docs, with all their columns, whose text is predicted good; each row is decided by its own text."""
+    return docs.where(score_column(trained(docs, labels, sample_rows), F.col("text")) >= THRESHOLD)

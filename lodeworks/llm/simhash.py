@@ -35,9 +35,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodeworks.llm.byte_bpe import slices
 from lodeworks.llm.common import id_and_text, materialize, mix64
 from lodeworks.llm.components import connected_components, local_forest
-from lodeworks.llm.prefix_filter import prefix_links
+from lodeworks.llm.prefix_filter import similar_groups
+from lodeworks.llm.shingles import shingle_sets
 
 SHINGLE, MAX_BITS, SEED = 4, 4, 42
 STRETCH = 1 << 16
@@ -73,13 +75,12 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprints(docs: DataFrame, words: int = SHINGLE, distinct: bool = False) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long) for each row; distinct: a shingle's repeats count once."""
+def fingerprints(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
+    """doc_id, fp (the fingerprint as a signed long) for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes = (shingle_hashes(t, words) for t in batch.column("text").to_pylist())
-            fps = [_signed(fingerprint(np.unique(h) if distinct else h)) for h in hashes]
+            fps = [_signed(fingerprint(shingle_hashes(t, words))) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
     return id_and_text(docs).mapInArrow(run, "doc_id long, fp long")
@@ -234,7 +235,7 @@ def fingerprint_components(prints: DataFrame, max_bits: int = MAX_BITS) -> DataF
     roots = connected_components(fingerprint_links(classes, max_bits), "fingerprint-links")
     linked = roots.select(F.col("node").alias("n"), "root").unionByName(roots.select(F.col("root").alias("n"), "root").distinct())
     named = classes.join(linked, F.col("fp") == F.col("n"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    smallest = materialize(named.groupBy("root").agg(F.min("least").alias("component_id")), "fingerprint-names")  # written: AQE can split the join below where a component is large
     named = named.join(smallest, "root").select(F.col("fp").alias("f"), "component_id")
     return prints.join(named, F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id")
 
@@ -246,80 +247,32 @@ def simhash_dedup(docs: DataFrame, words: int = SHINGLE, max_bits: int = MAX_BIT
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Documents compared at once when similarities are verified.
-BLOCK = 1024
+def word_set_fingerprints(docs: DataFrame) -> DataFrame:
+    """doc_id, fp: fingerprints of the texts' distinct words, which move by few bits when a few words change."""
 
-
-def similar_pairs(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of pairs with |a & b| >= similarity * |a | b|; two empty sets are similar.
-
-    A posting list for each element; a row's intersections are counted over its elements' lists.
-    """
-    n = len(sets)
-    sizes = np.array([len(s) for s in sets], np.int64)
-    empty = np.flatnonzero(sizes == 0)
-    left, right = [empty[:1].repeat(max(0, len(empty) - 1))], [empty[1:]]
-    if sizes.sum():
-        elements, code = np.unique(np.concatenate(sets), return_inverse=True)
-        owner = np.repeat(np.arange(n), sizes)
-        order = np.argsort(code, kind="stable")
-        posting = owner[order]
-        begin = np.searchsorted(code[order], np.arange(len(elements) + 1))
-        length = np.diff(begin)
-        row_begin = np.cumsum(sizes) - sizes
-        for i in range(n - 1):
-            mine = code[row_begin[i] : row_begin[i] + sizes[i]]
-            mine = mine[length[mine] > 1]
-            if not len(mine):
-                continue
-            size = length[mine]
-            at = np.arange(size.sum()) + np.repeat(begin[mine] - (np.cumsum(size) - size), size)
-            both = np.bincount(posting[at], minlength=n)[i + 1 :]
-            near = i + 1 + np.flatnonzero((both > 0) & (both >= similarity * (sizes[i] + sizes[i + 1 :] - both)))
-            left.append(np.full(len(near), i))
-            right.append(near)
-    return np.concatenate(left), np.concatenate(right)
-
-
-def verified_links(docs: DataFrame, members: DataFrame, words: int, similarity: float) -> DataFrame:
-    """members (doc_id, root) -> u, v: a forest of the pairs with one root whose shingle sets are similar.
-
-    A root's documents are compared block by block.  A root with more than BLOCK members is cut into chunks by a
-    hash, and each pair of chunks is a task's group, so no task holds more than two chunks.
-    """
-    chunks = members.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select(F.col("root").alias("r"), F.ceil(F.col("n") / BLOCK).cast("int").alias("chunks"))
-    chunks = materialize(chunks, "candidate-chunks")  # written: the join below gets an exchange of its own, which AQE can split where a group is hot
-    members = members.join(chunks, F.col("root") == F.col("r")).select(F.col("doc_id").alias("member"), "root", "chunks", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int").alias("chunk"))
-    texts = id_and_text(docs).join(members, F.col("doc_id") == F.col("member")).select("doc_id", "root", "chunks", "chunk", "text")
-
-    def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(shingle_hashes(t, words)).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "root", "chunks", "chunk")), pa.array(sets, pa.binary())], ["doc_id", "root", "chunks", "chunk", "shingles"])
-
-    sets = texts.mapInArrow(shingle, "doc_id long, root long, chunks int, chunk int, shingles binary")
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
-    pairs = sets.select("doc_id", "root", "shingles", "chunk", other).select("doc_id", "root", "shingles", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"))
-
-    def link(table: pa.Table) -> pa.Table:
-        ids = table.column("doc_id").to_numpy()
-        x, y = similar_pairs([np.frombuffer(b, np.uint64) for b in table.column("shingles").to_pylist()], similarity)
-        u, v = local_forest(ids[x], ids[y]) if len(x) else (ids[:0], ids[:0])
-        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+            for piece in slices(batch):
+                fps = [_signed(fingerprint(s)) for s in shingle_sets(piece.column("text"), 1)]
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
-    return pairs.groupBy("root", "a", "b").applyInArrow(link, "u long, v long")
+    return docs.mapInArrow(run, "doc_id long, fp long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, max_bits: int = 8) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, max_bits: int = MAX_BITS) -> DataFrame:
     """doc_id, keep_id of the documents that are near copies: their shingle sets' Jaccard similarity is verified.
 
-    Candidates are found by fingerprints of the distinct words, which move by few bits when a few words
-    change; a prefix filter then finds all pairs that these miss.  A group is a component of verified links, and
-    its smallest doc_id stays.  Rows without doc_id are nobody's copy.
+    Candidates are the links of fingerprints of the distinct words (in each group of linked fingerprints, a star) and,
+    for what these miss, those of a prefix filter, which misses no pair.  A group is a component of verified
+    pairs, and its smallest doc_id stays.  Texts without words are alike.  Rows without doc_id are nobody's copy; rows with one
+    doc_id are one document.  An empty table gives an empty result; other columns are ignored.
     """
-    prints = materialize(fingerprints(docs.where(F.col("doc_id").isNotNull()), 1, True), "word-fingerprints")
-    groups = fingerprint_components(prints, max_bits).select("doc_id", F.col("component_id").alias("root")).distinct()
-    links = materialize(verified_links(docs, materialize(groups, "candidate-groups"), words, similarity), "near-links")
-    known = materialize(connected_components(links, "verified-links"), "near-groups")
-    roots = connected_components(known.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(prefix_links(docs, known, words, similarity)), "all-links")
+    docs = id_and_text(docs).where(F.col("doc_id").isNotNull())
+    prints = materialize(word_set_fingerprints(docs), "word-fingerprints")
+    classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "word-classes")
+    links = fingerprint_links(classes, max_bits)
+    named = links.join(classes.select(F.col("fp").alias("f"), F.col("least").alias("a")), F.col("u") == F.col("f")).select("a", "v")
+    named = named.join(classes.select(F.col("fp").alias("f"), F.col("least").alias("b")), F.col("v") == F.col("f")).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
+    same = prints.join(classes.select(F.col("fp").alias("f"), "least"), F.col("fp") == F.col("f")).where("doc_id <> least").select(F.col("least").alias("u"), F.col("doc_id").alias("v"))
+    roots = similar_groups(docs, named.unionByName(same), words, similarity)
     return roots.select(F.col("node").alias("doc_id"), F.col("root").alias("keep_id"))

@@ -272,19 +272,47 @@ def test_components_of_a_path_and_a_star(spark):
     assert got == {**{i: 0 for i in range(1, 41)}, **{k: 100 for k in range(101, 130)}}
 
 
-def test_near_duplicates_are_verified(spark, monkeypatch):
-    texts = corpus(6, 90)
-    got = {r["doc_id"]: r["keep_id"] for r in simhash.near_duplicates(table(spark, texts), max_bits=8).collect()}
-    sets = {i: set(simhash.shingle_hashes(t or "", 5).tolist()) for i, t in enumerate(texts)}
-    prints = {i: set(np.unique(simhash.shingle_hashes(t or "", 1)).tolist()) for i, t in enumerate(texts)}
-    fps = {i: simhash.fingerprint(np.array(sorted(s), np.uint64)) for i, s in prints.items()}
-    near = brute_components(fps, 8)
-    linked = {(a, b) for a in sets for b in sets if a < b and near[a] == near[b] and (len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))}
+def brute_near_groups(texts, similarity=0.8):
+    """Node -> smallest node, of all pairs of five-word shingle sets; the sets are of strings."""
+    def shingles(t):
+        w = "".join(c.lower() if c.isascii() else c for c in t or "").encode().split()
+        return {b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = {i: shingles(t) for i, t in enumerate(texts)}
     root = {i: i for i in sets}
-    for _ in sets:
-        for a, b in linked:
-            root[a] = root[b] = min(root[a], root[b])
-    assert got == {i: r for i, r in root.items() if r != i}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for b in sets:
+        for a in range(b):
+            if len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {i: find(i) for i in sets if find(i) != i}
+
+
+@pytest.mark.parametrize("seed", [6, 7])
+def test_near_duplicates_equal_brute_force(spark, seed):
+    texts = corpus(seed, 90)
+    got = {r["doc_id"]: r["keep_id"] for r in simhash.near_duplicates(table(spark, texts)).collect()}
+    assert got == brute_near_groups(texts)
+
+
+def test_near_duplicates_of_a_large_group(spark):
+    """Copies with some words changed, so that runs are long, fingerprints far and groups meet in round two."""
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    bases, texts = [[word() for _ in range(60)] for _ in range(3)], []
+    for i in range(120):
+        w = list(bases[i % 3])
+        for _ in range(i % 4):
+            w[rng.randrange(len(w))] = word()
+        texts.append(" ".join(w if i % 5 else w + [word() for _ in range(12)]))
+    got = {r["doc_id"]: r["keep_id"] for r in simhash.near_duplicates(table(spark, texts)).collect()}
+    assert got == brute_near_groups(texts) and len(got) > 45
 
 
 def test_near_duplicates_are_complete(spark):
@@ -298,27 +326,38 @@ def test_near_duplicates_are_complete(spark):
         texts += [w, w + words(part) if i % 3 == 0 else w[:-part] if i % 3 == 1 else w[:part] + words(part // 2) + w[part + part // 2 :]]
     texts = [" ".join(w) for w in texts] + ["", None, "one two", "one TWO"]
     got = {r["doc_id"]: r["keep_id"] for r in simhash.near_duplicates(table(spark, texts)).collect()}
-    sets = {i: set(simhash.shingle_hashes(t or "", 5).tolist()) for i, t in enumerate(texts)}
-    root = {i: i for i in sets}
-    for b in sets:
-        for a in range(b):
-            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
-                root[b] = min(root[b], root[a])
-    assert got == {i: r for i, r in root.items() if r != i} and len(got) > 50
+    assert got == brute_near_groups(texts) and len(got) > 50
 
 
-@pytest.mark.parametrize("short", [2, 32])
-def test_candidate_pairs_lose_no_similar_pair(monkeypatch, short):
+@pytest.mark.parametrize("short", [2, 8, 200])
+def test_rounds_of_the_prefix_filter_lose_no_similar_pair(monkeypatch, short):
+    """Short runs give all pairs of round one; with the groups that verified pairs make, round two gives the rest."""
     monkeypatch.setattr(prefix_filter, "SHORT_RUN", short)
     rng = np.random.default_rng(4)
     sets = [np.unique(rng.integers(0, 60, 40).astype(np.uint64)) for _ in range(120)]
     ranks = rng.integers(0, 4, prefix_filter.SLOTS).astype(np.uint8)
-    group = [i // 2 if i < 20 else i + 1000 for i in range(len(sets))]
-    rows = [(p, i, group[i], len(s), n) for i, s in enumerate(sets) for n, p in enumerate(prefix_filter.prefix_of(s, ranks, 0.5))]
-    columns = [np.array(c, k) for c, k in zip(zip(*rows), (np.uint64, np.int64, np.int64, np.int64, np.int64))]
-    got = {(min(a, b), max(a, b)) for x, y in prefix_filter.candidate_pairs(*columns, 0.5) for a, b in zip(x.tolist(), y.tolist())}
-    whole = {(a, b) for b in range(120) for a in range(b) if group[a] != group[b] and len(np.intersect1d(sets[a], sets[b])) >= 0.5 * len(np.union1d(sets[a], sets[b]))}
-    assert whole and whole <= got
+    rows = [(p, i, len(s), n) for i, s in enumerate(sets) for n, p in enumerate(prefix_filter.prefix_of(s, ranks, 0.5))]
+    shingle, doc, size, place = (np.array(c, k) for c, k in zip(zip(*rows), (np.uint64, np.int64, np.int64, np.int64)))
+    similar = lambda a, b: len(np.intersect1d(sets[a], sets[b])) >= 0.5 * len(np.union1d(sets[a], sets[b]))
+    pairs, longer = prefix_filter.first_pairs(shingle, doc, size, place, 0.5)
+    first = {(min(a, b), max(a, b)) for x, y in pairs for a, b in zip(x.tolist(), y.tolist())}
+    whole = {(a, b) for b in range(120) for a in range(b) if similar(a, b)}
+    group = {i: i for i in range(120)}
+    for _ in range(120):
+        for a, b in first & whole:
+            group[a] = group[b] = min(group[a], group[b])
+    known = np.array([group[d] for d in doc[longer].tolist()], np.int64)
+    cross = {(min(a, b), max(a, b)) for x, y in prefix_filter.cross_pairs(shingle[longer], doc[longer], known, size[longer], place[longer], 0.5) for a, b in zip(x.tolist(), y.tolist())}
+    assert whole and all(group[a] == group[b] for a, b in whole - cross) and (short < 200 or whole <= first)
+
+
+def test_shingle_sets():
+    from lodeworks.llm.shingles import shingle_sets
+
+    texts = [None, "", "  ", " One  two\tTHREE", "one two three", "one two", "a b c d e f", "b c d e f", "  b c d e f a b c d e f", "é\u00a0É x y z w"]
+    sets = list(shingle_sets(__import__("pyarrow").array(texts), 5))
+    assert [len(s) for s in sets] == [0, 0, 0, 1, 1, 1, 2, 1, 6, 1] and sets[3].tolist() == sets[4].tolist() != sets[5].tolist()
+    assert set(sets[7].tolist()) <= set(sets[6].tolist()) <= set(sets[8].tolist())
 
 
 def brute_lines(texts, window):
