@@ -115,36 +115,47 @@ def _sql_marked(column: str) -> str:
 
 
 def op6_sql() -> str:
-    from lodeworks.llm.decontamination import LEAST, NUMBER, SHARE, TYPED, UNIT, WINDOW
+    from lodeworks.llm.decontamination import JOINER, LEAST, NUMBER, SHARE, TOKEN, WINDOW
+
+    typed = f"[{NUMBER}-{JOINER}]"
+    template = lambda table, key: f"SELECT {key}, words, list_transform(words, lambda w: CASE WHEN regexp_matches(w, '^{typed}') THEN w[1] ELSE w END) AS t FROM (SELECT DISTINCT {key}, regexp_extract_all({_sql_marked("coalesce(text, '')")}, '[{TOKEN}]+') AS words FROM {table})"
+    plain = lambda table, key: f"SELECT {key}, t AS words, t FROM (SELECT DISTINCT {key}, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS t FROM {table})"
+
+    def search(of, name: str) -> str:
+        """Tables of one search; their last, <name>_ok, has the diagonals that hold."""
+        x = name
+        return f"""
+{x}_d AS ({of("documents", "doc_id")}), {x}_b AS (
+  SELECT *, least(len(t), {WINDOW}) AS n FROM ({of("benchmark", "item_id")}) WHERE len(t) >= {LEAST}
+), {x}_bw AS (
+  SELECT item_id, n, p, list_slice(t, p + 1, p + n) AS t, list_slice(words, p + 1, p + n) AS words FROM (SELECT *, unnest(range(len(t) - n + 1)) AS p FROM {x}_b)
+), {x}_bs AS (
+  SELECT * FROM {x}_bw WHERE len(list_filter(words, lambda w: regexp_matches(w, '^{typed}'))) * 2 < n
+), {x}_bn AS (
+  SELECT item_id, n_all, item_windows FROM (SELECT item_id, count(DISTINCT p) AS n_all FROM {x}_bw GROUP BY 1) JOIN (SELECT item_id, count(DISTINCT p) AS item_windows FROM {x}_bs GROUP BY 1) USING (item_id)
+), {x}_dw AS (
+  SELECT doc_id, n, p, list_slice(t, p + 1, p + n) AS t, list_slice(words, p + 1, p + n) AS words
+  FROM (SELECT d.*, l.n, unnest(range(len(t) - l.n + 1)) AS p FROM {x}_d d, (SELECT DISTINCT n FROM {x}_b) l WHERE len(t) >= l.n)
+), {x}_m AS (
+  SELECT dw.doc_id, bs.item_id, dw.p - bs.p AS diagonal, bs.p, bs.words AS bw, dw.words AS dw FROM {x}_dw dw JOIN {x}_bs bs ON dw.n = bs.n AND dw.t = bs.t
+), {x}_g AS (
+  SELECT doc_id, item_id, diagonal, count(DISTINCT p) AS matched_windows FROM {x}_m GROUP BY ALL
+), {x}_v AS (
+  SELECT DISTINCT doc_id, item_id, diagonal, x, y FROM (SELECT doc_id, item_id, diagonal, unnest(bw) AS x, unnest(dw) AS y FROM {x}_m) WHERE regexp_matches(x, '^{typed}')
+), {x}_c AS (
+  SELECT doc_id, item_id, diagonal, count(*) = count(DISTINCT x) AS one_way, count(*) = count(DISTINCT y) AS other_way, bool_and(x = y) AS same FROM {x}_v GROUP BY ALL
+), {x}_ok AS (
+  SELECT g.doc_id, g.item_id, g.matched_windows, bn.item_windows, CASE WHEN coalesce(c.other_way, true) THEN 2 ELSE 1 END AS kind, coalesce(c.same, true) AS same_values
+  FROM {x}_g g JOIN {x}_bn bn USING (item_id) LEFT JOIN {x}_c c ON c.doc_id = g.doc_id AND c.item_id = g.item_id AND c.diagonal = g.diagonal
+  WHERE coalesce(c.one_way, true) AND g.matched_windows >= greatest(1, ceil(bn.item_windows * {SHARE}), ceil(bn.n_all * {SHARE} / 2))
+)"""
 
-    token, typed = rf"[\p{{L}}\p{{N}}{NUMBER}-{UNIT}]+", f"[{NUMBER}-{UNIT}]"
-    tokens = lambda table, key: f"SELECT {key}, regexp_extract_all(m, '{token}') AS words, regexp_extract_all(regexp_replace(m, '{TYPED}', '\\1', 'g'), '{token}') AS t FROM (SELECT DISTINCT {key}, {_sql_marked("coalesce(text, '')")} AS m FROM {table})"
     return f"""
-WITH d AS ({tokens("documents", "doc_id")}), b AS (
-  SELECT *, least(len(t), {WINDOW}) AS n FROM ({tokens("benchmark", "item_id")}) WHERE len(t) >= {LEAST}
-), bw AS (
-  SELECT item_id, n, p, list_slice(t, p + 1, p + n) AS t, list_slice(words, p + 1, p + n) AS words FROM (SELECT *, unnest(range(len(t) - n + 1)) AS p FROM b)
-), bn AS (SELECT item_id, count(DISTINCT p) AS item_windows FROM bw GROUP BY 1
-), bs AS (
-  SELECT * FROM bw WHERE len(list_filter(words, lambda w: regexp_matches(w, '^{typed}'))) * 2 < n
-), dw AS (
-  SELECT doc_id, n, p, list_slice(t, p + 1, p + n) AS t, list_slice(words, p + 1, p + n) AS words
-  FROM (SELECT d.*, l.n, unnest(range(len(t) - l.n + 1)) AS p FROM d, (SELECT DISTINCT n FROM b) l WHERE len(t) >= l.n)
-), m AS (
-  SELECT dw.doc_id, bs.item_id, dw.p - bs.p AS diagonal, bs.p, bs.words AS bw, dw.words AS dw FROM dw JOIN bs ON dw.n = bs.n AND dw.t = bs.t
-), g AS (
-  SELECT doc_id, item_id, diagonal, count(DISTINCT p) AS matched_windows FROM m GROUP BY ALL
-), v AS (
-  SELECT DISTINCT doc_id, item_id, diagonal, x, y FROM (SELECT doc_id, item_id, diagonal, unnest(bw) AS x, unnest(dw) AS y FROM m) WHERE regexp_matches(x, '^{typed}')
-), c AS (
-  SELECT doc_id, item_id, diagonal, count(*) = count(DISTINCT x) AND count(*) = count(DISTINCT y) AS consistent, bool_and(x = y) AS same FROM v GROUP BY ALL
-), ok AS (
-  SELECT g.doc_id, g.item_id, g.matched_windows, bn.item_windows, coalesce(c.same, true) AS same_values
-  FROM g JOIN bn USING (item_id) LEFT JOIN c ON c.doc_id = g.doc_id AND c.item_id = g.item_id AND c.diagonal = g.diagonal
-  WHERE coalesce(c.consistent, true) AND g.matched_windows >= greatest(1, ceil(bn.item_windows * {SHARE}))
+WITH {search(template, "template")}, {search(plain, "plain")}, every AS (
+  SELECT * FROM template_ok UNION ALL SELECT * REPLACE (0 AS kind) FROM plain_ok
 )
-SELECT doc_id, item_id, matched_windows, item_windows, same_values FROM ok
-QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matched_windows DESC, same_values DESC, item_windows DESC) = 1
+SELECT doc_id, item_id, matched_windows, item_windows, same_values FROM every
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY kind DESC, matched_windows DESC, same_values DESC, item_windows DESC) = 1
 """
 
 

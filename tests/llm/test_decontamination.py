@@ -45,10 +45,24 @@ def test_different_values_may_become_equal(spark):
     assert found(spark, texts, [(1, item)]) == {(0, 1): False, (1, 1): False, (2, 1): True}
 
 
+def test_names_of_other_length_and_at_the_start(spark):
+    item = "Alice buys 3 apples at the market and then Alice sells 2 of the apples to a friend there"
+    texts = [item.replace("Alice", "Mary Ann").replace("3", "7").replace("2", "5"), item.replace("Alice", "Robert"), "he said that " + item, item.upper(), item.replace("Alice sells", "Mary sells")]
+    got = found(spark, texts, [(1, item)])
+    assert got[0, 1] is False and got[1, 1] is False and got[2, 1] is True and got[3, 1] is True
+
+
+def test_ties_between_diagonals(spark):
+    """An item that stands twice is one row; the copy with more windows counts, then the one with the same values."""
+    text = QUESTION.replace("3 hours", "4 hours").replace("3 apples", "4 apples")
+    assert found(spark, [text + " and " + QUESTION, QUESTION + " and " + QUESTION]) == {(0, 1): True, (1, 1): True}
+
+
 def test_decontaminate_keeps_other_rows_and_columns(spark):
-    docs = spark.createDataFrame([(1, QUESTION, "s"), (2, "fine", "s"), (None, "fine", "s"), (2, "fine", "s")], "doc_id long, text string, source string")
+    kind = "doc_id long, text string, source string, contaminated int, row_number int"
+    docs = spark.createDataFrame([(1, QUESTION, "s", 0, 1), (2, "fine", "s", 0, 1), (None, "fine", "s", 0, 1), (2, "fine", "s", 0, 1), (2, QUESTION, "s", 0, 1), (None, QUESTION, "s", 0, 1)], kind)
     kept = decontaminate(docs, spark.createDataFrame(ITEMS, "item_id long, text string"))
-    assert kept.columns == docs.columns and kept.count() == 3
+    assert kept.columns == docs.columns and [r["text"] for r in kept.collect()] == ["fine"] * 3
 
 
 @pytest.mark.parametrize("docs, items", [([], ITEMS), ([(1, QUESTION)], []), ([], [])])
