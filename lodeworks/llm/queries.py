@@ -92,11 +92,12 @@ WITH l AS (
 ), s AS (
   SELECT doc_id, i, rtrim(line, ' ') AS x, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM p WHERE rtrim(line, ' ') <> ''
 ), w AS (
-  SELECT a.doc_id, a.n, a.i AS i1, b.i AS i2, a.x AS x1, b.x AS x2 FROM s a JOIN s b ON a.doc_id = b.doc_id AND b.n = a.n + 1
+  SELECT a.doc_id, a.n, [a.i, b.i, c.i] AS covers, [a.x, b.x, c.x] AS x FROM s a JOIN s b ON a.doc_id = b.doc_id AND b.n = a.n + 1 JOIN s c ON a.doc_id = c.doc_id AND c.n = a.n + 2
+  UNION ALL SELECT doc_id, n, [i], [x] FROM s WHERE length(x) >= 240
 ), r AS (
-  SELECT *, row_number() OVER (PARTITION BY x1, x2 ORDER BY doc_id, n) AS k FROM w
+  SELECT *, row_number() OVER (PARTITION BY x ORDER BY doc_id, n) AS k FROM w
 ), g AS (
-  SELECT doc_id, i1 AS i FROM r WHERE k > 1 UNION SELECT doc_id, i2 FROM r WHERE k > 1
+  SELECT DISTINCT doc_id, unnest(covers) AS i FROM r WHERE k > 1
 ), kept AS (
   SELECT p.doc_id, string_agg(p.line, chr(10) ORDER BY p.i) AS text FROM p LEFT JOIN g ON p.doc_id = g.doc_id AND p.i = g.i WHERE g.i IS NULL GROUP BY p.doc_id
 )

@@ -360,22 +360,43 @@ def test_shingle_sets():
     assert set(sets[7].tolist()) <= set(sets[6].tolist()) <= set(sets[8].tolist())
 
 
-def brute_lines(texts, window):
-    first, marks = {}, {i: set() for i in range(len(texts))}
-    for i, t in enumerate(texts):
-        solid = [(n, x.rstrip(" ")) for n, x in enumerate((t or "").split("\n")) if x.rstrip(" ")]
-        for a in range(len(solid) - window + 1):
-            part = solid[a : a + window]
-            if first.setdefault(tuple(x for _, x in part), (i, a)) != (i, a):
-                marks[i] |= {n for n, _ in part}
-    return {i: ("\n".join(x for n, x in enumerate((t or "").split("\n")) if n not in marks[i]), len(marks[i])) for i, t in enumerate(texts)}
+def brute_lines(rows, window, long_line):
+    """rows (doc_id, text), in order; equal rows are one document."""
+    first, out = {}, []
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
+    for d, t in order:
+        lines = (t or "").split("\n")
+        solid = [(n, x.rstrip(" ")) for n, x in enumerate(lines) if x.rstrip(" ")]
+        gone = set()
+        for w, some in ((window, solid), (1, None)):
+            for a in range(len(solid) - w + 1):
+                part = solid[a : a + w]
+                if some is None and len(part[0][1]) < long_line:
+                    continue
+                if first.setdefault((w == 1 and some is None, *(x for _, x in part)), (d, t, a)) != (d, t, a):
+                    gone |= {n for n, _ in part}
+        out.append((d, "\n".join(x for n, x in enumerate(lines) if n not in gone), len(solid), len(gone)))
+    return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("window", [1, 2, 3])
-def test_line_dedup(spark, window):
+@pytest.mark.parametrize("window, long_line", [(1, 1000), (2, 40), (3, 240)])
+def test_line_dedup(spark, window, long_line):
     texts = corpus(8)
-    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in line_dedup(table(spark, texts), window).collect()}
-    assert got == brute_lines(texts, window)
+    got = sorted(((r["doc_id"], r["text"], r["n_lines"], r["n_removed"]) for r in line_dedup(table(spark, texts), window, long_line).collect()), key=repr)
+    assert got == brute_lines(list(enumerate(texts)), window, long_line)
+
+
+def test_line_dedup_of_runs_and_odd_rows(spark):
+    """Runs with equal single lines in other surroundings, long lines alone, repeated rows, null ids, blank lines between."""
+    rng = random.Random(11)
+    lines = [f"line {i}" for i in range(6)]
+    passage = " ".join(f"w{i}" for i in range(80))
+    rows = [(i, "\n".join(rng.choice([*lines, "", "  "]) for _ in range(rng.randint(0, 25)))) for i in range(60)]
+    rows += [(100, f"a\n{passage}\nb"), (101, f"c\n{passage} \nd"), (102, passage), (100, f"a\n{passage}\nb"), (103, None), (104, ""), (105, "line 1\n" * 3000)]
+    got = sorted(((r["doc_id"], r["text"], r["n_lines"], r["n_removed"]) for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()), key=repr)
+    assert got == brute_lines(rows, 3, 240)
+    null = spark.createDataFrame([(None, "a\nb\nc"), (1, "a\nb\nc"), (None, "a\nb\nc")], "doc_id long, text string")
+    assert sorted(((r["doc_id"], r["n_removed"]) for r in line_dedup(null).collect()), key=repr) == [(1, 3), (None, 0), (None, 0)]
 
 
 @pytest.mark.parametrize("operator", [exact_dedup, line_dedup, substring_dedup.substring_dedup, simhash.simhash_dedup, simhash.near_duplicates])
