@@ -60,12 +60,39 @@ def test_label_model_finds_accuracies_and_correlations():
     rates = np.array([[0.02, 0.7], [0.05, 0.6], [0.01, 0.5], [0.03, 0.8]])
     votes = np.stack([rng.random(len(truth)) < np.where(truth, b, a) for a, b in rates], axis=1)
     votes = np.concatenate([votes, votes[:, :1]], axis=1)  # a voter that repeats the first
-    model = toxicity.LabelModel(votes, np.ones(len(truth)), np.full(len(truth), -1), 0.2)
+    votes = votes.astype(float)
+    model = toxicity.LabelModel(votes.mean(axis=0), votes.T @ votes / len(votes), 0.2)
+    for _ in range(toxicity.ROUNDS):
+        model.update(model.expected(votes, np.ones(len(votes))))
     assert abs(model.prior - 0.1) < 0.02
     assert np.abs(model.rates[1][:4] - rates[:, 1]).max() < 0.15  # 0.3 if the repeated voter is believed twice
     assert model.correlations[0, 4] > 0.4 and model.correlations[1, 2] < 0.15
     assert model.discount[0] < 0.75 < model.discount[2]
-    assert ((model.posterior(votes, np.full(len(truth), -1)) > 0.5) == truth).mean() > 0.95
+    assert ((model.posterior(votes) > 0.5) == truth).mean() > 0.95
+
+
+def test_the_label_model_of_spark_equals_the_local_one(spark):
+    rng = np.random.default_rng(5)
+    truth = rng.random(3000) < 0.2
+    votes = (rng.random((3000, 6)) < np.where(truth[:, None], 0.6, 0.03)).astype(float)
+    patterns = (votes.astype(int) << np.arange(6)).sum(axis=1)
+    rows = [(2, int(p), int(n)) for p, n in zip(*np.unique(patterns, return_counts=True))]
+    models = toxicity.label_models(spark.createDataFrame(rows, "length long, pattern long, n long").repartition(3), 6)
+    got, local = models[2], toxicity.LabelModel(votes.mean(axis=0), votes.T @ votes / len(votes))
+    for _ in range(toxicity.ROUNDS):
+        local.update(local.expected(votes, np.ones(len(votes))))
+    assert abs(got.prior - local.prior) < 1e-9 and np.abs(got.rates - local.rates).max() < 1e-9 and abs(got.prior - 0.2) < 0.05
+
+
+@pytest.mark.parametrize("run, label", [(toxicity.toxicity_scores, "toxic"), (quality.quality_scores, "quality")])
+def test_very_long_texts(spark, run, label):
+    """A text of millions of characters is read whole: its end counts."""
+    plain = "a plain and good sentence with words. " * 60_000
+    docs = spark.createDataFrame([(1, plain), (2, plain + " idiot moron scum"), (3, "x" * 3_000_000), (4, None)], "doc_id long, text string")
+    out = {r["doc_id"]: r for r in run(docs, spark.createDataFrame([], f"doc_id long, {label} int")).collect()}
+    assert len(out) == 4 and all(0 <= r["score"] <= 1 for r in out.values())
+    if label == "toxic":
+        assert out[2]["n_cues"] == 3 and out[1]["n_cues"] == 0
 
 
 def test_prior_of_a_mixture():
