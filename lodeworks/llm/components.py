@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeworks.llm.common import materialize
+from lodeworks.llm.common import materialize, release
 
 
 def local_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -47,8 +47,9 @@ def connected_components(edges: DataFrame, label: str = "components") -> DataFra
         large = both.where("v > u").join(low, F.col("u") == F.col("c")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy(F.col("u").alias("c")).agg(F.min("v").alias("m"))
         small = large.join(low, F.col("u") == F.col("c")).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v")
-        edges = materialize(small.distinct(), label)
+        old, edges = edges, materialize(small.distinct(), label)
         before, state = state, _fingerprint(edges)
+        release(old)
         if state == before:
             break
     return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))

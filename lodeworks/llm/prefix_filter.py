@@ -7,13 +7,18 @@ that many documents hold is in few prefixes.  A counter sees all shingles of its
 result, a shingle that holds more than a slot's share of the corpus stands out.
 
 Round one.  Documents that share a prefix shingle are a run.  Short runs give all their pairs; a longer run gives a
-chain by set size and a star around its smallest document, and its rows are kept.  Pairs whose sizes and places in the
+chain by set size and a star around the document that has the fewest rarer shingles, which is what the others are copies of, if it is
+there; its rows are kept.  Pairs whose sizes and places in the
 prefixes do not allow the similarity are left out (the first shingle that a similar pair shares always allows it).  These
-pairs, and candidates found elsewhere, are verified on whole sets; what is similar forms groups.
+pairs, and candidates found elsewhere, are verified; what is similar forms groups.
 
-Round two.  Rows of the longer runs meet again with their groups.  Runs within one group are done; in the others, pairs
-of different groups are verified.  So a large group of copies costs links in proportion to its size, and no similar pair
+Round two.  Rows of the longer runs meet again with their groups and parities.  Runs within one group are done; in the others,
+pairs of different groups are tested.  So a large group of copies costs links in proportion to its size, and no similar pair
 of different groups is missed.
+
+Verification.  A document's parities are bits, each the parity of the number of its shingles that fall there.  Two sets
+differ in as many shingles at least as their parities differ in bits, so parities, which are 1/64 of the sets, rule out most pairs
+without any error; whole sets decide the others.
 """
 
 from __future__ import annotations
@@ -27,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeworks.llm.byte_bpe import slices
-from lodeworks.llm.common import by_bucket, concat_packed, materialize, mix64, pack_arrays, split_by, unpack_arrays
+from lodeworks.llm.common import by_bucket, concat_packed, materialize, mix64, pack_arrays, release, split_by, unpack_arrays
 from lodeworks.llm.components import connected_components
 from lodeworks.llm.shingles import shingle_sets
 
@@ -107,31 +112,75 @@ def first_pairs(shingle: np.ndarray, doc: np.ndarray, size: np.ndarray, place: n
                 take(rows, rows + d)
         elif len(rows):
             take(rows[ahead > 1], rows[ahead > 1] + 1)
-            centre = at + np.array([doc[order[a : a + m]].argmin() for a, m in zip(at.tolist(), n.tolist())])
+            centre = at + np.array([np.lexsort((doc[order[a : a + m]], place[a : a + m]))[0] for a, m in zip(at.tolist(), n.tolist())])
             centre = np.repeat(centre, n)
             take(rows[rows != centre], centre[rows != centre])
             return out, order[rows]
     return out, order[:0]
 
 
-def cross_pairs(shingle: np.ndarray, doc: np.ndarray, group: np.ndarray, size: np.ndarray, place: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of round two: of different groups, in one run."""
+def cross_pairs(shingle: np.ndarray, doc: np.ndarray, group: np.ndarray, size: np.ndarray, place: np.ndarray, parities: list[bytes], similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of round two: of different groups, in one run, not ruled out by places and parities."""
     order = np.lexsort((group, shingle))
     shingle, doc, group, size, place = (x[order] for x in (shingle, doc, group, size, place))
     for begin, n in zip(*(x.tolist() for x in _runs(shingle))):
+        bits = [np.frombuffer(parities[k], np.uint64) for k in order[begin : begin + n].tolist()]
+        words = min(map(len, bits))
+        bits = np.stack([fold(b, words) for b in bits])
         ends = begin + np.append(np.flatnonzero(np.diff(group[begin : begin + n])) + 1, n)
         a = begin
         for end in ends[:-1].tolist():
             few = np.arange(a, end)
-            step = max(1, PAIRS // len(few))
+            step = max(1, PAIRS // (len(few) * words))
             for low in range(end, begin + n, step):
                 x, y = (v.ravel() for v in np.meshgrid(few, np.arange(low, min(low + step, begin + n))))
                 near = may_be_similar(size, place, x, y, similarity)
+                x, y = x[near], y[near]
+                near = allowed(size[x], size[y], np.bitwise_count(bits[x - begin] ^ bits[y - begin]).sum(axis=1, dtype=np.int64), similarity)
                 if near.any():
                     yield doc[x[near]], doc[y[near]]
             a = end
 
 
+MOST_PARITIES = 1 << 14
+
+
+def parities_of(shingles: np.ndarray) -> bytes:
+    """A power of two of bits, about twice as many as shingles: 64 at least, MOST_PARITIES at most."""
+    bits = min(MOST_PARITIES, max(64, 1 << (2 * len(shingles) - 1).bit_length()))
+    odd = np.bincount((mix64(shingles) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def fold(parities: np.ndarray, words: int) -> np.ndarray:
+    """Parities (uint64 words) as fewer words."""
+    return np.bitwise_xor.reduce(parities.reshape(-1, words), axis=0)
+
+
+def allowed(size_a, size_b, differ, similarity: float):
+    """Whether sets of these sizes that differ in so many shingles at least can be similar."""
+    both = (size_a + size_b - differ) / 2
+    return both + SLACK >= similarity * (size_a + size_b - both)
+
+
+def not_ruled_out(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (u, v) whose sizes and parities allow the similarity; sketches: doc_id, size, parities."""
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for i, (m, n, a, b) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("size_u", "size_v", "parities_u", "parities_v")))):
+                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+                words = min(len(x), len(y))
+                if allowed(m, n, int(np.bitwise_count(fold(x, words) ^ fold(y, words)).sum()), similarity):
+                    keep.append(i)
+            yield batch.select(["u", "v"]).take(pa.array(keep, pa.int64()))
+
+    side = lambda name: sketches.select(F.col("doc_id").alias(f"id_{name}"), F.col("size").alias(f"size_{name}"), F.col("parities").alias(f"parities_{name}"))
+    both = pairs.join(side("u"), F.col("u") == F.col("id_u")).join(side("v"), F.col("v") == F.col("id_v"))
+    return both.select("u", "v", "size_u", "size_v", "parities_u", "parities_v").mapInArrow(test, "u long, v long")
+
+
 def verified(docs: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
     """Those of the pairs (u, v: doc_ids) whose shingle sets are similar; two empty sets are."""
     asked = pairs.select(F.col("u").alias("asked")).union(pairs.select("v")).distinct()
@@ -164,8 +213,11 @@ def _pair_batch(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), *(pa.nulls(pairs.shape[1], pa.int64()) for _ in range(3))], ["u", "v", "shingle", "size", "place"])
 
 
-def similar_groups(docs: DataFrame, candidates: DataFrame, words: int, similarity: float) -> DataFrame:
-    """node, root: components of all pairs with similar shingle sets; docs have doc_id (not null) and text, candidates are pairs (u, v) found elsewhere."""
+def similar_groups(docs: DataFrame, sketches: DataFrame, candidates: DataFrame, words: int, similarity: float) -> DataFrame:
+    """node, root: components of all pairs with similar shingle sets.
+
+    docs: doc_id (not null) and text; sketches: doc_id, size, parities of each document; candidates: pairs (u, v) found elsewhere.
+    """
     buckets = max(8, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES))
     ranks = shingle_ranks(docs, words)
 
@@ -197,7 +249,7 @@ def similar_groups(docs: DataFrame, candidates: DataFrame, words: int, similarit
         return pa.Table.from_batches([rows, *([_pair_batch(pairs)] if pairs else [])])
 
     def cross(table: pa.Table) -> pa.Table:
-        columns = [table.column(c).to_numpy() for c in ("shingle", "u", "known", "size", "place")]
+        columns = [*(table.column(c).to_numpy() for c in ("shingle", "u", "known", "size", "place")), table.column("parities").to_pylist()]
         found, held, rows = [], [], 0
         for x, y in cross_pairs(*columns, similarity):
             held.append((x, y))
@@ -211,14 +263,19 @@ def similar_groups(docs: DataFrame, candidates: DataFrame, words: int, similarit
 
     met = materialize(by_bucket(docs.mapInArrow(prefixes, "bucket int, payload binary"), buckets, meet, MET), "prefix-runs")
     pairs = materialize(met.where("v is not null").select("u", "v").unionByName(candidates).where("u <> v").distinct(), "candidate-pairs")
-    links = materialize(verified(docs, pairs, words, similarity), "similar-pairs")
+    possible = materialize(not_ruled_out(pairs, sketches, similarity), "possible-pairs")
+    links = materialize(verified(docs, possible, words, similarity), "similar-pairs")
     groups = materialize(connected_components(links, "similar-components"), "similar-groups")
+    release(pairs, possible, links)
 
     rows = met.where("v is null").join(groups, F.col("u") == F.col("node"), "left").select("u", "shingle", F.coalesce("root", "u").alias("known"), "size", "place")
     rows = materialize(rows, "longer-runs")
+    release(met)
     mixed = materialize(rows.groupBy(F.col("shingle").alias("s")).agg(F.min("known").alias("low"), F.max("known").alias("high")).where("low < high").select("s"), "mixed-runs")
-    rest = rows.join(mixed, F.col("shingle") == F.col("s"), "left_semi").select(F.pmod(F.xxhash64("shingle"), F.lit(buckets)).cast("int").alias("bucket"), "u", "shingle", "known", "size", "place")
+    rest = rows.join(mixed, F.col("shingle") == F.col("s"), "left_semi").join(sketches.select("doc_id", "parities"), F.col("u") == F.col("doc_id"))
+    rest = rest.select(F.pmod(F.xxhash64("shingle"), F.lit(buckets)).cast("int").alias("bucket"), "u", "shingle", "known", "size", "place", "parities")
     more = materialize(by_bucket(rest, buckets, cross, "u long, v long").distinct(), "cross-pairs")
+    release(rows, mixed)
     if more.isEmpty():
         return groups
     known = groups.select(F.col("node").alias("u"), F.col("root").alias("v"))

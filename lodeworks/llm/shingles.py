@@ -34,6 +34,11 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def shingle_sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
     """For each text the sorted distinct hashes of its runs of `words` words; of all its words, if there are fewer."""
+    return (s for s, _ in shingle_and_word_sets(texts, words))
+
+
+def shingle_and_word_sets(texts: pa.Array, words: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The sets of shingle_sets, and the hashes of each text's words, repeats included."""
     flat, ends = word_hashes(texts)
     runs = np.zeros(len(flat), np.uint64)  # of the run that begins at each word, across texts too; those are not used
     for k in range(words):
@@ -44,12 +49,13 @@ def shingle_sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
     for end in ends.tolist():
         n = end - begin
         if n >= words:
-            yield np.unique(runs[begin : end - words + 1])
+            found = np.unique(runs[begin : end - words + 1])
         elif n:
-            whole = np.zeros(1, np.uint64)
+            found = np.zeros(1, np.uint64)
             for w in flat[begin:end]:
-                whole = mix64(whole * FACTOR + w)
-            yield mix64(whole + np.uint64(n))
+                found = mix64(found * FACTOR + w)
+            found = mix64(found + np.uint64(n))
         else:
-            yield flat[:0]
+            found = flat[:0]
+        yield found, flat[begin:end]
         begin = end

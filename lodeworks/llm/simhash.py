@@ -38,8 +38,8 @@ from pyspark.sql import functions as F
 from lodeworks.llm.byte_bpe import slices
 from lodeworks.llm.common import id_and_text, materialize, mix64
 from lodeworks.llm.components import connected_components, local_forest
-from lodeworks.llm.prefix_filter import similar_groups
-from lodeworks.llm.shingles import shingle_sets
+from lodeworks.llm.prefix_filter import parities_of, similar_groups
+from lodeworks.llm.shingles import shingle_and_word_sets
 
 SHINGLE, MAX_BITS, SEED = 4, 4, 42
 STRETCH = 1 << 16
@@ -247,16 +247,17 @@ def simhash_dedup(docs: DataFrame, words: int = SHINGLE, max_bits: int = MAX_BIT
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def word_set_fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp: fingerprints of the texts' distinct words, which move by few bits when a few words change."""
+def word_set_sketches(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, fp, size, parities: the fingerprint of the text's distinct words, which moves by few bits when a few words change; the shingle set's size and parities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch):
-                fps = [_signed(fingerprint(s)) for s in shingle_sets(piece.column("text"), 1)]
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+                rows = [(_signed(fingerprint(np.unique(w))), len(s), parities_of(s)) for s, w in shingle_and_word_sets(piece.column("text"), words)]
+                fps, sizes, parities = zip(*rows) if rows else ((), (), ())
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(fps, pa.int64()), pa.array(sizes, pa.int64()), pa.array(parities, pa.binary())], ["doc_id", "fp", "size", "parities"])
 
-    return docs.mapInArrow(run, "doc_id long, fp long")
+    return docs.mapInArrow(run, "doc_id long, fp long, size long, parities binary")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, max_bits: int = MAX_BITS) -> DataFrame:
@@ -268,11 +269,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ma
     doc_id are one document.  An empty table gives an empty result; other columns are ignored.
     """
     docs = id_and_text(docs).where(F.col("doc_id").isNotNull())
-    prints = materialize(word_set_fingerprints(docs), "word-fingerprints")
+    prints = materialize(word_set_sketches(docs, words), "word-sketches")
     classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "word-classes")
     links = fingerprint_links(classes, max_bits)
     named = links.join(classes.select(F.col("fp").alias("f"), F.col("least").alias("a")), F.col("u") == F.col("f")).select("a", "v")
     named = named.join(classes.select(F.col("fp").alias("f"), F.col("least").alias("b")), F.col("v") == F.col("f")).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
     same = prints.join(classes.select(F.col("fp").alias("f"), "least"), F.col("fp") == F.col("f")).where("doc_id <> least").select(F.col("least").alias("u"), F.col("doc_id").alias("v"))
-    roots = similar_groups(docs, named.unionByName(same), words, similarity)
+    roots = similar_groups(docs, prints.select("doc_id", "size", "parities"), named.unionByName(same), words, similarity)
     return roots.select(F.col("node").alias("doc_id"), F.col("root").alias("keep_id"))

@@ -347,10 +347,23 @@ def test_rounds_of_the_prefix_filter_lose_no_similar_pair(monkeypatch, short):
         for a, b in first & whole:
             group[a] = group[b] = min(group[a], group[b])
     known = np.array([group[d] for d in doc[longer].tolist()], np.int64)
-    cross = {(min(a, b), max(a, b)) for x, y in prefix_filter.cross_pairs(shingle[longer], doc[longer], known, size[longer], place[longer], 0.5) for a, b in zip(x.tolist(), y.tolist())}
+    cross = {(min(a, b), max(a, b)) for x, y in prefix_filter.cross_pairs(shingle[longer], doc[longer], known, size[longer], place[longer], [prefix_filter.parities_of(sets[d]) for d in doc[longer].tolist()], 0.5) for a, b in zip(x.tolist(), y.tolist())}
     assert whole and all(group[a] == group[b] for a, b in whole - cross) and (short < 200 or whole <= first)
 
 
+def test_parities_bound_the_difference():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        a = np.unique(rng.integers(0, 1 << 63, rng.integers(0, 400), dtype=np.uint64))
+        b = np.unique(np.concatenate([rng.permutation(a)[: rng.integers(0, len(a) + 1)], rng.integers(0, 1 << 63, rng.integers(0, 100), dtype=np.uint64)]))
+        x, y = (np.frombuffer(prefix_filter.parities_of(s), np.uint64) for s in (a, b))
+        words = min(len(x), len(y))
+        differ = int(np.bitwise_count(prefix_filter.fold(x, words) ^ prefix_filter.fold(y, words)).sum())
+        both = len(np.intersect1d(a, b))
+        assert differ <= len(a) + len(b) - 2 * both
+        assert both < 0.8 * (len(a) + len(b) - both) or prefix_filter.allowed(len(a), len(b), differ, 0.8)
+
+
 def test_shingle_sets():
     from lodeworks.llm.shingles import shingle_sets
 
