@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import udtf
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from lodeworks.functions.text import ascii_lower, squeeze
 
@@ -18,7 +18,10 @@ from lodeworks.functions.text import ascii_lower, squeeze
 NOISE_WORDS = ["proceedings", "arxiv", "copyright", "preprint", "conference", "journal"]
 CAPTION_STARTS = ["fig.", "figure ", "table "]
 REPEATS, SHORT_LINE, NOISE_BYTES, NOISE_CHARS, JOINED_CHARS, EXCERPT = 3, 18, 3, 90, 96, 240
-CHUNK_PROFILES = {"fast": (4500, 300), "balanced": (6500, 500), "strict": (5500, 700)}
+# Profiles: bytes of a chunk, bytes of overlap, attempts, retry delay in milliseconds.
+CHUNK_PROFILES = {"fast": (4500, 300, 3, 1000), "balanced": (6500, 500, 2, 600), "strict": (5500, 700, 4, 600)}
+MODES = {"": "clean", "clean": "clean", "none": "raw", "raw": "raw", "light": "light"}
+SPACE = " \t\n\x0b\x0c\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 FNV_OFFSET, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
 
 
@@ -48,29 +51,28 @@ def repeated_noise(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def text_signals(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, n_lines (not blank), n_repeated (distinct lines with three occurrences or more), short_ratio, n_figures, n_tables, n_urls."""
-    solid = text_lines(docs, key).where("norm <> ''")
-    low = ascii_lower(F.col("norm"))
-    one = solid.groupBy(key, "norm").agg(F.count("*").alias("n"))
+    solid = text_lines(docs, key).where("norm <> ''").withColumn("trimmed", F.regexp_replace("line", r"(?U)^\s+|\s+$", ""))
+    low = ascii_lower(F.col("trimmed"))
+    one = solid.groupBy(key, "norm").agg(
+        F.count("*").alias("n"),
+        F.count_if(F.char_length("trimmed") <= SHORT_LINE).alias("short"),
+        F.count_if(low.startswith("fig.") | low.startswith("figure ")).alias("figures"),
+        F.count_if(low.startswith("table ")).alias("tables"),
+        F.count_if(low.contains("http://") | low.contains("https://")).alias("urls"),
+    )
     return (
         one.groupBy(key)
-        .agg(
-            F.sum("n").alias("n_lines"),
-            F.count_if(F.col("n") >= REPEATS).alias("n_repeated"),
-            F.sum(F.when(F.char_length("norm") <= SHORT_LINE, F.col("n")).otherwise(0)).alias("n_short"),
-            F.sum(F.when(low.startswith("fig.") | low.startswith("figure "), F.col("n")).otherwise(0)).alias("n_figures"),
-            F.sum(F.when(low.startswith("table "), F.col("n")).otherwise(0)).alias("n_tables"),
-            F.sum(F.when(F.col("norm").contains("http://") | F.col("norm").contains("https://"), F.col("n")).otherwise(0)).alias("n_urls"),
-        )
+        .agg(F.sum("n").alias("n_lines"), F.count_if(F.col("n") >= REPEATS).alias("n_repeated"), F.sum("short").alias("n_short"), F.sum("figures").alias("n_figures"), F.sum("tables").alias("n_tables"), F.sum("urls").alias("n_urls"))
         .withColumn("short_ratio", F.col("n_short") / F.col("n_lines"))
         .drop("n_short")
     )
 
 
 def collapse_blank_lines(text: Column) -> Column:
-    """Light mode: lines without blanks at their ends, runs of blank lines as one, none at either end."""
-    kept = F.transform(lines_of(text), lambda x: F.rtrim(x))
+    """Lines without blanks at their ends, runs of blank lines as one, at the start too; none at the end."""
+    kept = F.transform(lines_of(text), lambda x: F.regexp_replace(x, r"(?U)\s+$", ""))
     joined = F.regexp_replace(F.array_join(kept, "\n"), r"\n{3,}", "\n\n")
-    return F.regexp_replace(joined, r"^\n+|\n+$", "")
+    return F.regexp_replace(F.regexp_replace(joined, r"^\n+", "\n"), r"\n+$", "")
 
 
 def _starts_lower(line: str) -> bool:
@@ -78,21 +80,35 @@ def _starts_lower(line: str) -> bool:
     return bool(first) and first.islower()
 
 
+def split_lines(text: str) -> list[str]:
+    """Lines at newlines only, without a carriage return before them; a final newline gives no extra line."""
+    lines = text.split("\n")
+    ended = [x.removesuffix("\r") for x in lines[:-1]]
+    return ended + lines[-1:] if lines[-1] else ended
+
+
 def repair_hyphenation(lines: list[str]) -> list[str]:
+    """A hyphen at a line's end, blanks behind it aside, is undone if the next line goes on in lower case."""
     out, i = [], 0
     while i < len(lines):
-        line = lines[i]
-        if line.endswith("-") and i + 1 < len(lines) and _starts_lower(lines[i + 1]) and line[:-1] and not line[:-1][-1].isspace():
-            out.append(line[:-1] + lines[i + 1].lstrip())
+        bare = lines[i].rstrip(SPACE)
+        if bare.endswith("-") and i + 1 < len(lines) and _starts_lower(lines[i + 1].lstrip(SPACE)) and not (bare[:-1] and bare[-2] in SPACE):
+            out.append(bare[:-1] + lines[i + 1].lstrip(SPACE))
             i += 2
         else:
-            out.append(line)
+            out.append(lines[i])
             i += 1
+    while out and not out[-1]:
+        out.pop()
     return out
 
 
+def _ascii_lower(text: str) -> str:
+    return "".join(c.lower() if c.isascii() else c for c in text)
+
+
 def _own_line(line: str) -> bool:
-    low = line.lower()
+    low = _ascii_lower(line)
     return line.startswith(("#", "|")) or low.startswith((*CAPTION_STARTS, "http://", "https://")) or line.endswith(":") or (line.startswith("[") and "]" in line) or sum(line.count(c) for c in "=<>+-/") >= 2
 
 
@@ -107,7 +123,7 @@ def paragraphs(lines: list[str]) -> str:
         held = ""
 
     for raw in lines:
-        line = raw.strip()
+        line = raw.strip(SPACE)
         if not line:
             flush()
         elif _own_line(line):
@@ -122,34 +138,63 @@ def paragraphs(lines: list[str]) -> str:
     return "\n\n".join(done)
 
 
+def text_mode(mode: str | None) -> str:
+    """clean by default; none is raw."""
+    name = (mode or "").strip().lower()
+    if name not in MODES:
+        raise ValueError(f"unknown text mode: {mode}")
+    return MODES[name]
+
+
+def noise_keys(lines: list[str]) -> set[str]:
+    """Squeezed lines that the text repeats and that look like layout."""
+    counts = Counter(k for x in lines if len((k := " ".join(re.findall(rf"[^{SPACE}]+", x))).encode()) >= NOISE_BYTES and len(k) <= NOISE_CHARS)
+
+    def noisy(key: str) -> bool:
+        low = _ascii_lower(key)
+        if low.startswith(tuple(CAPTION_STARTS)) or "http://" in low or "https://" in low:
+            return False
+        return bool(re.fullmatch(rf"[0-9{SPACE}]+", key)) or any(w in low for w in NOISE_WORDS)
+
+    return {k for k, n in counts.items() if n >= REPEATS and noisy(k)}
+
+
 def clean(text: str | None, mode: str = "clean") -> tuple[str, int]:
-    """The cleaned text and how many repeated layout lines went."""
-    text = text or ""
+    """The cleaned text and how many distinct repeated layout lines went.
+
+    raw: as it is.  Else repeated layout lines go and hyphens are undone; then clean joins lines to paragraphs, light
+    only collapses blank lines.
+    """
+    text, mode = text or "", text_mode(mode)
     if mode == "raw":
         return text, 0
-    lines = text.splitlines()
-    if mode == "light":
-        out: list[str] = []
-        for line in map(str.rstrip, lines):
-            if line or (out and out[-1]):
-                out.append(line)
-        return "\n".join(out).strip("\n"), 0
-    keys = [" ".join(x.split()) for x in lines]
-    counts = Counter(k for k in keys if len(k.encode()) >= NOISE_BYTES and len(k) <= NOISE_CHARS)
-    noise = {k for k, n in counts.items() if n >= REPEATS and not k.lower().startswith(tuple(CAPTION_STARTS)) and "http://" not in k and "https://" not in k and (re.fullmatch(r"[0-9\s]+", k, re.ASCII) or any(w in k.lower() for w in NOISE_WORDS))}
-    kept = [x for x, k in zip(lines, keys) if k not in noise]
-    return paragraphs(repair_hyphenation(kept)), len(lines) - len(kept)
+    lines = split_lines(text)
+    noise = noise_keys(lines)
+    kept = repair_hyphenation([x for x in lines if " ".join(re.findall(rf"[^{SPACE}]+", x)) not in noise])
+    if mode == "clean":
+        return paragraphs(kept), len(noise)
+    out: list[str] = []
+    for line in (x.rstrip(SPACE) for x in kept):
+        if line or not out or out[-1]:
+            out.append(line)
+    return "\n".join(out).rstrip("\n"), len(noise)
+
+
+def noise_warning(n: Column) -> Column:
+    return F.when(n > 0, F.concat(F.lit("removed "), n.cast("string"), F.lit(" repeated layout lines")))
 
 
 def clean_documents(docs: DataFrame, mode: str = "clean", key: str = "doc_id") -> DataFrame:
-    """key, text, n_removed.  Joining lines depends on the lines before, so a document is folded in Arrow batches."""
+    """key, text, n_noise, warning.  Joining lines depends on the lines before, so a document is folded in Arrow batches."""
+    mode = text_mode(mode)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             done = [clean(t, mode) for t in pdf["text"]]
-            yield pd.DataFrame({key: pdf[key], "text": [t for t, _ in done], "n_removed": [n for _, n in done]})
+            yield pd.DataFrame({key: pdf[key], "text": [t for t, _ in done], "n_noise": [n for _, n in done]})
 
-    return docs.select(key, "text").mapInPandas(run, f"{key} long, text string, n_removed long")
+    schema = StructType([docs.schema[key], StructField("text", StringType()), StructField("n_noise", LongType())])
+    return docs.select(key, "text").mapInPandas(run, schema).withColumn("warning", noise_warning(F.col("n_noise")))
 
 
 def fnv1a(text: str) -> int:
@@ -159,55 +204,85 @@ def fnv1a(text: str) -> int:
     return h
 
 
-def chunk_text(text: str, most: int, overlap: int) -> Iterator[tuple[str, int, int, int, int, str, int]]:
-    """(chunk id, start byte, end byte, first line, last line, text, anchors) of greedy paragraph windows."""
-    raw = text.encode()
+def paragraph_spans(raw: bytes) -> list[tuple[int, int]]:
+    """Byte ranges between blank lines, empty ones left out; the whole text if there is none."""
     spans, at = [], 0
     for part in raw.split(b"\n\n"):
-        if part.strip():
+        if part:
             spans.append((at, at + len(part)))
         at += len(part) + 2
-    if not spans and raw.strip():
-        spans = [(0, len(raw))]
-    line_starts = [0, *(m.end() for m in re.finditer(b"\n", raw))]
-    start = spans[0][0] if spans else 0
-    i, number = 0, 0
-    while i < len(spans):
-        end = spans[i][1]
-        i += 1
-        while i < len(spans) and spans[i][1] - start <= most:
-            end = spans[i][1]
-            i += 1
-        number += 1
-        body = raw[start:end].decode(errors="ignore")
-        yield f"chunk_{number:04d}", start, end, bisect_right(line_starts, start), bisect_right(line_starts, max(start, end - 1)), body, sum(bool(x.strip()) for x in body.splitlines())
-        if i < len(spans):
-            start = max(start + 1, end - overlap)
-            while start < end and raw[start] & 0xC0 == 0x80:
+    return spans or [(0, len(raw))]
+
+
+def paragraph_ranges(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, byte_start, byte_end of each paragraph, in Arrow batches."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            spans = [(name, *span) for name, text in zip(pdf[key], pdf["text"]) for span in paragraph_spans((text or "").encode())]
+            yield pd.DataFrame(spans, columns=[key, "byte_start", "byte_end"])
+
+    schema = StructType([docs.schema[key], StructField("byte_start", LongType()), StructField("byte_end", LongType())])
+    return docs.select(key, "text").mapInPandas(run, schema)
+
+
+def chunk_spans(raw: bytes, most: int, overlap: int) -> list[tuple[int, int]]:
+    """Greedy windows of paragraphs of at most `most` bytes (one paragraph at least); the next begins `overlap` bytes before the end, on a character."""
+    spans = paragraph_spans(raw)
+    out, start, end = [], spans[0][0], spans[0][0]
+    for a, b in spans:
+        if end > start and b - start > most:
+            out.append((start, end))
+            start = max(0, end - overlap)
+            while start and raw[start] & 0xC0 == 0x80:
                 start -= 1
+        elif end == start:
+            start = a
+        end = b
+    return [*out, (start, end)] if end > start else out
 
 
-def anchors_of(chunk_no: int, body: str) -> Iterator[tuple[str, int, str]]:
-    """(anchor id, line within the chunk, excerpt) for each line that is not blank; equal lines share an id."""
-    for n, line in enumerate(body.splitlines(), 1):
-        if line.strip():
-            excerpt = line.strip()[:EXCERPT]
-            yield f"c{chunk_no:04d}_{fnv1a(excerpt) & 0xFFFFFFFFFF:010x}", n, excerpt
+def chunk_text(text: str, most: int, overlap: int) -> Iterator[tuple[int, int, int, int, int, str, list[tuple[str, int, int, int, str]]]]:
+    """(number from 0, start byte, end byte, first line, last line, text, anchors); lines count from 1.
 
+    An anchor stands for each line of the text that the chunk touches and that is not blank: (id, line, start byte, end
+    byte, excerpt); equal lines of a chunk share an id.
+    """
+    raw = text.encode()
+    starts = [0, *(m.end() for m in re.finditer(b"\n", raw) if m.end() < len(raw))]
+    lines = split_lines(text)
+    for number, (start, end) in enumerate(chunk_spans(raw, most, overlap)):
+        first, last = bisect_right(starts, start) - 1, bisect_right(starts, max(0, end - 1)) - 1
+        anchors = []
+        for i in range(first, min(last + 1, len(lines))):
+            if excerpt := lines[i].strip(SPACE)[:EXCERPT]:
+                anchors.append((f"c{number:04d}_{fnv1a(excerpt):010x}", i + 1, starts[i], starts[i] + len(lines[i].encode()), excerpt))
+        yield number, start, end, first + 1, last + 1, raw[start:end].decode(), anchors
 
-@udtf(returnType="chunk_id string, byte_start long, byte_end long, line_start long, line_end long, chunk string, n_anchors long")
-class ChunkText:
-    def eval(self, text: str, most: int, overlap: int):
-        yield from chunk_text(text or "", most, overlap)
+
+ANCHOR = "anchor_id string, line long, byte_start long, byte_end long, excerpt string"
 
 
 def chunks(docs: DataFrame, profile: str = "balanced", key: str = "doc_id") -> DataFrame:
-    """key and the chunks of each document, by a table function over a lateral join: no shuffle."""
-    most, overlap = CHUNK_PROFILES[profile]
-    spark = docs.sparkSession
-    spark.udtf.register("lodeworks_chunks", ChunkText)
-    docs.select(F.col(key), "text").createOrReplaceTempView("lodeworks_chunk_input")
-    return spark.sql(f"SELECT {key}, c.* FROM lodeworks_chunk_input, LATERAL lodeworks_chunks(text, {most}, {overlap}) AS c")
+    """key, chunk_id, byte_start, byte_end, line_start, line_end, chunk, anchors of each document, in Arrow batches: no shuffle."""
+    most, overlap, *_ = CHUNK_PROFILES[profile]
+    names = ["chunk_id", "byte_start", "byte_end", "line_start", "line_end", "chunk", "anchors"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for name, text in zip(pdf[key], pdf["text"]):
+                found = [(f"chunk_{n:04d}", *spans, body, [dict(zip(("anchor_id", "line", "byte_start", "byte_end", "excerpt"), a)) for a in anchors]) for n, *spans, body, anchors in chunk_text(text or "", most, overlap)]
+                out = pd.DataFrame(found, columns=names)
+                out.insert(0, key, pd.Series([name] * len(out), dtype=object))
+                yield out
+
+    schema = StructType([docs.schema[key], *StructType.fromDDL(f"chunk_id string, byte_start long, byte_end long, line_start long, line_end long, chunk string, anchors array<struct<{ANCHOR.replace(' string', ':string').replace(' long', ':long')}>>").fields])
+    return docs.select(key, "text").mapInPandas(run, schema)
+
+
+def anchors_of(chunk_rows: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, chunk_id and the anchors of chunks."""
+    return chunk_rows.select(key, "chunk_id", F.explode("anchors").alias("a")).select(key, "chunk_id", "a.*")
 
 
 def page_offsets(pages: DataFrame, doc: str, number: str, text: str) -> DataFrame:

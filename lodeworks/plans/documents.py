@@ -38,12 +38,34 @@ def noise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.repeated_noise(with_golden(spark, sf_dir))
 
 
-@query("h5_blank_normalize", f"WITH {SQL_SRC} SELECT doc_id, regexp_replace(regexp_replace(array_to_string(list_transform(string_split_regex(text, '\\r?\\n'), lambda x: rtrim(x, ' ')), chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\n+|\\n+$', '', 'g') AS text FROM src")
+@query("h5_blank_normalize", f"WITH {SQL_SRC} SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(array_to_string(list_transform(string_split_regex(text, '\\r?\\n'), lambda x: rtrim(x, ' ')), chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\n+', chr(10)), '\\n+$', '') AS text FROM src")
 def blank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_golden(spark, sf_dir).select("doc_id", D.collapse_blank_lines(F.col("text")).alias("text"))
 
 
-@query("h6_clean_text")
+#: The clean-up as folds over lists: lines without noise, hyphens undone, lines joined to paragraphs.
+SQL_CLEAN = f"""{SQL_LINES}, noise AS (
+  SELECT doc_id, norm FROM s WHERE octet_length(encode(norm)) >= 3 AND length(norm) <= 90 AND NOT regexp_matches(lower(norm), '^(fig\\.|figure |table )') AND NOT regexp_matches(lower(norm), 'https?://')
+  AND (regexp_matches(norm, '^[0-9\\s]+$') OR regexp_matches(lower(norm), 'proceedings|arxiv|copyright|preprint|conference|journal')) GROUP BY 1, 2 HAVING count(*) >= 3
+), num AS (SELECT doc_id, count(*) AS n FROM noise GROUP BY 1
+), l2 AS (
+  SELECT doc_id, list_filter(l, lambda x: NOT coalesce(list_contains(bad, trim(regexp_replace(x, '[\\s\\p{{Z}}]+', ' ', 'g'))), false)) AS l
+  FROM (SELECT doc_id, CASE WHEN l[-1] = '' THEN l[:-2] ELSE l END AS l FROM (SELECT doc_id, string_split_regex(coalesce(text, ''), '\\r?\\n') AS l FROM src)) LEFT JOIN (SELECT doc_id, list(norm) AS bad FROM noise GROUP BY 1) USING (doc_id)
+), l3 AS (
+  SELECT doc_id, list_reduce(list_prepend({{'o': []::VARCHAR[], 'h': NULL::VARCHAR}}, list_transform(l, lambda x: {{'o': [x], 'h': x}})), lambda a, x:
+    CASE WHEN a.h IS NOT NULL AND regexp_matches(a.h, '(^|[^\\s\\p{{Z}}])-[\\s\\p{{Z}}]*$') AND regexp_matches(x.h, '^[^\\p{{L}}]*\\p{{Ll}}')
+      THEN {{'o': list_append(a.o[:-2], regexp_replace(a.h, '-[\\s\\p{{Z}}]*$', '') || regexp_replace(x.h, '^[\\s\\p{{Z}}]+', '')), 'h': NULL}} ELSE {{'o': list_append(a.o, x.h), 'h': x.h}} END).o AS l FROM l2
+), l4 AS (
+  SELECT doc_id, list_transform(l, lambda x: regexp_replace(x, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')) AS l FROM l3
+), l5 AS (
+  SELECT doc_id, list_reduce(list_prepend({{'o': []::VARCHAR[], 'open': false}}, list_transform(l, lambda x: {{'o': [x], 'open': regexp_matches(lower(x), '^(#|\\||fig\\.|figure |table |https?://)') OR suffix(x, ':') OR (starts_with(x, '[') AND contains(x, ']')) OR len(regexp_extract_all(x, '[=<>+/-]')) >= 2}})), lambda a, x:
+    CASE WHEN x.o[1] = '' THEN {{'o': a.o, 'open': false}} WHEN x.open THEN {{'o': list_append(a.o, x.o[1]), 'open': false}}
+      WHEN a.open AND NOT regexp_matches(a.o[-1], '[.:;]$') AND (length(x.o[1]) <= 96 OR regexp_matches(x.o[1], '^[^\\p{{L}}]*\\p{{Ll}}')) THEN {{'o': list_append(a.o[:-2], a.o[-1] || ' ' || x.o[1]), 'open': true}}
+      ELSE {{'o': list_append(a.o, x.o[1]), 'open': true}} END).o AS l FROM l4
+)"""
+
+
+@query("h6_clean_text", f"WITH {SQL_SRC}, {SQL_CLEAN} SELECT doc_id, array_to_string(l, chr(10) || chr(10)) AS text, coalesce(n, 0)::BIGINT AS n_noise, 'removed ' || n || ' repeated layout lines' AS warning FROM l5 LEFT JOIN num USING (doc_id)")
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.clean_documents(with_golden(spark, sf_dir))
 
@@ -94,11 +116,32 @@ def digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return firsts.select("conv_id", "section_id", F.array_join(F.transform("x", lambda s: s["digest"]), " | ").alias("digests"))
 
 
+def chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with their lines as paragraphs, in overlapping chunks."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "\n", "\n\n").alias("text"))
+    return D.chunks(d, "fast")
+
+
 @query("i2_chunks")
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with their lines as paragraphs, in overlapping chunks; tests restate the rule."""
+    """Tests restate the rule."""
+    return chunked(spark, sf_dir).select("doc_id", "chunk_id", "byte_start", "byte_end", "line_start", "line_end", F.size("anchors").cast("long").alias("n_anchors"))
+
+
+@query("i4_anchors")
+def anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.anchors_of(chunked(spark, sf_dir))
+
+
+#: Paragraphs as byte ranges: positions of blank lines, by the lengths before them.
+@query(
+    "i1_paragraph_ranges",
+    "WITH p AS (SELECT doc_id, unnest(string_split(replace(text, chr(10), chr(10) || chr(10)), chr(10) || chr(10))) AS p, generate_subscripts(string_split(replace(text, chr(10), chr(10) || chr(10)), chr(10) || chr(10)), 1) AS n FROM documents), o AS (SELECT *, (sum(octet_length(encode(p)) + 2) OVER (PARTITION BY doc_id ORDER BY n ROWS UNBOUNDED PRECEDING) - octet_length(encode(p)) - 2)::BIGINT AS byte_start FROM p) "
+    "SELECT doc_id, byte_start, byte_start + octet_length(encode(p)) AS byte_end FROM o WHERE p <> '' UNION ALL SELECT doc_id, 0, octet_length(encode(replace(text, chr(10), chr(10) || chr(10)))) FROM documents WHERE regexp_matches(text, '^\\n*$')",
+)
+def paragraph_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "\n", "\n\n").alias("text"))
-    return D.chunks(d, "fast").select("doc_id", "chunk_id", "byte_start", "byte_end", "line_start", "line_end", "n_anchors")
+    return D.paragraph_ranges(d)
 
 
 @query("g6_paper_budget", "SELECT doc_id, length(text)::BIGINT AS n_chars, (length(text) // 4)::BIGINT AS n_tokens, len(string_split(text, chr(10)))::BIGINT AS n_lines FROM documents")

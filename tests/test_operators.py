@@ -115,6 +115,10 @@ def test_last_error_is_by_sequence_even_if_null(spark):
     [
         ("exam-\nple text\nmore", "example text more"),
         ("a-\nb-\nc", "ab- c"),
+        ("inter- \t\n  national rules", "international rules"),
+        ("one -\ntwo", "one - two"),
+        ("end-\nNext", "end- Next"),
+        ("sep\u2028inside\fline\x85end", "sep\u2028inside\fline\x85end"),
         ("one.\ntwo", "one.\n\ntwo"),
         ("Head:\nx\n\ny", "Head:\n\nx\n\ny"),
         ("# t\nbody\n| a |\nend", "# t\n\nbody\n\n| a |\n\nend"),
@@ -129,6 +133,11 @@ def test_clean(raw, cleaned):
 
 def test_light_mode():
     assert documents.clean("a  \n\n\n\nb\n\n", "light")[0] == "a\n\nb"
+    assert documents.clean("\n\n\na-  \nbc\n\n\n", "light")[0] == "\nabc"
+    assert documents.clean("Journal of Tests\nx\nJournal  of Tests\ny\nJournal of Tests\nz", "light") == ("x\ny\nz", 1)
+    assert [documents.text_mode(m) for m in (None, "", "Clean", "none", "raw", "light")] == ["clean", "clean", "clean", "raw", "raw", "light"]
+    with pytest.raises(ValueError):
+        documents.text_mode("heavy")
 
 
 def test_chunks_cover_and_overlap():
@@ -145,8 +154,20 @@ def test_chunks_cover_and_overlap():
 
 
 def test_anchor_ids_repeat_for_equal_lines():
-    ids = [a for a, _, _ in documents.anchors_of(1, "x\n\ny\nx")]
-    assert len(ids) == 3 and ids[0] == ids[2] != ids[1] and documents.fnv1a("a") == 0xAF63DC4C8601EC8C
+    ((number, start, end, first, last, body, anchors),) = documents.chunk_text(" x\n\ny\nx\n", 500, 60)
+    assert (number, start, end, first, last) == (0, 0, 8, 1, 4) and body == " x\n\ny\nx\n"
+    assert [(n, a, b, e) for _, n, a, b, e in anchors] == [(1, 0, 2, "x"), (3, 4, 5, "y"), (4, 6, 7, "x")]
+    ids = [a[0] for a in anchors]
+    assert ids[0] == ids[2] != ids[1] and documents.fnv1a("a") == 0xAF63DC4C8601EC8C and ids[0].startswith("c0000_")
+
+
+def test_chunks_restated():
+    """Blank paragraphs count, numbers start at 0, a window begins on a character, anchors are those of whole lines of the text."""
+    text = "aaaa\n\n  \n\nbébé\n\n" + "c" * 12
+    assert documents.paragraph_spans(text.encode()) == [(0, 4), (6, 8), (10, 16), (18, 30)] and documents.paragraph_spans(b"\n\n") == [(0, 2)] and documents.paragraph_spans(b"") == [(0, 0)]
+    assert [(n, a, b, f, l) for n, a, b, f, l, _, _ in documents.chunk_text(text, 16, 2)] == [(0, 0, 16, 1, 5), (1, 14, 30, 5, 7)]
+    got = list(documents.chunk_text(text, 16, 2))
+    assert [x[4] for x in got[1][6]] == ["bébé", "c" * 12] and got[1][5] == "é\n\n" + "c" * 12
 
 
 @pytest.mark.parametrize(
