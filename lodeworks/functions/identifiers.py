@@ -12,25 +12,29 @@ ARXIV_SHAPE = r"^[0-9]{4}\.[^.]{4,}(\..*)?$"
 
 
 def classify_identifier(raw: Column) -> Column:
-    """struct<kind, value>: doi, arxiv, openalex, dblp, url, semantic or query; the first rule that fits."""
+    """struct<kind, value>: doi, arxiv, openalex, dblp, url, semantic or query; the first rule that fits.
+
+    Only a DOI may stand behind doi:, everything else in front of a colon is a URL's scheme; an arXiv URL's path
+    begins with /abs/ or /pdf/.
+    """
     text = F.trim(raw)
     bare = F.trim(F.regexp_replace(text, r"^(?i)doi:", ""))
-    under = F.regexp_replace(F.regexp_extract(bare, r"^10\.48550/(?:arXiv|arxiv)\.(.*)$", 1), r"\.pdf$", "")
-    host = F.lower(F.regexp_extract(bare, r"^https?://([^/?#:]*)", 1))
-    from_path = F.regexp_replace(F.regexp_extract(bare, r"/(?:abs|pdf)/([^?#]+)", 1), r"\.pdf$", "")
-    is_url = bare.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:")
+    under = F.regexp_replace(F.trim(F.regexp_extract(bare, r"^10\.48550/(?:arXiv|arxiv)\.(.*)$", 1)), r"(\.pdf)+$", "")
+    host = F.lower(F.regexp_extract(text, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
+    path = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/(?:abs|pdf)/([^?#]*)"
+    is_url = text.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") & ~text.rlike(r"^(?i)https?:/*$")
     make = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("value"))
     return (
         F.when(under.rlike(ARXIV_SHAPE), make("arxiv", under))
         .when(bare.startswith("10."), make("doi", bare))
-        .when(is_url & F.endswith(host, F.lit("arxiv.org")) & (from_path != ""), make("arxiv", from_path))
-        .when(is_url & F.endswith(host, F.lit("openalex.org")), make("openalex", bare))
-        .when(is_url & F.endswith(host, F.lit("dblp.org")), make("dblp", bare))
-        .when(is_url, make("url", bare))
-        .when(bare.rlike(ARXIV_SHAPE), make("arxiv", F.regexp_replace(bare, r"\.pdf$", "")))
-        .when(bare.rlike("^W[0-9]*$"), make("openalex", bare))
-        .when(bare.rlike("^[0-9A-Fa-f]{32,}$"), make("semantic", bare))
-        .otherwise(make("query", bare))
+        .when(is_url & F.endswith(host, F.lit("arxiv.org")) & text.rlike(path), make("arxiv", F.regexp_replace(F.regexp_extract(text, path, 1), r"\.pdf$", "")))
+        .when(is_url & F.endswith(host, F.lit("openalex.org")), make("openalex", text))
+        .when(is_url & F.endswith(host, F.lit("dblp.org")), make("dblp", text))
+        .when(is_url, make("url", text))
+        .when(F.regexp_replace(text, r"\.pdf$", "").rlike(ARXIV_SHAPE), make("arxiv", text))
+        .when(text.rlike("^W[0-9]*$"), make("openalex", text))
+        .when(text.rlike("^[0-9A-Fa-f]{32,}$"), make("semantic", text))
+        .otherwise(make("query", text))
     )
 
 

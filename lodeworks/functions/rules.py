@@ -7,18 +7,20 @@ from pyspark.sql import functions as F
 
 from lodeworks.functions.urls import host_for_match, path_segments
 
-# Sites of question hosts, delays in milliseconds.
+# Sites of question hosts; delays in milliseconds before each attempt from 0 on, the last for all later ones.
 SITES = {"stackoverflow.com": "stackoverflow", "serverfault.com": "serverfault", "superuser.com": "superuser", "askubuntu.com": "askubuntu", "mathoverflow.net": "mathoverflow.net"}
-DELAYS = [500, 1000, 2000, 4000]
+DELAYS = {"pdf": [600, 600, 1200, 2400], "llm": [600, 600, 1200, 2400, 4800, 9600], "openalex": [1000, 3000]}
+#: Delays that grow by a step for each attempt (first, step).
+GROWING = {"semantic": (2500, 2500), "arxiv": (3000, 3000)}
 
 
 def is_public_url(url: Column) -> Column:
     """http(s) with a host that is no private, loopback, link-local, multicast or unspecified address; names other than localhost pass (they need a lookup)."""
-    host = F.lower(F.regexp_extract(url, r"^https?://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", 1))
+    host = F.regexp_replace(F.lower(F.regexp_extract(url, r"^(?i:https?)://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", 1)), r"\.+$", "")
     octet = lambda i: F.split_part(host, F.lit("."), F.lit(i)).try_cast("int")
     v4 = host.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$")
     a, b = octet(1), octet(2)
-    private = (a == 10) | (a == 127) | (a == 0) | (a >= 224) | ((a == 169) & (b == 254)) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 100) & b.between(64, 127))
+    private = (a == 10) | (a == 127) | (a == 0) | (a >= 224) | ((a == 169) & (b == 254)) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168))
     v6 = host.startswith("[")
     closed = host.rlike(r"^\[(::1?|f[cd].*|fe[89ab].*|ff.*)\]$")
     return F.when(host == "", False).when(v4, ~private).when(v6, ~closed).otherwise((host != "localhost") & ~F.endswith(host, F.lit(".localhost")))
@@ -59,9 +61,11 @@ def versioned_base(url: Column) -> Column:
     return F.when(F.endswith(bare, F.lit("/v1")), bare).otherwise(F.concat(bare, F.lit("/v1")))
 
 
-def backoff_ms(attempt: Column) -> Column:
-    """Doubling from DELAYS' first to its last."""
-    return F.element_at(F.array(*map(F.lit, DELAYS)), F.least(F.greatest(attempt, F.lit(0)) + 1, F.lit(len(DELAYS))).cast("int"))
+def backoff_ms(service: Column, attempt: Column) -> Column:
+    """The wait before an attempt (from 0) of a service: by its table, or growing by a step."""
+    n = F.greatest(attempt, F.lit(0))
+    tables = F.coalesce(*(F.when(service == s, F.element_at(F.array(*map(F.lit, d)), F.least(n + 1, F.lit(len(d))).cast("int"))) for s, d in DELAYS.items()))
+    return F.coalesce(tables, *(F.when(service == s, (F.lit(first) + F.lit(step) * n).cast("int")) for s, (first, step) in GROWING.items()))
 
 
 def best_identifier(doi: Column, arxiv: Column, semantic: Column, openalex: Column, title: Column) -> Column:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Words that ranking ignores; named entities; the least number of bytes of a token.
 STOPWORDS = "a an and are for from how into not of on or the this to with paper".split()
-NAMED_ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "#39": "'", "amp": "&"}
+NAMED_ENTITIES = {"lt": "<", "gt": ">", "amp": "&", "quot": '"', "apos": "'"}
+ENTITY = r"&(lt|gt|amp|quot|apos|#[0-9]+|#[xX][0-9A-Fa-f]+);"
 LEAST_TOKEN_BYTES = 3
 
 
@@ -46,8 +47,8 @@ def least_hits(n_tokens: Column) -> Column:
 
 
 def strong_hits(n_tokens: Column) -> Column:
-    """Hits that a strong overlap needs."""
-    return F.least(n_tokens, F.lit(3))
+    """Hits that a strong overlap needs: those of a relevant result for one or two tokens, else three."""
+    return F.when(n_tokens <= 2, least_hits(n_tokens)).otherwise(3)
 
 
 def truncate(c: Column, limit: int) -> Column:
@@ -57,8 +58,18 @@ def truncate(c: Column, limit: int) -> Column:
 
 
 def decode_entities(c: Column) -> Column:
-    """The named entities and &#39;; the ampersand last, so nothing is decoded twice."""
-    return reduce(lambda x, e: F.replace(x, F.lit(f"&{e[0]};"), F.lit(e[1])), NAMED_ENTITIES.items(), c)
+    """Five named entities and decimal and hexadecimal ones, each once, from left to right; all others stay as they are."""
+
+    def decoded(e: Column) -> Column:
+        digits = F.when(F.lower(F.substring(e, 2, 1)) == "x", F.conv(F.substring(e, 3, 20), 16, 10)).otherwise(F.substring(e, 2, 20)).try_cast("bigint")
+        valid = digits.between(0, 0xD7FF) | digits.between(0xE000, 0x10FFFF)
+        character = F.decode(F.unhex(F.lpad(F.hex(F.when(valid, digits)), 8, "0")), "UTF-32")
+        named = reduce(lambda rest, kv: rest.when(e == kv[0], kv[1]), NAMED_ENTITIES.items(), F.when(F.lit(False), ""))
+        return F.coalesce(named, F.when(F.startswith(e, F.lit("#")), character), F.concat(F.lit("&"), e, F.lit(";")))
+
+    found = F.regexp_extract_all(c, F.lit(ENTITY), F.lit(1))
+    pieces = F.transform(F.split(c, ENTITY, -1), lambda p, i: F.concat(p, F.coalesce(decoded(F.get(found, i)), F.lit(""))))
+    return F.when(c.contains("&"), F.array_join(pieces, "")).otherwise(c)
 
 
 def clean_html_title(c: Column) -> Column:

@@ -68,7 +68,7 @@ def material_kind(url: Column) -> Column:
         .when(any_of("huggingface.co/"), "model")
         .when(any_of("paperswithcode.com/"), "code")
         .when(any_of("zenodo.org/", "figshare.com/"), "dataset")
-        .when(any_of("arxiv.org/src/", "/e-print/"), "supplement")
+        .when(any_of("arxiv.org/src/", "arxiv.org/e-print/"), "supplement")
         .when(any_of("colab.research.google.com/"), "demo")
         .when(any_of("docs.", "/docs", "readthedocs.io/"), "documentation")
         .when(any_of("project", "demo", "dataset", "code"), "project")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,9 +30,16 @@ def table_quality(s: Column) -> Column:
     return 0.45 * (1 - s["empty_ratio"]) + 0.2 * part(s["rows"]) + 0.2 * part(s["cols"]) + F.when(s["real_grid"], 0.15).otherwise(0.0)
 
 
-def table_filter_reason(s: Column) -> Column:
-    """Why a table is not written, null if it is; the first reason that holds."""
-    return F.when(s["cols"] < 2, "too_few_columns").when(s["filled"] < 4, "too_few_cells").when(s["rows"] < 2, "single_row").when(s["empty_ratio"] >= 0.5, "sparse").when(~s["real_grid"], "not_real_grid")
+def flows_as_text(s: Column, rows: Column) -> Column:
+    """Two columns and eight rows or more, half of which have eight words or more beside four or fewer."""
+    words = lambda r, i: F.size(F.filter(F.split(F.coalesce(F.get(r, F.lit(i)), F.lit("")), r"(?U)\s+"), lambda w: w != ""))
+    prose = F.size(F.filter(rows, lambda r: (words(r, 0) >= 8) & (words(r, 1) <= 4)))
+    return (s["cols"] == 2) & (s["rows"] >= 8) & (prose * 2 >= s["rows"])
+
+
+def table_filter_reason(s: Column, rows: Column) -> Column:
+    """Why a table (its statistics, its rows) is not written, null if it is; the first reason that holds."""
+    return F.when(s["cols"] < 2, "too_few_columns").when(s["filled"] < 4, "too_few_cells").when(s["rows"] < 2, "single_row").when(s["empty_ratio"] >= 0.5, "sparse").when(~s["real_grid"], "not_real_grid").when(flows_as_text(s, rows), "text_flow_fallback")
 
 
 def table_markdown(rows: Column) -> Column:
@@ -44,7 +53,7 @@ def table_markdown(rows: Column) -> Column:
 
 def image_filter_reason(width: Column, height: Column, box_width: Column, box_height: Column) -> Column:
     small = box_width.isNotNull() & (box_width * box_height < LEAST_BOX_AREA) & ~((box_width >= LEAST_BOX[0]) & (box_height >= LEAST_BOX[1]))
-    return F.when(width * height < LEAST_IMAGE_PIXELS, "tiny_pixels").when(small, "tiny_box")
+    return F.when(width * height < LEAST_IMAGE_PIXELS, "tiny_pixel").when(small, "small_bbox")
 
 
 def image_order(rows: DataFrame, key: list[str]) -> DataFrame:
@@ -55,8 +64,10 @@ def image_order(rows: DataFrame, key: list[str]) -> DataFrame:
 
 
 def image_signals(rows: DataFrame, key: list[str]) -> DataFrame:
-    pixels, area = F.col("width") * F.col("height"), F.col("box_width") * F.col("box_height")
-    return rows.groupBy(*key).agg(F.count("*").alias("images"), F.count_if((pixels >= LARGE_PIXELS) | (F.coalesce(area, F.lit(0)) >= LARGE_BOX)).alias("large"), F.count_if((pixels < TINY_PIXELS) | (F.coalesce(area, F.lit(TINY_BOX)) < TINY_BOX)).alias("tiny"))
+    """Images, large and tiny ones; an image without a box is as large as its pixels."""
+    pixels = F.col("width") * F.col("height")
+    area = F.coalesce(F.col("box_width") * F.col("box_height"), pixels)
+    return rows.groupBy(*key).agg(F.count("*").alias("images"), F.count_if((pixels >= LARGE_PIXELS) | (area >= LARGE_BOX)).alias("large"), F.count_if((pixels < TINY_PIXELS) | (area < TINY_BOX)).alias("tiny"))
 
 
 def manifest_totals(rows: DataFrame, doc: str, page: str) -> DataFrame:
@@ -71,15 +82,17 @@ def union_box(rows: DataFrame, key: list[str]) -> DataFrame:
 
 
 def group_boxes(rows: DataFrame) -> DataFrame:
-    """rows (doc_id, page, image_index, x, y, w, h) -> doc_id, page, group, members, x, y, right, bottom.
+    """rows (doc_id, page, image_index, width, height, x, y, w, h) -> doc_id, page, group, members, x, y, right, bottom.
 
-    A box joins the group before it if it is within JOIN_GAP of the group's box so far, so the order decides;
+    Parts of a picture: images with a box that the filter rejects, from top to bottom, then from left to right.  A box
+    joins the group before it if it is within JOIN_GAP of the group's box so far, so the order decides;
     a page's boxes are folded in one group, bounded by the page.  Groups of one are left out.
     """
+    rows = rows.where(F.col("x").isNotNull() & image_filter_reason(F.col("width"), F.col("height"), F.col("w"), F.col("h")).isNotNull())
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         groups: list[list] = []
-        for r in pdf.sort_values("image_index").itertuples():
+        for r in pdf.sort_values(["y", "x"], kind="stable").itertuples():
             box = [r.x, r.y, r.x + r.w, r.y + r.h]
             g = groups[-1] if groups else None
             if g and box[0] <= g[2] + JOIN_GAP and box[2] >= g[0] - JOIN_GAP and box[1] <= g[3] + JOIN_GAP and box[3] >= g[1] - JOIN_GAP:
@@ -107,17 +120,27 @@ def markdown_tables(pages: DataFrame) -> DataFrame:
     return part.groupBy("doc_id", "page", F.col("first").alias("block")).agg((F.count("*") + 1).alias("n_rows"), join(F.col("n") < F.col("rule")).alias("header"), join(F.col("n") > F.col("rule")).alias("body")).where("n_rows >= 3")
 
 
+# Points and names of the triage rules.
+TRIAGE = {
+    "figure_caption_without_large_bitmap": 80,
+    "table_caption_without_geometry_table": 65,
+    "table_geometry_needs_visual_check": 55,
+    "fragmented_image_components": 70,
+    "many_tiny_image_xobjects": 45,
+    "figure_caption_with_bitmap_verify": 25,
+    "baseline_table_sample": 1,
+    "baseline_figure_sample": 1,
+}
+
+
 def page_priority(p: DataFrame) -> DataFrame:
-    """Triage: additive rules over a page's counts, with their reasons."""
-    c = F.col
-    rules = [
-        (80, "figure_caption_without_large_image", (c("figure_captions") > 0) & (c("large_images") == 0)),
-        (65, "figure_caption_with_image", (c("figure_captions") > 0) & (c("large_images") > 0)),
-        (55, "fragmented_images", c("tiny_images") >= 4),
-        (70, "table_caption_without_table", (c("table_captions") > 0) & (c("tables") == 0)),
-        (45, "table_caption_with_table", (c("table_captions") > 0) & (c("tables") > 0)),
-        (25, "large_image_without_caption", (c("figure_captions") == 0) & (c("large_images") > 0)),
-        (1, "any_image", c("images") > 0),
-    ]
-    total = sum((F.when(cond, points).otherwise(0) for points, _, cond in rules), F.lit(0))
-    return p.withColumn("priority", total).withColumn("reasons", F.array_join(F.array_compact(F.array(*(F.when(cond, name) for _, name, cond in rules))), ","))
+    """Triage: the sum of the rules that hold for a page's counts, with their names; the last two hold only where nothing else does."""
+    captioned, tabled, large, tiny = F.col("figure_captions") > 0, F.col("table_captions") > 0, F.col("large_images") > 0, F.col("tiny_images")
+    has_tables = F.col("tables") > 0
+    fragmented = (tiny >= 3) & ~large
+    holds = [captioned & ~large, tabled & ~has_tables, tabled & has_tables, fragmented, ~fragmented & (tiny >= 5), captioned & large]
+    nothing = ~reduce(lambda a, b: a | b, holds)
+    holds += [nothing & has_tables, nothing & ~has_tables & (F.col("images") > 0) & captioned]
+    rules = list(zip(TRIAGE.items(), holds))
+    total = reduce(lambda a, b: a + b, (F.when(cond, points).otherwise(0) for (_, points), cond in rules))
+    return p.withColumn("priority", total).withColumn("reasons", F.array_join(F.array_compact(F.array(*(F.when(cond, name) for (name, _), cond in rules))), ","))

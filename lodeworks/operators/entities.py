@@ -46,7 +46,7 @@ def enrich(sources: DataFrame, contents: DataFrame, most: int) -> DataFrame:
 def fallback_sections(docs: DataFrame, sections: DataFrame) -> DataFrame:
     """Documents (doc_id, n_bytes) without any section get one that covers them."""
     alone = docs.join(sections.select("doc_id").distinct(), "doc_id", "left_anti")
-    made = alone.select("doc_id", F.lit("sec_001_document").alias("section_id"), F.lit(0).cast("long").alias("section_start"), F.col("n_bytes").alias("section_end"))
+    made = alone.select("doc_id", F.lit("sec_000_paper").alias("section_id"), F.lit(0).cast("long").alias("section_start"), F.col("n_bytes").alias("section_end"))
     return sections.unionByName(made)
 
 

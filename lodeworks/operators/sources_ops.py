@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,7 +41,18 @@ def unverifiable_reason(answer: Column, n_sources: Column, n_before_filter: Colu
     return F.when(F.trim(F.coalesce(answer, F.lit(""))) == "", "content_empty").when(n_sources == 0, F.when(n_before_filter > 0, "sources_empty_filtered").otherwise("sources_empty"))
 
 
-def apply_budget(sessions: DataFrame, budget: int) -> DataFrame:
+# The note that stands for content, with the fields that it names, and its two openings.
+NOTE = '_[{what}: response budget reached - full text via web_fetch("{url}") or get_sources(session_id="{session}", offset={index}, limit=1)]_'
+OMITTED, CUT = "inline content omitted", "truncated"
+
+
+def _note(template: str, **fields: Column) -> Column:
+    """The template with its fields filled in."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*(fields[p] if i % 2 else F.lit(p) for i, p in enumerate(parts)))
+
+
+def apply_budget(sessions: DataFrame, budget: int, note: str = NOTE, omitted: str = OMITTED, cut_off: str = CUT) -> DataFrame:
     """Trim a session's sources from the last one on until answer and sources fit the budget.
 
     sessions: session_id, answer, sources (array of structs of SOURCE in order).  Returns session_id,
@@ -50,7 +63,7 @@ def apply_budget(sessions: DataFrame, budget: int) -> DataFrame:
     omission note takes its place.  Then whole sources go from the end, at least one stays.
     """
     weight = lambda s: source_weight(*(s[c] for c in SOURCE)).cast("long")
-    tail = lambda s, i: F.concat(F.lit(" use web_fetch on "), F.coalesce(s["url"], F.lit("")), F.lit(" or get_sources session="), F.col("session_id"), F.lit(" offset="), i.cast("string"), F.lit(" limit=1]"))
+    say = lambda what, s, i: _note(note, what=F.lit(what), url=F.coalesce(s["url"], F.lit("")), session=F.col("session_id"), index=i.cast("string"))
     total = F.char_length(F.coalesce(F.col("answer"), F.lit(""))).cast("long") + F.aggregate("sources", F.lit(0).cast("long"), lambda a, s: a + weight(s))
     start = sessions.withColumn("total", total).withColumn("truncated", F.col("total") > budget)
     indexed = F.reverse(F.transform("sources", lambda s, i: F.struct(s.alias("s"), i.alias("i"))))
@@ -61,7 +74,7 @@ def apply_budget(sessions: DataFrame, budget: int) -> DataFrame:
     def trim(a: Column, x: Column) -> Column:
         s, i = x["s"], x["i"]
         length = F.coalesce(F.char_length(s["content"]), F.lit(0)).cast("long")
-        omit, cut = F.concat(F.lit("[omitted:"), tail(s, i)), F.concat(F.lit("[trimmed:"), tail(s, i))
+        omit, cut = say(omitted, s, i), say(cut_off, s, i)
         over = a["total"] - budget
         fits = length > over + F.char_length(cut) + 2
         shorter = F.concat(F.left(s["content"], (length - over - F.char_length(cut) - 2).cast("int")), F.lit("\n\n"), cut)

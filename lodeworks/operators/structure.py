@@ -7,9 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodeworks.functions.text import ascii_lower, normalize_title
+from lodeworks.functions.text import ascii_lower, squeeze
 
-# Points of identifiers and sources, heading words.
+# Points of identifiers and sources, signs of a known venue, heading words.
+KNOWN_VENUES = ["arxiv", "neural information processing", "conference", "journal"]
 SOURCE_POINTS = {"semantic": 900, "arxiv": 800, "dblp": 700, "openalex": 250, "crossref": 150}
 HEADINGS = ["abstract", "introduction", "related work", "background", "method", "methods", "approach", "experiments", "results", "discussion", "conclusion", "references", "acknowledgments", "acknowledgements", "appendix"]
 
@@ -26,7 +27,8 @@ def canonical_score(exact: Column, doi: Column, arxiv: Column, semantic: Column,
     of_source = lambda s: reduce(lambda e, kv: e.when(s == kv[0], kv[1]), SOURCE_POINTS.items(), F.when(F.lit(False), 0)).otherwise(0)
     by_source = F.least(F.aggregate(sources, F.lit(0), lambda a, s: a + of_source(s)), F.lit(2400))
     authors = F.least(n_authors, F.lit(8)) * 25
-    venues = F.when(venue.isNull(), 0).when(F.trim(venue) == "", 0).when(ascii_lower(venue).contains("arxiv"), 120).otherwise(250)
+    known = reduce(lambda a, b: a | b, (ascii_lower(venue).contains(v) for v in KNOWN_VENUES))
+    venues = F.when(venue.isNull(), 0).when(known, 250).otherwise(120)
     years = F.when(year.isNull(), 50).when(year.between(1900, 2026), 200).otherwise(0)
     c = F.least(F.coalesce(citations, F.lit(0)), F.lit(100_000)).cast("long")
     cited = F.when(c == 0, 0).otherwise((F.char_length(c.cast("string")) - 1) * 120 + F.floor(F.least(c, F.lit(10_000)) / 20))
@@ -36,27 +38,28 @@ def canonical_score(exact: Column, doi: Column, arxiv: Column, semantic: Column,
 def is_heading(line: Column) -> Column:
     bare = F.trim(F.regexp_replace(F.trim(line), r"^#+\s*", ""))
     low = ascii_lower(bare)
-    barred = bare.contains("http://") | bare.contains("@") | low.rlike(r"^(fig\.|figure|table|equation|doi)")
+    barred = bare.contains("http://") | bare.contains("@") | low.rlike(r"^(fig\.|figure |table |equation |doi)")
     return (F.char_length(bare).between(1, 120)) & ~barred & (low.isin(*HEADINGS) | bare.rlike("^[0-9]"))
 
 
 def heading_level(line: Column) -> Column:
-    n = F.char_length(F.regexp_extract(F.trim(line), r"^(#*)", 1))
+    n = F.char_length(F.regexp_extract(line, r"^(#*)", 1))
     return F.when(n == 0, 1).otherwise(F.least(n, F.lit(6)))
 
 
 def section_id(number: Column, heading: Column) -> Column:
-    slug = F.left(F.regexp_replace(F.regexp_replace(ascii_lower(heading), "[^a-z0-9]+", "-"), "^-+|-+$", ""), F.lit(36))
+    """Numbers count from 0; other characters than letters and digits become one underscore."""
+    slug = F.left(F.regexp_replace(F.regexp_replace(ascii_lower(heading), "[^a-z0-9]+", "_"), "^_+|_+$", ""), F.lit(36))
     return F.format_string("sec_%03d_%s", number, slug)
 
 
 def credible_sections(candidates: DataFrame, anchors: DataFrame) -> DataFrame:
     """candidates (doc_id, seq, heading, anchor_id, confidence) with a known anchor, confidence 0.5 or more and
-    a heading's look; the first of each normalised heading, by place; with section ids."""
+    a heading's look; the first of each heading (lower case, squeezed, without hashes), by place; with section ids."""
     known = candidates.join(anchors.select("doc_id", "anchor_id", "byte_start"), ["doc_id", "anchor_id"]).where((F.col("confidence") >= 0.5) & is_heading(F.col("heading")))
-    norm = known.withColumn("norm", normalize_title(F.col("heading")))
+    norm = known.withColumn("norm", squeeze(ascii_lower(F.regexp_replace("heading", "^#+", ""))))
     first = norm.withColumn("k", F.row_number().over(Window.partitionBy("doc_id", "norm").orderBy("seq"))).where("k = 1")
-    numbered = first.withColumn("number", F.row_number().over(Window.partitionBy("doc_id").orderBy("byte_start", "seq")))
+    numbered = first.withColumn("number", F.row_number().over(Window.partitionBy("doc_id").orderBy("byte_start", "seq")) - 1)
     return numbered.select("doc_id", section_id(F.col("number"), F.col("heading")).alias("section_id"), "heading", heading_level(F.col("heading")).alias("level"), "byte_start")
 
 

@@ -10,7 +10,7 @@ from lodeworks.operators import structure as S
 from lodeworks.plans.registry import query
 from lodeworks.sources.tables import values
 
-TABLES = ["[['a','b'],['1','2'],['3','4']]", "[['a']]", "[['a','b'],['','']]", "[['a','b','c'],['1',''],['2','3','4']]", "[['x','y','z','w']]", "[['a','b'],['1',''],['2',''],['3',''],['4','']]", "[['p|q','r'],['s','t']]"]
+TABLES = ["[['a','b'],['1','2'],['3','4']]", "[['a']]", "[['a','b'],['','']]", "[['a','b','c'],['1',''],['2','3','4']]", "[['x','y','z','w']]", "[['a','b'],['1',''],['2',''],['3',''],['4','']]", "[['p|q','r'],['s','t']]", str([["one long line of prose that is no cell at all", "7"]] * 5 + [["short", "8"]] * 4).replace(", ", ","), str([["one long line of prose that is no cell at all", "7"]] * 4 + [["short", "8"]] * 5).replace(", ", ",")]
 TABLE_ROWS = ", ".join(f"({i}, {t.replace('[', 'array(').replace(']', ')')})" for i, t in enumerate(TABLES))
 SQL_TABLES = ", ".join(f"({i}, {t})" for i, t in enumerate(TABLES))
 SQL_STATS = f"s AS (SELECT id, t, len(t)::INT AS rows, coalesce(list_max(list_transform(t, lambda r: len(r))), 0)::INT AS cols, coalesce(list_sum(list_transform(t, lambda r: len(list_filter(r, lambda c: trim(c) <> '')))), 0)::INT AS filled, coalesce(list_sum(list_transform(t, lambda r: len(r))), 0)::INT AS cells, len(list_filter(t, lambda r: len(list_filter(r, lambda c: trim(c) <> '')) >= 2)) AS rich FROM (VALUES {SQL_TABLES}) v(id, t)), g AS (SELECT *, CASE WHEN cells = 0 THEN 1.0 ELSE 1 - filled::DOUBLE / cells END AS empty_ratio, rows >= 2 AND cols >= 2 AND rich * 2 >= rows AS real_grid FROM s)"
@@ -23,11 +23,11 @@ def table_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "e12_table_filter_reason",
-    f"WITH {SQL_STATS} SELECT id, CASE WHEN cols < 2 THEN 'too_few_columns' WHEN filled < 4 THEN 'too_few_cells' WHEN rows < 2 THEN 'single_row' WHEN empty_ratio >= 0.5 THEN 'sparse' WHEN NOT real_grid THEN 'not_real_grid' END AS reason, round(0.45 * (1 - empty_ratio) + 0.2 * least(rows, 6) / 6.0 + 0.2 * least(cols, 6) / 6.0 + CASE WHEN real_grid THEN 0.15 ELSE 0 END, 6)::DOUBLE AS quality FROM g",
+    f"WITH {SQL_STATS} SELECT id, CASE WHEN cols < 2 THEN 'too_few_columns' WHEN filled < 4 THEN 'too_few_cells' WHEN rows < 2 THEN 'single_row' WHEN empty_ratio >= 0.5 THEN 'sparse' WHEN NOT real_grid THEN 'not_real_grid' WHEN cols = 2 AND rows >= 8 AND 2 * len(list_filter(t, lambda r: len(regexp_extract_all(r[1], '\\S+')) >= 8 AND len(regexp_extract_all(coalesce(r[2], ''), '\\S+')) <= 4)) >= rows THEN 'text_flow_fallback' END AS reason, round(0.45 * (1 - empty_ratio) + 0.2 * least(rows, 6) / 6.0 + 0.2 * least(cols, 6) / 6.0 + CASE WHEN real_grid THEN 0.15 ELSE 0 END, 6)::DOUBLE AS quality FROM g",
 )
 def table_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = A.table_stats(F.col("t"))
-    return values(spark, TABLE_ROWS, "id, t").select("id", A.table_filter_reason(s).alias("reason"), F.round(A.table_quality(s), 6).alias("quality"))
+    return values(spark, TABLE_ROWS, "id, t").select("id", A.table_filter_reason(s, F.col("t")).alias("reason"), F.round(A.table_quality(s), 6).alias("quality"))
 
 
 @query("l3_table_markdown")
@@ -35,12 +35,12 @@ def table_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return values(spark, TABLE_ROWS, "id, t").select("id", A.table_markdown(F.col("t")).alias("markdown"))
 
 
-IMAGES = "(1, 1, 0, 400, 300, 100.0, 80.0), (1, 1, 1, 100, 100, NULL, NULL), (1, 1, 2, 400, 400, 50.0, 30.0), (1, 2, 0, 300, 200, 20.0, 20.0), (1, 2, 1, 60, 60, 200.0, 100.0), (2, 1, 0, 250, 250, NULL, NULL)"
+IMAGES = "(3, 1, 0, 120, 100, NULL, NULL), (3, 1, 1, 119, 100, NULL, NULL), (1, 1, 0, 400, 300, 100.0, 80.0), (1, 1, 1, 100, 100, NULL, NULL), (1, 1, 2, 400, 400, 50.0, 30.0), (1, 2, 0, 300, 200, 20.0, 20.0), (1, 2, 1, 60, 60, 200.0, 100.0), (2, 1, 0, 250, 250, NULL, NULL)"
 IMAGE_COLUMNS = "doc_id, page, image_index, width, height, box_width, box_height"
 SQL_IMAGES = f"v AS (SELECT * FROM (VALUES {IMAGES}) v({IMAGE_COLUMNS}))"
 
 
-@query("e13_image_filter_reason", f"WITH {SQL_IMAGES} SELECT doc_id, page, image_index, CASE WHEN width * height < 50000 THEN 'tiny_pixels' WHEN box_width IS NOT NULL AND box_width * box_height < 3000 AND NOT (box_width >= 60 AND box_height >= 40) THEN 'tiny_box' END AS reason FROM v")
+@query("e13_image_filter_reason", f"WITH {SQL_IMAGES} SELECT doc_id, page, image_index, CASE WHEN width * height < 50000 THEN 'tiny_pixel' WHEN box_width IS NOT NULL AND box_width * box_height < 3000 AND NOT (box_width >= 60 AND box_height >= 40) THEN 'small_bbox' END AS reason FROM v")
 def image_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
     return values(spark, IMAGES, IMAGE_COLUMNS).select("doc_id", "page", "image_index", A.image_filter_reason(*(F.col(c) for c in ("width", "height", "box_width", "box_height"))).alias("reason"))
 
@@ -50,7 +50,7 @@ def image_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.image_order(values(spark, IMAGES, IMAGE_COLUMNS), ["doc_id", "page"]).select("doc_id", "page", "image_index", "n")
 
 
-@query("l5_image_signals", f"WITH {SQL_IMAGES} SELECT doc_id, page, count(*) AS images, count(*) FILTER (width * height >= 20000 OR coalesce(box_width * box_height, 0) >= 12000) AS large, count(*) FILTER (width * height < 4096 OR coalesce(box_width * box_height, 2500) < 2500) AS tiny FROM v GROUP BY 1, 2")
+@query("l5_image_signals", f"WITH {SQL_IMAGES} SELECT doc_id, page, count(*) AS images, count(*) FILTER (width * height >= 20000 OR coalesce(box_width * box_height, width * height) >= 12000) AS large, count(*) FILTER (width * height < 4096 OR coalesce(box_width * box_height, width * height) < 2500) AS tiny FROM v GROUP BY 1, 2")
 def image_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.image_signals(values(spark, IMAGES, IMAGE_COLUMNS), ["doc_id", "page"])
 
@@ -63,18 +63,27 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.manifest_totals(values(spark, MANIFEST, "doc_id, page, status"), "doc_id", "page")
 
 
-BOXES = "(1, 1, 0, 0.0, 0.0, 10.0, 10.0), (1, 1, 1, 30.0, 0.0, 10.0, 10.0), (1, 1, 2, 200.0, 200.0, 5.0, 5.0), (1, 2, 0, 0.0, 0.0, 1.0, 1.0)"
+BOXES = "(1, 1, 0, 10, 10, 30.0, 0.0, 10.0, 10.0), (1, 1, 1, 10, 10, 0.0, 0.0, 10.0, 10.0), (1, 1, 2, 10, 10, 200.0, 200.0, 5.0, 5.0), (1, 1, 3, 900, 900, 45.0, 0.0, 90.0, 90.0), (1, 1, 4, 900, 900, 20.0, 30.0, 20.0, 20.0), (1, 2, 0, 10, 10, 0.0, 0.0, 1.0, 1.0), (1, 2, 1, 10, 10, NULL, NULL, NULL, NULL), (2, 1, 0, 10, 10, 0.0, 100.0, 5.0, 5.0), (2, 1, 1, 10, 10, 41.0, 99.0, 5.0, 5.0), (2, 1, 2, 10, 10, 82.1, 99.5, 5.0, 5.0)"
+BOX_COLUMNS = "doc_id, page, image_index, width, height, x, y, w, h"
 
 
-@query("l10_union_box", f"SELECT doc_id, page, min(x)::DOUBLE AS x, min(y)::DOUBLE AS y, max(x + w)::DOUBLE AS \"right\", max(y + h)::DOUBLE AS bottom FROM (VALUES {BOXES}) v(doc_id, page, image_index, x, y, w, h) GROUP BY 1, 2")
+@query("l10_union_box", f"SELECT doc_id, page, min(x)::DOUBLE AS x, min(y)::DOUBLE AS y, max(x + w)::DOUBLE AS \"right\", max(y + h)::DOUBLE AS bottom FROM (VALUES {BOXES}) v({BOX_COLUMNS}) GROUP BY 1, 2")
 def union_box(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.union_box(values(spark, BOXES, "doc_id, page, image_index, x, y, w, h"), ["doc_id", "page"]).select("doc_id", "page", *(F.col(c).cast("double").alias(c) for c in ("x", "y", "right", "bottom")))
+    return A.union_box(values(spark, BOXES, BOX_COLUMNS), ["doc_id", "page"]).select("doc_id", "page", *(F.col(c).cast("double").alias(c) for c in ("x", "y", "right", "bottom")))
 
 
-@query("g10_group_boxes")
+#: A fold along a page's rejected boxes, from top to bottom.
+SQL_GROUPS = f"""WITH b AS (SELECT doc_id, page, list({{'x': x::DOUBLE, 'y': y::DOUBLE, 'r': (x + w)::DOUBLE, 'b': (y + h)::DOUBLE, 'n': 1}} ORDER BY y, x) AS l FROM (VALUES {BOXES}) v({BOX_COLUMNS}) WHERE x IS NOT NULL AND (width * height < 50000 OR (w * h < 3000 AND NOT (w >= 60 AND h >= 40))) GROUP BY 1, 2),
+g AS (SELECT doc_id, page, list_reduce(list_transform(l, lambda e: [e]), lambda a, e: CASE WHEN e[1].x <= a[-1].r + 36 AND e[1].r >= a[-1].x - 36 AND e[1].y <= a[-1].b + 36 AND e[1].b >= a[-1].y - 36
+  THEN list_append(a[:-2], {{'x': least(a[-1].x, e[1].x), 'y': least(a[-1].y, e[1].y), 'r': greatest(a[-1].r, e[1].r), 'b': greatest(a[-1].b, e[1].b), 'n': a[-1].n + 1}}) ELSE list_concat(a, e) END) AS l FROM b),
+m AS (SELECT doc_id, page, list_filter(l, lambda e: e.n >= 2) AS l FROM g)
+SELECT doc_id::BIGINT AS doc_id, page, generate_subscripts(l, 1)::INT AS "group", unnest(l).n AS members, unnest(l).x AS x, unnest(l).y AS y, unnest(l).r AS "right", unnest(l).b AS bottom FROM m"""
+
+
+@query("g10_group_boxes", SQL_GROUPS)
 def group_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = values(spark, BOXES, "doc_id, page, image_index, x, y, w, h")
-    return A.group_boxes(b.select(F.col("doc_id").cast("long"), F.col("page").cast("int"), "image_index", *(F.col(c).cast("double") for c in "xywh")))
+    b = values(spark, BOXES, BOX_COLUMNS)
+    return A.group_boxes(b.select(F.col("doc_id").cast("long"), F.col("page").cast("int"), "image_index", "width", "height", *(F.col(c).cast("double") for c in "xywh")))
 
 
 MARKDOWN = ["| a | b |\n| --- | :-: |\n| 1 | 2 |\n| 3 | 4 |\ntext\n| --- | --- |\n| x | y |\n| z | w |", "| h |\n| x |\n|---|\n| y |", "no table", "| a | b |\n|---|---|"]
@@ -93,14 +102,20 @@ def markdown_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.markdown_tables(values(spark, MARKDOWN_ROWS, "doc_id, page, text"))
 
 
-PAGES = "(1, 1, 0, 0, 0, 0, 0, 0), (1, 2, 1, 0, 0, 0, 2, 0), (1, 3, 1, 0, 1, 0, 1, 0), (1, 4, 0, 1, 0, 5, 6, 0), (1, 5, 0, 2, 1, 0, 1, 3), (1, 6, 0, 0, 1, 0, 1, 0)"
+PAGES = "(1, 1, 0, 0, 0, 0, 0, 0), (1, 2, 1, 0, 0, 0, 2, 0), (1, 3, 1, 0, 1, 0, 1, 0), (1, 4, 0, 1, 0, 5, 6, 0), (1, 5, 0, 2, 1, 0, 1, 3), (1, 6, 0, 0, 1, 0, 1, 0), (2, 1, 0, 0, 0, 3, 3, 1), (2, 2, 0, 0, 0, 0, 0, 2), (2, 3, 1, 1, 2, 5, 7, 0), (2, 4, 0, 0, 1, 4, 5, 0), (2, 5, 0, 0, 0, 2, 2, 0)"
 PAGE_COLUMNS = "doc_id, page, figure_captions, table_captions, large_images, tiny_images, images, tables"
+#: Each rule with its condition; base: nothing else holds.
+SQL_TRIAGE = f"""r AS (SELECT *, figure_captions > 0 AND large_images = 0 AS a, table_captions > 0 AND tables = 0 AS b, table_captions > 0 AND tables > 0 AS c, tiny_images >= 3 AND large_images = 0 AS d, tiny_images >= 5 AND NOT (tiny_images >= 3 AND large_images = 0) AS e, figure_captions > 0 AND large_images > 0 AS f FROM (VALUES {PAGES}) v({PAGE_COLUMNS})),
+p AS (SELECT *, 80 * a::INT + 65 * b::INT + 55 * c::INT + 70 * d::INT + 45 * e::INT + 25 * f::INT + CASE WHEN NOT (a OR b OR c OR d OR e OR f) AND tables > 0 THEN 1 ELSE 0 END AS priority,
+  concat_ws(',', CASE WHEN a THEN 'figure_caption_without_large_bitmap' END, CASE WHEN b THEN 'table_caption_without_geometry_table' END, CASE WHEN c THEN 'table_geometry_needs_visual_check' END, CASE WHEN d THEN 'fragmented_image_components' END, CASE WHEN e THEN 'many_tiny_image_xobjects' END, CASE WHEN f THEN 'figure_caption_with_bitmap_verify' END, CASE WHEN NOT (a OR b OR c OR d OR e OR f) AND tables > 0 THEN 'baseline_table_sample' END) AS reasons FROM r)"""
 
 
-@query(
-    "d15_page_priority",
-    f"WITH p AS (SELECT *, CASE WHEN figure_captions > 0 AND large_images = 0 THEN 80 ELSE 0 END + CASE WHEN figure_captions > 0 AND large_images > 0 THEN 65 ELSE 0 END + CASE WHEN tiny_images >= 4 THEN 55 ELSE 0 END + CASE WHEN table_captions > 0 AND tables = 0 THEN 70 ELSE 0 END + CASE WHEN table_captions > 0 AND tables > 0 THEN 45 ELSE 0 END + CASE WHEN figure_captions = 0 AND large_images > 0 THEN 25 ELSE 0 END + (images > 0)::INT AS priority FROM (VALUES {PAGES}) v({PAGE_COLUMNS})) SELECT doc_id, page, priority, row_number() OVER (PARTITION BY doc_id ORDER BY priority DESC, page)::INT AS rank FROM p WHERE priority > 0 QUALIFY rank <= 4",
-)
+@query("d14_triage", f"WITH {SQL_TRIAGE} SELECT doc_id, page, priority, reasons FROM p")
+def triage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.page_priority(values(spark, PAGES, PAGE_COLUMNS)).select("doc_id", "page", "priority", "reasons")
+
+
+@query("d15_page_priority", f"WITH {SQL_TRIAGE} SELECT doc_id, page, priority, row_number() OVER (PARTITION BY doc_id ORDER BY priority DESC, page)::INT AS rank FROM p WHERE priority > 0 QUALIFY rank <= 4")
 def page_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodeworks.operators.ranking import top_k
 
@@ -108,14 +123,14 @@ def page_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(rows, "doc_id", [F.desc("priority"), F.col("page")], 4)
 
 
-RECORDS = "(1, true, '10.1/a', NULL, 's', NULL, array('semantic', 'dblp'), 3, 'NeurIPS', 2020, 1234), (2, false, '10.65215/x', NULL, NULL, 'W1', array('openalex'), 12, NULL, NULL, NULL), (3, true, '10.1/b', NULL, NULL, NULL, array('crossref', 'openalex'), 1, NULL, 1850, 7), (4, false, NULL, '1', NULL, NULL, array('arxiv', 'semantic', 'dblp', 'openalex'), 0, 'arXiv', 2026, 200000)"
+RECORDS = "(1, true, '10.1/a', NULL, 's', NULL, array('semantic', 'dblp'), 3, 'NeurIPS', 2020, 1234), (2, false, '10.65215/x', NULL, NULL, 'W1', array('openalex'), 12, NULL, NULL, NULL), (3, true, '10.1/b', NULL, NULL, NULL, array('crossref', 'openalex'), 1, NULL, 1850, 7), (4, false, NULL, '1', NULL, NULL, array('arxiv', 'semantic', 'dblp', 'openalex'), 0, 'arXiv', 2026, 200000), (5, false, NULL, NULL, 's', NULL, array('dblp'), 2, '', 2000, 1), (6, false, NULL, NULL, 's', NULL, array('dblp'), 2, 'Some Conference', 2000, 1), (7, false, NULL, NULL, 's', NULL, array('dblp'), 2, 'Advances in NEURAL Information Processing Systems', 1899, 10)"
 RECORD_COLUMNS = "id, exact, doi, arxiv, semantic, openalex, sources, n_authors, venue, year, citations"
 
 
 @query(
     "d7_canonical_score",
     f"""WITH v AS (SELECT *, least(coalesce(citations, 0), 100000) AS c FROM (VALUES {RECORDS.replace("array(", "list_value(")}) v({RECORD_COLUMNS})), x AS (SELECT *, doi IS NOT NULL AND (coalesce(contains(doi, '10.65215'), false) OR (len(list_filter(sources, lambda s: s NOT IN ('crossref', 'openalex', 'openalex_reference'))) = 0 AND semantic IS NULL AND arxiv IS NULL AND venue IS NULL)) AS bad FROM v)
-SELECT id, (CASE WHEN exact THEN 10000 ELSE 0 END + (semantic IS NOT NULL)::INT * 2000 + (arxiv IS NOT NULL)::INT * 1600 + CASE WHEN doi IS NULL THEN 0 WHEN bad THEN 100 ELSE 700 END + (openalex IS NOT NULL)::INT * 300 + least(list_sum(list_transform(sources, lambda s: CASE s WHEN 'semantic' THEN 900 WHEN 'arxiv' THEN 800 WHEN 'dblp' THEN 700 WHEN 'openalex' THEN 250 WHEN 'crossref' THEN 150 ELSE 0 END)), 2400) + least(n_authors, 8) * 25 + CASE WHEN venue IS NULL THEN 0 WHEN contains(lower(venue), 'arxiv') THEN 120 ELSE 250 END + CASE WHEN year IS NULL THEN 50 WHEN year BETWEEN 1900 AND 2026 THEN 200 ELSE 0 END + CASE WHEN c = 0 THEN 0 ELSE (length(c::VARCHAR) - 1) * 120 + least(c, 10000) // 20 END)::BIGINT AS score FROM x""",
+SELECT id, (CASE WHEN exact THEN 10000 ELSE 0 END + (semantic IS NOT NULL)::INT * 2000 + (arxiv IS NOT NULL)::INT * 1600 + CASE WHEN doi IS NULL THEN 0 WHEN bad THEN 100 ELSE 700 END + (openalex IS NOT NULL)::INT * 300 + least(list_sum(list_transform(sources, lambda s: CASE s WHEN 'semantic' THEN 900 WHEN 'arxiv' THEN 800 WHEN 'dblp' THEN 700 WHEN 'openalex' THEN 250 WHEN 'crossref' THEN 150 ELSE 0 END)), 2400) + least(n_authors, 8) * 25 + CASE WHEN venue IS NULL THEN 0 WHEN regexp_matches(lower(venue), 'arxiv|neural information processing|conference|journal') THEN 250 ELSE 120 END + CASE WHEN year IS NULL THEN 50 WHEN year BETWEEN 1900 AND 2026 THEN 200 ELSE 0 END + CASE WHEN c = 0 THEN 0 ELSE (length(c::VARCHAR) - 1) * 120 + least(c, 10000) // 20 END)::BIGINT AS score FROM x""",
 )
 def canonical_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = values(spark, RECORDS, RECORD_COLUMNS)
@@ -145,11 +160,17 @@ def first_available(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", S.first_available(a, F.col("html")).alias("content"))
 
 
-CANDIDATES = "(1, 0, 'Abstract', 'x1', 0.9), (1, 1, '## 1 Intro', 'x2', 0.6), (1, 2, 'abstract', 'x3', 0.9), (1, 3, 'Results', 'x4', 0.4), (1, 4, 'Method', 'x9', 0.9), (1, 5, 'Figure 2', 'x5', 0.9), (1, 6, 'Conclusion', 'x0', 0.5)"
+CANDIDATES = "(1, 0, 'Abstract', 'x1', 0.9), (1, 1, '## 1 Intro', 'x2', 0.6), (1, 2, 'abstract', 'x3', 0.9), (1, 3, 'Results', 'x4', 0.4), (1, 4, 'Method', 'x9', 0.9), (1, 5, 'Figure 2', 'x5', 0.9), (1, 6, 'Conclusion', 'x0', 0.5), (1, 7, '#  Abstract', 'x4', 0.9), (1, 8, '2. Intro', 'x4', 0.7), (1, 9, '2 intro', 'x3', 0.7), (1, 10, 'tables', 'x3', 0.7), (1, 11, '3 A/B  test: (naïve)', 'x5', 1.0)"
 ANCHORS = "(1, 'x0', 5), (1, 'x1', 10), (1, 'x2', 20), (1, 'x3', 30), (1, 'x4', 40), (1, 'x5', 50)"
 
 
-@query("e14_credible_sections", "SELECT * FROM (VALUES (1, 'sec_001_conclusion', 'Conclusion', 1, 5), (1, 'sec_002_abstract', 'Abstract', 1, 10), (1, 'sec_003_1-intro', '## 1 Intro', 2, 20)) v(doc_id, section_id, heading, level, byte_start)")
+@query(
+    "e14_credible_sections",
+    f"""WITH k AS (SELECT c.*, a.byte_start, trim(regexp_replace(trim(heading), '^#+', '')) AS bare, lower(trim(regexp_replace(regexp_replace(heading, '^#+', ''), '\\s+', ' ', 'g'))) AS norm FROM (VALUES {CANDIDATES}) c(doc_id, seq, heading, anchor_id, confidence) JOIN (VALUES {ANCHORS}) a(doc_id, anchor_id, byte_start) USING (doc_id, anchor_id)),
+f AS (SELECT * FROM k WHERE confidence >= 0.5 AND length(bare) <= 120 AND NOT contains(bare, 'http://') AND NOT contains(bare, '@') AND NOT regexp_matches(lower(bare), '^(fig\\.|figure |table |equation |doi)') AND (lower(bare) IN ('abstract', 'introduction', 'related work', 'background', 'method', 'methods', 'approach', 'experiments', 'results', 'discussion', 'conclusion', 'references', 'acknowledgements', 'acknowledgments', 'appendix') OR regexp_matches(bare, '^[0-9]')) QUALIFY row_number() OVER (PARTITION BY doc_id, norm ORDER BY seq) = 1),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY byte_start, seq) - 1 AS i FROM f)
+SELECT doc_id, 'sec_' || lpad(i::VARCHAR, 3, '0') || '_' || left(regexp_replace(regexp_replace(lower(heading), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 36) AS section_id, heading, CASE WHEN heading LIKE '#%' THEN least(length(regexp_extract(heading, '^#+')), 6) ELSE 1 END::INT AS level, byte_start FROM n""",
+)
 def credible_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.credible_sections(values(spark, CANDIDATES, "doc_id, seq, heading, anchor_id, confidence"), values(spark, ANCHORS, "doc_id, anchor_id, byte_start"))
 

@@ -181,17 +181,16 @@ def paper_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("query_id", "list_no", "position", paper_key(*(F.col(c) for c in ("doi", "arxiv", "semantic", "openalex")), T.normalize_title(F.col("title")), F.col("year")).alias("key"))
 
 
-IDENTIFIERS = ["10.1000/xyz", "doi:10.1000/xyz", "DOI: 10.48550/arXiv.1706.03762", "https://arxiv.org/abs/1706.03762", "https://arxiv.org/pdf/1706.03762.pdf", "https://openalex.org/W123", "https://dblp.org/rec/x", "https://example.com/a", "1706.03762", "W42", "W", "0123456789abcdef0123456789abcdef", "attention is all you need", " 2101.0001 ", "BERT: pre-training"]
+IDENTIFIERS = ["10.5555/lode.17", "doi:10.5555/lode.17", "DOI: 10.48550/arXiv.2301.04567", "10.48550/arxiv.2301.04567.pdf", "doi:lode", "https://arxiv.org/abs/2301.04567v2", "http://export.arxiv.org/pdf/2301.04567.pdf?x=1", "https://arxiv.org/list/abs/2301", "https://openalex.org/W77", "https://dblp.org/rec/lode", "https://lode.example/a", "2301.04567", "2301.04567.pdf", "W77", "W", "fedcba9876543210fedcba9876543210", "ore bodies in old mines", " 2301.0456 ", "LODE: a survey", "2301.045", "arxiv:2301.04567"]
 IDENTIFIER_ROWS = ", ".join(f"({i}, '{x}')" for i, x in enumerate(IDENTIFIERS))
 
 
 @query(
     "s2_identifier_classify",
-    f"""WITH v AS (SELECT id, regexp_replace(trim(raw), '^(?i:doi:)\\s*', '') AS b FROM (VALUES {IDENTIFIER_ROWS}) v(id, raw)), w AS (
-  SELECT *, regexp_replace(regexp_extract(b, '^10\\.48550/(?:arXiv|arxiv)\\.(.*)$', 1), '\\.pdf$', '') AS u, lower(regexp_extract(b, '^https?://([^/?#:]*)', 1)) AS host, regexp_replace(regexp_extract(b, '/(?:abs|pdf)/([^?#]+)', 1), '\\.pdf$', '') AS p FROM v),
-x AS (SELECT *, '^[0-9]{{4}}\\.[^.]{{4,}}(\\..*)?$' AS shape, regexp_matches(b, '^[A-Za-z][A-Za-z0-9+.-]*:') AS is_url FROM w)
-SELECT id, CASE WHEN regexp_matches(u, shape) THEN 'arxiv' WHEN b LIKE '10.%' THEN 'doi' WHEN is_url AND suffix(host, 'arxiv.org') AND p <> '' THEN 'arxiv' WHEN is_url AND suffix(host, 'openalex.org') THEN 'openalex' WHEN is_url AND suffix(host, 'dblp.org') THEN 'dblp' WHEN is_url THEN 'url' WHEN regexp_matches(b, shape) THEN 'arxiv' WHEN regexp_matches(b, '^W[0-9]*$') THEN 'openalex' WHEN regexp_matches(b, '^[0-9A-Fa-f]{{32,}}$') THEN 'semantic' ELSE 'query' END AS kind,
-CASE WHEN regexp_matches(u, shape) THEN u WHEN b LIKE '10.%' THEN b WHEN is_url AND suffix(host, 'arxiv.org') AND p <> '' THEN p ELSE b END AS value FROM x""",
+    f"""WITH v AS (SELECT id, trim(raw) AS t, trim(regexp_replace(trim(raw), '^(?i:doi:)', '')) AS b FROM (VALUES {IDENTIFIER_ROWS}) v(id, raw)),
+w AS (SELECT *, regexp_replace(trim(regexp_extract(b, '^10\\.48550/(?:arXiv|arxiv)\\.(.*)$', 1)), '(\\.pdf)+$', '') AS u, lower(regexp_extract(t, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)) AS host, regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') AS is_url, '^[0-9]{{4}}\\.[^.]{{4,}}(\\..*)?$' AS shape, '^[A-Za-z]+://[^/?#]*/(?:abs|pdf)/([^?#]*)' AS path FROM v),
+k AS (SELECT *, CASE WHEN regexp_matches(u, shape) THEN 'arxiv of doi' WHEN b LIKE '10.%' THEN 'doi' WHEN is_url AND suffix(host, 'arxiv.org') AND regexp_matches(t, path) THEN 'arxiv of url' WHEN is_url AND suffix(host, 'openalex.org') THEN 'openalex' WHEN is_url AND suffix(host, 'dblp.org') THEN 'dblp' WHEN is_url THEN 'url' WHEN regexp_matches(regexp_replace(t, '\\.pdf$', ''), shape) THEN 'arxiv' WHEN regexp_matches(t, '^W[0-9]*$') THEN 'openalex' WHEN regexp_matches(t, '^[0-9A-Fa-f]{{32,}}$') THEN 'semantic' ELSE 'query' END AS rule FROM w)
+SELECT id, regexp_extract(rule, '^\\w+') AS kind, CASE rule WHEN 'arxiv of doi' THEN u WHEN 'doi' THEN b WHEN 'arxiv of url' THEN regexp_replace(regexp_extract(t, path, 1), '\\.pdf$', '') ELSE t END AS value FROM k""",
 )
 def identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodeworks.functions.identifiers import classify_identifier

@@ -17,13 +17,13 @@ def _rows(items: list[str]) -> str:
     return ", ".join(f"({i}, '{x}')" for i, x in enumerate(items))
 
 
-POLICY = ["http://8.8.8.8/x", "https://10.0.0.1", "http://127.0.0.1:80/", "http://172.20.1.1/", "http://172.32.1.1/", "http://192.168.1.5", "http://169.254.1.1", "http://224.0.0.1", "http://localhost/a", "http://a.localhost", "https://example.com", "ftp://example.com", "http://[::1]/", "http://[2001:db8::1]/", "http://[fe80::1]/", "http://u@100.64.0.1/"]
+POLICY = ["http://9.9.9.9/x", "https://10.20.30.40", "http://127.8.0.1:80/", "http://172.16.0.9/", "http://172.15.0.9/", "http://192.168.77.5", "http://169.254.9.9", "http://239.1.2.3", "http://0.1.2.3/", "http://localhost/a", "http://lode.localhost.", "http://localhost./", "https://lode.example", "ftp://lode.example", "http://[::1]/", "http://[2001:db8::7]/", "http://[fe90::7]/", "http://[fd12::7]/", "http://[ff02::1]/", "http://u@100.70.0.7/", "http://10.0.0.7./", "HTTPS://lode.example"]
 
 
 @query(
     "e9_public_url",
-    f"""WITH v AS (SELECT id, lower(regexp_extract(url, '^https?://(?:[^/?#@]*@)?(\\[[^\\]]*\\]|[^/?#:]*)', 1)) AS h FROM (VALUES {_rows(POLICY)}) v(id, url)), o AS (SELECT *, try_cast(split_part(h, '.', 1) AS INT) AS a, try_cast(split_part(h, '.', 2) AS INT) AS b FROM v)
-SELECT id, CASE WHEN h = '' THEN false WHEN regexp_matches(h, '^[0-9]{{1,3}}(\\.[0-9]{{1,3}}){{3}}$') THEN NOT (a IN (10, 127, 0) OR a >= 224 OR (a = 169 AND b = 254) OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) OR (a = 100 AND b BETWEEN 64 AND 127)) WHEN h LIKE '[%' THEN NOT regexp_matches(h, '^\\[(::1?|f[cd].*|fe[89ab].*|ff.*)\\]$') ELSE h <> 'localhost' AND NOT suffix(h, '.localhost') END AS public FROM o""",
+    f"""WITH v AS (SELECT id, regexp_replace(lower(regexp_extract(url, '^(?i:https?)://(?:[^/?#@]*@)?(\\[[^\\]]*\\]|[^/?#:]*)', 1)), '\\.+$', '') AS h FROM (VALUES {_rows(POLICY)}) v(id, url)), o AS (SELECT *, try_cast(split_part(h, '.', 1) AS INT) AS a, try_cast(split_part(h, '.', 2) AS INT) AS b FROM v)
+SELECT id, CASE WHEN h = '' THEN false WHEN regexp_matches(h, '^[0-9]{{1,3}}(\\.[0-9]{{1,3}}){{3}}$') THEN NOT (a IN (10, 127, 0) OR a >= 224 OR (a = 169 AND b = 254) OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168)) WHEN h LIKE '[%' THEN NOT regexp_matches(h, '^\\[(::1?|f[cd].*|fe[89ab].*|ff.*)\\]$') ELSE h <> 'localhost' AND NOT suffix(h, '.localhost') END AS public FROM o""",
 )
 def public_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     return values(spark, _rows(POLICY), "id, url").select("id", R.is_public_url(F.col("url")).alias("public"))
@@ -62,9 +62,15 @@ def base_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     return values(spark, _rows(BASES), "id, u").select("id", R.versioned_base(F.col("u")).alias("base"))
 
 
-@query("s23_backoff", "SELECT attempt, least(500 * 2 ** greatest(attempt, 0), 4000)::INT AS ms FROM (VALUES (-1), (0), (1), (2), (3), (9)) v(attempt)")
+ATTEMPTS = ", ".join(f"('{s}', {n})" for s in ("pdf", "llm", "openalex", "semantic", "arxiv", "none") for n in (-1, 0, 1, 2, 3, 4, 5, 9))
+
+
+@query(
+    "s23_backoff",
+    f"""SELECT service, attempt, CASE service WHEN 'pdf' THEN CASE WHEN attempt <= 1 THEN 600 WHEN attempt = 2 THEN 1200 ELSE 2400 END WHEN 'llm' THEN 600 * 2 ** least(greatest(attempt - 1, 0), 4) WHEN 'openalex' THEN CASE WHEN attempt <= 0 THEN 1000 ELSE 3000 END WHEN 'semantic' THEN 2500 + 2500 * greatest(attempt, 0) WHEN 'arxiv' THEN 3000 * (greatest(attempt, 0) + 1) END::INT AS ms FROM (VALUES {ATTEMPTS}) v(service, attempt)""",
+)
 def backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return values(spark, "(-1), (0), (1), (2), (3), (9)", "attempt").select("attempt", R.backoff_ms(F.col("attempt")).alias("ms"))
+    return values(spark, ATTEMPTS, "service, attempt").select("service", "attempt", R.backoff_ms(F.col("service"), F.col("attempt")).alias("ms"))
 
 
 IDS = "(0, '10.1/a', NULL, 's', NULL, 't'), (1, NULL, '1706.1', NULL, 'W1', 't'), (2, NULL, NULL, NULL, NULL, 'only title'), (3, NULL, NULL, 's', 'W2', NULL)"
@@ -144,7 +150,7 @@ def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.enrich(sources, contents, 3)
 
 
-@query("j7_fallback_sections", "SELECT conv_id AS doc_id, 'user' AS section_id, min(turn) AS section_start, max(turn) AS section_end FROM conversations WHERE role = 'user' AND conv_id % 3 <> 0 GROUP BY 1 UNION ALL SELECT conv_id, 'sec_001_document', 0, sum(octet_length(encode(text)))::BIGINT FROM conversations GROUP BY 1 HAVING conv_id % 3 = 0 OR count(*) FILTER (role = 'user') = 0")
+@query("j7_fallback_sections", "SELECT conv_id AS doc_id, 'user' AS section_id, min(turn) AS section_start, max(turn) AS section_end FROM conversations WHERE role = 'user' AND conv_id % 3 <> 0 GROUP BY 1 UNION ALL SELECT conv_id, 'sec_000_paper', 0, sum(octet_length(encode(text)))::BIGINT FROM conversations GROUP BY 1 HAVING conv_id % 3 = 0 OR count(*) FILTER (role = 'user') = 0")
 def fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     docs = c.groupBy(F.col("conv_id").alias("doc_id")).agg(F.sum(F.octet_length("text")).alias("n_bytes"))

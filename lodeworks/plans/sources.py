@@ -81,9 +81,21 @@ def weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", T.source_weight(F.col("url"), F.col("html")).cast("long").alias("weight"))
 
 
-@query("h10_entity_decode", "SELECT page_id, replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&') AS html FROM pages")
+ENTITIES = ["a &lt; b &amp;lt; c", "Poincar&#233; &#x1F600;&#X41;", "&nbsp; & &; &apos;x&quot;", "&#1114112; &#55296; &#x110000; &#99999999999;", "AT&T &gt", "none", ""]
+ENTITY_ROWS = ", ".join("({}, '{}')".format(-1 - i, e) for i, e in enumerate(ENTITIES))
+SQL_ENTITY = "&(lt|gt|amp|quot|apos|#[0-9]+|#[xX][0-9A-Fa-f]+);"
+SQL_CODE = "CASE WHEN e LIKE '#x%' OR e LIKE '#X%' THEN try_cast('0x' || e[3:] AS BIGINT) WHEN e LIKE '#%' THEN try_cast(e[2:] AS BIGINT) END"
+
+
+@query(
+    "h10_entity_decode",
+    f"""WITH s AS (SELECT page_id, html FROM pages UNION ALL SELECT * FROM (VALUES {ENTITY_ROWS}) v(page_id, html)), p AS (SELECT page_id, string_split_regex(html, '{SQL_ENTITY}') AS parts, list_append(regexp_extract_all(html, '{SQL_ENTITY}', 1), NULL) AS ents FROM s),
+u AS (SELECT page_id, unnest(parts) AS part, unnest(ents) AS e, generate_subscripts(parts, 1) AS n FROM p), d AS (SELECT page_id, n, part, e, {SQL_CODE} AS code FROM u)
+SELECT page_id, string_agg(part || CASE WHEN e IS NULL THEN '' WHEN e = 'lt' THEN '<' WHEN e = 'gt' THEN '>' WHEN e = 'amp' THEN '&' WHEN e = 'quot' THEN '"' WHEN e = 'apos' THEN chr(39) WHEN code BETWEEN 0 AND 55295 OR code BETWEEN 57344 AND 1114111 THEN chr(code::INT) ELSE '&' || e || ';' END, '' ORDER BY n) AS html FROM d GROUP BY 1""",
+)
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", T.decode_entities(F.col("html")).alias("html"))
+    rows = table(spark, sf_dir, "pages").select("page_id", "html").unionByName(values(spark, ENTITY_ROWS, "page_id, html").withColumn("page_id", F.col("page_id").cast("long")))
+    return rows.select("page_id", T.decode_entities(F.col("html")).alias("html"))
 
 
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,14 +121,14 @@ def inline_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return values(spark, CITED_ROWS, "id, c").select("id", F.explode(F.regexp_extract_all("c", F.lit(r"\[\[\d+\]\]\((https?://[^ \n\t\[<)]*)\)"), F.lit(1))).alias("url"))
 
 
-MATERIALS = ["code at https://github.com/a/b, data (https://zenodo.org/record/1).", "https://huggingface.co/datasets/x https://huggingface.co/spaces/y https://huggingface.co/z/", "see http://lib.readthedocs.io/en/ and https://my-project.example/", "HTTPS://GITHUB.com/a/b https://github.com/a/b", "nothing"]
+MATERIALS = ["code at https://github.com/a/b, data (https://zenodo.org/record/1).", "https://huggingface.co/datasets/x https://huggingface.co/spaces/y https://huggingface.co/z/", "see http://lib.readthedocs.io/en/ and https://my-project.example/", "HTTPS://GITHUB.com/a/b https://github.com/a/b", "nothing", "https://arxiv.org/e-print/2 https://other.example/e-print/2 https://arxiv.org/src/3"]
 MATERIAL_ROWS = ", ".join(f"({i}, '{m}')" for i, m in enumerate(MATERIALS))
 
 
 @query(
     "s5_material_links",
     f"""WITH t AS (SELECT id, unnest(list_filter(list_transform(string_split_regex(t, '\\s+'), lambda w: rtrim(trim(w, '"''()[]{{}}<>,.;'), '/')), lambda w: regexp_matches(w, '^https?://'))) AS url FROM (VALUES {MATERIAL_ROWS}) v(id, t)),
-k AS (SELECT DISTINCT id, url, lower(url) AS u FROM t), c AS (SELECT id, url, CASE WHEN contains(u, 'github.com/') OR contains(u, 'gitlab.com/') THEN 'code' WHEN contains(u, 'huggingface.co/') AND contains(u, '/datasets/') THEN 'dataset' WHEN contains(u, 'huggingface.co/') AND contains(u, '/spaces/') THEN 'demo' WHEN contains(u, 'huggingface.co/') THEN 'model' WHEN contains(u, 'paperswithcode.com/') THEN 'code' WHEN contains(u, 'zenodo.org/') OR contains(u, 'figshare.com/') THEN 'dataset' WHEN contains(u, 'arxiv.org/src/') OR contains(u, '/e-print/') THEN 'supplement' WHEN contains(u, 'colab.research.google.com/') THEN 'demo' WHEN contains(u, 'docs.') OR contains(u, '/docs') OR contains(u, 'readthedocs.io/') THEN 'documentation' WHEN contains(u, 'project') OR contains(u, 'demo') OR contains(u, 'dataset') OR contains(u, 'code') THEN 'project' END AS kind FROM k)
+k AS (SELECT DISTINCT id, url, lower(url) AS u FROM t), c AS (SELECT id, url, CASE WHEN contains(u, 'github.com/') OR contains(u, 'gitlab.com/') THEN 'code' WHEN contains(u, 'huggingface.co/') AND contains(u, '/datasets/') THEN 'dataset' WHEN contains(u, 'huggingface.co/') AND contains(u, '/spaces/') THEN 'demo' WHEN contains(u, 'huggingface.co/') THEN 'model' WHEN contains(u, 'paperswithcode.com/') THEN 'code' WHEN contains(u, 'zenodo.org/') OR contains(u, 'figshare.com/') THEN 'dataset' WHEN contains(u, 'arxiv.org/src/') OR contains(u, 'arxiv.org/e-print/') THEN 'supplement' WHEN contains(u, 'colab.research.google.com/') THEN 'demo' WHEN contains(u, 'docs.') OR contains(u, '/docs') OR contains(u, 'readthedocs.io/') THEN 'documentation' WHEN contains(u, 'project') OR contains(u, 'demo') OR contains(u, 'dataset') OR contains(u, 'code') THEN 'project' END AS kind FROM k)
 SELECT id, url, kind, CASE WHEN kind IN ('code', 'dataset', 'model', 'demo', 'supplement') THEN 'high' WHEN kind = 'documentation' THEN 'medium' WHEN kind IS NOT NULL THEN 'low' END AS confidence FROM c WHERE kind IS NOT NULL""",
 )
 def material_links(spark: SparkSession, sf_dir: str) -> DataFrame:

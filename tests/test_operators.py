@@ -47,8 +47,8 @@ def plain_budget(session, answer, sources, budget):
     for i in reversed(range(len(sources))):
         if total <= budget:
             break
-        s, tail = sources[i], f" use web_fetch on {sources[i]['url'] or ''} or get_sources session={session} offset={i} limit=1]"
-        n, omit, cut = len(s["content"] or ""), "[omitted:" + tail, "[trimmed:" + tail
+        s, tail = sources[i], f": response budget reached - full text via web_fetch(\"{sources[i]['url'] or ''}\") or get_sources(session_id=\"{session}\", offset={i}, limit=1)]_"
+        n, omit, cut = len(s["content"] or ""), "_[inline content omitted" + tail, "_[truncated" + tail
         if n == 0 or n <= len(omit):
             continue
         over = total - budget

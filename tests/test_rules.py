@@ -50,8 +50,8 @@ def test_article_list(spark):
 
 
 def test_box_groups_accumulate(spark):
-    rows = [(1, 1, i, float(x), 0.0, 10.0, 10.0) for i, x in enumerate([0, 40, 80, 300, 310, 900])]
-    got = artifacts.group_boxes(spark.createDataFrame(rows, "doc_id long, page int, image_index int, x double, y double, w double, h double")).orderBy("group").collect()
+    rows = [(1, 1, i, 9, 9, float(x), 0.0, 10.0, 10.0) for i, x in enumerate([0, 40, 80, 300, 310, 900])]
+    got = artifacts.group_boxes(spark.createDataFrame(rows, "doc_id long, page int, image_index int, width int, height int, x double, y double, w double, h double")).orderBy("group").collect()
     assert [(r["members"], r["x"], r["right"]) for r in got] == [(3, 0.0, 90.0), (2, 300.0, 320.0)]
 
 
