@@ -36,6 +36,11 @@ def meaningful_tokens(c: Column) -> Column:
     return F.filter(F.split(normalize_title(c), " "), lambda t: (F.octet_length(t) >= LEAST_TOKEN_BYTES) & ~F.array_contains(stop, t))
 
 
+def raw_tokens(c: Column) -> Column:
+    """Tokens of the normalised title, short ones and stopwords included, in one pass over the text."""
+    return F.split(ascii_lower(c), r"[^\p{IsAlphabetic}\p{N}]+")
+
+
 def token_hits(query: Column, haystack: Column) -> Column:
     """How many of the query's token occurrences are in the haystack."""
     return F.size(F.filter(query, lambda t: F.array_contains(haystack, t)))

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodeworks.functions.text import least_hits, meaningful_tokens, normalize_title, strong_hits, token_hits
+from lodeworks.functions.text import least_hits, meaningful_tokens, normalize_title, raw_tokens, strong_hits, token_hits
 
 RRF_K = 60
 
@@ -30,35 +30,51 @@ def date_term(year: Column) -> Column:
     return F.least(F.greatest(F.coalesce(year, F.lit(0)) - 1900, F.lit(0)), F.lit(200))
 
 
-def with_tokens(rows: DataFrame) -> DataFrame:
-    """rows (query, title, text) with their tokens and normalised titles as columns, so that each is computed once."""
-    return rows.withColumns({
-        "query_tokens": meaningful_tokens(F.col("query")),
-        "title_tokens": meaningful_tokens(F.col("title")),
-        "text_tokens": meaningful_tokens(F.coalesce("text", F.lit(""))),
-        "exact": normalize_title(F.col("title")) == normalize_title(F.col("query")),
-    })
+def asked_tokens(queries: DataFrame) -> DataFrame:
+    """One row: asked, the distinct tokens of all queries (query_id, query; a stated set)."""
+    return queries.select(F.explode(meaningful_tokens(F.col("query"))).alias("t")).agg(F.collect_set("t").alias("asked"))
 
 
-def relevance_score(sort: str = "relevance") -> Column:
-    """The integer score of rows of with_tokens that also have citations, year, has_pdf and open_access."""
-    q = F.col("query_tokens")
-    score = 1000 * F.col("exact").cast("int") + 100 * token_hits(q, F.col("title_tokens")) + 20 * token_hits(q, F.col("text_tokens"))
-    score = score + citation_term(F.col("citations"), sort == "citations") + 3 * F.col("has_pdf").cast("int") + F.coalesce("open_access", F.lit(False)).cast("int")
-    return (score + date_term(F.col("year")) if sort == "date" else score).cast("long")
+def hits_by_join(queries: DataFrame, docs: DataFrame) -> DataFrame:
+    """query_id, doc_id, hits for pairs that share a token: an equi-join on tokens, never a cross join.
+
+    A text's tokens are cut down to those that any query asks for (one broadcast row) before they are exploded, so a
+    document sends a handful of rows whatever its length.
+    """
+    wanted = queries.select("query_id", F.explode(meaningful_tokens(F.col("query"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
+    with_asked = docs.select("doc_id", raw_tokens(F.col("text")).alias("tokens")).join(F.broadcast(asked_tokens(queries)))
+    have = with_asked.select("doc_id", F.explode(F.array_intersect("tokens", "asked")).alias("t"))
+    return have.join(wanted, F.col("t") == F.col("token")).groupBy("query_id", "doc_id").agg(F.sum("times").alias("hits"))
+
+
+def prepared_queries(queries: DataFrame) -> DataFrame:
+    """query_id, query_tokens, query_norm, least (hits of a relevant result), strong (of a strong overlap)."""
+    tokens = queries.select("query_id", meaningful_tokens(F.col("query")).alias("query_tokens"), normalize_title(F.col("query")).alias("query_norm"))
+    n = F.size("query_tokens")
+    return tokens.select("*", least_hits(n).alias("least"), strong_hits(n).alias("strong"))
+
 
+def relevant_pairs(queries: DataFrame, docs: DataFrame, needed: str = "least") -> DataFrame:
+    """query_id, doc_id, hits of the results that a query lets pass; a query without tokens passes all documents, with no hits.
 
-def is_relevant(query_tokens: Column, tokens: Column) -> Column:
-    return token_hits(query_tokens, tokens) >= least_hits(F.size(query_tokens))
+    needed: least, or strong for a strong overlap.
+    """
+    q = prepared_queries(queries)
+    hits = hits_by_join(queries, docs).join(F.broadcast(q), "query_id").where(F.col("hits") >= F.col(needed)).select("query_id", "doc_id", "hits")
+    everything = docs.select("doc_id").join(F.broadcast(q.where(F.size("query_tokens") == 0).select("query_id")))
+    return hits.unionByName(everything.select("query_id", "doc_id", F.lit(0).cast("long").alias("hits")))
 
 
-def has_strong_overlap(query_tokens: Column, tokens: Column) -> Column:
-    return token_hits(query_tokens, tokens) >= strong_hits(F.size(query_tokens))
+def relevance_score(sort: str = "relevance") -> Column:
+    """The integer score of rows with query_tokens, query_norm, title_tokens, title_norm, hits, citations, year, has_pdf and open_access."""
+    score = 1000 * (F.col("title_norm") == F.col("query_norm")).cast("int") + 100 * token_hits(F.col("query_tokens"), F.col("title_tokens")) + 20 * F.col("hits")
+    score = score + citation_term(F.col("citations"), sort == "citations") + 3 * F.col("has_pdf").cast("int") + F.coalesce("open_access", F.lit(False)).cast("int")
+    return (score + date_term(F.col("year")) if sort == "date" else score).cast("long")
 
 
-def is_precise(query: Column, title: Column) -> Column:
-    tokens = meaningful_tokens(query)
-    return (token_hits(tokens, meaningful_tokens(title)) >= least_hits(F.size(tokens))) | normalize_title(title).contains(normalize_title(query))
+def is_precise() -> Column:
+    """Of rows with query_tokens, query_norm, least, title_tokens and title_norm: enough hits in the title, or the query stands in it."""
+    return (F.size("query_tokens") == 0) | (token_hits(F.col("query_tokens"), F.col("title_tokens")) >= F.col("least")) | F.col("title_norm").contains(F.col("query_norm"))
 
 
 def in_years(year: Column, low: int | None, high: int | None) -> Column:
@@ -72,16 +88,6 @@ def top_k(rows: DataFrame, query: str, order: list[Column], limit: int) -> DataF
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= min(max(limit, 1), 50))
 
 
-def hits_by_join(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """query_id, doc_id, hits for pairs that share a token: an equi-join on tokens, never a cross join.
-
-    queries (query_id, query) are a stated, small set and broadcast by Spark's own size check.
-    """
-    wanted = queries.select("query_id", F.explode(meaningful_tokens(F.col("query"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
-    have = docs.select("doc_id", F.explode(F.array_distinct(meaningful_tokens(F.col("text")))).alias("t"))
-    return have.join(wanted, F.col("t") == F.col("token")).groupBy("query_id", "doc_id").agg(F.sum("times").alias("hits"))
-
-
 def merge_papers(papers: DataFrame) -> DataFrame:
     """The exact, order-dependent merge of ranked paper lists, query by query.
 

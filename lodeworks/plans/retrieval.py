@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodeworks.functions import text as T
 from lodeworks.operators import ranking as R
 from lodeworks.plans.registry import query
+from lodeworks.sources.shared import materialize
 from lodeworks.sources.tables import table, values
 
 #: The stated query set of the retrieval queries.
@@ -36,11 +37,9 @@ def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL_PAPERS = f"p AS (SELECT doc_id, text, left(text, 80) AS title, CASE WHEN doc_id % 7 <> 0 THEN 1985 + doc_id % 40 END AS year, n_chars AS citations, doc_id % 5 = 0 AS has_pdf, CASE WHEN doc_id % 3 <> 0 THEN doc_id % 2 = 0 END AS open_access, {SQL_TOKENS('text')} AS dt, {SQL_TOKENS('left(text, 80)')} AS tt, {SQL_NORM('left(text, 80)')} AS tn FROM documents)"
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """query x paper pairs that share a token, with hits; the stated queries are a handful."""
-    q, p = queries_table(spark), papers(spark, sf_dir)
-    pairs = R.hits_by_join(q, p.select("doc_id", "text"))
-    return pairs.join(F.broadcast(q), "query_id").join(p, "doc_id")
+def titled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Papers with their titles' tokens, computed once a paper."""
+    return papers(spark, sf_dir).drop("text").withColumns({"title_tokens": T.meaningful_tokens(F.col("title")), "title_norm": T.normalize_title(F.col("title"))})
 
 
 @query("h11_title_normalize", f"SELECT doc_id, {SQL_NORM('text')} AS title FROM documents")
@@ -48,30 +47,30 @@ def title_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.normalize_title(F.col("text")).alias("title"))
 
 
-@query("d6_meaningful_tokens", f"SELECT doc_id, len({SQL_TOKENS('text')})::INT AS n_tokens, array_to_string({SQL_TOKENS('left(text, 200)')}, '|') AS first_tokens FROM documents")
+@query("d6_meaningful_tokens", f"SELECT doc_id, len({SQL_TOKENS('text')})::INT AS n_tokens, sha256(array_to_string({SQL_TOKENS('text')}, '|')) AS tokens_sha256 FROM documents")
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", F.size(T.meaningful_tokens(F.col("text"))).alias("n_tokens"), F.array_join(T.meaningful_tokens(F.left("text", F.lit(200))), "|").alias("first_tokens"))
+    d = table(spark, sf_dir, "documents").select("doc_id", T.meaningful_tokens(F.col("text")).alias("t"))
+    return d.select("doc_id", F.size("t").alias("n_tokens"), F.sha2(F.array_join("t", "|"), 256).alias("tokens_sha256"))
+
+
+SQL_LEAST = "CASE WHEN len(qt) = 0 THEN 0 WHEN len(qt) <= 2 THEN 1 ELSE 2 END"
 
 
-@query("e3_relevance_filter", f"WITH {SQL_QUERIES}, {SQL_DOCS}, {SQL_HITS} SELECT query_id, doc_id, hits::BIGINT AS hits FROM h WHERE hits > 0 AND hits >= CASE WHEN len(qt) = 0 THEN 0 WHEN len(qt) <= 2 THEN 1 ELSE 2 END")
+@query("e3_relevance_filter", f"WITH {SQL_QUERIES}, {SQL_DOCS}, {SQL_HITS} SELECT query_id, doc_id, hits::BIGINT AS hits FROM h WHERE hits >= {SQL_LEAST}")
 def relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = queries_table(spark).withColumn("n", F.size(T.meaningful_tokens(F.col("query"))))
-    hits = R.hits_by_join(q, table(spark, sf_dir, "documents"))
-    return hits.join(F.broadcast(q), "query_id").where(F.col("hits") >= T.least_hits(F.col("n"))).select("query_id", "doc_id", "hits")
+    return R.relevant_pairs(queries_table(spark), table(spark, sf_dir, "documents"))
 
 
-@query("e4_strong_overlap", f"WITH {SQL_QUERIES}, {SQL_DOCS}, {SQL_HITS} SELECT query_id, doc_id, hits::BIGINT AS hits FROM h WHERE hits > 0 AND hits >= least(len(qt), 3)")
+@query("e4_strong_overlap", f"WITH {SQL_QUERIES}, {SQL_DOCS}, {SQL_HITS} SELECT query_id, doc_id, hits::BIGINT AS hits FROM h WHERE hits >= CASE WHEN len(qt) <= 2 THEN {SQL_LEAST} ELSE 3 END")
 def strong(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = queries_table(spark).withColumn("n", F.size(T.meaningful_tokens(F.col("query"))))
-    hits = R.hits_by_join(q, table(spark, sf_dir, "documents"))
-    return hits.join(F.broadcast(q), "query_id").where(F.col("hits") >= T.strong_hits(F.col("n"))).select("query_id", "doc_id", "hits")
+    return R.relevant_pairs(queries_table(spark), table(spark, sf_dir, "documents"), "strong")
 
 
-@query("e5_precise_filter", f"WITH {SQL_QUERIES}, {SQL_DOCS}, {SQL_HITS} SELECT query_id, doc_id FROM h WHERE hits > 0 AND (title_hits >= CASE WHEN len(qt) = 0 THEN 0 WHEN len(qt) <= 2 THEN 1 ELSE 2 END OR contains(tn, qn))")
+@query("e5_precise_filter", f"WITH {SQL_QUERIES}, {SQL_DOCS}, {SQL_HITS} SELECT query_id, doc_id FROM h WHERE len(qt) = 0 OR title_hits >= {SQL_LEAST} OR contains(tn, qn)")
 def precise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = scored(spark, sf_dir)
-    return rows.where(R.is_precise(F.col("query"), F.col("title"))).select("query_id", "doc_id")
+    """The stated queries against all titles."""
+    rows = titled(spark, sf_dir).select("doc_id", "title_tokens", "title_norm").join(F.broadcast(R.prepared_queries(queries_table(spark))))
+    return rows.where(R.is_precise()).select("query_id", "doc_id")
 
 
 @query("e6_year_filter", "SELECT o_orderkey, year FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 11 <> 0 THEN year(o_orderdate) END AS year FROM orders) WHERE year IS NULL OR year BETWEEN 1994 AND 1996")
@@ -91,12 +90,14 @@ SQL_SCORE = "1000 * (tn = qn)::INT + 100 * len(list_filter(qt, lambda t: list_co
 
 @query(
     "d1_relevance_score",
-    f"WITH {SQL_QUERIES}, {SQL_PAPERS}, s AS (SELECT *, least(coalesce(citations, 0), 10000) AS c FROM q, p WHERE len(list_filter(qt, lambda t: list_contains(dt, t))) > 0) "
+    f"WITH {SQL_QUERIES}, {SQL_PAPERS}, s AS (SELECT *, least(coalesce(citations, 0), 10000) AS c FROM q, p WHERE len(list_filter(qt, lambda t: list_contains(dt, t))) >= {SQL_LEAST}) "
     f"SELECT query_id, doc_id, ({SQL_SCORE} + CASE WHEN c = 0 THEN 0 ELSE length(c::VARCHAR) - 1 END)::BIGINT AS by_relevance, ({SQL_SCORE} + {SQL_CITATION})::BIGINT AS by_citations, "
     f"({SQL_SCORE} + CASE WHEN c = 0 THEN 0 ELSE length(c::VARCHAR) - 1 END + least(greatest(coalesce(year, 0) - 1900, 0), 200))::BIGINT AS by_date FROM s",
 )
 def score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = R.with_tokens(scored(spark, sf_dir))
+    """Scores of the relevant pairs, for each order."""
+    q = queries_table(spark)
+    rows = R.relevant_pairs(q, table(spark, sf_dir, "documents")).join(titled(spark, sf_dir), "doc_id").join(F.broadcast(R.prepared_queries(q)), "query_id")
     return rows.select("query_id", "doc_id", *(R.relevance_score(s).alias(f"by_{s}") for s in ("relevance", "citations", "date")))
 
 
@@ -108,19 +109,27 @@ r AS (
 ), f AS (SELECT query_id, doc_id, sum(1.0::DOUBLE / (61 + position)) AS rrf, min({'a': list_no, 'b': position}) AS seen FROM r WHERE position < 50 GROUP BY 1, 2)"""
 
 
-def ranked_lists(spark: SparkSession, sf_dir: str, depth: int = 50) -> DataFrame:
-    """query_id, doc_id, list_no, position: by token hits, by length, by quality label; depth rows each."""
+def with_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, doc_id, hits, n_chars, quality of all pairs that share a token, written once."""
     docs = table(spark, sf_dir, "documents")
     hits = R.hits_by_join(queries_table(spark), docs).join(docs.select("doc_id", "n_chars"), "doc_id").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
+    return materialize(hits, "token-hits")
+
+
+def ranked_lists(hits: DataFrame, depth: int = 50) -> DataFrame:
+    """query_id, doc_id, list_no, position: what three providers return, by token hits, by length, by quality label; a page of depth rows each.
+
+    A filter on row_number itself lets each task stop at depth rows before the shuffle.
+    """
     orders = [[F.desc("hits"), "doc_id"], [F.desc("n_chars"), "doc_id"], [F.desc(F.coalesce("quality", F.lit(-1))), "n_chars", "doc_id"]]
-    one = lambda n, order: hits.withColumn("position", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)) - 1).where(F.col("position") < depth).select("query_id", "doc_id", F.lit(n).alias("list_no"), "position")
+    one = lambda n, order: hits.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("place") <= depth).select("query_id", "doc_id", F.lit(n).alias("list_no"), (F.col("place") - 1).alias("position"))
     a, b, c = (one(n, o) for n, o in enumerate(orders))
     return a.unionByName(b).unionByName(c)
 
 
 @query("c5_rank_fusion", f"WITH {SQL_QUERIES}, {SQL_DOCS}, {SQL_HITS}, {SQL_LISTS} SELECT query_id, doc_id, round(rrf, 12) AS rrf FROM f")
 def rank_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.fuse(ranked_lists(spark, sf_dir), key="doc_id").select("query_id", "doc_id", F.round("rrf", 12).alias("rrf"))
+    return R.fuse(ranked_lists(with_hits(spark, sf_dir)), key="doc_id").select("query_id", "doc_id", F.round("rrf", 12).alias("rrf"))
 
 
 @query(
@@ -131,18 +140,19 @@ def rank_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def federated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: rankings -> fusion -> relevance filter -> integer score -> stable order -> top k."""
-    fused = R.fuse(ranked_lists(spark, sf_dir), key="doc_id")
-    rows = fused.join(F.broadcast(queries_table(spark)), "query_id").join(papers(spark, sf_dir), "doc_id")
-    rows = R.with_tokens(rows).where(R.is_relevant(F.col("query_tokens"), F.col("text_tokens")))
+    found = with_hits(spark, sf_dir)
+    q = F.broadcast(R.prepared_queries(queries_table(spark)))
+    fused = R.fuse(ranked_lists(found), key="doc_id")  # a few providers' pages a query
+    rows = fused.join(found.select("query_id", "doc_id", "hits"), ["query_id", "doc_id"]).join(q, "query_id").where(F.col("hits") >= F.col("least")).join(titled(spark, sf_dir), "doc_id")
     rows = rows.select("query_id", "doc_id", R.relevance_score().alias("score"), F.round("rrf", 12).alias("rrf"), "first_seen")
     return R.top_k(rows, "query_id", [F.desc("score"), F.desc("rrf"), F.col("first_seen"), F.col("doc_id")], 10).drop("first_seen")
 
 
-@query("d13_best_title_match", f"WITH {SQL_PAPERS}, m AS (SELECT a.item_id, p.doc_id, p.citations FROM (SELECT doc_id AS item_id, {SQL_NORM('left(text, 80)')} AS n FROM documents WHERE doc_id % 10 = 0) a JOIN p ON p.tn = a.n WHERE a.n <> '') SELECT item_id, doc_id FROM m QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY citations DESC, doc_id) = 1")
+@query("d13_best_title_match", f"WITH {SQL_PAPERS}, m AS (SELECT a.item_id, p.doc_id, p.citations FROM (SELECT doc_id AS item_id, {SQL_NORM('left(text, 80)')} AS n FROM documents) a JOIN p ON p.tn = a.n WHERE a.n <> '') SELECT item_id, doc_id FROM m QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY citations DESC, doc_id) = 1")
 def best_title(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each tenth document (the stated query set), the most cited paper with the same normalised title."""
+    """For each document, the most cited paper with the same normalised title."""
     p = papers(spark, sf_dir).select("doc_id", "citations", T.normalize_title(F.col("title")).alias("norm"))
-    asked = p.where(F.col("doc_id") % 10 == 0).where("norm <> ''").select(F.col("doc_id").alias("item_id"), F.col("norm").alias("n"))
+    asked = p.where("norm <> ''").select(F.col("doc_id").alias("item_id"), F.col("norm").alias("n"))
     best = p.groupBy("norm").agg(F.min_by("doc_id", F.struct(-F.col("citations"), F.col("doc_id"))).alias("doc_id"))
     return asked.join(best, F.col("n") == F.col("norm")).select("item_id", "doc_id")
 
@@ -152,13 +162,14 @@ def truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.truncate(F.col("text"), 200).alias("t")).select("doc_id", "t.*")
 
 
-@query("p19_inverted_abstract", "SELECT doc_id, array_to_string(list_slice(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> ''), 1, 60), ' ') AS abstract FROM documents")
+@query("p19_inverted_abstract", "SELECT doc_id, array_to_string(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> ''), ' ') AS abstract FROM documents")
 def abstract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents' first 60 words inverted to word -> positions and restored."""
-    words = F.slice(F.filter(F.split("text", r"\s+"), lambda w: w != ""), F.lit(1), F.lit(60))
-    d = table(spark, sf_dir, "documents").select("doc_id", words.alias("w"))
-    index = F.map_from_entries(F.transform(F.array_distinct("w"), lambda x: F.struct(x, F.array_compact(F.transform("w", lambda y, i: F.when(y == x, i))))))
-    return d.select("doc_id", T.inverted_abstract(index).alias("abstract"))
+    """Documents' words inverted to word -> positions (two groupings, the first combined before the shuffle) and restored."""
+    words = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.filter(F.split("text", r"\s+"), lambda w: w != "")).alias("p", "w"))
+    index = words.groupBy("doc_id", "w").agg(F.array_sort(F.collect_list("p")).alias("at")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "at"))).alias("index"))
+    restored = index.select("doc_id", T.inverted_abstract(F.col("index")).alias("abstract"))
+    blank = table(spark, sf_dir, "documents").select("doc_id").join(index.select("doc_id"), "doc_id", "left_anti").select("doc_id", F.lit("").alias("abstract"))
+    return restored.unionByName(blank)
 
 
 PAPER_ROWS = """(1, 0, 0, 'Deep Nets', 2019, '10.1/A', NULL, NULL, NULL, 5), (1, 0, 1, 'Other', NULL, NULL, '2001.00001', NULL, NULL, NULL), (1, 1, 0, 'deep  nets!', 2021, '10.1/B', NULL, NULL, 'W7', 9),
