@@ -88,14 +88,3 @@ def publisher_pdf(url: Column) -> Column:
 def tolerant_number(text: Column) -> Column:
     """A count from text such as 1,234; 0 if there is none."""
     return F.coalesce(F.regexp_replace(F.trim(text), ",", "").try_cast("bigint"), F.lit(0).cast("bigint"))
-
-
-def render_issue(title: Column, state: Column, is_pr: Column, merged: Column, author: Column, labels: Column, body: Column, comments: Column, most: int) -> Column:
-    """Markdown of an issue or pull request and its comments (array of struct<created_at, author, body>, in order of time), most of them."""
-    suffix = F.when(is_pr & merged, " (merged)").when(is_pr & (state == "closed"), " (closed, not merged)").otherwise("")
-    ordered = F.array_sort(comments)
-    one = lambda c: F.concat(F.lit("**"), c["author"], F.lit("** ("), c["created_at"], F.lit("):\n"), c["body"])
-    none = F.array().cast("array<string>")
-    head = F.array(F.concat(F.lit("# "), title), F.concat(F.lit("State: "), state, suffix), F.concat(F.lit("Author: "), author))
-    more = F.when(F.size(ordered) > most, F.array(F.concat((F.size(ordered) - most).cast("string"), F.lit(" more comments")))).otherwise(none)
-    return F.array_join(F.concat(head, F.when(F.size(labels) > 0, F.array(F.concat(F.lit("Labels: "), F.array_join(labels, ", ")))).otherwise(none), F.array(F.coalesce(body, F.lit(""))), F.transform(F.slice(ordered, F.lit(1), F.lit(most)), one), more), "\n\n")

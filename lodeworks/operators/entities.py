@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import OrderedDict
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -53,19 +54,33 @@ def fallback_sections(docs: DataFrame, sections: DataFrame) -> DataFrame:
 def recently_used(accesses: DataFrame, capacity: int) -> DataFrame:
     """accesses (cache_id, seq, op: get or put, key) -> cache_id, key, place: what each cache holds at the end, newest first.
 
-    A get refreshes a key only while the cache holds it, so the log is replayed in order; a cache is one group.
+    A get refreshes a key only while the cache holds it, so a cache's log is replayed in order: it is sorted within its partition
+    (which spills) and streamed, and a task holds `capacity` keys of one cache at a time.
     """
     capacity = max(1, capacity)
 
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
+    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: OrderedDict[str, None] = OrderedDict()
-        for op, key in pdf.sort_values("seq")[["op", "key"]].itertuples(index=False):
-            if op == "put" or key in held:
-                held.pop(key, None)
-                held[key] = None
-                if len(held) > capacity:
-                    held.popitem(last=False)
-        keys = list(reversed(held))
-        return pd.DataFrame({"cache_id": [pdf["cache_id"].iloc[0]] * len(keys), "key": keys, "place": range(len(keys))})
-
-    return accesses.groupBy("cache_id").applyInPandas(replay, "cache_id long, key string, place long")
+        current = None
+
+        def rows() -> pd.DataFrame:
+            keys = list(reversed(held))
+            return pd.DataFrame({"cache_id": [current] * len(keys), "key": keys, "place": range(len(keys))})
+
+        for pdf in batches:
+            for cache, op, key in pdf[["cache_id", "op", "key"]].itertuples(index=False):
+                if cache != current:
+                    if held:
+                        yield rows()
+                    held.clear()
+                    current = cache
+                if op == "put" or key in held:
+                    held.pop(key, None)
+                    held[key] = None
+                    if len(held) > capacity:
+                        held.popitem(last=False)
+        if held:
+            yield rows()
+
+    ordered = accesses.select(F.col("cache_id").cast("long").alias("cache_id"), "seq", "op", "key").repartition("cache_id").sortWithinPartitions("cache_id", "seq")
+    return ordered.mapInPandas(replay, "cache_id long, key string, place long")

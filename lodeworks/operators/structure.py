@@ -74,13 +74,6 @@ def order_answers(answers: DataFrame, question: str = "question_id") -> DataFram
     return answers.withColumn("place", F.row_number().over(Window.partitionBy(question).orderBy(F.desc(F.coalesce("accepted", F.lit(False))), F.desc("score"), "pos")))
 
 
-def render_question(title: Column, body: Column, answers: Column, most: int) -> Column:
-    """Markdown of a question and its ordered answers (array of struct<accepted, score, author, body>), most of them."""
-    one = lambda a: F.concat(F.lit("## "), F.when(a["accepted"], "Accepted answer").otherwise("Answer"), F.lit(" (score "), a["score"].cast("string"), F.lit(", by "), F.coalesce(a["author"], F.lit("unknown")), F.lit(")\n\n"), F.coalesce(a["body"], F.lit("")))
-    more = F.when(F.size(answers) > most, F.array(F.concat((F.size(answers) - most).cast("string"), F.lit(" more answers")))).otherwise(F.array().cast("array<string>"))
-    return F.array_join(F.concat(F.array(F.concat(F.lit("# "), title), F.coalesce(body, F.lit("")), F.lit("---")), F.transform(F.slice(answers, F.lit(1), F.lit(most)), one), more), "\n\n")
-
-
 def first_available(primary: Column, fallback: Column) -> Column:
     """The first content that is not blank."""
     solid = lambda c: F.when(F.trim(c) != "", c)

@@ -145,13 +145,6 @@ def answer_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.order_answers(values(spark, ANSWER_ROWS, "question_id, pos, accepted, score, author, body")).select("question_id", "pos", "place")
 
 
-@query("n6_render_question")
-def render(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = S.order_answers(values(spark, ANSWER_ROWS, "question_id, pos, accepted, score, author, body"))
-    lists = a.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("place", F.coalesce("accepted", F.lit(False)).alias("accepted"), "score", "author", "body"))).alias("answers"))
-    return lists.select("question_id", S.render_question(F.concat(F.lit("Q"), F.col("question_id")), F.lit("body"), F.col("answers"), 2).alias("markdown"))
-
-
 @query("n8_first_available", "SELECT page_id, coalesce(CASE WHEN trim(a) <> '' THEN a END, CASE WHEN trim(html) <> '' THEN html END) AS content FROM (SELECT page_id, html, CASE WHEN page_id % 3 = 0 THEN '  ' WHEN page_id % 3 = 1 THEN url END AS a FROM pages)")
 def first_available(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodeworks.sources.tables import table

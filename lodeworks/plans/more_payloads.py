@@ -42,7 +42,7 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("p12_article_lists")
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    html = "concat('<ul><li><h3><a href=\"/link?x=', page_id, '\">Title <em>', page_id, '</em></a></h3><p>sum  mary</p></li><li><h3><a href=\"https://a.example/', page_id, '\">B</a></h3></li></ul>', left(html, 0))"
+    html = "concat('<ul><li><h3><a href=\"/link?x=', page_id, '\">Title <em>', page_id, '</em></a></h3><p>sum  mary</p></li><li><h3><a href=\"https://a.example/', page_id, '\">B</a></h3></li></ul>', html)"
     return M.article_lists(table(spark, sf_dir, "pages").select("page_id", F.expr(html).alias("html")), "https://list.example")
 
 

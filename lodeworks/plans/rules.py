@@ -161,12 +161,5 @@ def fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("k4_session_recency")
 def recency(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    log = e.select((F.col("user_id") % 5).alias("cache_id"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "view", "put").otherwise("get").alias("op"), (F.col("user_id") % 200).cast("string").alias("key"))
+    log = e.select(F.col("user_id").alias("cache_id"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "view", "put").otherwise("get").alias("op"), (F.col("event_id") % 40).cast("string").alias("key"))
     return E.recently_used(log, 16)
-
-
-@query("n4_render_issue")
-def issue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = "(0, 'Bug', 'closed', true, false, 'ann', array('x', 'y'), 'body', array(struct('2024-02-01', 'bob', 'second'), struct('2024-01-01', 'cy', 'first'), struct('2024-03-01', 'di', 'third'))), (1, 'Ask', 'open', false, false, 'eve', array(), NULL, array())"
-    v = spark.sql(f"SELECT id, title, state, is_pr, merged, author, CAST(labels AS array<string>) AS labels, body, CAST(comments AS array<struct<created_at: string, author: string, body: string>>) AS comments FROM VALUES {rows.split('), (1')[0]}) AS t(id, title, state, is_pr, merged, author, labels, body, comments)")
-    return v.select("id", R.render_issue(*(F.col(c) for c in ("title", "state", "is_pr", "merged", "author", "labels", "body", "comments")), 2).alias("markdown"))

@@ -20,10 +20,10 @@ INCLUDE, EXCLUDE = ["example.com", "www.example.org"], ["shop.example.com"]
 def sources(spark: SparkSession, sf_dir: str, side: int) -> DataFrame:
     """Pages as two providers' lists of a session; every fifth page is in both."""
     p = table(spark, sf_dir, "pages").where((F.col("page_id") % 2 == side) | (F.col("page_id") % 5 == 0))
-    return p.select((F.col("page_id") % 25).cast("string").alias("session_id"), F.col("page_id").alias("pos"), "url", F.lit("ab"[side]).alias("provider"), F.col("html").alias("content"))
+    return p.select(F.floor(F.col("page_id") / 10).cast("string").alias("session_id"), F.col("page_id").alias("pos"), "url", F.lit("ab"[side]).alias("provider"), F.col("html").alias("content"))
 
 
-SQL_SIDE = lambda side: f"SELECT (page_id % 25)::VARCHAR AS session_id, page_id AS pos, url, '{'ab'[side]}' AS provider, html AS content, {side} AS side FROM pages WHERE page_id % 2 = {side} OR page_id % 5 = 0"
+SQL_SIDE = lambda side: f"SELECT (page_id // 10)::VARCHAR AS session_id, page_id AS pos, url, '{'ab'[side]}' AS provider, html AS content, {side} AS side FROM pages WHERE page_id % 2 = {side} OR page_id % 5 = 0"
 SQL_MERGED = f"m AS (SELECT session_id, url, provider, content, row_number() OVER (PARTITION BY session_id ORDER BY side, pos) - 1 AS pos FROM (SELECT * FROM ({SQL_SIDE(0)} UNION ALL {SQL_SIDE(1)}) WHERE trim(url) <> '' QUALIFY row_number() OVER (PARTITION BY session_id, url ORDER BY side, pos) = 1))"
 
 

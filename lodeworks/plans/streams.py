@@ -18,9 +18,9 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def running(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _events(spark, sf_dir)
     calls = e.select(F.col("event_id").alias("seq"), F.concat(F.lit("tool"), F.col("user_id") % 7).alias("tool"), (F.col("event_type") != "error").alias("ok"), F.unix_millis("ts").alias("at_ms"), F.lit(None).cast("string").alias("error_kind"))
-    return S.drain(S.running_stats(calls)).select("tool", "total", "success", "failure", "last_success_ms")
+    return S.drain(S.running_stats(calls), ["tool"]).select("tool", "total", "success", "failure", "last_success_ms")
 
 
 @query("st_error_windows", "SELECT date_trunc('hour', ts) AS window_start, count(*) AS errors FROM events WHERE event_type = 'error' GROUP BY 1")
 def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.drain(S.error_windows(_events(spark, sf_dir)))
+    return S.drain(S.error_windows(_events(spark, sf_dir)), ["window_start"])

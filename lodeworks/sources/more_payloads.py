@@ -19,16 +19,17 @@ CAPS = {"sections": 8, "entities": 16, "patches": 3, "warnings": 8}
 def bibliography_hits(payloads: DataFrame) -> DataFrame:
     """payloads (id, raw) -> id, pos, title, year, doi, authors; hits without title are left out; authors may be one or many, objects or names."""
     spark = payloads.sparkSession
-    payloads.createOrReplaceTempView("lodeworks_bibliography")
+    payloads.createOrReplaceTempView("{{payloads}}")
     name = "CASE WHEN schema_of_variant(a) = 'STRING' THEN CAST(a AS STRING) ELSE try_variant_get(a, '$.text', 'string') END"
     return spark.sql(
         f"""
-WITH p AS (SELECT id, try_parse_json(raw) AS v FROM lodeworks_bibliography),
+WITH p AS (SELECT id, try_parse_json(raw) AS v FROM {{payloads}}),
 h AS (SELECT id, CAST(h.pos AS BIGINT) AS pos, try_variant_get(h.value, '$.info', 'variant') AS i FROM p, LATERAL variant_explode(try_variant_get(v, '$.result.hits.hit', 'variant')) AS h),
 l AS (SELECT id, pos, coalesce(try_variant_get(i, '$.authors.author', 'array<variant>'), array(try_variant_get(i, '$.authors.author', 'variant'))) AS authors, i FROM h)
 SELECT id, pos, try_variant_get(i, '$.title', 'string') AS title, try_cast(try_variant_get(i, '$.year', 'string') AS BIGINT) AS year, try_variant_get(i, '$.doi', 'string') AS doi,
   array_join(transform(filter(authors, a -> a IS NOT NULL), a -> {name}), '; ') AS authors
-FROM l WHERE try_variant_get(i, '$.title', 'string') IS NOT NULL"""
+FROM l WHERE try_variant_get(i, '$.title', 'string') IS NOT NULL""",
+        payloads=payloads,
     )
 
 

@@ -34,11 +34,9 @@ def answer_sources(payloads: DataFrame) -> DataFrame:
     Paths: each output item's action sources, its contents' annotations, their citations; citations of the
     whole answer; links in the text.
     """
-    spark = payloads.sparkSession
-    payloads.createOrReplaceTempView("lodeworks_payloads")
-    return spark.sql(
+    return payloads.sparkSession.sql(
         f"""
-WITH p AS (SELECT id, try_parse_json(raw) AS v FROM lodeworks_payloads),
+WITH p AS (SELECT id, try_parse_json(raw) AS v FROM {{payloads}}),
 i AS (SELECT id, i.pos AS a, i.value AS item FROM p, LATERAL variant_explode(try_variant_get(v, '$.output', 'variant')) AS i),
 c AS (SELECT id, a, c.pos AS b, c.value AS content FROM i, LATERAL variant_explode(try_variant_get(item, '$.content', 'variant')) AS c),
 s AS (
@@ -48,31 +46,29 @@ s AS (
   UNION ALL SELECT id, 1000000, 3, 0, s.pos, {_source('s.value')} FROM p, LATERAL variant_explode(try_variant_get(v, '$.citations', 'variant')) AS s
   UNION ALL SELECT id, 1000000 + a, 4, b, s.pos, s.col, NULL FROM c, LATERAL posexplode(regexp_extract_all(coalesce(try_variant_get(content, '$.text', 'string'), ''), r'{INLINE}', 1)) AS s
 ), u AS (SELECT *, row_number() OVER (PARTITION BY id, url ORDER BY a, path, b, n) AS k FROM s WHERE trim(url) <> '')
-SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY a, path, b, n) - 1 AS BIGINT) AS pos, url, title FROM u WHERE k = 1"""
+SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY a, path, b, n) - 1 AS BIGINT) AS pos, url, title FROM u WHERE k = 1""",
+        payloads=payloads,
     )
 
 
 def answer_text(payloads: DataFrame) -> DataFrame:
     """id, content: output_text, or the distinct text parts, trimmed, a line each."""
-    spark = payloads.sparkSession
-    payloads.createOrReplaceTempView("lodeworks_payloads")
-    return spark.sql(
+    return payloads.sparkSession.sql(
         """
-WITH p AS (SELECT id, try_parse_json(raw) AS v FROM lodeworks_payloads),
+WITH p AS (SELECT id, try_parse_json(raw) AS v FROM {payloads}),
 t AS (SELECT id, i.pos AS a, c.pos AS b, trim(try_variant_get(c.value, '$.text', 'string')) AS x FROM p, LATERAL variant_explode(try_variant_get(v, '$.output', 'variant')) AS i, LATERAL variant_explode(try_variant_get(i.value, '$.content', 'variant')) AS c),
 d AS (SELECT id, x, min(struct(a, b)) AS k FROM t WHERE x <> '' GROUP BY id, x),
 j AS (SELECT id, array_join(transform(array_sort(collect_list(struct(k, x))), e -> e.x), '\n') AS parts FROM d GROUP BY id)
-SELECT p.id, coalesce(nullif(trim(try_variant_get(v, '$.output_text', 'string')), ''), parts, '') AS content FROM p LEFT JOIN j ON p.id = j.id"""
+SELECT p.id, coalesce(nullif(trim(try_variant_get(v, '$.output_text', 'string')), ''), parts, '') AS content FROM p LEFT JOIN j ON p.id = j.id""",
+        payloads=payloads,
     )
 
 
 def result_rows(payloads: DataFrame, keys: tuple[str, ...] = ("results",), description: tuple[str, ...] = ("content", "description")) -> DataFrame:
     """id, pos, url, title, description of a result list: the first of keys that is there; items are strings or objects."""
-    spark = payloads.sparkSession
-    payloads.createOrReplaceTempView("lodeworks_payloads")
     lists = ", ".join(f"try_variant_get(v, '$.{k}', 'variant')" for k in keys)
     text = ", ".join(f"try_variant_get(s.value, '$.{d}', 'string')" for d in description)
-    return spark.sql(f"WITH p AS (SELECT id, try_parse_json(raw) AS v FROM lodeworks_payloads) SELECT id, CAST(s.pos AS BIGINT) AS pos, {_source('s.value')}, CASE WHEN schema_of_variant(s.value) <> 'STRING' THEN coalesce({text}) END AS description FROM p, LATERAL variant_explode(coalesce({lists})) AS s").where("trim(url) <> ''")
+    return payloads.sparkSession.sql(f"WITH p AS (SELECT id, try_parse_json(raw) AS v FROM {{payloads}}) SELECT id, CAST(s.pos AS BIGINT) AS pos, {_source('s.value')}, CASE WHEN schema_of_variant(s.value) <> 'STRING' THEN coalesce({text}) END AS description FROM p, LATERAL variant_explode(coalesce({lists})) AS s", payloads=payloads).where("trim(url) <> ''")
 
 
 def papers(raw: Column) -> Column:

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeworks.operators.audit import tool_stats
+from lodeworks.sources.shared import shared_root
 
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
@@ -29,15 +28,19 @@ def error_windows(events: DataFrame, minutes: int = 60, late: str = "2 hours") -
     return rows.groupBy(F.window("ts", f"{minutes} minutes").alias("w")).agg(F.count("*").alias("errors")).select(F.col("w.start").alias("window_start"), "errors")
 
 
-def drain(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """Run a stream over all that is there and return its result table.
+def drain(stream: DataFrame, keys: list[str]) -> DataFrame:
+    """Run a stream over all that is there and return its result: the last row of each key.
 
-    State and progress go to the shared checkpoint folder; the result of these queries is a row for
-    each tool or window, which the memory sink can hold.
+    Each batch writes the rows that it changed (update mode, so a watermark lets state go) to the shared folder, under its
+    number: a batch that runs again writes over itself.  State and progress go there too.
     """
-    spark = stream.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or os.environ.get("LODEWORKS_SHARED_DIR") or tempfile.mkdtemp(prefix="lodeworks-")
-    name = f"drained_{uuid.uuid4().hex}"
-    run = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{root}/{name}").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table(name)
+    root = f"{shared_root(stream.sparkSession)}/drained-{uuid.uuid4().hex}"
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/rows/batch={number}")
+
+    stream.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", f"{root}/progress").trigger(availableNow=True).start().awaitTermination()
+    rows = stream.sparkSession.read.option("basePath", f"{root}/rows").parquet(f"{root}/rows")
+    others = [c for c in stream.columns if c not in keys]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch").alias("r"))
+    return last.select(*keys, "r.*").select(*stream.columns)
