@@ -215,14 +215,6 @@ def test_evict_is_newest_first_with_ties_by_key(spark):
     assert sorted(r["cache_key"] for r in audit.evict(df, 0, 22).collect()) == ["k4", "k5", "k6", "k7"]
 
 
-def test_render_folds_more_answers(spark):
-    from lodeworks.plans.artifacts import render
-
-    text = {r["question_id"]: r["markdown"] for r in render(spark, "").collect()}
-    assert text[1].startswith("# Q1") and text[1].index("second") < text[1].index("first") and text[1].endswith("1 more answers")
-    assert "unknown" in text[1] and "more answers" not in text[2]
-
-
 def test_heading_rules(spark):
     rows = [("Abstract", True), ("2 Data", True), ("Figure 1", False), ("see http://x", False), ("random words", False), ("## Methods", True)]
     df = spark.createDataFrame(rows, "x string, y boolean").select(structure.is_heading(F.col("x")).alias("g"), "y")

@@ -60,13 +60,6 @@ def test_markdown_escapes_and_pads(spark):
     assert df.select(artifacts.table_markdown(F.col("t")).alias("m")).first()["m"] == "| a\\|b | c |\n| --- | --- |\n| x y |  |"
 
 
-def test_issue_comments_are_ordered_by_time(spark):
-    from lodeworks.plans.rules import issue
-
-    text = issue(spark, "").first()["markdown"]
-    assert text.index("first") < text.index("second") and text.endswith("1 more comments") and "closed, not merged" in text
-
-
 @pytest.mark.parametrize("url, public", [("http://0.0.0.0", False), ("http://100.128.0.1", True), ("http://[fd00::1]/", False), ("https://EXAMPLE.com", True), ("mailto:x", False), ("", False)])
 def test_url_policy(spark, url, public):
     assert spark.createDataFrame([(url,)], "u string").select(rules.is_public_url(F.col("u")).alias("p")).first()["p"] is public
