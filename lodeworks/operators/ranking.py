@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from lodeworks.functions.text import least_hits, meaningful_tokens, normalize_title, raw_tokens, strong_hits, token_hits
 
@@ -88,50 +90,74 @@ def top_k(rows: DataFrame, query: str, order: list[Column], limit: int) -> DataF
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= min(max(limit, 1), 50))
 
 
+#: Of a paper, beside its identifiers: what the first that has it gives, the larger of two, lists that grow by new URLs.
+FIRST_GIVEN = ["authors", "venue", "abstract", "url", "pdf_url", "open_access", "license"]
+LARGER = ["citations", "references"]
+GROWING = ["sources", "materials"]
+
+
 def merge_papers(papers: DataFrame) -> DataFrame:
     """The exact, order-dependent merge of ranked paper lists, query by query.
 
-    papers: query_id, list_no, position, title, year, doi, arxiv, semantic, openalex, citations.
-    A paper joins the first entry whose present title (normalised) is the same, if the years are at
-    most two apart or unknown; else the entry of its key; else it makes one.  The order of arrival
-    decides, so a query's lists are folded in one group; they hold a few providers' pages, bounded
+    papers: query_id, list_no, position, title, year, doi, arxiv, semantic, openalex, citations, and any of FIRST_GIVEN (authors:
+    array of strings), references, sources and materials (arrays of structs with url).  A paper joins the first entry whose present
+    title (normalised) is the same, if the years are at most two apart or unknown; else the entry of its key; else it makes one.
+    An entry keeps what it has and takes what it lacks; counts become the larger; sources and materials with new URLs are
+    appended.  The order of arrival decides, so a query's lists are folded in one group; they hold a few providers' pages, bounded
     by the providers' page size, whatever the number of queries.
     """
+    extra = [c for c in (*FIRST_GIVEN, *LARGER[1:], *GROWING) if c in papers.columns]
     prepared = papers.withColumn("norm", normalize_title(F.coalesce("title", F.lit(""))))
 
+    def known(value: object) -> object:
+        """None for nothing; lists as lists."""
+        if isinstance(value, (list, tuple, np.ndarray)):
+            return list(value) or None
+        return None if value is None or pd.isna(value) else value
+
+    def absorb(e: dict, row: dict) -> None:
+        for c in ("year", "doi", "arxiv", "semantic", "openalex", *(x for x in extra if x in FIRST_GIVEN)):
+            e[c] = row[c] if e[c] is None else e[c]
+        for c in ("citations", *(x for x in extra if x in LARGER)):
+            e[c] = max((x for x in (e[c], row[c]) if x is not None), default=None)
+        for c in (x for x in extra if x in GROWING):
+            have = list(e[c] or [])
+            e[c] = have + [x for n, x in enumerate(row[c] or []) if x["url"] not in {y["url"] for y in (*have, *(row[c][:n]))}]
+
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         entries: list[dict] = []
         by_key: dict[str, int] = {}
         by_title: dict[str, list[int]] = {}
         for row in pdf.sort_values(["list_no", "position"], kind="stable").to_dict("records"):
-            row = {k: None if pd.isna(v) else v for k, v in row.items()}
-            year, hit = row["year"], None
-            for i in by_title.get(row["norm"], []) if row["norm"] else []:
+            row = {k: known(v) for k, v in row.items()}
+            year, norm, hit = row["year"], row["norm"] or "", None
+            for i in by_title.get(norm, []) if norm else []:
                 have = entries[i]["year"]
                 if have is None or year is None or abs(have - year) <= 2:
                     hit = i
                     break
             named = next((f"{n}:{row[n].lower()}" for n in ("doi", "arxiv", "semantic", "openalex") if row[n] is not None), None)
-            key = named or f"title:{row['norm']}:{'' if year is None else int(year)}"
+            key = named or f"title:{norm}:{'' if year is None else int(year)}"
             if hit is None:
                 hit = by_key.get(key)
             if hit is None:
                 hit = by_key[key] = len(entries)
-                entries.append({c: row[c] for c in ("query_id", "title", "year", "doi", "arxiv", "semantic", "openalex", "citations")} | {"key": key, "rrf": 0.0, "n_merged": 0, "first_seen": hit})
-                by_title.setdefault(row["norm"], []).append(hit)
+                entries.append({c: row[c] for c in ("query_id", "title", "year", "doi", "arxiv", "semantic", "openalex", "citations", *extra)} | {"key": key, "rrf": 0.0, "n_merged": 0, "first_seen": hit})
+                by_title.setdefault(norm, []).append(hit)
             e = entries[hit]
-            e["rrf"] += 1.0 / (RRF_K + 1 + row["position"])
-            e["n_merged"] += 1
-            for c in ("year", "doi", "arxiv", "semantic", "openalex"):
-                e[c] = row[c] if e[c] is None else e[c]
+            if e["n_merged"]:
+                absorb(e, row)
             if not e["title"] and row["title"]:
                 e["title"] = row["title"]
-                by_title.setdefault(row["norm"], []).append(hit)
-            if row["citations"] is not None:
-                e["citations"] = row["citations"] if e["citations"] is None else max(e["citations"], row["citations"])
+                by_title.setdefault(norm, []).append(hit)
+            e["rrf"] += 1.0 / (RRF_K + 1 + row["position"])
+            e["n_merged"] += 1
         out = pd.DataFrame(entries)
-        for c in ("year", "citations"):
+        for c in ("year", *(x for x in LARGER if x in out.columns)):
             out[c] = out[c].astype("Int64")
         return out
 
-    return prepared.groupBy("query_id").applyInPandas(fold, "query_id long, title string, year long, doi string, arxiv string, semantic string, openalex string, citations long, key string, rrf double, n_merged long, first_seen long")
+    types = {f.name: f for f in papers.schema.fields}
+    base = StructType.fromDDL("query_id long, title string, year long, doi string, arxiv string, semantic string, openalex string, citations long")
+    result = StructType([*base.fields, *(StructField("references", LongType()) if c == "references" else types[c] for c in extra), *StructType.fromDDL("key string, rrf double, n_merged long, first_seen long").fields])
+    return prepared.groupBy("query_id").applyInPandas(fold, result)

@@ -91,6 +91,23 @@ def test_merge_papers_is_order_dependent(spark):
     assert deep["rrf"] == pytest.approx(2 / 61)
 
 
+def test_merged_papers_take_what_they_lack(spark):
+    """Sources and materials grow by new URLs, counts by the larger, all else stays with the first that has it."""
+    link = lambda *urls: [{"url": u, "provider": f"p{i}"} for i, u in enumerate(urls)]
+    kind = "query_id long, list_no int, position int, title string, year long, doi string, arxiv string, semantic string, openalex string, citations long, authors array<string>, venue string, abstract string, open_access boolean, references long, sources array<struct<url: string, provider: string>>, materials array<struct<url: string, provider: string>>"
+    rows = [
+        (1, 0, 0, "Lode Bodies", None, None, None, None, None, 3, [], None, "first", None, None, link("a", "b"), None),
+        (1, 1, 0, "lode bodies!", 2020, "10.5555/l", None, None, None, None, ["Ann"], "V", "second", False, 7, link("b", "c", "c"), link("m")),
+        (1, 1, 1, "Other", 2001, "10.5555/L", None, None, "W1", 9, ["Bob"], None, None, True, 2, link("d"), []),
+        (1, 2, 0, "Lode Bodies", 2022, None, "x", None, None, 2, ["Cy"], "W", None, True, 9, None, link("m", "n")),
+    ]
+    got = {r["first_seen"]: r for r in ranking.merge_papers(spark.createDataFrame(rows, kind)).collect()}
+    e = got[0]
+    assert (e["year"], e["doi"], e["arxiv"], e["citations"], e["references"], e["authors"], e["venue"], e["abstract"], e["open_access"], e["n_merged"]) == (2020, "10.5555/l", "x", 3, 9, ["Ann"], "V", "first", False, 3)
+    assert [s["url"] for s in e["sources"]] == ["a", "b", "c"] and [m["url"] for m in e["materials"]] == ["m", "n"]
+    assert got[1]["title"] == "Other" and [s["url"] for s in got[1]["sources"]] == ["d"] and got[1]["key"] == "doi:10.5555/l"
+
+
 def test_duplicates_in_a_list_add_again(spark):
     lists = spark.createDataFrame([(1, "a", 0, 0), (1, "a", 0, 1), (1, "b", 1, 0)], "query_id int, key string, list_no int, position int")
     got = {r["key"]: r["rrf"] for r in ranking.fuse(lists).collect()}
