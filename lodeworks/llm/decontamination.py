@@ -48,16 +48,18 @@ NAME_STEPS = [(r"(^|[^\p{L}\p{N}])(\p{Lu}\p{Ll})", f"$1{NAME}$2"), (rf"{NAME}({F
 TOKEN = rf"\p{{L}}\p{{N}}{NUMBER}-{JOINER}"
 
 
-def marked(text: Column) -> Column:
-    """The text in lower case with a mark before each number, name and unit."""
-    names = text
-    for pattern, replacement in NAME_STEPS:
-        names = F.regexp_replace(names, pattern, replacement)
-    text = F.when(text.rlike(r"\p{Lu}\p{Ll}"), names).otherwise(text)
-    numbers = text
-    for pattern, replacement in NUMBER_STEPS:
-        numbers = F.regexp_replace(numbers, pattern, replacement)
-    return F.lower(F.when(text.rlike(r"\p{N}"), numbers).otherwise(text))
+def marked(rows: DataFrame, key: str) -> DataFrame:
+    """key, m: the text in lower case with a mark before each number, name and unit.  In steps, so that each is computed once."""
+
+    def steps(text: Column, replacements: list[tuple[str, str]]) -> Column:
+        for pattern, replacement in replacements:
+            text = F.regexp_replace(text, pattern, replacement)
+        return text
+
+    plain, named = F.col("plain"), F.col("named")
+    rows = rows.select(F.col(key).cast("long").alias(key), F.coalesce(F.col("text"), F.lit("")).alias("plain"))
+    rows = rows.select(key, F.when(plain.rlike(r"\p{Lu}\p{Ll}"), steps(plain, NAME_STEPS)).otherwise(plain).alias("named"))
+    return rows.select(key, F.lower(F.when(named.rlike(r"\p{N}"), steps(named, NUMBER_STEPS)).otherwise(named)).alias("m"))
 
 
 def _typed(word: Column) -> Column:
@@ -66,13 +68,14 @@ def _typed(word: Column) -> Column:
 
 def windows(rows: DataFrame, key: str, lengths: list[int], plain: bool = False) -> DataFrame:
     """key, length, position, hash of all windows of the given lengths, beside t (all tokens) and words (all marked tokens); plain: of unmarked tokens, without words."""
-    body = F.coalesce(F.col("text"), F.lit(""))
     if plain:
-        tokens = rows.select(F.col(key).cast("long").alias(key), F.array_remove(F.split(F.lower(body), r"[^\p{L}\p{N}]+"), "").alias("t"), F.lit(None).cast("array<string>").alias("words"))
+        tokens = rows.select(F.col(key).cast("long").alias(key), F.array_remove(F.split(F.lower(F.coalesce(F.col("text"), F.lit(""))), r"[^\p{L}\p{N}]+"), "").alias("t"), F.lit(None).cast("array<string>").alias("words"))
     else:
-        words = rows.select(F.col(key).cast("long").alias(key), F.array_remove(F.split(marked(body), rf"[^{TOKEN}]+"), "").alias("words"))
+        words = marked(rows, key).select(key, F.array_remove(F.split("m", rf"[^{TOKEN}]+"), "").alias("words"))
         tokens = words.select(key, F.transform("words", lambda w: F.when(_typed(w), F.substring(w, 1, 1)).otherwise(w)).alias("t"), "words")
-    places = tokens.where(F.size("t") >= min(lengths)).select(key, "t", "words", F.explode(F.sequence(F.lit(0), F.size("t") - min(lengths))).alias("position"))
+    # The outer form: the inner one would add filters on the token arrays below itself, which compute them once more each.
+    starts = F.when(F.size("t") >= min(lengths), F.sequence(F.lit(0), F.size("t") - min(lengths)))
+    places = tokens.select(key, "t", "words", F.explode_outer(starts).alias("position")).where("position is not null")
     of = lambda n: F.xxhash64(*(F.get(F.col("t"), F.col("position") + k) for k in range(n)))
     if len(lengths) == 1:
         return places.select(key, "t", "words", F.lit(lengths[0]).alias("length"), "position", of(lengths[0]).alias("hash"))
