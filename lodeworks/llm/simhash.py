@@ -7,9 +7,13 @@ Keys.  The fingerprint is cut into segments of at most 23 bits.  The binary Gola
 perfect: every 23-bit word has one codeword within 3 bits; a word at distance 3 from it has 5 more
 codewords at distance 4.  Two words that differ in 2 bits or fewer have a word between them, whose
 codeword is within 4 bits of both - so if a word is decoded to all its codewords within 4 bits (1 or
-6), such a pair shares an index.  Of n segments, the two with the fewest errors have 2 errors or
-fewer each as long as at most 3 (n - 1) - 1 bits differ: 5 bits for 3 segments, 8 for 4.  The keys are
-therefore the index pairs of all pairs of segments, about 28 for each pair.
+6), such a pair shares an index.  Up to 4 bits over 3 segments (of 22, 21 and 21 bits): the two segments with the
+fewest errors have 0 and at most 2, or 1 and 1, and then the third has at most 2.  The keys are
+therefore, of 34 bits each: a segment as it is with an index of another; and an index of a segment with a half
+of each other one, of which one half is without error.  That makes about 96 keys, and two fingerprints that have nothing to
+do with each other meet once in 30 million pairs.  For more bits the keys are the index pairs of
+all pairs of segments, of 24 bits, about 28 for each pair: of n segments, two have 2 errors or fewer each as long
+as at most 3 (n - 1) - 1 bits differ.
 
 Join and verify.  Keys travel in packed arrays to key buckets; equal keys are compared there, and
 pairs within the permitted distance are links.  Exact copies have travelled as one fingerprint.  A
@@ -43,6 +47,8 @@ from lodeworks.llm.shingles import shingle_and_word_sets
 
 SHINGLE, MAX_BITS, SEED = 4, 4, 42
 STRETCH = 1 << 16
+#: Up to so many bits, keys are long (34 bits).
+LONG_KEY_BITS = 4
 #: Keys of a bucket, about.
 BUCKET_KEYS = 1_000_000
 #: Longer runs of equal keys are searched breadth-first instead of pair by pair.
@@ -142,17 +148,36 @@ def segment_widths(max_bits: int) -> list[int]:
 
 def golay_keys(fps: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """keys and, for each, the position of its fingerprint in fps."""
-    at, segments = 0, []
-    for width in segment_widths(max_bits):
-        segments.append(codeword_indices(((fps >> np.uint64(at)) & np.uint64((1 << width) - 1)).astype(np.int64)))
+    at, values, indices = 0, [], []
+    widths = segment_widths(max_bits)
+    for width in widths:
+        values.append(((fps >> np.uint64(at)) & np.uint64((1 << width) - 1)).astype(np.int64))
+        indices.append(codeword_indices(values[-1]))
         at += width
     keys, owners = [], []
-    for number, ((a, holds_a), (b, holds_b)) in enumerate(itertools.combinations(segments, 2)):
-        key = (a[:, :, None] << 12) | b[:, None, :] | (number << 24)
-        holds = holds_a[:, :, None] & holds_b[:, None, :]
+
+    def take(rest: np.ndarray, index: np.ndarray, holds: np.ndarray) -> None:
+        key = (rest << 12) | index | (len(keys) << 40)
         keys.append(key[holds])
         owners.append(np.nonzero(holds)[0])
-    return np.concatenate(keys).astype(np.uint32), np.concatenate(owners)
+
+    if max_bits <= LONG_KEY_BITS:
+        halves = [(v & ((1 << w // 2) - 1), v >> w // 2) for v, w in zip(values, widths)]
+        for i, j in itertools.permutations(range(3), 2):
+            take(values[i][:, None], *indices[j])
+        for c, (a, b) in enumerate(((1, 2), (0, 2), (0, 1))):
+            for x, y in itertools.product(halves[a], halves[b]):
+                take(((x << 11) | y)[:, None], *indices[c])
+    else:
+        for (a, holds_a), (b, holds_b) in itertools.combinations(indices, 2):
+            take(a[:, :, None], b[:, None, :], holds_a[:, :, None] & holds_b[:, None, :])
+    return np.concatenate(keys).astype(np.uint64), np.concatenate(owners)
+
+
+def keys_each(max_bits: int) -> int:
+    """Keys of a fingerprint, about."""
+    n = len(segment_widths(max_bits))
+    return 96 if max_bits <= LONG_KEY_BITS else 28 * n * (n - 1) // 2
 
 
 def _dense_links(fps: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -178,7 +203,7 @@ def _dense_links(fps: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray
 def links_in_bucket(keys: np.ndarray, fps: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(keys, kind="stable")
     keys, fps = keys[order], fps[order]
-    starts = np.flatnonzero(np.diff(keys, prepend=keys[:1] ^ np.uint32(1)))
+    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
     lengths = np.diff(starts, append=len(keys))
     left, right = [], []
     for a, n in zip(starts[lengths > SHORT_RUN].tolist(), lengths[lengths > SHORT_RUN].tolist()):
@@ -203,8 +228,7 @@ def links_in_bucket(keys: np.ndarray, fps: np.ndarray, max_bits: int) -> tuple[n
 
 def fingerprint_links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """fps (fp, distinct) -> u, v: a forest of links with the components of all links."""
-    n_pairs = len(segment_widths(max_bits)) * (len(segment_widths(max_bits)) - 1) // 2
-    buckets = max(8, -(-fps.count() * 28 * n_pairs // BUCKET_KEYS))
+    buckets = max(8, -(-fps.count() * keys_each(max_bits) // BUCKET_KEYS))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,7 +236,8 @@ def fingerprint_links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
             for a in range(0, len(values), 8192):
                 part = values[a : a + 8192]
                 keys, owners = golay_keys(part, max_bits)
-                bucket = (mix64(keys.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+                mixed = mix64(keys)
+                bucket, keys = (mixed % np.uint64(buckets)).astype(np.int64), (mixed >> np.uint64(32)).astype(np.uint32)  # within a bucket 32 bits tell keys apart well enough
                 order = np.argsort(bucket, kind="stable")
                 keys, owned, bucket = keys[order], part[owners[order]], bucket[order]
                 names, starts = np.unique(bucket, return_index=True)
