@@ -30,7 +30,10 @@ def table_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
     return values(spark, TABLE_ROWS, "id, t").select("id", A.table_filter_reason(s, F.col("t")).alias("reason"), F.round(A.table_quality(s), 6).alias("quality"))
 
 
-@query("l3_table_markdown")
+SQL_LINE = lambda r: f"'| ' || array_to_string(list_transform(range(1, cols + 1), lambda i: replace(replace(trim(coalesce({r}[i], '')), '|', '\\|'), chr(10), ' ')), ' | ') || ' |'"
+
+
+@query("l3_table_markdown", f"WITH {SQL_STATS} SELECT id, array_to_string(list_concat([{SQL_LINE('t[1]')}], ['| ' || array_to_string(list_transform(range(cols), lambda i: '---'), ' | ') || ' |'], list_transform(t[2:], lambda r: {SQL_LINE('r')})), chr(10)) AS markdown FROM s")
 def table_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return values(spark, TABLE_ROWS, "id, t").select("id", A.table_markdown(F.col("t")).alias("markdown"))
 
