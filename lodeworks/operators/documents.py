@@ -7,6 +7,7 @@ from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -146,9 +147,16 @@ def text_mode(mode: str | None) -> str:
     return MODES[name]
 
 
-def noise_keys(lines: list[str]) -> set[str]:
+def squeezed(lines: list[str]) -> list[str]:
+    """Each line with runs of white space as one blank, none at the ends."""
+    if any(c in line for line in lines for c in "\x1c\x1d\x1e\x1f"):  # white space to str.split alone
+        return [" ".join(re.findall(rf"[^{SPACE}]+", x)) for x in lines]
+    return [" ".join(x.split()) for x in lines]
+
+
+def noise_keys(keys: list[str]) -> set[str]:
     """Squeezed lines that the text repeats and that look like layout."""
-    counts = Counter(k for x in lines if len((k := " ".join(re.findall(rf"[^{SPACE}]+", x))).encode()) >= NOISE_BYTES and len(k) <= NOISE_CHARS)
+    counts = Counter(k for k in keys if len(k) <= NOISE_CHARS and len(k.encode()) >= NOISE_BYTES)
 
     def noisy(key: str) -> bool:
         low = _ascii_lower(key)
@@ -169,8 +177,9 @@ def clean(text: str | None, mode: str = "clean") -> tuple[str, int]:
     if mode == "raw":
         return text, 0
     lines = split_lines(text)
-    noise = noise_keys(lines)
-    kept = repair_hyphenation([x for x in lines if " ".join(re.findall(rf"[^{SPACE}]+", x)) not in noise])
+    keys = squeezed(lines)
+    noise = noise_keys(keys)
+    kept = repair_hyphenation([x for x, k in zip(lines, keys) if k not in noise])
     if mode == "clean":
         return paragraphs(kept), len(noise)
     out: list[str] = []
@@ -197,11 +206,21 @@ def clean_documents(docs: DataFrame, mode: str = "clean", key: str = "doc_id") -
     return docs.select(key, "text").mapInPandas(run, schema).withColumn("warning", noise_warning(F.col("n_noise")))
 
 
-def fnv1a(text: str) -> int:
-    h = FNV_OFFSET
-    for b in text.encode():
-        h = ((h ^ b) * FNV_PRIME) & 0xFFFFFFFFFFFFFFFF
-    return h
+def fnv1a(texts: list[str]) -> np.ndarray:
+    """64-bit hashes of many texts, byte position by byte position."""
+    raw = [t.encode() for t in texts]
+    size = np.array([len(r) for r in raw], np.int64)
+    order = np.argsort(-size, kind="stable")
+    begin = (np.cumsum(size) - size)[order]
+    data = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint64)
+    size = size[order]
+    h = np.full(len(raw), FNV_OFFSET, np.uint64)
+    longer = np.searchsorted(-size, -np.arange(size[0] if len(size) else 0), "left")  # how many texts have a byte at each place
+    for place, n in enumerate(longer.tolist()):
+        h[:n] = (h[:n] ^ data[begin[:n] + place]) * np.uint64(FNV_PRIME)
+    out = np.empty(len(raw), np.uint64)
+    out[order] = h
+    return out
 
 
 def paragraph_spans(raw: bytes) -> list[tuple[int, int]]:
@@ -242,41 +261,42 @@ def chunk_spans(raw: bytes, most: int, overlap: int) -> list[tuple[int, int]]:
     return [*out, (start, end)] if end > start else out
 
 
-def chunk_text(text: str, most: int, overlap: int) -> Iterator[tuple[int, int, int, int, int, str, list[tuple[str, int, int, int, str]]]]:
-    """(number from 0, start byte, end byte, first line, last line, text, anchors); lines count from 1.
+def chunk_text(text: str, most: int, overlap: int) -> Iterator[tuple[int, int, int, int, int, str, list[tuple[int, int, int, str]]]]:
+    """(number from 0, start byte, end byte, first line, last line, text, anchored lines); lines count from 1.
 
-    An anchor stands for each line of the text that the chunk touches and that is not blank: (id, line, start byte, end
-    byte, excerpt); equal lines of a chunk share an id.
+    Anchored are the lines of the text that the chunk touches and that are not blank: (line, start byte, end byte, excerpt).
     """
     raw = text.encode()
     starts = [0, *(m.end() for m in re.finditer(b"\n", raw) if m.end() < len(raw))]
     lines = split_lines(text)
     for number, (start, end) in enumerate(chunk_spans(raw, most, overlap)):
         first, last = bisect_right(starts, start) - 1, bisect_right(starts, max(0, end - 1)) - 1
-        anchors = []
-        for i in range(first, min(last + 1, len(lines))):
-            if excerpt := lines[i].strip(SPACE)[:EXCERPT]:
-                anchors.append((f"c{number:04d}_{fnv1a(excerpt):010x}", i + 1, starts[i], starts[i] + len(lines[i].encode()), excerpt))
-        yield number, start, end, first + 1, last + 1, raw[start:end].decode(), anchors
-
+        anchored = [(i + 1, starts[i], starts[i] + len(lines[i].encode()), excerpt) for i in range(first, min(last + 1, len(lines))) if (excerpt := lines[i].strip(SPACE)[:EXCERPT])]
+        yield number, start, end, first + 1, last + 1, raw[start:end].decode(), anchored
 
-ANCHOR = "anchor_id string, line long, byte_start long, byte_end long, excerpt string"
 
-
-def chunks(docs: DataFrame, profile: str = "balanced", key: str = "doc_id") -> DataFrame:
-    """key, chunk_id, byte_start, byte_end, line_start, line_end, chunk, anchors of each document, in Arrow batches: no shuffle."""
+def chunks(docs: DataFrame, profile: str = "balanced", key: str = "doc_id", anchors: bool = True) -> DataFrame:
+    """key, chunk_id, byte_start, byte_end, line_start, line_end, chunk, n_anchors and, if asked for, anchors (anchor_id, line,
+    byte_start, byte_end, excerpt) of each document, in Arrow batches: no shuffle.  Equal lines of a chunk share an id.
+    """
     most, overlap, *_ = CHUNK_PROFILES[profile]
-    names = ["chunk_id", "byte_start", "byte_end", "line_start", "line_end", "chunk", "anchors"]
+    names = [key, "chunk_id", "byte_start", "byte_end", "line_start", "line_end", "chunk", "n_anchors"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for name, text in zip(pdf[key], pdf["text"]):
-                found = [(f"chunk_{n:04d}", *spans, body, [dict(zip(("anchor_id", "line", "byte_start", "byte_end", "excerpt"), a)) for a in anchors]) for n, *spans, body, anchors in chunk_text(text or "", most, overlap)]
-                out = pd.DataFrame(found, columns=names)
-                out.insert(0, key, pd.Series([name] * len(out), dtype=object))
-                yield out
-
-    schema = StructType([docs.schema[key], *StructType.fromDDL(f"chunk_id string, byte_start long, byte_end long, line_start long, line_end long, chunk string, anchors array<struct<{ANCHOR.replace(' string', ':string').replace(' long', ':long')}>>").fields])
+            found = [(name, piece) for name, text in zip(pdf[key], pdf["text"]) for piece in chunk_text(text or "", most, overlap)]
+            if not found:
+                continue
+            out = pd.DataFrame([(name, f"chunk_{p[0]:04d}", *p[1:6], len(p[6])) for name, p in found], columns=names)
+            if anchors:
+                hashes = iter(fnv1a([a[3] for _, p in found for a in p[6]]).tolist())
+                out["anchors"] = [[{"anchor_id": f"c{p[0]:04d}_{next(hashes):010x}", "line": a[0], "byte_start": a[1], "byte_end": a[2], "excerpt": a[3]} for a in p[6]] for _, p in found]
+            yield out
+
+    fields = "chunk_id string, byte_start long, byte_end long, line_start long, line_end long, chunk string, n_anchors long"
+    if anchors:
+        fields += ", anchors array<struct<anchor_id:string,line:long,byte_start:long,byte_end:long,excerpt:string>>"
+    schema = StructType([docs.schema[key], *StructType.fromDDL(fields).fields])
     return docs.select(key, "text").mapInPandas(run, schema)
 
 

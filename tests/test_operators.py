@@ -170,12 +170,25 @@ def test_chunks_cover_and_overlap():
     assert not list(documents.chunk_text("", 500, 60)) and len(list(documents.chunk_text("x" * 9000, 500, 60))) == 1
 
 
-def test_anchor_ids_repeat_for_equal_lines():
+def test_anchored_lines():
     ((number, start, end, first, last, body, anchors),) = documents.chunk_text(" x\n\ny\nx\n", 500, 60)
     assert (number, start, end, first, last) == (0, 0, 8, 1, 4) and body == " x\n\ny\nx\n"
-    assert [(n, a, b, e) for _, n, a, b, e in anchors] == [(1, 0, 2, "x"), (3, 4, 5, "y"), (4, 6, 7, "x")]
-    ids = [a[0] for a in anchors]
-    assert ids[0] == ids[2] != ids[1] and documents.fnv1a("a") == 0xAF63DC4C8601EC8C and ids[0].startswith("c0000_")
+    assert anchors == [(1, 0, 2, "x"), (3, 4, 5, "y"), (4, 6, 7, "x")]
+
+
+def plain_fnv1a(text):
+    h = 0xCBF29CE484222325
+    for b in text.encode():
+        h = ((h ^ b) * 0x100000001B3) % (1 << 64)
+    return h
+
+
+def test_anchors_of_documents(spark):
+    texts = ["a", "", "é" * 300, "abc", "b" * 240, "a"]
+    assert documents.fnv1a(texts).tolist() == [plain_fnv1a(t) for t in texts] and documents.fnv1a(["a"]).tolist() == [0xAF63DC4C8601EC8C] and len(documents.fnv1a([])) == 0
+    docs = spark.createDataFrame([("k", " x\n\ny\nx\n"), ("empty", ""), ("null", None)], "name string, text string")
+    rows = documents.anchors_of(documents.chunks(docs, key="name"), "name").collect()
+    assert [(r["name"], r["chunk_id"], r["anchor_id"], r["line"], r["byte_start"], r["byte_end"], r["excerpt"]) for r in rows] == [("k", "chunk_0000", f"c0000_{plain_fnv1a(t):010x}", n, a, b, t) for n, a, b, t in [(1, 0, 2, "x"), (3, 4, 5, "y"), (4, 6, 7, "x")]]
 
 
 def test_chunks_restated():
@@ -184,7 +197,7 @@ def test_chunks_restated():
     assert documents.paragraph_spans(text.encode()) == [(0, 4), (6, 8), (10, 16), (18, 30)] and documents.paragraph_spans(b"\n\n") == [(0, 2)] and documents.paragraph_spans(b"") == [(0, 0)]
     assert [(n, a, b, f, l) for n, a, b, f, l, _, _ in documents.chunk_text(text, 16, 2)] == [(0, 0, 16, 1, 5), (1, 14, 30, 5, 7)]
     got = list(documents.chunk_text(text, 16, 2))
-    assert [x[4] for x in got[1][6]] == ["bébé", "c" * 12] and got[1][5] == "é\n\n" + "c" * 12
+    assert [x[3] for x in got[1][6]] == ["bébé", "c" * 12] and got[1][5] == "é\n\n" + "c" * 12
 
 
 @pytest.mark.parametrize(
