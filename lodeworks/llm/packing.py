@@ -57,6 +57,7 @@ def shortest_pack_first(histogram: dict[int, int], capacity: int) -> list[tuple[
     return done + [p[1:] for p in open_packs]
 
 
+BUCKET_PIECES = 250_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -109,8 +110,11 @@ class Places:
 
 
 def pack_pieces(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """cut with sequence_id and offset.  cut is read three times: materialise it before."""
-    buckets = max(64, parallelism(cut.sparkSession))
+    """cut with sequence_id and offset.  cut is read several times: materialise it before.
+
+    Pieces of one length are ranked bucket by bucket; the buckets grow with their number, so that a task ranks BUCKET_PIECES at most.
+    """
+    buckets = max(64, parallelism(cut.sparkSession), -(-cut.count() // BUCKET_PIECES))
     cut = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)).cast("int"))
     sizes = cut.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     histogram = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most

@@ -31,6 +31,7 @@ from lodeworks.llm.common import id_and_text, parallelism, shared_root
 BLOCK = 512
 PERCENTILE = 95
 SEGMENT_IDS = 1 << 18
+SHARD_BYTES = 128 << 20
 MAGIC = b"PFB1"
 SEGMENTS = "shard int, start_in_shard long, n_ids long, doc_ids array<long>, lengths array<long>, payload binary"
 SEGMENT_ARROW = pa.schema([("shard", pa.int32()), ("start_in_shard", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("payload", pa.binary())])
@@ -135,8 +136,13 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def write_token_blocks(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, segment_ids: int = SEGMENT_IDS, shards: int | None = None) -> None:
-    """Write every document's ids, an end id behind each, in ascending doc_id order (null first; rows of one doc_id by text)."""
-    shards = shards or parallelism(docs.sparkSession)
+    """Write every document's ids, an end id behind each, in ascending doc_id order (null first; rows of one doc_id by text).
+
+    By default there is a shard for each SHARD_BYTES of text, and as many as the session runs at once at least.
+    """
+    if not shards:
+        n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        shards = max(parallelism(docs.sparkSession), -(-n_bytes // SHARD_BYTES))
     # Ranges of the id alone: their bounds come from a sample of keys at the driver.
     ordered = id_and_text(docs).repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(_segments(tokenizer_path, end_id, segment_ids), SEGMENTS).write.option("compression", "none").parquet(path)
