@@ -234,6 +234,23 @@ def test_simhash_dedup(spark):
     assert got == {i: (f"{prints[i]:016x}", names[i]) for i in prints}
 
 
+def test_simhash_of_null_and_repeated_ids(spark):
+    """Every row is reported; the smallest id that there is names a component, null only where there is no other."""
+    rows = [(None, "one two three four five"), (9, "one two three four five"), (9, "other words stand here now"), (9, "one two three four five"), (None, "alone in this long world"), (-4, "ONE two three  four five")]
+    got = sorted(((r["doc_id"], r["fingerprint"], r["component_id"]) for r in simhash.simhash_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()), key=repr)
+    names = {"one two three four five": -4, "other words stand here now": 9, "alone in this long world": None, "ONE two three  four five": -4}
+    assert got == sorted(((i, f"{brute_fingerprint(t):016x}", names[t]) for i, t in rows), key=repr)
+
+
+def test_strangers_seldom_share_a_key():
+    """Candidate pairs of random fingerprints at three sizes: far fewer than one for each thousand keys."""
+    rng = np.random.default_rng(1)
+    for n in (2_000, 8_000, 32_000):
+        keys, _ = simhash.golay_keys(rng.integers(0, 1 << 63, n, dtype=np.uint64), 4)
+        _, counts = np.unique(keys, return_counts=True)
+        assert (counts * (counts - 1) // 2).sum() < 1e-7 * n * n + 5 and 80 * n < len(keys) < 110 * n
+
+
 @pytest.mark.parametrize("bits", [4, 5, 8])
 def test_golay_keys_lose_no_link(bits):
     rng = np.random.default_rng(bits)

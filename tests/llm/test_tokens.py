@@ -141,3 +141,25 @@ def test_packing_of_a_table(spark, libraries):
 @pytest.mark.parametrize("operator", [lambda d: token_blocks(d, BYTE), lambda d: token_counts(d, WORD), lambda d: pack_documents(d, BYTE)])
 def test_empty_tables(spark, operator):
     assert operator(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+ODD_IDS = [(None, "first null"), (7, "b text"), (7, "a text"), (None, "second null"), (7, "a text"), (-3, None), (2**40, "")]
+
+
+def test_null_and_repeated_ids(spark, libraries):
+    """Each row counts and is packed for itself; blocks hold null ids first and rows of one id by text."""
+    docs = spark.createDataFrame(ODD_IDS, "doc_id long, text string").repartition(3)
+    ids = lambda tokenizer, text: libraries[tokenizer].encode(text or "", add_special_tokens=False).ids
+    key = lambda r: (r[0] is not None, r[0] or 0, *r[1:])
+    counted = [(r["doc_id"], r["n_bytes"], r["n_tokens"]) for r in token_counts(docs, WORD).collect()]
+    assert sorted(counted, key=key) == sorted(((i, len((t or "").encode()), len(ids(1, t))) for i, t in ODD_IDS), key=key)
+    start, expected = 0, []
+    for i, t in sorted(ODD_IDS, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+        n = len(ids(0, t)) + 1
+        expected.append((i, start, n, zlib.crc32(np.array([*ids(0, t), 0], "<u4").tobytes())))
+        start += n
+    blocks = [(r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in token_blocks(docs, BYTE, shards=3).collect()]
+    assert sorted(blocks, key=lambda r: r[1]) == expected
+    pieces = pack_documents(docs, BYTE, capacity=16).collect()
+    assert sorted(((r["doc_id"], r["length"], r["ids_crc32"]) for r in pieces), key=key) == sorted(((i, n, c) for i, _, n, c in expected), key=key)
+    assert len({(r["sequence_id"], r["offset"]) for r in pieces}) == len(ODD_IDS)
