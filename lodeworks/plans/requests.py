@@ -87,3 +87,16 @@ def listed(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = d.select(F.col("doc_id").cast("string").alias("cache_key"), F.col("n_chars").alias("size_bytes"))
     gone = d.where(F.col("doc_id") % 3 == 0).select(F.col("doc_id").cast("string").alias("cache_key"))
     return entries.join(gone, "cache_key", "left_anti").where(F.startswith("cache_key", F.lit("1")))
+
+
+FAILURES = "(0, 'timeout', NULL, 504), (1, 'upstream', 'Connection reset', 502), (2, 'provider', 'HTTP 429 Too Many', 429), (3, 'provider', 'token plan used up', 432), (4, 'provider', 'bad request', 400), (5, 'oauth', 'timeout', 401), (6, 'parse', NULL, 200), (7, 'provider', 'Body read failed', 503), (8, 'upstream', 'odd', 500)"
+
+
+@query(
+    "e11_failure_classes",
+    f"""SELECT id, coalesce(kind IN ('timeout', 'upstream') OR (kind = 'provider' AND regexp_matches(lower(message), 'http 429|too many requests|rate limit|token plan|http 50[0234]|request failed|timeout')), false) AS model_again, coalesce(kind = 'timeout' OR (kind IN ('upstream', 'provider') AND regexp_matches(lower(message), 'http 429|too many requests|rate limit|http 50[0234]|timed out|timeout|connect|body read failed|request failed')), false) AS download_again,
+CASE WHEN status IN (401, 403, 429, 432, 433) THEN 'key' WHEN status IN (502, 503, 504) THEN 'transient' END AS status_class, CASE kind WHEN 'timeout' THEN 'timeout' WHEN 'oauth' THEN 'auth_error' WHEN 'parse' THEN 'parse_error' ELSE 'provider_error' END AS reason, CASE WHEN kind = 'timeout' THEN 'Retry later or increase the timeout.' WHEN kind IN ('upstream', 'provider') THEN 'Check provider credentials, upstream status, proxy settings, and response limits.' WHEN kind = 'oauth' THEN 'Run login/status diagnostics or refresh the OAuth token.' WHEN kind = 'parse' THEN 'The upstream response or local payload was malformed.' END AS hint FROM (VALUES {FAILURES}) v(id, kind, message, status)""",
+)
+def failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind, message = F.col("kind"), F.col("message")
+    return values(spark, FAILURES, "id, kind, message, status").select("id", A.model_call_retryable(kind, message).alias("model_again"), A.download_retryable(kind, message).alias("download_again"), A.status_class(F.col("status")).alias("status_class"), A.answer_failure(kind).alias("reason"), A.error_hint(kind).alias("hint"))
