@@ -73,7 +73,7 @@ def backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return values(spark, ATTEMPTS, "service, attempt").select("service", "attempt", R.backoff_ms(F.col("service"), F.col("attempt")).alias("ms"))
 
 
-IDS = "(0, '10.1/a', NULL, 's', NULL, 't'), (1, NULL, '1706.1', NULL, 'W1', 't'), (2, NULL, NULL, NULL, NULL, 'only title'), (3, NULL, NULL, 's', 'W2', NULL)"
+IDS = "(0, '10.1/a', NULL, 's', NULL, 't'), (1, NULL, '2301.4', NULL, 'W1', 't'), (2, NULL, NULL, NULL, NULL, 'only title'), (3, NULL, NULL, 's', 'W2', NULL)"
 
 
 @query("s9_identifier_preference", f"SELECT id, CASE WHEN doi IS NOT NULL THEN 'doi' WHEN arxiv IS NOT NULL THEN 'arxiv' WHEN semantic IS NOT NULL THEN 'semantic' WHEN openalex IS NOT NULL THEN 'openalex' ELSE 'query' END AS kind, coalesce(doi, arxiv, semantic, openalex, title) AS value, concat_ws(' ', 'semantic:' || semantic, 'openalex:' || openalex, 'doi:' || doi, 'arxiv:' || arxiv) AS for_citations FROM (VALUES {IDS}) v(id, doi, arxiv, semantic, openalex, title)")

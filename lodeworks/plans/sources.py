@@ -12,7 +12,7 @@ from lodeworks.plans.registry import query
 from lodeworks.sources.tables import table, values
 
 SQL_HOST = lambda c: f"nullif(regexp_replace(lower(CASE WHEN contains(replace(trim({c}), ' ', '%20'), '://') THEN regexp_extract(replace(trim({c}), ' ', '%20'), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1) ELSE regexp_extract(replace(trim({c}), ' ', '%20'), '^([^/?#:]*)(?:[/?#]|$)', 1) END), '^(www\\.)+|\\.+$', '', 'g'), '')"
-URLS = ["https://www.www.Example.com/a", "http://user:pw@shop.example.com:8080/x?y#z", "https://example.org./p q", "example.net/path", "not a url", "", "https://github.com/a/b/issues/12", "https://github.com/a/b/pull/7", "https://github.com/a/b", "https://github.com/a/b/pull/x", "https://stackoverflow.com/questions/11/title", "https://meta.superuser.com/questions/5", "https://dsp.stackexchange.com/questions/9/x", "https://arxiv.org/abs/1706.03762", "https://arxiv.org/list", "https://en.wikipedia.org/wiki/Golay_code", "https://en.wikipedia.org/wiki/Talk%3AGolay", "https://de.wikipedia.org/wiki/File:X.png", "https://en.wikipedia.org/wiki/C%2B%2B", "https://docs.example.com/docs/x"]
+URLS = ["https://www.www.Example.com/a", "http://user:pw@shop.example.com:8080/x?y#z", "https://example.org./p q", "example.net/path", "not a url", "", "https://github.com/a/b/issues/12", "https://github.com/a/b/pull/7", "https://github.com/a/b", "https://github.com/a/b/pull/x", "https://stackoverflow.com/questions/11/title", "https://meta.superuser.com/questions/5", "https://dsp.stackexchange.com/questions/9/x", "https://arxiv.org/abs/2301.04567", "https://arxiv.org/list", "https://en.wikipedia.org/wiki/Golay_code", "https://en.wikipedia.org/wiki/Talk%3AGolay", "https://de.wikipedia.org/wiki/File:X.png", "https://en.wikipedia.org/wiki/C%2B%2B", "https://docs.example.com/docs/x"]
 URL_ROWS = ", ".join(f"({i}, '{u}')" for i, u in enumerate(URLS))
 INCLUDE, EXCLUDE = ["example.com", "www.example.org"], ["shop.example.com"]
 
