@@ -69,6 +69,19 @@ def number_entities(entities: DataFrame) -> DataFrame:
     return entities.withColumn("n", n).withColumn("entity_id", F.format_string("%s_%03d", F.col("kind"), F.col("n")))
 
 
+def evidence_index(anchors: DataFrame) -> DataFrame:
+    """anchors (doc_id, anchor_id, line, byte_start, byte_end, excerpt) -> doc_id, index: a map of anchor to its first span; a document's anchors are one row."""
+    span = F.struct("byte_start", "byte_end", "line", "excerpt")
+    first = anchors.groupBy("doc_id", "anchor_id").agg(F.min(span).alias("span"))
+    return first.groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("anchor_id", "span")))).alias("index"))
+
+
+def placed_entities(entities: DataFrame, anchors: DataFrame) -> DataFrame:
+    """Numbered entities with the place of their anchor; null where the anchor is not known."""
+    places = anchors.groupBy("doc_id", "anchor_id").agg(F.min("byte_start").alias("byte_start"))
+    return number_entities(entities).join(places, ["doc_id", "anchor_id"], "left")
+
+
 def order_answers(answers: DataFrame, question: str = "question_id") -> DataFrame:
     """Accepted first, then by score, then as they came."""
     return answers.withColumn("place", F.row_number().over(Window.partitionBy(question).orderBy(F.desc(F.coalesce("accepted", F.lit(False))), F.desc("score"), "pos")))

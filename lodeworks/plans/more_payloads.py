@@ -50,3 +50,30 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = values(spark, _rows(OUTPUTS), "chunk_id, raw").withColumn("chunk_id", F.col("chunk_id").cast("string"))
     return M.chunk_outputs(rows).select("chunk_id", "valid", F.to_json("sections").alias("sections"), F.to_json("entities").alias("entities"), F.to_json("patches").alias("patches"))
+
+
+CODES = ['{"Code":0,"Data":{}}', '{"Code":"7"}', '{"Code":null}', "{}", "no json", None]
+
+
+@query("p13_answer_code", "SELECT * FROM (VALUES (0, 0::BIGINT), (1, 7), (2, -1), (3, -1), (4, -1), (5, -1)) v(id, code)")
+def answer_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return values(spark, _rows(CODES), "id, raw").select("id", M.answer_code(F.col("raw")).alias("code"))
+
+
+#: Conversations as captured comment lists: every other turn without an author, every fifth without a body.
+@query("p18_comment_lists", "SELECT conv_id AS issue_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS pos, CASE WHEN turn % 2 = 0 THEN role ELSE '' END AS author, CASE WHEN turn % 5 = 4 THEN '' ELSE text END AS body, 'd' || turn AS created_at FROM conversations")
+def comment_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("turn")
+    one = F.struct("turn", F.struct(F.when(t % 2 == 0, F.col("role")).alias("login")).alias("user"), F.when(t % 5 != 4, F.col("text")).alias("body"), F.concat(F.lit("d"), t.cast("string")).alias("submitted_at"))
+    raw = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("issue_id")).agg(F.to_json(F.array_sort(F.collect_list(one))).alias("raw"))
+    return M.comments(raw, reviews=True)
+
+
+@query("p10_referenced_works", "SELECT doc_id AS id, i::INT AS pos, 'W' || (doc_id + i) AS work FROM documents, range(4) r(i) WHERE i < doc_id % 5")
+def referenced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodeworks.sources import payloads as P
+
+    n = (F.col("doc_id") % 5).cast("int")
+    works = F.slice(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.concat(F.lit("W"), (F.col("doc_id") + i).cast("string"))), F.lit(1), n)
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.to_json(F.struct(works.alias("referenced_works"))).alias("raw"))
+    return P.referenced_works(rows)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodeworks.operators import documents as D
 from lodeworks.operators import progressive as P
+from lodeworks.operators import structure as S
 from lodeworks.operators import vision as V
 from lodeworks.plans.documents import SQL_SRC, with_golden
 from lodeworks.plans.registry import query
@@ -223,3 +224,25 @@ SELECT doc_id, concat_ws('|', CASE WHEN ratio >= 0.25 THEN 'high short-line rati
 )
 def text_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.text_warnings(D.text_signals(with_golden(spark, sf_dir))).select("doc_id", F.array_join("warnings", "|").alias("warnings"))
+
+
+#: The turns of a conversation as anchored lines.
+SQL_ANCHORED = "a AS (SELECT conv_id AS doc_id, role || length(text) % 3 AS anchor_id, turn AS line, turn * 100 AS byte_start, turn * 100 + 50 AS byte_end, left(text, 20) AS excerpt FROM conversations)"
+
+
+def anchored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("turn")
+    return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.concat("role", (F.char_length("text") % 3).cast("string")).alias("anchor_id"), t.alias("line"), (t * 100).alias("byte_start"), (t * 100 + 50).alias("byte_end"), F.left("text", F.lit(20)).alias("excerpt"))
+
+
+@query("j1_evidence_index", f"WITH {SQL_ANCHORED} SELECT doc_id, anchor_id, byte_start, line, excerpt FROM a QUALIFY row_number() OVER (PARTITION BY doc_id, anchor_id ORDER BY byte_start) = 1")
+def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = S.evidence_index(anchored(spark, sf_dir)).select("doc_id", F.explode("index").alias("anchor_id", "span"))
+    return index.select("doc_id", "anchor_id", "span.byte_start", "span.line", "span.excerpt")
+
+
+@query("j5_placed_entities", f"WITH {SQL_ANCHORED}, e AS (SELECT conv_id AS doc_id, turn AS seq, CASE WHEN turn % 2 = 0 THEN 'figure' ELSE 'table' END AS kind, left(text, 5) AS label, 'user' || turn % 4 AS anchor_id FROM conversations), n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, kind ORDER BY seq) AS n FROM e), p AS (SELECT doc_id, anchor_id, min(byte_start) AS byte_start FROM a GROUP BY 1, 2) SELECT doc_id, kind || '_' || lpad(n::VARCHAR, 3, '0') AS entity_id, label, byte_start FROM n LEFT JOIN p USING (doc_id, anchor_id)")
+def placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("turn")
+    e = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), t.alias("seq"), F.when(t % 2 == 0, "figure").otherwise("table").alias("kind"), F.left("text", F.lit(5)).alias("label"), F.concat(F.lit("user"), (t % 4).cast("string")).alias("anchor_id"))
+    return S.placed_entities(e, anchored(spark, sf_dir)).select("doc_id", "entity_id", "label", "byte_start")

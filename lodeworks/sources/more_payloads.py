@@ -39,11 +39,26 @@ def page_extract(raw: Column) -> Column:
 
 
 def question_items(raw: Column) -> Column:
-    """array<struct<title, url, votes, comments, code>>: missing counts are 0, a missing code is -1."""
+    """array<struct<title, url, votes, comments>>: missing counts are 0."""
     items = F.from_json(F.get_json_object(raw, "$.Data.Items"), f"array<struct<{', '.join(x.strip().replace(' ', ': ', 1) for x in ITEM.split(','))}>>")
     return F.transform(F.coalesce(items, F.array().cast("array<struct<Title: string, Url: string, VoteUpCount: bigint, CommentCount: bigint, AuthorName: string, EditTime: bigint>>")), lambda x: F.struct(x["Title"].alias("title"), x["Url"].alias("url"), F.coalesce(x["VoteUpCount"], F.lit(0)).alias("votes"), F.coalesce(x["CommentCount"], F.lit(0)).alias("comments")))
 
 
+def answer_code(raw: Column) -> Column:
+    """The code of an answer as a whole; -1 if it has none."""
+    return F.coalesce(F.get_json_object(raw, "$.Code").try_cast("bigint"), F.lit(-1).cast("bigint"))
+
+
+COMMENTS = "array<struct<user: struct<login: string>, body: string, created_at: string, submitted_at: string>>"
+
+
+def comments(payloads: DataFrame, reviews: bool = False) -> DataFrame:
+    """payloads (issue_id, raw: a list of comments, or of reviews) -> issue_id, pos, author, body, created_at; reviews are dated by their submission."""
+    rows = payloads.select("issue_id", F.posexplode(F.from_json("raw", COMMENTS)).alias("pos", "c"))
+    text = lambda c: F.coalesce(c, F.lit(""))
+    return rows.select("issue_id", "pos", text("c.user.login").alias("author"), text("c.body").alias("body"), text("c.submitted_at" if reviews else "c.created_at").alias("created_at"))
+
+
 def answers(payloads: DataFrame) -> DataFrame:
     """payloads (question_id, raw) -> question_id, pos, accepted, score, author, body."""
     parsed = payloads.select("question_id", F.posexplode(F.from_json("raw", ANSWER)["items"]).alias("pos", "a"))

@@ -86,6 +86,11 @@ def works(raw: Column) -> Column:
     return F.struct(w["id"].alias("id"), w["display_name"].alias("title"), F.regexp_replace(w["doi"], "^https://doi.org/", "").alias("doi"), w["publication_year"].alias("year"), w["cited_by_count"].alias("citations"), F.coalesce(F.array_size(w["referenced_works"]), F.lit(0)).alias("n_references"), w["open_access"]["is_oa"].alias("open_access"))
 
 
+def referenced_works(payloads: DataFrame) -> DataFrame:
+    """payloads (id, raw) -> id, pos, work: a work's references, a row each."""
+    return payloads.select("id", F.posexplode(F.from_json("raw", WORK)["referenced_works"]).alias("pos", "work"))
+
+
 def crossref_works(raw: Column) -> Column:
     w = F.from_json(raw, CROSSREF)
     year = lambda f: F.try_element_at(F.try_element_at(w[f]["date-parts"], F.lit(1)), F.lit(1))
