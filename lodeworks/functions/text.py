@@ -82,13 +82,6 @@ def clean_html_title(c: Column) -> Column:
     return squeeze(F.regexp_replace(c, r"(?i)</?(sub|sup|i|b|em|strong)>", ""))
 
 
-def reference_tail(c: Column, most: int = 30_000) -> Column:
-    """From the last line that starts with references (else reference) on; empty if there is none."""
-    plural = F.regexp_extract(c, r"(?is).*(\nreferences.*)", 1)
-    tail = F.when(plural != "", plural).otherwise(F.regexp_extract(c, r"(?is).*(\nreference.*)", 1))
-    return F.left(F.trim(F.regexp_replace(tail, r"\n{3,}", "\n\n")), F.lit(most))
-
-
 def source_weight(*parts: Column) -> Column:
     """Characters that a source costs in a response, with a fixed overhead."""
     return reduce(lambda a, p: a + F.coalesce(F.char_length(p), F.lit(0)), parts, F.lit(64))

@@ -18,6 +18,7 @@ from lodeworks.functions.text import ascii_lower, squeeze
 # Fixed values of the noise, paragraph and chunk rules.
 NOISE_WORDS = ["proceedings", "arxiv", "copyright", "preprint", "conference", "journal"]
 CAPTION_STARTS = ["fig.", "figure ", "table "]
+REFERENCE_TAIL = 30_000
 REPEATS, SHORT_LINE, NOISE_BYTES, NOISE_CHARS, JOINED_CHARS, EXCERPT = 3, 18, 3, 90, 96, 240
 # Profiles: bytes of a chunk, bytes of overlap, attempts, retry delay in milliseconds.
 CHUNK_PROFILES = {"fast": (4500, 300, 3, 1000), "balanced": (6500, 500, 2, 600), "strict": (5500, 700, 4, 600)}
@@ -105,7 +106,7 @@ def repair_hyphenation(lines: list[str]) -> list[str]:
 
 
 def _ascii_lower(text: str) -> str:
-    return "".join(c.lower() if c.isascii() else c for c in text)
+    return text.encode().lower().decode()
 
 
 def _own_line(line: str) -> bool:
@@ -189,6 +190,25 @@ def clean(text: str | None, mode: str = "clean") -> tuple[str, int]:
     return "\n".join(out).rstrip("\n"), len(noise)
 
 
+def reference_tail(text: str | None) -> str:
+    """From the last line that starts with references (else reference) on, cleaned lightly; empty if there is none."""
+    raw = (text or "").encode()
+    low = raw.lower()
+    at = low.rfind(b"\nreferences")
+    at = low.rfind(b"\nreference") if at < 0 else at
+    return clean(raw[at:].decode(), "light")[0][:REFERENCE_TAIL] if at >= 0 else ""
+
+
+def reference_tails(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, tail, in Arrow batches."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({key: pdf[key], "tail": [reference_tail(t) for t in pdf["text"]]})
+
+    return docs.select(key, "text").mapInPandas(run, StructType([docs.schema[key], StructField("tail", StringType())]))
+
+
 def noise_warning(n: Column) -> Column:
     return F.when(n > 0, F.concat(F.lit("removed "), n.cast("string"), F.lit(" repeated layout lines")))
 

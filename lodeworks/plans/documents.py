@@ -70,14 +70,20 @@ def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.clean_documents(with_golden(spark, sf_dir))
 
 
-TAILS = ["Intro\nREFERENCES\n[1] a\n[2] b", "x\nreferences one\ny\nReferences two", "x\nReference list\nz", "none here", ""]
+TAILS = ["Intro\nREFERENCES\n[1] a  \n\n\n\n[2] b\n\n", "x\nreferences one\ny\nReferences two", "x\nReference list\nz", "none here", "references first line", ""]
 TAIL_ROWS = ", ".join("({}, '{}')".format(i, x.replace("\n", "\\n")) for i, x in enumerate(TAILS))
 SQL_TAILS = ", ".join("({}, replace('{}', '\\n', chr(10)))".format(i, x.replace("\n", "\\n")) for i, x in enumerate(TAILS))
 
 
-@query("h7_reference_tail", f"WITH t AS (SELECT id, regexp_extract(text, '(?is).*(\\nreferences.*)', 1) AS a, regexp_extract(text, '(?is).*(\\nreference.*)', 1) AS b FROM (VALUES {SQL_TAILS}) v(id, text)) SELECT id, left(trim(regexp_replace(CASE WHEN a <> '' THEN a ELSE b END, '\\n{{3,}}', chr(10) || chr(10), 'g'), ' '), 30000) AS tail FROM t")
+@query(
+    "h7_reference_tail",
+    f"WITH t AS (SELECT doc_id, regexp_extract(text, '(?is).*(\\nreferences.*)', 1) AS a, regexp_extract(text, '(?is).*(\\nreference.*)', 1) AS b FROM (SELECT * FROM (VALUES {SQL_TAILS}) v(doc_id, text) UNION ALL SELECT 1000 + doc_id, text || chr(10) || 'Reference ' || lang || chr(10) || left(text, 30) FROM documents)), r AS (SELECT doc_id, CASE WHEN a <> '' THEN a ELSE b END AS x FROM t) SELECT doc_id, left(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '[ \\t]+(\\n|$)', '\\1', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\n+', chr(10)), '\\n+$', ''), 30000) AS tail FROM r",
+)
 def tails(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return values(spark, TAIL_ROWS, "id, text").select("id", T.reference_tail(F.col("text")).alias("tail"))
+    """Literal rows, and the documents with a reference section of one line behind them."""
+    golden = values(spark, TAIL_ROWS, "doc_id, text").select(F.col("doc_id").cast("long"), "text")
+    d = table(spark, sf_dir, "documents").select((F.col("doc_id") + 1000).alias("doc_id"), F.concat("text", F.lit("\nReference "), "lang", F.lit("\n"), F.left("text", F.lit(30))).alias("text"))
+    return D.reference_tails(golden.unionByName(d))
 
 
 @query("h8_page_offsets", "SELECT conv_id, turn, (sum(octet_length(encode(text)) + 2) OVER w - octet_length(encode(text)) - 2)::BIGINT AS byte_start, (sum(octet_length(encode(text)) + 2) OVER w - 2)::BIGINT AS byte_end FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)")

@@ -157,6 +157,12 @@ def test_light_mode():
         documents.text_mode("heavy")
 
 
+def test_reference_tail():
+    assert documents.reference_tail("a\nReference x\nREFERENCES\ninter-\nnational\n\n\nend  \n") == "\nREFERENCES\ninternational\n\nend"
+    assert documents.reference_tail("References\nat once") == "" == documents.reference_tail(None)
+    assert len(documents.reference_tail("\nreferences" + "y" * 40_000)) == 30_000
+
+
 def test_chunks_cover_and_overlap():
     text = "\n\n".join(f"para {i} " + "é" * (i * 13 % 90) for i in range(60))
     raw = text.encode()
