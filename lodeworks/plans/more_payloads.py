@@ -40,7 +40,7 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.answers(values(spark, _rows(ANSWERS), "question_id, raw"))
 
 
-@query("p12_article_lists")
+@query("p12_article_lists", "SELECT page_id, 0::BIGINT AS pos, 'https://list.example/link?x=' || page_id AS url, 'Title ' || page_id AS title, 'sum mary' AS summary FROM pages UNION ALL SELECT page_id, 1, 'https://a.example/' || page_id, 'B', '' FROM pages")
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     html = "concat('<ul><li><h3><a href=\"/link?x=', page_id, '\">Title <em>', page_id, '</em></a></h3><p>sum  mary</p></li><li><h3><a href=\"https://a.example/', page_id, '\">B</a></h3></li></ul>', html)"
     return M.article_lists(table(spark, sf_dir, "pages").select("page_id", F.expr(html).alias("html")), "https://list.example")

@@ -66,25 +66,28 @@ def answers(payloads: DataFrame) -> DataFrame:
 
 
 class _Articles(HTMLParser):
-    """Links within h3 elements, and the p and span.s2 texts after each."""
+    """Links within h3 elements, and the p texts after each within the same list item."""
 
     def __init__(self) -> None:
         super().__init__()
         self.rows: list[dict[str, str]] = []
         self.inside: list[str] = []
+        self.open = False
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         a = dict(attrs)
         if tag == "a" and "h3" in self.inside:
             self.rows.append({"url": a.get("href") or "", "title": "", "summary": ""})
+            self.open = True
         self.inside.append(tag)
 
     def handle_endtag(self, tag: str) -> None:
+        self.open = self.open and tag not in ("li", "ul")
         while self.inside and self.inside.pop() != tag:
             pass
 
     def handle_data(self, data: str) -> None:
-        if self.rows:
+        if self.open:
             if "h3" in self.inside and "a" in self.inside:
                 self.rows[-1]["title"] += data
             elif "p" in self.inside:
