@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodeworks.plans.registry import query
 from lodeworks.sources import payloads as P
-from lodeworks.sources.tables import values
+from lodeworks.sources.tables import table, values
 
 ANSWERS = [
     '{"output":[{"action":{"sources":[{"url":"https://a.example/1","title":"A"},"https://b.example/2"]}},{"content":[{"text":" one [[1]](https://c.example/3) ","annotations":[{"uri":"https://d.example/4"},{"url":null,"uri":"https://e.example/5"}],"citations":["https://a.example/1"]},{"text":"two"},{"text":"one [[1]](https://c.example/3)"}]}],"citations":["https://f.example/6","https://b.example/2"]}',
@@ -102,7 +102,13 @@ def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 STREAMS = [("r1", ['event: x.delta\ndata: {"delta":"He', 'llo"}\n\n', "data: [DONE]\n\n"]), ("r2", ['﻿data: {"choices":[{"delta":{"content":"A"}}]}\r\n\r\ndata: {"choices":[{"delta":{"content":"B"}}]}\r\n\r\n']), ("r3", ['event: x.failed\ndata: {"response":{"error":{"message":"boom"}}}\n\n']), ("r4", ['data: {"type":"x.completed","response":{"output_text":"full"}}\n\n'])]
 
 
-@query("p20_stream_responses")
+@query("p20_stream_responses", "SELECT conv_id || '-' || turn AS resp_id, 'done' AS status, text AS content, NULL::VARCHAR AS error FROM conversations UNION ALL SELECT * FROM (VALUES ('r1', 'done', 'Hello', NULL), ('r2', 'incomplete', 'AB', NULL), ('r3', 'failed', '', 'boom'), ('r4', 'completed', 'full', NULL)) v(resp_id, status, content, error)")
 def streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn streamed as one delta whose bytes are cut anywhere, and literal streams of all endings."""
     rows = [(r, i, bytearray(c.encode())) for r, cs in STREAMS for i, c in enumerate(cs)]
-    return P.stream_responses(spark.createDataFrame(rows, "resp_id string, seq int, chunk binary"))
+    literal = spark.createDataFrame(rows, "resp_id string, seq int, chunk binary")
+    body = F.encode(F.concat(F.lit("data: "), F.to_json(F.struct(F.col("text").alias("delta"))), F.lit("\n\ndata: [DONE]\n\n")), "UTF-8")
+    turns = table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("resp_id"), body.alias("body"))
+    cuts = F.posexplode(F.sequence(F.lit(1), F.octet_length("body"), F.lit(61))).alias("seq", "at")
+    pieces = turns.select("resp_id", "body", cuts).select("resp_id", "seq", F.expr("substring(body, at, 61)").alias("chunk"))
+    return P.stream_responses(pieces.unionByName(literal))
