@@ -16,7 +16,8 @@ item's searched windows, and half that share of all its windows, is a leak.
 
 Slot consistency.  A re-parameterised question has other values in its slots, but on a diagonal each
 value of the item then stands for one value in the document; two of the item's values may become equal.
-Diagonals that break this are dropped, those that also hold the other way round come first.  ``same_values`` tells verbatim leaks from re-parameterised ones.
+Diagonals that break this are dropped.  Of an item's diagonals in a document, a whole verbatim copy comes first, then templates that
+also hold the other way round, other templates, parts of verbatim copies.  ``same_values`` tells verbatim leaks from re-parameterised ones.
 
 The items' distinct windows are broadcast if their count, which is checked, is at most BROADCAST_WINDOWS; beyond
 that both sides are shuffled by hash.  A document's windows are hashed in one generated loop that carries its tokens;
@@ -118,7 +119,7 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, least: int =
     same = F.forall("pairs", lambda p: p["x"] == p["y"])
     template = _diagonals(docs, items, window, least, share, False).where(ones("x") == F.size("pairs"))
     template = template.select("doc_id", "item_id", F.when(ones("y") == F.size("pairs"), 2).otherwise(1).alias("kind"), "matched_windows", same.alias("same_values"), "item_windows")
-    plain = _diagonals(docs, items, window, least, share, True).select("doc_id", "item_id", F.lit(0).alias("kind"), "matched_windows", F.lit(True).alias("same_values"), "item_windows")
+    plain = _diagonals(docs, items, window, least, share, True).select("doc_id", "item_id", F.when(F.col("matched_windows") == F.col("item_windows"), 3).otherwise(0).alias("kind"), "matched_windows", F.lit(True).alias("same_values"), "item_windows")
     best = template.unionByName(plain).groupBy("doc_id", "item_id").agg(F.max(F.struct("kind", "matched_windows", "same_values", "item_windows")).alias("b"))
     return best.select("doc_id", "item_id", F.col("b.matched_windows").cast("long").alias("matched_windows"), F.col("b.item_windows").cast("long").alias("item_windows"), "b.same_values")
 

@@ -153,7 +153,7 @@ def op6_sql() -> str:
 
     return f"""
 WITH {search(template, "template")}, {search(plain, "plain")}, every AS (
-  SELECT * FROM template_ok UNION ALL SELECT * REPLACE (0 AS kind) FROM plain_ok
+  SELECT * FROM template_ok UNION ALL SELECT * REPLACE (CASE WHEN matched_windows = item_windows THEN 3 ELSE 0 END AS kind) FROM plain_ok
 )
 SELECT doc_id, item_id, matched_windows, item_windows, same_values FROM every
 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY kind DESC, matched_windows DESC, same_values DESC, item_windows DESC) = 1

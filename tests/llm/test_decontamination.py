@@ -52,6 +52,12 @@ def test_names_of_other_length_and_at_the_start(spark):
     assert got[0, 1] is False and got[1, 1] is False and got[2, 1] is True and got[3, 1] is True
 
 
+def test_a_whole_copy_is_verbatim_whatever_name_stands_before_it(spark):
+    """A name in front of the item's own joins with it, so the template's value is another one; the plain tokens are all there."""
+    item = "Alice buys 3 apples at the market and then sells 2 of the apples to a friend"
+    assert found(spark, ["by Robert " + item], [(1, item)]) == {(0, 1): True}
+
+
 def test_ties_between_diagonals(spark):
     """An item that stands twice is one row; the copy with more windows counts, then the one with the same values."""
     text = QUESTION.replace("3 hours", "4 hours").replace("3 apples", "4 apples")
