@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeworks.llm.byte_bpe import slices
-from lodeworks.llm.common import id_and_text, materialize, mix64
+from lodeworks.llm.common import by_bucket, id_and_text, materialize, mix64
 from lodeworks.llm.components import connected_components, local_forest
 from lodeworks.llm.prefix_filter import parities_of, similar_groups
 from lodeworks.llm.shingles import shingle_and_word_sets
@@ -250,8 +250,7 @@ def fingerprint_links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
         u, v = links_in_bucket(keys, values, max_bits)
         return pa.table({"u": pa.array(u.view(np.int64)), "v": pa.array(v.view(np.int64))})
 
-    packed = fps.select("fp").mapInArrow(spread, "bucket int, keys binary, fps binary")
-    return packed.groupBy("bucket").applyInArrow(match, "u long, v long")
+    return by_bucket(fps.select("fp").mapInArrow(spread, "bucket int, keys binary, fps binary"), buckets, match, "u long, v long")
 
 
 def fingerprint_components(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
