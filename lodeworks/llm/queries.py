@@ -80,8 +80,20 @@ def op10_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_blocks(read(spark, sf_dir, "documents"), _tokenizer(BYTE_BPE))
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodeworks.llm.fill_in_middle import fill_in_middle
+
+    return fill_in_middle(read(spark, sf_dir, "documents"), with_text=False)
+
+
+QUERIES = (
+    op1_toxicity, op2_quality, op3_line_dedup, op4_token_counts, op5_substring_dedup, op6_decontamination, op7_exact_dedup, op8_simhash_dedup, op9_packing, op10_token_blocks,
+    op12_fill_in_middle,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_quality, op3_line_dedup, op4_token_counts, op5_substring_dedup, op6_decontamination, op7_exact_dedup, op8_simhash_dedup, op9_packing, op10_token_blocks)}
+    return {f.__name__: f for f in QUERIES}
 
 
 OP3_SQL = r"""
@@ -170,5 +182,24 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(x) AS text_
 """
 
 
+OP12_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS digest FROM documents
+), t AS (
+  SELECT *, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS tokens,
+    ('0x' || substr(digest, 1, 8))::BIGINT AS h1, ('0x' || substr(digest, 9, 8))::BIGINT AS h2, ('0x' || substr(digest, 17, 8))::BIGINT AS h3, ('0x' || substr(digest, 25, 8))::BIGINT AS h4 FROM d
+), c AS (
+  SELECT *, len(tokens) AS n, least(h1 % (len(tokens) + 1), h2 % (len(tokens) + 1)) AS a, greatest(h1 % (len(tokens) + 1), h2 % (len(tokens) + 1)) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM t
+), p AS (
+  SELECT *, array_to_string(tokens[1 : a], '') AS prefix, array_to_string(tokens[a + 1 : b], '') AS middle, array_to_string(tokens[b + 1 : n], '') AS suffix FROM c
+)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(prefix)::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle)::BIGINT END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM p
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": OP3_SQL, "op6_decontamination": op6_sql(), "op7_exact_dedup": OP7_SQL}
+    return {"op3_line_dedup": OP3_SQL, "op6_decontamination": op6_sql(), "op7_exact_dedup": OP7_SQL, "op12_fill_in_middle": OP12_SQL}
