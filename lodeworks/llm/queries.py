@@ -80,6 +80,12 @@ def op10_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_blocks(read(spark, sf_dir, "documents"), _tokenizer(BYTE_BPE))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodeworks.llm.divergence import source_divergence
+
+    return source_divergence(read(spark, sf_dir, "documents"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodeworks.llm.fill_in_middle import fill_in_middle
 
@@ -88,7 +94,7 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = (
     op1_toxicity, op2_quality, op3_line_dedup, op4_token_counts, op5_substring_dedup, op6_decontamination, op7_exact_dedup, op8_simhash_dedup, op9_packing, op10_token_blocks,
-    op12_fill_in_middle,
+    op11_source_divergence, op12_fill_in_middle,
 )
 
 
@@ -182,6 +188,36 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(x) AS text_
 """
 
 
+OP11_SQL = r"""
+WITH d AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text, row_number() OVER () AS id FROM documents
+), t AS (
+  SELECT lang, source, id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+), k AS (
+  SELECT lang, term, count(*) AS total FROM t GROUP BY ALL HAVING count(DISTINCT id) >= 10
+), l AS (
+  SELECT lang, count(*) AS v, sum(total) AS whole FROM k GROUP BY 1
+), g AS (
+  SELECT DISTINCT lang, source FROM d
+), c AS (
+  SELECT lang, source, term, count(*) AS n FROM t GROUP BY ALL
+), x AS (
+  SELECT g.lang, g.source, k.term, k.total, coalesce(c.n, 0) AS n FROM g JOIN k ON g.lang = k.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), s AS (
+  SELECT *, sum(n) OVER (PARTITION BY lang, source) AS own FROM x
+), p AS (
+  SELECT lang, source, term, n, 1 + 1000000000::HUGEINT * (n + 2) // (own + 2 * v) AS p, 1 + 1000000000::HUGEINT * (total + 2) // (whole + 2 * v) AS q FROM s JOIN l USING (lang)
+), pair AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)), 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN p x ON x.lang = a.lang AND x.source = a.source LEFT JOIN p y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term GROUP BY ALL
+), term AS (
+  SELECT lang, source, term AS item, ((p - q) * (p - q) // (p + q))::BIGINT AS value FROM p WHERE n > 0 AND p > q
+)
+SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INTEGER AS rank FROM pair
+UNION ALL (SELECT lang, source, 'term' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INTEGER AS rank FROM term QUALIFY rank <= 10)
+"""
+
+
 OP12_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS digest FROM documents
@@ -202,4 +238,4 @@ FROM p
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": OP3_SQL, "op6_decontamination": op6_sql(), "op7_exact_dedup": OP7_SQL, "op12_fill_in_middle": OP12_SQL}
+    return {"op3_line_dedup": OP3_SQL, "op6_decontamination": op6_sql(), "op7_exact_dedup": OP7_SQL, "op11_source_divergence": OP11_SQL, "op12_fill_in_middle": OP12_SQL}
