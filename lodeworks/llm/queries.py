@@ -92,9 +92,15 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle(read(spark, sf_dir, "documents"), with_text=False)
 
 
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodeworks.llm.jaccard_join import jaccard_components
+
+    return jaccard_components(read(spark, sf_dir, "documents"))
+
+
 QUERIES = (
     op1_toxicity, op2_quality, op3_line_dedup, op4_token_counts, op5_substring_dedup, op6_decontamination, op7_exact_dedup, op8_simhash_dedup, op9_packing, op10_token_blocks,
-    op11_source_divergence, op12_fill_in_middle,
+    op11_source_divergence, op12_fill_in_middle, op13_jaccard_join,
 )
 
 
