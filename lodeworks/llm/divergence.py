@@ -58,10 +58,14 @@ def terms_of(text: bytes) -> list[bytes]:
 def tallies(docs: DataFrame) -> DataFrame:
     """lang, source, term, n (occurrences), docs: partial counts; a row without term for each group that a task has met."""
 
-    def flush(held: dict) -> pa.RecordBatch:
-        rows = [(lang, source, term, n, docs[term]) for (lang, source), (counts, docs) in held.items() for term, n in counts.items()]
-        rows += [(lang, source, None, 0, 0) for lang, source in held]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()))], ["lang", "source", "term", "n", "docs"])
+    def flush(held: dict) -> Iterator[pa.RecordBatch]:
+        """A batch for each group, which is let go."""
+        while held:
+            (lang, source), (counts, docs) = held.popitem()
+            terms = list(counts)
+            n = len(terms) + 1
+            columns = [pa.array([lang] * n, pa.string()), pa.array([source] * n, pa.string()), pa.array([*terms, None], pa.string()), pa.array([*counts.values(), 0], pa.int64()), pa.array([*map(docs.__getitem__, terms), 0], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "n", "docs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = {}, 0
@@ -77,10 +81,9 @@ def tallies(docs: DataFrame) -> DataFrame:
                     docs.update(set(found))
                     size += b - a
                 if size > HELD_BYTES or sum(len(c) for c, _ in held.values()) > HELD_ENTRIES:
-                    yield flush(held)
-                    held, size = {}, 0
-        if held:
-            yield flush(held)
+                    yield from flush(held)
+                    size = 0
+        yield from flush(held)
 
     plain = docs.select(*(F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source", "text")))
     return plain.mapInArrow(run, TALLY)
