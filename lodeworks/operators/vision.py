@@ -10,9 +10,9 @@ from lodeworks.functions.text import ascii_lower
 from lodeworks.operators.artifacts import LEAST_BOX_AREA, image_filter_reason, markdown_tables, page_priority
 from lodeworks.operators.documents import text_signals
 
-# Captions of a page, images of a page, a box's least area, the gap that still touches, text caps.
+# Captions of a page, images of a page, a box's least area, the gap that still touches, a label's length.
 CAPTIONS, PAGE_IMAGES, LEAST_AREA, MARGIN = 16, 10, 0.002, 0.015
-SHORT_TEXT, MEDIUM_TEXT, LABEL = 180, 600, 80
+LABEL = 80
 
 
 def figure_captions(pages: DataFrame) -> DataFrame:
@@ -153,33 +153,3 @@ def text_warnings(signals: DataFrame, least_ratio: float = 0.25) -> DataFrame:
     short = F.when(F.col("short_ratio") >= least_ratio, F.concat(F.lit("high short-line ratio "), F.format_string("%.2f", F.col("short_ratio"))))
     repeated = F.when(F.col("n_repeated") > 0, F.concat(F.col("n_repeated").cast("string"), F.lit(" repeated layout line candidates")))
     return signals.withColumn("warnings", F.array_compact(F.array(short, repeated)))
-
-
-# What models call the states of a completed table or figure, and the repair that a state stands for.
-TABLE_STATES = {"reconstructed": ["reconstructed", "complete", "visible", "usable", "ok"], "partial": ["partial", "fragmented", "missed"], "not_visible": ["not_visible", "not visible", "missing", "not_found"]}
-FIGURE_STATES = {"crop_ready": ["crop_ready", "visible", "ready", "usable", "ok"], "fragmented": ["fragmented", "partial", "broken"], "not_visible": ["not_visible", "not visible", "missing", "not_found"]}
-REPAIRS = {"reconstructed": "ok", "crop_ready": "ok", "not_visible": "missed"}
-COMPLETED = 4
-COMPLETION = "struct<page:bigint,label:string,caption:string,status:string,headers:array<string>,rows:array<array<string>>,markdown:string,confidence:double,notes:string>"
-
-
-def completions(outputs: DataFrame, page: Column) -> DataFrame:
-    """outputs (id, raw) of a vision model -> id, kind, n, page, label, caption, status, repair, markdown, confidence, notes.
-
-    The first COMPLETED tables and figures; states in the fixed words, else uncertain; a table without Markdown gets it from
-    its headers and rows (20 of 12 cells at most); texts are capped.
-    """
-    parsed = F.from_json("raw", f"table_completions array<{COMPLETION}>, figure_completions array<{COMPLETION}>")
-    none = F.array().cast("array<string>")
-
-    def rows(kind: str, states: dict[str, list[str]]) -> DataFrame:
-        item = outputs.select("id", page.cast("long").alias("own_page"), F.posexplode(F.slice(parsed[f"{kind}_completions"], F.lit(1), F.lit(COMPLETED))).alias("n", "c"))
-        said = F.replace(ascii_lower(F.trim(F.coalesce("c.status", F.lit("")))), F.lit("-"), F.lit("_"))
-        status = F.coalesce(*(F.when(said.isin(*names), state) for state, names in states.items()), F.lit("uncertain"))
-        headers = F.coalesce("c.headers", none)
-        cells = F.transform(F.slice(F.coalesce("c.rows", F.array().cast("array<array<string>>")), F.lit(1), F.lit(20)), lambda r: F.slice(r, F.lit(1), F.lit(12)))
-        markdown = F.coalesce(F.when(F.col("c.markdown").contains("|"), F.col("c.markdown")), completed_markdown(headers, cells)) if kind == "table" else F.lit(None).cast("string")
-        out = item.select("id", F.lit(kind).alias("kind"), "n", F.coalesce("c.page", "own_page").alias("page"), "c.label", F.left("c.caption", F.lit(MEDIUM_TEXT)).alias("caption"), status.alias("status"), markdown.alias("markdown"), "c.confidence", F.left("c.notes", F.lit(MEDIUM_TEXT)).alias("notes"))
-        return out.withColumn("repair", F.coalesce(*(F.when(F.col("status") == s, r) for s, r in REPAIRS.items()), F.lit("uncertain")))
-
-    return rows("table", TABLE_STATES).unionByName(rows("figure", FIGURE_STATES))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodeworks.functions import requests as Q
 from lodeworks.operators import audit as A
-from lodeworks.operators import vision as V
+from lodeworks.operators import vision_output as O
 from lodeworks.plans.audit import SQL_EVENTS
 from lodeworks.plans.registry import query
 from lodeworks.sources.tables import table, values
@@ -69,7 +69,7 @@ SQL_COMPLETED = "SELECT * FROM (VALUES (0, 'table', 0, 3, 'Table 1', 'reconstruc
 @query("p22_completions", SQL_COMPLETED)
 def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With L8: the repair that each completion stands for."""
-    return V.completions(values(spark, COMPLETIONS, "id, raw"), F.lit(0)).select("id", "kind", "n", "page", "label", "status", "repair", "markdown")
+    return O.completions(values(spark, COMPLETIONS, "id, raw"), F.lit(0)).select("id", "kind", "n", "page", "label", "status", "repair", "markdown")
 
 
 @query("a22_audit_snapshot", f"WITH {SQL_EVENTS}, t AS (SELECT tool, count(*) AS total, count(*) FILTER (NOT ok) AS failure FROM e GROUP BY 1), r AS (SELECT tool, seq FROM e QUALIFY row_number() OVER (ORDER BY seq DESC) <= 100) SELECT tool, any_value(total) AS total, any_value(failure) AS failure, count(seq) AS in_recent FROM t LEFT JOIN r USING (tool) GROUP BY 1")
