@@ -74,12 +74,31 @@ def shingled(docs: DataFrame, ranks: np.ndarray, words: int, num: int, den: int)
     return rows.mapInArrow(run, "row long, doc_id long, text string, size long, h1 long, h2 long, prefix binary, signature binary")
 
 
+def _runs(shingle: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First rows and lengths of the runs of a sorted column."""
+    first = np.flatnonzero(np.append(True, shingle[1:] != shingle[:-1])) if len(shingle) else np.zeros(0, np.int64)
+    return first, np.diff(first, append=len(shingle))
+
+
+def _with_partner(shingle: np.ndarray, size: np.ndarray, place: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether the smallest other set of a row's shingle is small enough for it; rows are sorted by shingle and size.
+
+    A set that has the shingle late in its order can be similar to smaller ones only, if this is the first shingle that they share.
+    """
+    first, count = _runs(shingle)
+    least = np.repeat(size[first], count) if len(first) else size
+    more = first[count > 1]
+    least[first] = np.iinfo(np.int64).max // (4 * den)  # no other set
+    least[more] = size[more + 1]
+    return enough(size - place, size, least, num, den)
+
+
 def seeds(shingle: np.ndarray, doc: np.ndarray, size: np.ndarray, place: np.ndarray, num: int, den: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
     """Pairs along each shingle's order by size, and with its centre; and the rows of shingles of three sets or more."""
     order = np.lexsort((doc, size, shingle))
+    order = order[_with_partner(shingle[order], size[order], place[order], num, den)]
     shingle, doc, size, place = shingle[order], doc[order], size[order], place[order]
-    first = np.flatnonzero(np.append(True, shingle[1:] != shingle[:-1])) if len(shingle) else np.zeros(0, np.int64)
-    count = np.diff(first, append=len(shingle))
+    first, count = _runs(shingle)
     run = np.repeat(np.arange(len(first)), count)
     ahead = np.flatnonzero(run[1:] == run[:-1])
     by_place = np.lexsort((doc, place, run))
@@ -218,8 +237,11 @@ def traversed(members: DataFrame, sets: DataFrame, num: int, den: int, tree_rows
 
 def set_components(rows: DataFrame, classes: DataFrame, words: int, num: int, den: int, tree_rows: int) -> DataFrame:
     """node, root of the sets that are linked with others; sets are named by their class's first row."""
-    sets = materialize(rows.where(F.length("prefix") > 0).select("row", "size", "prefix", "signature").join(classes.select(F.col("node").alias("row")), "row", "left_semi"), "sets")
-    met = materialize(meetings(sets, (sets.agg(F.sum(F.length("prefix"))).first()[0] or 0) // 8, num, den), "tree-members")
+    first = classes.select(F.col("node").alias("row"))
+    prefixed = rows.where(F.length("prefix") > 0)
+    entries = prefixed.agg(F.sum(F.length("prefix"))).first()[0] or 0
+    met = materialize(meetings(prefixed.select("row", "size", "prefix").join(first, "row", "left_semi"), entries // 8, num, den), "tree-members")
+    sets = prefixed.select("row", "size", "signature")
     pairs = materialize(met.where("v is not null").select("u", "v").distinct(), "seed-pairs")
     possible = materialize(allowed(pairs, sets, num, den), "possible-pairs")
     groups = materialize(connected_components(verified(rows, possible, words, num, den), "seed-components"), "seed-groups")

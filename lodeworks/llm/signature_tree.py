@@ -1,6 +1,6 @@
 """Signature trees: bitmaps of token sets, joined by levels, and the dual traversal that finds pairs of sets that may be similar.
 
-A set's signature has a bit for each token hash, at twice as many places as tokens at least.  Tokens that fall on one bit are its excess: a set's
+A set's signature has a bit for each token hash, at one to two times as many places as tokens.  Tokens that fall on one bit are its excess: a set's
 tokens in a range of bits are as many as its bits there and its excess at most.  A node of the tree holds the OR of its sets' signatures,
 the smallest size, the largest overlap that a set of it can have (its size, or less where more is known), the largest
 excess, and the group of its sets, if they are of one group.  So two nodes' sets share at most
@@ -24,7 +24,7 @@ STEP_BYTES = 4 << 20
 
 def signature(tokens: np.ndarray) -> np.ndarray:
     """The signature of a set of 64-bit hashes; its length is a power of two, so that signatures fold onto shorter ones."""
-    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (2 * len(tokens) - 1).bit_length())) if len(tokens) else LEAST_BITS
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (len(tokens) - 1).bit_length())) if len(tokens) else LEAST_BITS
     on = np.zeros(bits, bool)
     on[(mix64(tokens) % np.uint64(bits)).astype(np.int64)] = True
     return np.packbits(on, bitorder="little").view(np.uint64)

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from lodeworks.llm.jaccard_join import jaccard_components
-from lodeworks.llm.signature_tree import SignatureTree, dual_traversal, enough, folded, may_link, signature, tree_join
+from lodeworks.llm.signature_tree import SignatureTree, dual_traversal, enough, may_link, signature, tree_join
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SMALL = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -154,7 +154,7 @@ def test_tree_join_equals_all_pairs(two):
 def test_trees_prune_whole_groups_and_unlike_nodes():
     """A node holds the OR and the ranges of all below it; two unlike families meet in few steps."""
     sets = [np.sort(np.concatenate([np.arange(f * 1000, f * 1000 + 60), [10**6 + i]])).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) for f in range(2) for i in range(64)]
-    bits = np.stack([folded(signature(s)[None], 2)[0] for s in sets])
+    bits = np.stack([signature(s) for s in sets])  # sets of one size: signatures of one length
     size = np.array([len(s) for s in sets])
     one = SignatureTree(bits, size, size, np.zeros(len(sets), np.int64))
     assert list(dual_traversal(one, one, 85, 100)) == []
