@@ -40,8 +40,8 @@ WORDS, NUM, DEN = 4, 85, 100
 BATCH_ROWS = 500_000
 #: Prefix entries and rows of trees for each bucket.
 BUCKET_ENTRIES, BUCKET_ROWS = 500_000, 100_000
-#: Sets of a tree; longer ones are cut into parts.
-TREE_ROWS = 4096
+#: Sets of a tree beyond which it is cut into parts; parts are of TREE_ROWS up to FEW_PARTS, then larger, of PART_ROWS at most.
+TREE_ROWS, FEW_PARTS, PART_ROWS = 256, 16, 4096
 PAIRS = 1 << 20
 ENTRY = "<u8 <i8 <i8 <i8"  # shingle, set, size, place in the set's order
 MET = "u long, v long, shingle long, size long, overlap long"  # a pair u, v; or a member u of the shingle's tree
@@ -193,8 +193,9 @@ def tree_cells(members: DataFrame, tree_rows: int) -> DataFrame:
     """
     sizes = members.groupBy("shingle", "known").agg(F.count("*").alias("n"))
     trees = sizes.groupBy("shingle").agg(F.sum("n").alias("n"), F.max(F.struct("n", "known")).alias("top")).where("n > top.n")
-    whole, large = F.col("n") <= tree_rows, F.ceil(F.col("top.n") / tree_rows).cast("int")
-    trees = trees.select("shingle", F.col("top.known").alias("largest"), F.when(whole, 1).otherwise(F.ceil((F.col("n") - F.col("top.n")) / tree_rows).cast("int")).alias("others"), F.when(whole, 0).otherwise(large).alias("parts"))
+    each = F.greatest(F.lit(tree_rows), F.least(F.ceil(F.col("n") / FEW_PARTS), F.lit(max(tree_rows, PART_ROWS))))
+    whole, parts = F.col("n") <= tree_rows, lambda n: F.ceil(n / each).cast("int")
+    trees = trees.select("shingle", F.col("top.known").alias("largest"), F.when(whole, 1).otherwise(parts(F.col("n") - F.col("top.n"))).alias("others"), F.when(whole, 0).otherwise(parts(F.col("top.n"))).alias("parts"))
     rows = members.join(materialize(trees, "mixed-trees"), "shingle")
     of = lambda n: F.pmod(F.xxhash64("u"), n).cast("int")
     rows = rows.withColumn("part", F.when((F.col("parts") > 0) & (F.col("known") == F.col("largest")), F.col("others") + of(F.greatest("parts", F.lit(1)))).otherwise(of("others")))
