@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodeworks.functions.text import ascii_lower
+from lodeworks.functions.variants import as_text, at, has_type, items, number, texts
 from lodeworks.operators.vision import box_area, boxes_touch, completed_markdown, expanded_box, flattened_exponent, table_width, valid_box
 
 # Caps of items, cells and texts.
@@ -28,7 +29,6 @@ REPAIR_STATES = {"ok": ["ok", "found", "present"], "missed": ["missing", "not_fo
 REPAIRS = {"reconstructed": "ok", "crop_ready": "ok", "not_visible": "missed"}
 RAW_KEYS = ["page", "label", "caption", "bbox_norm", "caption_bbox_norm", "status", "headers", "rows", "markdown", "confidence", "notes"]
 
-NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 #: How much a figure's and a table's box grows, the least height that is left beside a caption, the gap to it, and the area below which a figure's box is suspect.
 FIGURE_PAD, TABLE_PAD, LEAST_HEIGHT, CAPTION_GAP, LEAST_REFINED = (0.015, 0.01), (0.025, 0.015), 0.02, 0.005, 0.004
 
@@ -37,43 +37,20 @@ def trimmed(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
-def _of(v: Column, name: str) -> Column:
-    return F.try_variant_get(v, f"$.{name}", "variant")
-
-
-def _is(v: Column, kind: str) -> Column:
-    return F.coalesce(F.startswith(F.schema_of_variant(v), F.lit(kind)), F.lit(False))
-
-
-def _text(v: Column) -> Column:
-    return F.try_variant_get(v, "$", "string")
-
-
-def items(v: Column) -> Column:
-    """An array's elements, as variants; none of anything else."""
-    return F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array().cast("array<variant>"))
-
-
 def text_field(v: Column, name: str) -> Column:
-    field = _of(v, name)
-    return F.when(_is(field, "STRING"), F.nullif(trimmed(_text(field)), F.lit("")))
-
-
-def number(v: Column) -> Column:
-    numeric = _is(v, "BIGINT") | _is(v, "DECIMAL") | _is(v, "DOUBLE") | _is(v, "FLOAT")
-    return F.when(numeric, F.try_variant_get(v, "$", "double")).when(_is(v, "STRING") & _text(v).rlike(NUMBER), _text(v).try_cast("double"))
+    field = at(v, name)
+    return F.when(has_type(field, "STRING"), F.nullif(trimmed(as_text(field)), F.lit("")))
 
 
 def page_field(v: Column, own: Column) -> Column:
     said = F.try_variant_get(v, "$.page", "bigint")
-    return F.when(_is(_of(v, "page"), "BIGINT") & (said >= 0), said).otherwise(own)
+    return F.when(has_type(at(v, "page"), "BIGINT") & (said >= 0), said).otherwise(own)
 
 
 def strings(v: Column) -> Column:
     """A list's texts as they are; of one text, its parts between bars, trimmed, without blank ones."""
-    listed = F.transform(F.filter(items(v), lambda e: _is(e, "STRING")), _text)
-    parts = F.filter(F.transform(F.split(_text(v), r"\|", -1), trimmed), lambda x: x != "")
-    return F.when(_is(v, "STRING"), parts).otherwise(listed)
+    parts = F.filter(F.transform(F.split(as_text(v), r"\|", -1), trimmed), lambda x: x != "")
+    return F.when(has_type(v, "STRING"), parts).otherwise(texts(v))
 
 
 def cells(v: Column) -> Column:
@@ -98,13 +75,13 @@ def page_outputs(outputs: DataFrame) -> DataFrame:
     """
     inner = F.regexp_extract("raw", r"(?s)\{.*\}", 0)
     parsed = outputs.select("id", F.col("page").cast("long").alias("page"), F.coalesce(F.try_parse_json("raw"), F.try_parse_json(inner)).alias("answer"))
-    patched = F.when(_of(F.col("answer"), "patches").isNotNull(), F.lit("discarded_model_text_patches"))
+    patched = F.when(at(F.col("answer"), "patches").isNotNull(), F.lit("discarded_model_text_patches"))
     return parsed.select("id", "page", "answer", F.when(F.col("answer").isNull(), "failed").otherwise("ok").alias("status"), F.array_compact(F.array(patched)).alias("warnings"))
 
 
 def _listed(outputs: DataFrame, name: str, most: int) -> DataFrame:
     """id, own (page), n, v: the first items of a list of the answer."""
-    return outputs.select("id", F.col("page").alias("own"), F.posexplode(F.slice(items(_of(F.col("answer"), name)), F.lit(1), F.lit(most))).alias("n", "v"))
+    return outputs.select("id", F.col("page").alias("own"), F.posexplode(F.slice(items(at(F.col("answer"), name)), F.lit(1), F.lit(most))).alias("n", "v"))
 
 
 V = F.col
@@ -123,7 +100,7 @@ def _completed(outputs: DataFrame, name: str, states: dict[str, list[str]]) -> D
     raw = F.coalesce(F.to_json(F.map_filter(F.try_variant_get(v, "$", "map<string, variant>"), lambda k, _: k.isin(*RAW_KEYS))), F.to_json(v))
     return _listed(outputs, name, COMPLETED).select(
         "id", "n", "v", page_field(v, V("own")).alias("page"), text_field(v, "label").alias("label"), F.left(text_field(v, "caption"), F.lit(MEDIUM_TEXT)).alias("caption"), state(v, states).alias("status"),
-        box(_of(v, "bbox_norm")).alias("box"), number(_of(v, "confidence")).alias("confidence"), F.left(text_field(v, "notes"), F.lit(MEDIUM_TEXT)).alias("notes"), raw.alias("raw"),
+        box(at(v, "bbox_norm")).alias("box"), number(at(v, "confidence")).alias("confidence"), F.left(text_field(v, "notes"), F.lit(MEDIUM_TEXT)).alias("notes"), raw.alias("raw"),
     )
 
 
@@ -133,16 +110,16 @@ def figure_completions(outputs: DataFrame) -> DataFrame:
     A figure's box gives way to its caption's where they touch (the edge that faces the caption moves off it), then grows a
     little, but not back over the caption.
     """
-    rows = _completed(outputs, "figure_completions", FIGURE_STATES).withColumn("caption_box", box(_of(V("v"), "caption_bbox_norm"))).drop("v")
+    rows = _completed(outputs, "figure_completions", FIGURE_STATES).withColumn("caption_box", box(at(V("v"), "caption_bbox_norm"))).drop("v")
     rows = rows.withColumn("b", valid_box(V("box"))).withColumn("c", valid_box(V("caption_box")))
-    at = lambda name, i: F.get(V(name), F.lit(i))
+    side = lambda name, i: F.get(V(name), F.lit(i))
     touch = F.coalesce(boxes_touch(V("b"), V("c")), F.lit(False))
-    below, above = touch & (at("c", 1) >= at("b", 1)) & (at("c", 1) <= at("b", 3)), touch & (at("c", 3) >= at("b", 1)) & (at("c", 3) <= at("b", 3))
+    below, above = touch & (side("c", 1) >= side("b", 1)) & (side("c", 1) <= side("b", 3)), touch & (side("c", 3) >= side("b", 1)) & (side("c", 3) <= side("b", 3))
     rows = rows.withColumn("move", F.when(below, "bottom").when(above, "top"))
-    rows = rows.withColumn("bottom", F.when(V("move") == "bottom", F.greatest(at("c", 1) - CAPTION_GAP, at("b", 1) + LEAST_HEIGHT)))
-    rows = rows.withColumn("top", F.when(V("move") == "top", F.least(at("c", 3) + CAPTION_GAP, at("b", 3) - LEAST_HEIGHT)))
-    rows = rows.withColumn("m", F.array(at("b", 0), F.coalesce("top", at("b", 1)), at("b", 2), F.coalesce("bottom", at("b", 3)))).withColumn("g", expanded_box(V("m"), *FIGURE_PAD))
-    grown = F.array(at("g", 0), F.greatest(at("g", 1), F.coalesce("top", F.lit(0.0))), at("g", 2), F.least(at("g", 3), F.coalesce("bottom", F.lit(1.0))))
+    rows = rows.withColumn("bottom", F.when(V("move") == "bottom", F.greatest(side("c", 1) - CAPTION_GAP, side("b", 1) + LEAST_HEIGHT)))
+    rows = rows.withColumn("top", F.when(V("move") == "top", F.least(side("c", 3) + CAPTION_GAP, side("b", 3) - LEAST_HEIGHT)))
+    rows = rows.withColumn("m", F.array(side("b", 0), F.coalesce("top", side("b", 1)), side("b", 2), F.coalesce("bottom", side("b", 3)))).withColumn("g", expanded_box(V("m"), *FIGURE_PAD))
+    grown = F.array(side("g", 0), F.greatest(side("g", 1), F.coalesce("top", F.lit(0.0))), side("g", 2), F.least(side("g", 3), F.coalesce("bottom", F.lit(1.0))))
     seen = (V("status") != "not_visible") & V("b").isNotNull()
     rows = rows.withColumn("refined_box", F.when(seen, grown).otherwise(F.array().cast("array<double>")))
     found = [
@@ -158,7 +135,7 @@ def figure_completions(outputs: DataFrame) -> DataFrame:
 def table_completions(outputs: DataFrame) -> DataFrame:
     """page_outputs -> id, n, page, label, caption, status, headers, rows, markdown, box, refined_box, validation, warnings, confidence, notes, raw."""
     v = V("v")
-    rows = _completed(outputs, "table_completions", TABLE_STATES).withColumn("headers", strings(_of(v, "headers"))).withColumn("rows", cells(_of(v, "rows")))
+    rows = _completed(outputs, "table_completions", TABLE_STATES).withColumn("headers", strings(at(v, "headers"))).withColumn("rows", cells(at(v, "rows")))
     said = text_field(v, "markdown")
     rows = rows.withColumn("markdown", F.coalesce(F.when(said.contains("|"), said), completed_markdown(V("headers"), V("rows")))).drop("v")
     rows = rows.withColumn("b", valid_box(V("box"))).withColumn("width", table_width(V("headers"), V("rows")))
@@ -187,8 +164,8 @@ def _said_repairs(outputs: DataFrame, name: str, *more: Column) -> DataFrame:
 def table_repairs(outputs: DataFrame) -> DataFrame:
     """page_outputs -> id, n, page, label, status, header, sample_rows, notes: the model's own repair, then one for each completed table."""
     v, cut = V("v"), lambda c, n: F.slice(c, F.lit(1), F.lit(n))
-    samples = F.transform(cut(items(_of(v, "sample_rows")), 1), lambda r: cut(strings(r), REPAIR_COLUMNS))
-    said = _said_repairs(outputs, "table_repairs", cut(strings(_of(v, "header")), REPAIR_COLUMNS).alias("header"), samples.alias("sample_rows"))
+    samples = F.transform(cut(items(at(v, "sample_rows")), 1), lambda r: cut(strings(r), REPAIR_COLUMNS))
+    said = _said_repairs(outputs, "table_repairs", cut(strings(at(v, "header")), REPAIR_COLUMNS).alias("header"), samples.alias("sample_rows"))
     return said.unionByName(_as_repairs(table_completions(outputs), cut(V("headers"), PROJECTED_HEADER).alias("header"), cut(V("rows"), PROJECTED_ROWS).alias("sample_rows")))
 
 
@@ -200,7 +177,7 @@ def figure_repairs(outputs: DataFrame) -> DataFrame:
 def layout_notes(outputs: DataFrame) -> DataFrame:
     """page_outputs -> id, page, n, note: of the first layout warnings those that are texts, or objects as JSON."""
     rows = _listed(outputs, "layout_warnings", WARNINGS)
-    note = F.when(_is(V("v"), "STRING"), _text(V("v"))).when(_is(V("v"), "OBJECT"), F.to_json("v"))
+    note = F.when(has_type(V("v"), "STRING"), as_text(V("v"))).when(has_type(V("v"), "OBJECT"), F.to_json("v"))
     return rows.select("id", V("own").alias("page"), "n", F.left(note, F.lit(SHORT_TEXT)).alias("note")).where("note is not null")
 
 
@@ -209,10 +186,10 @@ def merged_document(outputs: DataFrame) -> DataFrame:
 
     A page's parts are counted in the page's row, so an answer travels nowhere; only counts are added up.
     """
-    size = lambda name, most: F.least(F.size(items(_of(V("answer"), name))), F.lit(most)).cast("long")
+    size = lambda name, most: F.least(F.size(items(at(V("answer"), name))), F.lit(most)).cast("long")
     tables, figures = size("table_completions", COMPLETED), size("figure_completions", COMPLETED)
     repairs = size("table_repairs", REPAIRED) + size("figure_repairs", REPAIRED) + tables + figures
-    notes = F.size(F.filter(F.slice(items(_of(V("answer"), "layout_warnings")), F.lit(1), F.lit(WARNINGS)), lambda e: _is(e, "STRING") | _is(e, "OBJECT"))).cast("long")
+    notes = F.size(F.filter(F.slice(items(at(V("answer"), "layout_warnings")), F.lit(1), F.lit(WARNINGS)), lambda e: has_type(e, "STRING") | has_type(e, "OBJECT"))).cast("long")
     counts = outputs.select("id", (V("status") == "failed").alias("failed"), size("visual_objects", OBJECTS).alias("objects"), tables.alias("tables"), figures.alias("figures"), repairs.alias("repairs"), notes.alias("notes"))
     return counts.groupBy("id").agg(F.count("*").alias("pages"), F.count_if("failed").alias("failed"), *(F.sum(c).alias(c) for c in ("objects", "tables", "figures", "repairs", "notes")))
 

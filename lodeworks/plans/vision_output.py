@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from lodeworks.operators import vision_output as O
 from lodeworks.plans.registry import query
+from lodeworks.plans.templates import filled, pick
 from lodeworks.sources.tables import table
 
 N = "page_id"
 
 
 def _pick(*values: str, step: int = 1) -> str:
-    """SQL: one of the values, in turn by the page's number."""
-    return f"CASE CAST(floor({N} / {step}) AS INT) % {len(values)} " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values)) + " END"
+    return pick(N, *values, step=step)
 
 
 def _share(low: int, times: int, span: int) -> str:
@@ -22,15 +22,9 @@ def _share(low: int, times: int, span: int) -> str:
     return f"'0.' || lpad(CAST({low} + {N} * {times} % {span} AS STRING), 2, '0')"
 
 
-def _sql(template: str, **values: str) -> str:
-    """SQL of a text with @name@ in the places of values."""
-    parts = template.split("@")
-    return "(" + " || ".join(f"({values[x]})" if i % 2 else f"'{x}'" for i, x in enumerate(parts) if x) + ")"
-
-
 # The answers as one SQL expression that both engines read.
 def _object(k: int) -> str:
-    return _sql(
+    return filled(
         '{"page":@page@,"kind":@kind@,"label":@label@,"summary":"@summary@","confidence":@confidence@}',
         page=_pick("3", "2.5", '"4"', "null", "-1", step=k), kind=_pick('" Figure "', '"code"', '"TABLE"', "7", '"odd"', '""', '"dataset"', step=k), label=_pick(f'" L{k} "', '"  "', "5", step=k),
         summary=f"repeat('é', CAST(150 + {N} % 60 AS INT))", confidence=_pick('"high"', "0.5", '" "', step=k),
@@ -38,7 +32,7 @@ def _object(k: int) -> str:
 
 
 def _table(k: int) -> str:
-    return _sql(
+    return filled(
         '{"page":@page@,"label":"T@n@","status":@status@,"headers":@headers@,"rows":@rows@,"markdown":@markdown@,"confidence":@confidence@,"bbox_norm":[@x@,"@y@",@x1@,@y1@]}',
         page=_pick("9", "null", '"1"', step=k), n=f"CAST({N} AS STRING)", status=_pick('"Complete"', '"not-visible"', '"partial"', '" OK "', "1", '"not visible"', step=k),
         headers=_pick('["a","b"]', '"a | b ||  c "', "[]", '["x",5,null]', "null", step=k), rows=_pick('[["1","2"],["3"],[],[4]]', '["p | q","r"]', "[]", '[["2×10 5","y"]]', '"no"', '[["a","b","c","d","e","f","g","h","i","j","k","l","m"]]', step=k),
@@ -48,16 +42,16 @@ def _table(k: int) -> str:
 
 
 def _figure(k: int) -> str:
-    return _sql(
+    return filled(
         '{"label":"F@n@","status":@status@,"caption":"@caption@","confidence":@confidence@,"bbox_norm":[@x@,@y@,@x1@,@y1@],"caption_bbox_norm":[0.1,@c@,0.9,"@c1@"],"note":1}',
         n=f"CAST({N} % 5 AS STRING)", status=_pick('"READY"', '"broken"', "null", '"missing"', '"crop-ready"', step=k), caption=f"repeat('c', CAST(590 + {N} % 20 AS INT))", confidence=_pick("1", '"0.125"', "true", step=k),
         x=_share(1, 3, 20), y=_share(10, 7 + k, 40), x1=_share(22, 11, 60), y1=_share(51, 13, 45), c=_share(5, 17 + k, 80), c1=_share(12, 19 + k, 85),
     )
 
 
-ANSWER = f"""CASE WHEN {N} % 17 = 0 THEN 'no object' WHEN {N} % 19 = 0 THEN '{{"visual_objects":[' ELSE """ + _sql(
+ANSWER = f"""CASE WHEN {N} % 17 = 0 THEN 'no object' WHEN {N} % 19 = 0 THEN '{{"visual_objects":[' ELSE """ + filled(
     '@before@{@patches@"visual_objects":@objects@,"table_completions":[@t1@,@t2@],"figure_completions":[@f1@,@f2@,@f3@,@f4@,@f5@],"table_repairs":[{"label":"R","status":@status@,"header":"h1|h2","sample_rows":[["s"],["t"]],"notes":"n"},{"label":"second"}],"figure_repairs":@repairs@,"layout_warnings":[@notes@]}@after@',
-    before=_pick("", "Here it is: "), patches=_pick("", '"patches":[],', '"patches":null,'), objects=f"CASE WHEN {N} % 7 = 0 THEN 'null' ELSE " + _sql("[@a@,@b@,5,@c@]", a=_object(1), b=_object(2), c=_object(3)) + " END",
+    before=_pick("", "Here it is: "), patches=_pick("", '"patches":[],', '"patches":null,'), objects=f"CASE WHEN {N} % 7 = 0 THEN 'null' ELSE " + filled("[@a@,@b@,5,@c@]", a=_object(1), b=_object(2), c=_object(3)) + " END",
     t1=_table(1), t2=_table(2), **{f"f{k}": _figure(k) for k in range(1, 6)}, status=_pick('"Found"', '"missed"', '"partial"', '"OK"', "null"), repairs=_pick('{"label":"no list"}', '[{"status":"present","page":8}]', "[]"),
     notes=_pick('"w1",2,"w3","w4"', '{"a":1},"x"', "null"), after=_pick("", " done"),
 ) + " END"
