@@ -24,7 +24,7 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 def _load() -> None:
     """Importing the modules registers their queries."""
-    from lodeworks.plans import articles, artifacts, audit, captures, documents, fetching, more_payloads, papers, payloads, requests, retrieval, rules, sources, streams, vision_output  # noqa: F401
+    from lodeworks.plans import articles, artifacts, audit, captures, documents, fetching, more_payloads, papers, payloads, requests, retrieval, rules, sinks, sources, streams, vision_output  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
