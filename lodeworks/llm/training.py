@@ -6,8 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows that a model is fitted on at most (expected value of a hash sample), for each kind of row.
-SAMPLE_ROWS = 20_000
+#: Rows that a model is fitted on at most (expected value of a sample), for each kind of row; how far a sample may be above it.
+SAMPLE_ROWS, SLACK, SEED = 20_000, 1.2, 42
 
 
 def fold(doc_id, parts: int):
@@ -15,17 +15,17 @@ def fold(doc_id, parts: int):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % parts, F.lit(-1))
 
 
-def hash_sample(rows: DataFrame, most: int) -> DataFrame:
-    """About `most` of the rows (all if there are fewer), by a hash of doc_id: no order, no single task."""
+def row_sample(rows: DataFrame, most: int) -> DataFrame:
+    """About `most` of the rows (all if there are fewer), each drawn by itself, whatever its doc_id; never more than SLACK times as many."""
     n = rows.count()
-    return rows if n <= most else rows.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(n)) < most)
+    return rows if n <= most else rows.sample(fraction=most / n, seed=SEED).limit(int(most * SLACK))
 
 
 def training_labels(labels: DataFrame, column: str, parts: int, held_out: int, most: int = SAMPLE_ROWS) -> DataFrame:
     """label_doc, label: rows outside the held-out fold, a bounded sample; documents labelled both ways are left out."""
     known = labels.where(F.col(column).isNotNull() & F.col("doc_id").isNotNull()).where(fold("doc_id", parts) != held_out)
     known = known.groupBy("doc_id").agg(F.min(column).alias("low"), F.max(column).alias("label")).where("low = label")
-    return hash_sample(known, most).select(F.col("doc_id").cast("long").alias("label_doc"), F.col("label").cast("int").alias("label"))
+    return row_sample(known, most).select(F.col("doc_id").cast("long").alias("label_doc"), F.col("label").cast("int").alias("label"))
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

@@ -103,3 +103,14 @@ def test_prior_of_a_mixture():
     assert abs(prior - 0.7) < 0.05
     score = lambda x: quality.sigmoid(quality._scores(w, bins.columns(x)))
     assert (score(positive) > 0.7).mean() > 0.93 and (score(negative) < 0.7).mean() > 0.93
+
+
+@pytest.mark.parametrize("ids", ["5", "cast(null as bigint)", "id"])
+def test_samples_are_drawn_row_by_row(spark, ids):
+    """50,000 rows of one id, without id, or with ids of their own: about as many as asked for, and a bound that holds."""
+    from lodeworks.llm.training import SLACK, row_sample
+
+    rows = spark.range(50_000, numPartitions=5).selectExpr(f"{ids} AS doc_id", "id AS n")
+    n = row_sample(rows, 20_000).count()
+    assert 18_000 < n < 22_000 and n <= 20_000 * SLACK
+    assert row_sample(rows, 60_000).count() == 50_000
