@@ -9,7 +9,9 @@ searched with windows of its own length.  Windows of which half or more is place
 as templates.
 
 Verbatim copies are also searched by plain tokens, all windows alike, whatever is a number or a name; so
-are found items that are mostly numbers, and copies in other case.
+are found items that are mostly numbers, and copies in other case.  Items of fewer than ``least`` tokens, down to ``shortest``, are
+searched as plain text only: as templates they would be found everywhere.  An item of one or two common words is found in every document that
+has them; such benchmarks want a larger ``shortest``.
 
 A match lies on a diagonal: the distance of the two positions.  A diagonal that has ``share`` of the
 item's searched windows, and half that share of all its windows, is a leak.
@@ -24,7 +26,7 @@ that both sides are shuffled by hash.  A document's windows are hashed in one ge
 only windows that match leave it.
 
 Defined cases: null and empty texts and items have no tokens and match nothing; items of fewer than
-``least`` tokens are not looked for; repeated rows of one doc_id or item_id count as one, rows with null ids too; empty tables
+``shortest`` tokens are not looked for; repeated rows of one doc_id or item_id count as one, rows with null ids too; empty tables
 give empty results; other columns are ignored.
 """
 
@@ -35,7 +37,7 @@ from pyspark.sql import functions as F
 
 from lodeworks.llm.common import materialize, numbered
 
-WINDOW, LEAST, SHARE = 8, 5, 0.5
+WINDOW, LEAST, SHORTEST, SHARE = 8, 5, 1, 0.5
 BROADCAST_WINDOWS = 200_000
 # The marks of a number, a name and a unit, what joins the words of a name; units; capitalised words that are no names.
 NUMBER, NAME, UNIT, JOINER = "\u0001", "\u0002", "\u0003", "\u0004"
@@ -103,7 +105,7 @@ def item_windows(items: DataFrame, window: int, least: int, plain: bool = False)
 def _diagonals(docs: DataFrame, items: DataFrame, window: int, least: int, share: float, plain: bool) -> DataFrame:
     """doc_id, item_id, diagonal, matched_windows, item_windows, pairs (of values): diagonals with the share of windows."""
     sought = materialize(item_windows(items, window, least, plain), "item-windows")
-    lengths = sorted(r["l"] for r in sought.select("l").distinct().collect()) or [window]  # at most window - least + 1 values
+    lengths = sorted(r["l"] for r in sought.select("l").distinct().collect()) or [window]  # at most `window` values
     small = sought.count() <= BROADCAST_WINDOWS
     met = windows(docs, "doc_id", lengths, plain).join(F.broadcast(sought) if small else sought, (F.col("hash") == F.col("h")) & (F.col("length") == F.col("l")))
     met = met.where(_cut("t") == F.col("item_t")).select("doc_id", "position", _cut("words").alias("words"), F.explode("items").alias("item")).select("doc_id", "position", "words", "item.*")
@@ -113,13 +115,13 @@ def _diagonals(docs: DataFrame, items: DataFrame, window: int, least: int, share
     return found.where(F.col("matched_windows") >= F.greatest(F.lit(1), F.ceil(F.col("item_windows") * share), F.ceil(F.col("n_all") * share / 2)))
 
 
-def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, least: int = LEAST, share: float = SHARE) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, least: int = LEAST, share: float = SHARE, shortest: int = SHORTEST) -> DataFrame:
     """doc_id, item_id, matched_windows, item_windows, same_values: the best diagonal of each leaked item in each document."""
     ones = lambda field: F.size(F.array_distinct(F.transform("pairs", lambda p: p[field])))
     same = F.forall("pairs", lambda p: p["x"] == p["y"])
     template = _diagonals(docs, items, window, least, share, False).where(ones("x") == F.size("pairs"))
     template = template.select("doc_id", "item_id", F.when(ones("y") == F.size("pairs"), 2).otherwise(1).alias("kind"), "matched_windows", same.alias("same_values"), "item_windows")
-    plain = _diagonals(docs, items, window, least, share, True).select("doc_id", "item_id", F.when(F.col("matched_windows") == F.col("item_windows"), 3).otherwise(0).alias("kind"), "matched_windows", F.lit(True).alias("same_values"), "item_windows")
+    plain = _diagonals(docs, items, window, min(shortest, least), share, True).select("doc_id", "item_id", F.when(F.col("matched_windows") == F.col("item_windows"), 3).otherwise(0).alias("kind"), "matched_windows", F.lit(True).alias("same_values"), "item_windows")
     best = template.unionByName(plain).groupBy("doc_id", "item_id").agg(F.max(F.struct("kind", "matched_windows", "same_values", "item_windows")).alias("b"))
     return best.select("doc_id", "item_id", F.col("b.matched_windows").cast("long").alias("matched_windows"), F.col("b.item_windows").cast("long").alias("item_windows"), "b.same_values")
 

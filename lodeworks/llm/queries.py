@@ -140,18 +140,18 @@ def _sql_marked(column: str) -> str:
 
 
 def op6_sql() -> str:
-    from lodeworks.llm.decontamination import JOINER, LEAST, NUMBER, SHARE, TOKEN, WINDOW
+    from lodeworks.llm.decontamination import JOINER, LEAST, NUMBER, SHARE, SHORTEST, TOKEN, WINDOW
 
     typed = f"[{NUMBER}-{JOINER}]"
     template = lambda table, key: f"SELECT {key}, words, list_transform(words, lambda w: CASE WHEN regexp_matches(w, '^{typed}') THEN w[1] ELSE w END) AS t FROM (SELECT DISTINCT {key}, regexp_extract_all({_sql_marked("coalesce(text, '')")}, '[{TOKEN}]+') AS words FROM {table})"
     plain = lambda table, key: f"SELECT {key}, t AS words, t FROM (SELECT DISTINCT {key}, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS t FROM {table})"
 
-    def search(of, name: str) -> str:
+    def search(of, name: str, least: int) -> str:
         """Tables of one search; their last, <name>_ok, has the diagonals that hold."""
         x = name
         return f"""
 {x}_d AS ({of("documents", "doc_id")}), {x}_b AS (
-  SELECT *, least(len(t), {WINDOW}) AS n FROM ({of("benchmark", "item_id")}) WHERE len(t) >= {LEAST}
+  SELECT *, least(len(t), {WINDOW}) AS n FROM ({of("benchmark", "item_id")}) WHERE len(t) >= {least}
 ), {x}_bw AS (
   SELECT item_id, n, p, list_slice(t, p + 1, p + n) AS t, list_slice(words, p + 1, p + n) AS words FROM (SELECT *, unnest(range(len(t) - n + 1)) AS p FROM {x}_b)
 ), {x}_bs AS (
@@ -176,7 +176,7 @@ def op6_sql() -> str:
 )"""
 
     return f"""
-WITH {search(template, "template")}, {search(plain, "plain")}, every AS (
+WITH {search(template, "template", LEAST)}, {search(plain, "plain", SHORTEST)}, every AS (
   SELECT * FROM template_ok UNION ALL SELECT * REPLACE (CASE WHEN matched_windows = item_windows THEN 3 ELSE 0 END AS kind) FROM plain_ok
 )
 SELECT doc_id, item_id, matched_windows, item_windows, same_values FROM every

@@ -1,5 +1,8 @@
 """Benchmark decontamination: verbatim, re-parameterised and inconsistent copies; oracles on the small tables."""
 
+import random
+import re
+
 import pytest
 
 from lodeworks.llm import queries as llm
@@ -39,6 +42,19 @@ def test_verbatim_copies_of_numbers_and_of_short_items(spark):
     assert found(spark, texts, items) == {(0, 1): True, (1, 2): True, (2, 3): True}
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_items_of_any_number_of_tokens_against_brute_force(spark, seed):
+    """Verbatim items of 1 to 7 tokens: found exactly where their tokens stand in a row."""
+    rng = random.Random(seed)
+    word = lambda: rng.choice(["is", "2", "What", "+", "capital", "of", "été", "France", "today", "zz"])
+    items = [(i, " ".join(word() for _ in range(1 + i % 7))) for i in range(14)] + [(90, "What is 2+2?"), (91, "capital of France today"), (92, "?"), (None, "zz été zz")]
+    texts = [" ".join(word() for _ in range(rng.randint(0, 40))) for _ in range(30)] + ["so: what IS 2 + 2", "the capital, of france today", "été", None, ""]
+    split = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    expected = {(d, i) for d, t in enumerate(texts) for i, item in items if (x := split(item)) and any(split(t)[k : k + len(x)] == x for k in range(len(split(t))))}
+    got = found(spark, texts, items)
+    assert set(got) == expected and all(got.values())
+
+
 def test_different_values_may_become_equal(spark):
     item = "The farmer owns 3 cows and then buys 5 cows at the big market in town"
     texts = [item.replace("3", "4").replace("5", "4"), item.replace("3", "6").replace("5", "7"), item]
