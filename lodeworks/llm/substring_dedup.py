@@ -18,10 +18,10 @@ repetitive text only, and in pieces:
 
 Hot groups.  Copies within a batch are settled by the task that reads them, so a context copied into a
 third of all rows travels once a batch.  A gram with more than ``CROWD`` boundary contexts does not go to
-an index bucket: its 50-byte strings are dealt out by their own hashes, after the same combination.
+an index bucket: its 50-byte strings are dealt out by their own hashes (128 bits), after the same combination.
 
 Every repeated string selects an anchor in each document, whose context is covered, asked for or crowded,
-so nothing is missed; contexts agree in a 64-bit and a gram hash before bytes are called equal.
+so nothing is missed; contexts agree in a 64-bit and a gram hash, strings in 128 bits, before bytes are called equal.
 
 Identity.  Each row gets a number of its own when the documents are written, compressed, at the start; anchors,
 asks and marks carry that number and the doc_id, so no two rows are ever taken for one.  Buckets are partitions
@@ -291,7 +291,8 @@ def _contexts(plan: Plan):
                         cut.append((r, text[a : p + plan.length], key, doc, a))
                 else:
                     starts = np.unique(np.clip(pos[:, None] - np.arange(plan.reach + 1)[None, :], 0, len(text) - plan.length))
-                    strings.append((np.array([xxhash.xxh3_64_intdigest(text[a : a + plan.length]) for a in starts.tolist()], np.uint64), key, doc, starts))
+                    digests = b"".join(xxhash.xxh3_128_digest(text[a : a + plan.length]) for a in starts.tolist())
+                    strings.append((np.frombuffer(digests, np.uint64).reshape(-1, 2), key, doc, starts))
         if cut:
             route = np.array([c[0] for c in cut], np.int64)
             for b, (w,) in split_by(route, np.arange(len(cut))):
@@ -301,19 +302,20 @@ def _contexts(plan: Plan):
             hashes, starts = np.concatenate([s[0] for s in strings]), np.concatenate([s[3] for s in strings])
             n = [len(s[3]) for s in strings]
             key, doc = np.repeat(np.array([s[1] for s in strings], np.uint64), n), np.repeat(np.array([s[2] for s in strings], np.int64), n)
-            order, later = _later(hashes, doc)
+            order, later = _later(*hashes.T, doc)
             gone, rest = order[later], order[~later]
             rows += plan.marks(key[gone], starts[gone], starts[gone] + plan.length, lambda b: b % plan.index_buckets)
-            for b, part in split_by((hashes[rest] % np.uint64(plan.index_buckets)).astype(np.int64), hashes[rest], key[rest], doc[rest], starts[rest]):
+            for b, part in split_by((hashes[rest, 0] % np.uint64(plan.index_buckets)).astype(np.int64), hashes[rest, 0], hashes[rest, 1], key[rest], doc[rest], starts[rest]):
                 rows.append((b, CROWDED, pack_arrays(*part)))
         return pa.Table.from_batches([_row_batch(rows)])
 
     return run
 
 
-def _later(hashes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((doc, hashes))
-    first, number = _bounds(_changes(hashes[order]))
+def _later(high: np.ndarray, low: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the strings, and which of them stand in a smaller document; strings are equal if both halves of their 128-bit hashes are."""
+    order = np.lexsort((doc, low, high))
+    first, number = _bounds(_changes(high[order], low[order]))
     d = doc[order]
     return order, d > d[first][number]
 
@@ -358,8 +360,8 @@ def _index_marks(plan: Plan):
             which, a, b = indexed_marks(body, lengths, doc, plan.length)
             rows += plan.marks(key[which], start[which] + a, start[which] + b, lambda b: b)
         if crowd:
-            hashes, key, doc, start = concat_packed(crowd, "u8 u8 i8 i8")
-            order, later = _later(hashes, doc)
+            high, low, key, doc, start = concat_packed(crowd, "u8 u8 u8 i8 i8")
+            order, later = _later(high, low, doc)
             gone = order[later]
             rows += plan.marks(key[gone], start[gone], start[gone] + plan.length, lambda b: b)
         return pa.Table.from_batches([_row_batch(rows)])

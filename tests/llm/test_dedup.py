@@ -61,6 +61,13 @@ def test_exact_dedup(spark):
             assert (r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) == (keep, len(members), i == keep, hashlib.sha256(body.encode()).hexdigest())
 
 
+def test_crowded_strings_are_equal_in_both_halves_of_their_hashes():
+    """A collision of one half removes nothing."""
+    high, low, doc = np.array([7, 7, 7, 7, 8], np.uint64), np.array([1, 2, 1, 1, 1], np.uint64), np.array([5, 6, 6, 5, 9])
+    order, later = substring_dedup._later(high, low, doc)
+    assert order[later].tolist() == [2]
+
+
 def test_exact_dedup_null_and_repeated_ids(spark):
     rows = spark.createDataFrame([(None, "x"), (3, "x"), (3, "x"), (None, "only")], "doc_id long, text string")
     got = sorted(((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup(rows).collect()), key=repr)
