@@ -91,10 +91,19 @@ def byte_ranges(length: Column, chunk: int) -> Column:
     return F.transform(starts, lambda s: F.struct(s.alias("first"), (F.least(s + chunk, length) - 1).alias("last")))
 
 
+#: Schemes whose addresses have a host, and a path of "/" at least.
+HOSTED_SCHEMES = ["http", "https", "ws", "wss", "ftp"]
+
+
 def url_summary(url: Column) -> Column:
-    valid = url.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+")
-    part = lambda p: F.when(valid, F.regexp_extract(url, p, 1))
-    return F.struct(valid.alias("valid"), F.lower(part(r"^([A-Za-z][A-Za-z0-9+.-]*)://")).alias("scheme"), F.lower(part(r"://(?:[^/?#@]*@)?([^/?#:]*)")).alias("host"), F.octet_length(url).cast("long").alias("n_bytes"))
+    """valid, scheme, host and path of an address; of anything else its length in bytes alone.  Paths are as written, not normalised."""
+    scheme = F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
+    hosted = scheme.isin(*HOSTED_SCHEMES)
+    host = F.nullif(F.lower(F.regexp_extract(url, r"^[^:/?#]+://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", 1)), F.lit(""))
+    path = F.regexp_extract(url, r"^[^:/?#]+:(?://[^/?#]*)?([^?#]*)", 1)
+    valid = (scheme != "") & (~hosted | host.isNotNull())
+    only = lambda c: F.when(valid, c)
+    return F.struct(valid.alias("valid"), only(scheme).alias("scheme"), only(host).alias("host"), only(F.when(hosted & (path == ""), "/").otherwise(path)).alias("path"), F.when(~valid, F.octet_length(url).cast("long")).alias("n_bytes"))
 
 
 def redact_credentials(url: Column) -> Column:

@@ -43,12 +43,13 @@ def table_filter_reason(s: Column, rows: Column) -> Column:
 
 
 def table_markdown(rows: Column) -> Column:
-    """The first row as header; pipes and line breaks escaped; short rows padded."""
+    """The first row as header; pipes and line breaks escaped; short rows padded; ends with a line break; empty without columns."""
     width = F.array_max(F.transform(rows, lambda r: F.array_size(r)))
     escape = lambda c: F.replace(F.replace(F.trim(F.coalesce(c, F.lit(""))), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))
     line = lambda r: F.concat(F.lit("| "), F.array_join(F.transform(F.sequence(F.lit(0), width - 1), lambda i: escape(F.get(r, i))), " | "), F.lit(" |"))
-    rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), width), " | "), F.lit(" |"))
-    return F.array_join(F.concat(F.array(line(F.get(rows, F.lit(0))), rule), F.transform(F.slice(rows, F.lit(2), F.greatest(F.array_size(rows) - 1, F.lit(0))), line)), "\n")
+    rule = F.concat(F.lit("|"), F.repeat(F.lit("---|"), width))
+    text = F.array_join(F.concat(F.array(line(F.get(rows, F.lit(0))), rule), F.transform(F.slice(rows, F.lit(2), F.greatest(F.array_size(rows) - 1, F.lit(0))), line), F.array(F.lit(""))), "\n")
+    return F.when(F.coalesce(width, F.lit(0)) > 0, text).otherwise("")
 
 
 def image_filter_reason(width: Column, height: Column, box_width: Column, box_height: Column) -> Column:

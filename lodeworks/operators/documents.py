@@ -20,8 +20,8 @@ NOISE_WORDS = ["proceedings", "arxiv", "copyright", "preprint", "conference", "j
 CAPTION_STARTS = ["fig.", "figure ", "table "]
 REFERENCE_TAIL = 30_000
 REPEATS, SHORT_LINE, NOISE_BYTES, NOISE_CHARS, JOINED_CHARS, EXCERPT = 3, 18, 3, 90, 96, 240
-# Profiles: bytes of a chunk, bytes of overlap, attempts, retry delay in milliseconds.
-CHUNK_PROFILES = {"fast": (4500, 300, 3, 1000), "balanced": (6500, 500, 2, 600), "strict": (5500, 700, 4, 600)}
+# Profiles: bytes of a chunk, bytes of overlap, chunks at once, tokens of an answer.
+CHUNK_PROFILES = {"fast": (4500, 300, 3, 1000), "balanced": (6500, 500, 2, 1600), "strict": (5500, 700, 1, 1800)}
 MODES = {"": "clean", "clean": "clean", "none": "raw", "raw": "raw", "light": "light"}
 SPACE = " \t\n\x0b\x0c\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 FNV_OFFSET, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3

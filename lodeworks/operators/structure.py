@@ -63,22 +63,35 @@ def credible_sections(candidates: DataFrame, anchors: DataFrame) -> DataFrame:
     return numbered.select("doc_id", section_id(F.col("number"), F.col("heading")).alias("section_id"), "heading", heading_level(F.col("heading")).alias("level"), "byte_start")
 
 
+# The kinds of entities, how their ids begin, and what stands for a blank label.
+ENTITY_IDS = {"figure": "fig", "table": "tbl", "reference": "ref"}
+ENTITY_LABELS = {"figure": "Figure", "table": "Table"}
+
+
 def number_entities(entities: DataFrame) -> DataFrame:
-    """entities (doc_id, seq, kind, label, anchor_id) numbered by kind, with their ids."""
-    n = F.row_number().over(Window.partitionBy("doc_id", "kind").orderBy("seq"))
-    return entities.withColumn("n", n).withColumn("entity_id", F.format_string("%s_%03d", F.col("kind"), F.col("n")))
+    """entities (doc_id, seq, kind, label, text) of the known kinds, numbered from 0 by kind: with entity_id, label and caption.
+
+    A blank label of a figure or table gives way to the kind's name; the caption is the text, or the label as it was.
+    """
+    known = entities.where(F.col("kind").isin(*ENTITY_IDS))
+    n = F.row_number().over(Window.partitionBy("doc_id", "kind").orderBy("seq")) - 1
+    start = F.create_map(*(F.lit(x) for pair in ENTITY_IDS.items() for x in pair))[F.col("kind")]
+    name = F.create_map(*(F.lit(x) for pair in ENTITY_LABELS.items() for x in pair))[F.col("kind")]
+    solid = lambda c: F.when(F.regexp_replace(c, r"(?U)\s+", "") != "", F.col(c))
+    rows = known.withColumn("n", n).withColumn("entity_id", F.format_string("%s_%03d", start, F.col("n")))
+    return rows.withColumn("caption", F.coalesce(solid("text"), "label")).withColumn("label", F.coalesce(solid("label"), name))
 
 
 def evidence_index(anchors: DataFrame) -> DataFrame:
-    """anchors (doc_id, anchor_id, line, byte_start, byte_end, excerpt) -> doc_id, index: a map of anchor to its first span; a document's anchors are one row."""
+    """anchors (doc_id, anchor_id, line, byte_start, byte_end, excerpt) -> doc_id, index: a map of anchor to its last span; a document's anchors are one row."""
     span = F.struct("byte_start", "byte_end", "line", "excerpt")
-    first = anchors.groupBy("doc_id", "anchor_id").agg(F.min(span).alias("span"))
-    return first.groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("anchor_id", "span")))).alias("index"))
+    last = anchors.groupBy("doc_id", "anchor_id").agg(F.max(span).alias("span"))
+    return last.groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("anchor_id", "span")))).alias("index"))
 
 
 def placed_entities(entities: DataFrame, anchors: DataFrame) -> DataFrame:
     """Numbered entities with the place of their anchor; null where the anchor is not known."""
-    places = anchors.groupBy("doc_id", "anchor_id").agg(F.min("byte_start").alias("byte_start"))
+    places = anchors.groupBy("doc_id", "anchor_id").agg(F.max("byte_start").alias("byte_start"))
     return number_entities(entities).join(places, ["doc_id", "anchor_id"], "left")
 
 

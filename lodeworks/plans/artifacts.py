@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodeworks.operators import artifacts as A
 from lodeworks.operators import structure as S
 from lodeworks.plans.registry import query
-from lodeworks.sources.tables import values
+from lodeworks.sources.tables import table, values
 
 TABLES = ["[['a','b'],['1','2'],['3','4']]", "[['a']]", "[['a','b'],['','']]", "[['a','b','c'],['1',''],['2','3','4']]", "[['x','y','z','w']]", "[['a','b'],['1',''],['2',''],['3',''],['4','']]", "[['p|q','r'],['s','t']]", str([["one long line of prose that is no cell at all", "7"]] * 5 + [["short", "8"]] * 4).replace(", ", ","), str([["one long line of prose that is no cell at all", "7"]] * 4 + [["short", "8"]] * 5).replace(", ", ",")]
 TABLE_ROWS = ", ".join(f"({i}, {t.replace('[', 'array(').replace(']', ')')})" for i, t in enumerate(TABLES))
@@ -33,7 +33,7 @@ def table_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL_LINE = lambda r: f"'| ' || array_to_string(list_transform(range(1, cols + 1), lambda i: replace(replace(trim(coalesce({r}[i], '')), '|', '\\|'), chr(10), ' ')), ' | ') || ' |'"
 
 
-@query("l3_table_markdown", f"WITH {SQL_STATS} SELECT id, array_to_string(list_concat([{SQL_LINE('t[1]')}], ['| ' || array_to_string(list_transform(range(cols), lambda i: '---'), ' | ') || ' |'], list_transform(t[2:], lambda r: {SQL_LINE('r')})), chr(10)) AS markdown FROM s")
+@query("l3_table_markdown", f"WITH {SQL_STATS} SELECT id, array_to_string(list_concat([{SQL_LINE('t[1]')}], ['|' || repeat('---|', cols)], list_transform(t[2:], lambda r: {SQL_LINE('r')}), ['']), chr(10)) AS markdown FROM s")
 def table_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return values(spark, TABLE_ROWS, "id, t").select("id", A.table_markdown(F.col("t")).alias("markdown"))
 
@@ -171,7 +171,8 @@ def credible_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.credible_sections(values(spark, CANDIDATES, "doc_id, seq, heading, anchor_id, confidence"), values(spark, ANCHORS, "doc_id, anchor_id, byte_start"))
 
 
-@query("j5_number_entities", "SELECT doc_id, kind || '_' || lpad(row_number() OVER (PARTITION BY doc_id, kind ORDER BY seq)::VARCHAR, 3, '0') AS entity_id, label FROM (VALUES (1, 0, 'figure', 'a'), (1, 1, 'table', 'b'), (1, 2, 'figure', 'c'), (2, 0, 'figure', 'd')) v(doc_id, seq, kind, label)")
+@query("j5_number_entities", "SELECT doc_id % 9 AS doc_id, CASE kind WHEN 0 THEN 'fig_' WHEN 1 THEN 'tbl_' ELSE 'ref_' END || lpad((row_number() OVER (PARTITION BY doc_id % 9, kind ORDER BY doc_id) - 1)::VARCHAR, 3, '0') AS entity_id, source AS label FROM (SELECT *, n_chars % 4 AS kind FROM documents) WHERE kind < 3")
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = values(spark, "(1, 0, 'figure', 'a'), (1, 1, 'table', 'b'), (1, 2, 'figure', 'c'), (2, 0, 'figure', 'd')", "doc_id, seq, kind, label")
+    kind = F.element_at(F.array(*map(F.lit, ("figure", "table", "reference", "other"))), (F.col("n_chars") % 4 + 1).cast("int"))
+    rows = table(spark, sf_dir, "documents").select((F.col("doc_id") % 9).alias("doc_id"), F.col("doc_id").alias("seq"), kind.alias("kind"), F.col("source").alias("label"), F.lit("").alias("text"))
     return S.number_entities(rows).select("doc_id", "entity_id", "label")

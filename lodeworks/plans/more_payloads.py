@@ -6,13 +6,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeworks.plans.registry import query
+from lodeworks.plans.templates import filled, pick
 from lodeworks.sources import more_payloads as M
 from lodeworks.sources.tables import table, values
 
 HITS = ['{"result":{"hits":{"hit":[{"info":{"title":"T1","year":"2020","doi":"10.1/a","authors":{"author":[{"text":"A"},{"text":"B"}]}}},{"info":{"title":"T2","authors":{"author":{"text":"C"}}}},{"info":{"year":"2000"}}]}}}', '{"result":{"hits":{}}}']
 EXTRACTS = ['{"query":{"pages":{"12":{"pageid":12,"title":"Golay","extract":"A code."}}}}', '{"query":{"pages":{"-1":{"title":"None","extract":" "}}}}', "{}"]
 ITEMS = ['{"Data":{"Items":[{"Title":"a","Url":"u","VoteUpCount":3},{"Title":"b"}]}}', "{}"]
-ANSWERS = ['{"items":[{"is_accepted":true,"score":5,"body":"<p>x</p>","body_markdown":"x","owner":{"display_name":"ann"}},{"score":1,"body":"y"}]}']
+N = "page_id"
+ANSWER = '{"is_accepted":@ok@,"score":@score@,"body":"<p>B@n@</p>"@markdown@,"owner":@owner@,"comments":@comments@}'
+
+
+def _answer(k: int) -> str:
+    return filled(
+        ANSWER, n=f"CAST({N} AS STRING)", ok=pick(N, "true", "null", "false", '"true"', step=k), score=pick(N, "5", "-2", "null", "1.5", step=k), markdown=pick(N, "", ',"body_markdown":null', ',"body_markdown":"m &amp; &#233;"', step=k),
+        owner=pick(N, '{"display_name":"a &lt;b&gt;"}', "null", "{}", step=k), comments=pick(N, '[{"owner":{"display_name":"c"},"body":"x &quot;"},{}]', "null", step=k),
+    )
+
+
+SQL_ANSWERS = """w AS (SELECT page_id AS n, i AS pos, page_id // (i + 1) AS m FROM pages, range(3) t(i) WHERE page_id % 9 <> 8), r AS (
+  SELECT n AS question_id, pos, m % 4 = 0 AS accepted, CASE m % 4 WHEN 0 THEN 5 WHEN 1 THEN -2 ELSE 0 END::BIGINT AS score, CASE WHEN m % 3 = 0 THEN 'a <b>' ELSE '' END AS author, CASE m % 3 WHEN 0 THEN '<p>B' || n || '</p>' WHEN 1 THEN '' ELSE 'm & é' END AS body,
+    CASE WHEN m % 2 = 0 THEN 'c: x "|: ' ELSE '' END AS comments FROM w)"""
 OUTPUTS = ['```json\\n{"sections":[{"anchor_id":"c1","heading":"Intro","confidence":2}],"entities":[],"patches":[]}\\n```', '{"s":[{"a":"c2","h":"Method","c":0.5}],"e":[{"k":"figure","a":"c3","l":"F"}]}', '{"s":[["c4","Results",-1],["c5"]],"p":[["c6","a","b",0.9]]}', "no json", None]
 
 
@@ -35,9 +49,32 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return values(spark, _rows(ITEMS), "id, raw").select("id", F.explode(M.question_items(F.col("raw"))).alias("x")).select("id", "x.*")
 
 
-@query("p18_answers", "SELECT * FROM (VALUES (0, 0, true, 5::BIGINT, 'ann', 'x'), (0, 1, NULL, 1, NULL, 'y')) v(question_id, pos, accepted, score, author, body)")
+def _asked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Questions of pages (one in seven without items), and their answers (one in nine unreadable)."""
+    pages = table(spark, sf_dir, "pages")
+    item = filled('{"items":[{"title":"T &amp; @n@","body":"b"@markdown@}]}', n=f"CAST({N} AS STRING)", markdown=pick(N, "", ',"body_markdown":"M &gt;"'))
+    answers = filled('{"items":[@a@,@b@,@c@]}', a=_answer(1), b=_answer(2), c=_answer(3))
+    return pages.selectExpr(f"{N} AS question_id", f"CASE WHEN {N} % 7 = 6 THEN '{{\"items\":[]}}' ELSE {item} END AS raw"), pages.selectExpr(f"{N} AS question_id", f"CASE WHEN {N} % 9 = 8 THEN 'error' ELSE {answers} END AS raw")
+
+
+def _comments(column: str):
+    return F.array_join(F.transform(column, lambda c: F.concat_ws(": ", c["author"], c["body"])), "|")
+
+
+@query("p18_answers", f"WITH {SQL_ANSWERS} SELECT question_id, pos::INT AS pos, accepted, score, author, body, comments FROM r")
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.answers(values(spark, _rows(ANSWERS), "question_id, raw"))
+    return M.answers(_asked(spark, sf_dir)[1]).withColumn("comments", _comments("comments"))
+
+
+@query(
+    "a16_questions",
+    f"""WITH {SQL_ANSWERS}, o AS (SELECT question_id, string_agg(pos::VARCHAR || CASE WHEN accepted THEN '*' ELSE '' END, ',' ORDER BY accepted DESC, score DESC, pos) AS answers FROM r GROUP BY 1)
+SELECT page_id AS question_id, 'T & ' || page_id AS title, CASE WHEN page_id % 2 = 1 THEN 'M >' ELSE 'b' END AS body, coalesce(o.answers, '') AS answers FROM pages LEFT JOIN o ON o.question_id = page_id WHERE page_id % 7 <> 6""",
+)
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A question is mandatory, its answers are best-effort: accepted first, then by score."""
+    found = M.questions(*_asked(spark, sf_dir))
+    return found.withColumn("answers", F.array_join(F.transform("answers", lambda a: F.concat(a["pos"].cast("string"), F.when(a["accepted"], "*").otherwise(""))), ","))
 
 
 @query("p12_article_lists", "SELECT page_id, 0::BIGINT AS pos, 'https://list.example/link?x=' || page_id AS url, 'Title ' || page_id AS title, 'sum mary' AS summary FROM pages UNION ALL SELECT page_id, 1, 'https://a.example/' || page_id, 'B', '' FROM pages")

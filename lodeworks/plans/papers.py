@@ -235,14 +235,22 @@ def anchored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.concat("role", (F.char_length("text") % 3).cast("string")).alias("anchor_id"), t.alias("line"), (t * 100).alias("byte_start"), (t * 100 + 50).alias("byte_end"), F.left("text", F.lit(20)).alias("excerpt"))
 
 
-@query("j1_evidence_index", f"WITH {SQL_ANCHORED} SELECT doc_id, anchor_id, byte_start, line, excerpt FROM a QUALIFY row_number() OVER (PARTITION BY doc_id, anchor_id ORDER BY byte_start) = 1")
+@query("j1_evidence_index", f"WITH {SQL_ANCHORED} SELECT doc_id, anchor_id, byte_start, line, excerpt FROM a QUALIFY row_number() OVER (PARTITION BY doc_id, anchor_id ORDER BY byte_start DESC) = 1")
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = S.evidence_index(anchored(spark, sf_dir)).select("doc_id", F.explode("index").alias("anchor_id", "span"))
     return index.select("doc_id", "anchor_id", "span.byte_start", "span.line", "span.excerpt")
 
 
-@query("j5_placed_entities", f"WITH {SQL_ANCHORED}, e AS (SELECT conv_id AS doc_id, turn AS seq, CASE WHEN turn % 2 = 0 THEN 'figure' ELSE 'table' END AS kind, left(text, 5) AS label, 'user' || turn % 4 AS anchor_id FROM conversations), n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, kind ORDER BY seq) AS n FROM e), p AS (SELECT doc_id, anchor_id, min(byte_start) AS byte_start FROM a GROUP BY 1, 2) SELECT doc_id, kind || '_' || lpad(n::VARCHAR, 3, '0') AS entity_id, label, byte_start FROM n LEFT JOIN p USING (doc_id, anchor_id)")
+@query(
+    "j5_placed_entities",
+    f"""WITH {SQL_ANCHORED}, e AS (SELECT conv_id AS doc_id, turn AS seq, ['figure', 'table', 'reference', 'equation'][turn % 4 + 1] AS kind, CASE WHEN turn % 3 = 0 THEN ' ' ELSE left(text, 5) END AS label, CASE WHEN turn % 5 > 1 THEN left(text, 9) END AS body, 'user' || turn % 4 AS anchor_id FROM conversations),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, kind ORDER BY seq) - 1 AS n FROM e WHERE kind <> 'equation'), p AS (SELECT doc_id, anchor_id, max(byte_start) AS byte_start FROM a GROUP BY 1, 2)
+SELECT doc_id, CASE kind WHEN 'figure' THEN 'fig_' WHEN 'table' THEN 'tbl_' ELSE 'ref_' END || lpad(n::VARCHAR, 3, '0') AS entity_id, CASE WHEN trim(label) <> '' THEN label WHEN kind = 'figure' THEN 'Figure' WHEN kind = 'table' THEN 'Table' END AS label,
+  CASE WHEN trim(body) <> '' THEN body ELSE label END AS caption, byte_start FROM n LEFT JOIN p USING (doc_id, anchor_id)""",
+)
 def placed(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("turn")
-    e = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), t.alias("seq"), F.when(t % 2 == 0, "figure").otherwise("table").alias("kind"), F.left("text", F.lit(5)).alias("label"), F.concat(F.lit("user"), (t % 4).cast("string")).alias("anchor_id"))
-    return S.placed_entities(e, anchored(spark, sf_dir)).select("doc_id", "entity_id", "label", "byte_start")
+    kind = F.element_at(F.array(*map(F.lit, ("figure", "table", "reference", "equation"))), (t % 4 + 1).cast("int"))
+    label, text = F.when(t % 3 == 0, " ").otherwise(F.left("text", F.lit(5))), F.when(t % 5 > 1, F.left("text", F.lit(9)))
+    e = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), t.alias("seq"), kind.alias("kind"), label.alias("label"), text.alias("text"), F.concat(F.lit("user"), (t % 4).cast("string")).alias("anchor_id"))
+    return S.placed_entities(e, anchored(spark, sf_dir)).select("doc_id", "entity_id", "label", "caption", "byte_start")

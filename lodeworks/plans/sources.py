@@ -155,6 +155,15 @@ def ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", r.alias("r")).select("page_id", F.size("r").cast("long").alias("n_ranges"), F.element_at("r", -1)["last"].alias("last"))
 
 
-@query("s16_url_summary", f"WITH v AS (SELECT *, regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+') AS valid FROM (VALUES {URL_ROWS}) v(id, url)) SELECT id, valid, CASE WHEN valid THEN lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) END AS scheme, CASE WHEN valid THEN lower(regexp_extract(url, '://(?:[^/?#@]*@)?([^/?#:]*)', 1)) END AS host, octet_length(encode(url))::BIGINT AS n_bytes, regexp_replace(url, '://[^/?#@]+@', '://***@') AS redacted FROM v")
+SQL_ADDRESS = "CASE page_id % 8 WHEN 0 THEN 'mailto:a@b.example' WHEN 1 THEN 'http://' WHEN 2 THEN 'no address ü' WHEN 3 THEN 'HTTPS://User:pw@Host.Example:8080?q=1#f' WHEN 4 THEN 'file:///tmp/' || CAST(page_id AS STRING) WHEN 5 THEN 'https://[2001:db8::1]/p;x?y' ELSE url END"
+
+
+@query(
+    "s16_url_summary",
+    f"""WITH u AS (SELECT page_id AS id, page_id % 8 AS k, {SQL_ADDRESS} AS url, CASE WHEN page_id % 8 IN (1, 2) THEN false ELSE true END AS valid FROM pages), p AS (SELECT *, regexp_extract(url, '^https?://([^/?#]+)', 1) AS own, regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) AS rest FROM u)
+SELECT id, valid, CASE k WHEN 0 THEN 'mailto' WHEN 1 THEN NULL WHEN 2 THEN NULL WHEN 3 THEN 'https' WHEN 4 THEN 'file' WHEN 5 THEN 'https' ELSE split_part(url, ':', 1) END AS scheme, CASE k WHEN 3 THEN 'host.example' WHEN 5 THEN '[2001:db8::1]' WHEN 6 THEN own WHEN 7 THEN own END AS host,
+  CASE k WHEN 0 THEN 'a@b.example' WHEN 3 THEN '/' WHEN 4 THEN '/tmp/' || id WHEN 5 THEN '/p;x' WHEN 6 THEN coalesce(nullif(rest, ''), '/') WHEN 7 THEN coalesce(nullif(rest, ''), '/') END AS path, CASE WHEN NOT valid THEN octet_length(encode(url))::BIGINT END AS n_bytes, CASE k WHEN 3 THEN 'HTTPS://***@Host.Example:8080?q=1#f' ELSE url END AS redacted FROM p""",
+)
 def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return values(spark, URL_ROWS, "id, url").select("id", U.url_summary(F.col("url")).alias("s"), U.redact_credentials(F.col("url")).alias("redacted")).select("id", "s.*", "redacted")
+    rows = table(spark, sf_dir, "pages").selectExpr("page_id AS id", f"{SQL_ADDRESS} AS url")
+    return rows.select("id", U.url_summary(F.col("url")).alias("s"), U.redact_credentials(F.col("url")).alias("redacted")).select("id", "s.*", "redacted")

@@ -10,8 +10,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodeworks.functions.text import decode_entities
+from lodeworks.functions.variants import at, has_type, items, text, truth
+
 ITEM = "Title string, Url string, VoteUpCount long, CommentCount long, AuthorName string, EditTime long"
-ANSWER = "items array<struct<is_accepted: boolean, score: long, body: string, body_markdown: string, owner: struct<display_name: string>>>"
 # The most sections, entities, patches, anchors and warnings that a chunk's output may have.
 CAPS = {"sections": 8, "entities": 16, "patches": 3, "warnings": 8}
 
@@ -59,10 +61,34 @@ def comments(payloads: DataFrame, reviews: bool = False) -> DataFrame:
     return rows.select("issue_id", "pos", text("c.user.login").alias("author"), text("c.body").alias("body"), text("c.submitted_at" if reviews else "c.created_at").alias("created_at"))
 
 
+def _body(v: Column) -> Column:
+    """The Markdown body if that key is there, whatever it holds, else the other one; entities decoded."""
+    return decode_entities(F.coalesce(text(F.coalesce(at(v, "body_markdown"), at(v, "body"))), F.lit("")))
+
+
+def _owner(v: Column) -> Column:
+    return decode_entities(F.coalesce(text(at(v, "owner.display_name")), F.lit("")))
+
+
 def answers(payloads: DataFrame) -> DataFrame:
-    """payloads (question_id, raw) -> question_id, pos, accepted, score, author, body."""
-    parsed = payloads.select("question_id", F.posexplode(F.from_json("raw", ANSWER)["items"]).alias("pos", "a"))
-    return parsed.select("question_id", "pos", F.col("a.is_accepted").alias("accepted"), F.coalesce("a.score", F.lit(0)).alias("score"), F.col("a.owner.display_name").alias("author"), F.coalesce("a.body_markdown", "a.body").alias("body"))
+    """payloads (question_id, raw) -> question_id, pos, accepted, score, author, body, comments (author, body)."""
+    parsed = payloads.select("question_id", F.posexplode(items(at(F.try_parse_json("raw"), "items"))).alias("pos", "a"))
+    a = F.col("a")
+    score = F.when(has_type(at(a, "score"), "BIGINT"), F.try_variant_get(a, "$.score", "bigint"))
+    notes = F.transform(items(at(a, "comments")), lambda c: F.struct(_owner(c).alias("author"), _body(c).alias("body")))
+    return parsed.select("question_id", "pos", F.coalesce(truth(at(a, "is_accepted")), F.lit(False)).alias("accepted"), F.coalesce(score, F.lit(0)).alias("score"), _owner(a).alias("author"), _body(a).alias("body"), notes.alias("comments"))
+
+
+def questions(payloads: DataFrame, answer_payloads: DataFrame) -> DataFrame:
+    """payloads and answer_payloads (question_id, raw) -> question_id, title, body, answers (in order: accepted, score, as they came).
+
+    A question without any item is no row; answers that are missing or unreadable are none.
+    """
+    item = at(F.try_parse_json("raw"), "items[0]")
+    asked = payloads.select("question_id", item.alias("q")).where("q is not null").select("question_id", decode_entities(F.coalesce(text(at(F.col("q"), "title")), F.lit(""))).alias("title"), _body(F.col("q")).alias("body"))
+    order = F.struct((~F.col("accepted")).alias("late"), (-F.col("score")).alias("low"), "pos", "accepted", "score", "author", "body", "comments")
+    found = answers(answer_payloads).groupBy("question_id").agg(F.array_sort(F.collect_list(order)).alias("answers"))
+    return asked.join(found, "question_id", "left").withColumn("answers", F.coalesce("answers", F.array().cast(found.schema["answers"].dataType)))
 
 
 class _Articles(HTMLParser):

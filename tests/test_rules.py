@@ -57,7 +57,7 @@ def test_box_groups_accumulate(spark):
 
 def test_markdown_escapes_and_pads(spark):
     df = spark.createDataFrame([([["a|b", "c"], ["x\ny"]],)], "t array<array<string>>")
-    assert df.select(artifacts.table_markdown(F.col("t")).alias("m")).first()["m"] == "| a\\|b | c |\n| --- | --- |\n| x y |  |"
+    assert df.select(artifacts.table_markdown(F.col("t")).alias("m")).first()["m"] == "| a\\|b | c |\n|---|---|\n| x y |  |\n"
 
 
 @pytest.mark.parametrize("url, public", [("http://0.0.0.0", False), ("http://100.128.0.1", True), ("http://[fd00::1]/", False), ("https://EXAMPLE.com", True), ("mailto:x", False), ("", False)])
