@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from lodeworks.functions.text import ascii_lower
 
-# The system prompt of a search, the filter that questions are asked with.
-SYSTEM = "Answer concisely with factual claims grounded in web search sources. Prefer primary sources. If sources are weak or unavailable, say so."
+#: The system prompt of a search, if none is given.
+SYSTEM = "Search the web, answer briefly, and name the pages that each statement rests on; say it where they are few or doubtful."
+# Fixed value: where questions are asked.
 QUESTIONS = "https://api.stackexchange.com/2.3/questions/"
 
 

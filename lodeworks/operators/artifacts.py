@@ -106,6 +106,41 @@ def group_boxes(rows: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id", "page").applyInPandas(fold, "doc_id long, page int, group int, members int, x double, y double, right double, bottom double")
 
 
+# How far edges and widths of rows of one table may differ, the gap between them, rows that still take another one.
+EDGE, WIDTH_DIFFERENCE, ROW_GAP, MOST_ROWS = 18.0, 36.0, (-8.0, 44.0), 32
+
+
+def merge_single_rows(tables: DataFrame) -> DataFrame:
+    """tables (doc_id, page, index, strategy, n_rows, n_cols, x, y, w, h) -> doc_id, page, index (of the first), members, strategy, n_rows, n_cols, x, y, w, h.
+
+    From top to bottom, then from left to right: a table of one row joins the one before it, as that has become, if it has its columns and
+    strategy and stands close below (or above).  What a table has become decides, so a page is a fold over its sorted array, in the
+    row; it is bounded by what a page holds.  Tables without a box stay alone, behind the others.
+    """
+    place = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(float("inf")))
+    box = [F.col(c).cast("double").alias(c) for c in ("x", "y", "w", "h")]
+    one = F.struct(place("y").alias("top"), place("x").alias("left"), F.col("index").cast("int").alias("index"), F.array(F.col("index").cast("int")).alias("members"), "strategy", F.col("n_rows").cast("int").alias("n_rows"), F.col("n_cols").cast("int").alias("n_cols"), *box)
+    pages = tables.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(one)).alias("t"))
+
+    def joins(a: Column, b: Column) -> Column:
+        gap = F.when(b["y"] >= a["y"], b["y"] - (a["y"] + a["h"])).otherwise(a["y"] - (b["y"] + b["h"]))
+        alike = (a["strategy"] == b["strategy"]) & (a["n_cols"] == b["n_cols"]) & (a["n_cols"] >= 2) & (b["n_rows"] == 1) & a["n_rows"].between(1, MOST_ROWS)
+        return F.coalesce(alike & (F.abs(a["x"] - b["x"]) <= EDGE) & (F.abs(a["w"] - b["w"]) <= WIDTH_DIFFERENCE) & gap.between(*ROW_GAP), F.lit(False))
+
+    def joined(a: Column, b: Column) -> Column:
+        x, y = F.least(a["x"], b["x"]), F.least(a["y"], b["y"])
+        w, h = F.greatest(a["x"] + a["w"], b["x"] + b["w"]) - x, F.greatest(a["y"] + a["h"], b["y"] + b["h"]) - y
+        return F.struct(a["top"].alias("top"), a["left"].alias("left"), a["index"].alias("index"), F.concat(a["members"], b["members"]).alias("members"), a["strategy"].alias("strategy"), (a["n_rows"] + b["n_rows"]).alias("n_rows"), a["n_cols"].alias("n_cols"), x.alias("x"), y.alias("y"), w.alias("w"), h.alias("h"))
+
+    def step(done: Column, b: Column) -> Column:
+        last = F.element_at(done, -1)
+        return F.when(joins(last, b), F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(joined(last, b)))).otherwise(F.concat(done, F.array(b)))
+
+    folded = F.aggregate(F.slice("t", F.lit(2), F.greatest(F.size("t") - 1, F.lit(0))), F.slice("t", F.lit(1), F.lit(1)), step)
+    out = pages.select("doc_id", "page", F.explode(folded).alias("m"))
+    return out.select("doc_id", "page", *(F.col(f"m.{c}").alias(c) for c in ("index", "members", "strategy", "n_rows", "n_cols", "x", "y", "w", "h")))
+
+
 def markdown_tables(pages: DataFrame) -> DataFrame:
     """pages (doc_id, page, text) -> doc_id, page, block, n_rows, header, body: blocks of pipe rows with a separator row that is not the first.
 

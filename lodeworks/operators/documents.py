@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_right
 from collections import Counter
@@ -52,22 +53,21 @@ def repeated_noise(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def text_signals(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, n_lines (not blank), n_repeated (distinct lines with three occurrences or more), short_ratio, n_figures, n_tables, n_urls."""
-    solid = text_lines(docs, key).where("norm <> ''").withColumn("trimmed", F.regexp_replace("line", r"(?U)^\s+|\s+$", ""))
-    low = ascii_lower(F.col("trimmed"))
-    one = solid.groupBy(key, "norm").agg(
-        F.count("*").alias("n"),
-        F.count_if(F.char_length("trimmed") <= SHORT_LINE).alias("short"),
-        F.count_if(low.startswith("fig.") | low.startswith("figure ")).alias("figures"),
-        F.count_if(low.startswith("table ")).alias("tables"),
-        F.count_if(low.contains("http://") | low.contains("https://")).alias("urls"),
-    )
-    return (
-        one.groupBy(key)
-        .agg(F.sum("n").alias("n_lines"), F.count_if(F.col("n") >= REPEATS).alias("n_repeated"), F.sum("short").alias("n_short"), F.sum("figures").alias("n_figures"), F.sum("tables").alias("n_tables"), F.sum("urls").alias("n_urls"))
-        .withColumn("short_ratio", F.col("n_short") / F.col("n_lines"))
-        .drop("n_short")
-    )
+    """key, n_lines (not blank), n_repeated (distinct lines with three occurrences or more), short_ratio, n_figures, n_tables, n_urls; a row for each document with such lines.
+
+    All in the document's row: in sorted lines, one that repeats is equal to the second next and unlike the one before.
+    """
+    trimmed = F.filter(F.transform(lines_of(F.col("text")), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: x != "")
+    rows = docs.select(key, trimmed.alias("solid")).where(F.size("solid") > 0)
+    rows = rows.select(key, "solid", F.transform("solid", ascii_lower).alias("low"), F.array_sort(F.transform("solid", squeeze)).alias("sorted"))
+    line = lambda i: F.get(F.col("sorted"), i)
+    starts = F.filter(F.sequence(F.lit(0), F.size("sorted") - 1), lambda i: (line(i) == line(i + REPEATS - 1)) & ((i == 0) | (line(i - 1) != line(i))))
+    count = lambda lines, test: F.size(F.filter(lines, test)).cast("long")
+    n = F.size("solid").cast("long")
+    return rows.select(
+        key, n.alias("n_lines"), F.size(starts).cast("long").alias("n_repeated"), count("low", lambda x: x.startswith("fig.") | x.startswith("figure ")).alias("n_figures"), count("low", lambda x: x.startswith("table ")).alias("n_tables"),
+        count("low", lambda x: x.contains("http://") | x.contains("https://")).alias("n_urls"), (count("solid", lambda x: F.char_length(x) <= SHORT_LINE) / n).alias("short_ratio"),
+    )
 
 
 def collapse_blank_lines(text: Column) -> Column:
@@ -339,6 +339,16 @@ def section_ranges(starts: DataFrame, doc: str, start: str, length: Column) -> D
 
 
 def overlapping(chunk_rows: DataFrame, sections: DataFrame, doc: str) -> DataFrame:
-    """Chunks and sections of one document that touch: an equi-join on the document with a range condition."""
-    s = sections.select(F.col(doc).alias("section_doc"), "section_id", F.col("section_start"), F.col("section_end"))
-    return chunk_rows.join(s, (F.col(doc) == F.col("section_doc")) & (F.col("byte_end") >= F.col("section_start")) & (F.col("byte_start") <= F.col("section_end"))).drop("section_doc")
+    """Chunks and sections of one document that touch, in bins: both sides are dealt to the bins of a document that they reach.
+
+    A bin is as wide as an interval on average, so an interval is in a few, and a document of any length is many small groups.  A
+    pair that shares several bins counts in the first of them.
+    """
+    length = lambda rows, a, b: rows.agg(F.avg(F.col(b) - F.col(a))).first()[0] or 0
+    width = F.lit(max(1, math.ceil(max(length(chunk_rows, "byte_start", "byte_end"), length(sections, "section_start", "section_end")))))
+    bins = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / width), F.floor(F.col(b) / width))).alias("bin")
+    s = sections.where("section_start <= section_end").select(F.col(doc).alias("section_doc"), "section_id", "section_start", "section_end", bins("section_start", "section_end").alias("section_bin"))
+    c = chunk_rows.where("byte_start <= byte_end").select("*", bins("byte_start", "byte_end"))
+    touch = (F.col("byte_end") >= F.col("section_start")) & (F.col("byte_start") <= F.col("section_end"))
+    first = F.col("bin") == F.floor(F.greatest("byte_start", "section_start") / width)
+    return c.join(s, (F.col(doc) == F.col("section_doc")) & (F.col("bin") == F.col("section_bin")) & touch & first).drop("section_doc", "section_bin", "bin")
\ No newline at end of file

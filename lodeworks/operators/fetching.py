@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from lodeworks.functions.text import truncate
 from lodeworks.operators.structure import first_available
 
-# Labels of providers by path and origin, pseudo-providers of references, messages of a fallback.
+# Labels of providers by path and origin, pseudo-providers of references.
 ENRICHMENT_LABELS = {"primary": "tavily_enrichment", "fallback": "firecrawl_enrichment", "none": "tavily_enrichment"}
 FALLBACK_LABELS = {"primary": "tavily_fallback", "fallback": "firecrawl_enrichment", "none": "tavily_fallback"}
 REFERENCE_PROVIDER = "openalex_reference"
-EMPTY_ANSWER = "{provider} search did not return a verifiable answer. Source fallback returned {n} source(s); evaluate them directly rather than treating any text as a verified answer."
-UNVERIFIED_ANSWER = "{provider} returned an answer without verifiable search sources, so source fallback returned {n} source(s). The original answer was not treated as verified; evaluate the listed sources directly."
+#: Messages in place of an answer.
+EMPTY_ANSWER = "No answer by {provider} could be checked. A second search found {n} source(s), listed for your own reading."
+UNVERIFIED_ANSWER = "An answer by {provider} names no source and is left out. A second search found {n} source(s), listed for your own reading."
 
 
 def resolve_reason(kind: Column, content: Column, error: Column) -> Column:
@@ -50,7 +51,7 @@ def sliced(fetched: DataFrame, extra: int, fallback: int) -> DataFrame:
     return rows.withColumn("path", F.explode(paths)).drop("n")
 
 
-def fallback_message(answer: Column, n_sources: Column, provider: str = "The answer provider") -> Column:
+def fallback_message(answer: Column, n_sources: Column, provider: str = "the answer provider") -> Column:
     fill = lambda template: F.concat(F.lit(template.split("{n}")[0].replace("{provider}", provider)), n_sources.cast("string"), F.lit(template.split("{n}")[1]))
     return F.when(F.trim(F.coalesce(answer, F.lit(""))) == "", fill(EMPTY_ANSWER)).otherwise(fill(UNVERIFIED_ANSWER))
 

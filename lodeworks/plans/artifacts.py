@@ -176,3 +176,29 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.element_at(F.array(*map(F.lit, ("figure", "table", "reference", "other"))), (F.col("n_chars") % 4 + 1).cast("int"))
     rows = table(spark, sf_dir, "documents").select((F.col("doc_id") % 9).alias("doc_id"), F.col("doc_id").alias("seq"), kind.alias("kind"), F.col("source").alias("label"), F.lit("").alias("text"))
     return S.number_entities(rows).select("doc_id", "entity_id", "label")
+
+
+#: Tables found on the pages of orders: rows of a table below each other, with other columns, strategies, gaps and edges now and then.
+SQL_FOUND = """SELECT l_orderkey % 50 AS doc_id, l_orderkey AS page, CAST(l_linenumber * 1000000 + l_partkey % 1000 * 1000 + l_suppkey % 1000 AS INT) AS index, CASE WHEN l_suppkey % 11 = 0 THEN 'lines' ELSE 'grid' END AS strategy, CASE WHEN l_partkey % 7 = 0 THEN 2 ELSE 1 END AS n_rows, CASE WHEN l_partkey % 13 = 0 THEN 1 ELSE 3 END AS n_cols,
+  CASE WHEN l_partkey % 17 <> 0 THEN CAST(50 + l_suppkey % 20 AS DOUBLE) END AS x, CAST(100 + l_linenumber * 30 + l_partkey % 40 AS DOUBLE) AS y, CAST(200 + l_suppkey % 40 AS DOUBLE) AS w, CAST(16 AS DOUBLE) AS h FROM lineitem"""
+
+
+@query(
+    "g10_merged_rows",
+    f"""WITH RECURSIVE f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY CASE WHEN x IS NULL THEN y ELSE y END, coalesce(x, 1e9), index) AS k FROM ({SQL_FOUND})), g AS (
+  SELECT doc_id, page, k, index AS first, 1 AS number, strategy, n_rows, n_cols, x, y, w, h FROM f WHERE k = 1
+  UNION ALL
+  SELECT doc_id, page, k, CASE WHEN ok THEN first ELSE index END, CASE WHEN ok THEN number ELSE number + 1 END, b_strategy, CASE WHEN ok THEN n_rows + b_rows ELSE b_rows END, b_cols, CASE WHEN ok THEN least(x, bx) ELSE bx END, CASE WHEN ok THEN least(y, by_) ELSE by_ END,
+    CASE WHEN ok THEN greatest(x + w, bx + bw) - least(x, bx) ELSE bw END, CASE WHEN ok THEN greatest(y + h, by_ + bh) - least(y, by_) ELSE bh END
+  FROM (
+    SELECT g.doc_id, g.page, f.k, g.first, f.index, g.number, f.strategy AS b_strategy, g.n_rows, f.n_rows AS b_rows, f.n_cols AS b_cols, g.x, g.y, g.w, g.h, f.x AS bx, f.y AS by_, f.w AS bw, f.h AS bh,
+      coalesce(g.strategy = f.strategy AND g.n_cols = f.n_cols AND g.n_cols >= 2 AND f.n_rows = 1 AND g.n_rows BETWEEN 1 AND 32 AND abs(g.x - f.x) <= 18 AND abs(g.w - f.w) <= 36 AND CASE WHEN f.y >= g.y THEN f.y - (g.y + g.h) ELSE g.y - (f.y + f.h) END BETWEEN -8 AND 44, false) AS ok
+    FROM g JOIN f ON f.doc_id = g.doc_id AND f.page = g.page AND f.k = g.k + 1
+  )
+)
+SELECT doc_id, page, first::INT AS index, max(n_rows)::INT AS n_rows, count(*) AS members, arg_max(x, k) AS x, arg_max(y, k) AS y, arg_max(w, k) AS w, arg_max(h, k) AS h FROM g GROUP BY doc_id, page, number, first""",
+)
+def merged_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table(spark, sf_dir, "lineitem").createOrReplaceTempView("lineitem_tables")
+    merged = A.merge_single_rows(spark.sql(SQL_FOUND.replace("FROM lineitem", "FROM lineitem_tables")))
+    return merged.select("doc_id", "page", "index", "n_rows", F.size("members").cast("long").alias("members"), "x", "y", "w", "h")

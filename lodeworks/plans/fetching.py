@@ -104,7 +104,7 @@ def slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FT.sliced(p, 3, 5).withColumn("label", FT.provider_label(F.col("path"), origin))
 
 
-@query("n10_fallback_message", "SELECT conv_id, turn, CASE WHEN trim(coalesce(a, '')) = '' THEN 'The answer provider search did not return a verifiable answer. Source fallback returned ' || turn || ' source(s); evaluate them directly rather than treating any text as a verified answer.' ELSE 'The answer provider returned an answer without verifiable search sources, so source fallback returned ' || turn || ' source(s). The original answer was not treated as verified; evaluate the listed sources directly.' END AS message FROM (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN text WHEN turn % 3 = 0 THEN ' ' END AS a FROM conversations)")
+@query("n10_fallback_message", "SELECT conv_id, turn, CASE WHEN trim(coalesce(a, '')) = '' THEN 'No answer by the answer provider could be checked. A second search found ' || turn || ' source(s), listed for your own reading.' ELSE 'An answer by the answer provider names no source and is left out. A second search found ' || turn || ' source(s), listed for your own reading.' END AS message FROM (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN text WHEN turn % 3 = 0 THEN ' ' END AS a FROM conversations)")
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     answer = F.when(F.col("turn") % 2 == 0, F.col("text")).when(F.col("turn") % 3 == 0, " ")
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", FT.fallback_message(answer, F.col("turn")).alias("message"))

@@ -46,7 +46,7 @@ def filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return values(spark, YEARS, "id, a, b, oa, sort").select("id", Q.works_filter(a, b, oa).alias("works"), Q.works_order(sort, a, b).alias("works_order"), Q.year_filter(a, b).alias("years"), Q.papers_order(sort).alias("papers_order"))
 
 
-@query("p24_payloads", "SELECT item_id, '{\"model\":\"m\",\"messages\":[{\"role\":\"system\",\"content\":' || to_json(CASE WHEN item_id % 2 = 0 THEN 'be brief' ELSE 'Answer concisely with factual claims grounded in web search sources. Prefer primary sources. If sources are weak or unavailable, say so.' END) || '},{\"role\":\"user\",\"content\":' || to_json(text) || '}],\"stream\":false' || CASE WHEN item_id % 3 = 0 THEN ',\"tools\":[{\"type\":\"web_search\"}]' ELSE '' END || '}' AS chat, '{\"model\":\"m\",\"input\":[' || CASE WHEN item_id % 2 = 0 THEN '{\"role\":\"system\",\"content\":\"be brief\"},' ELSE '' END || '{\"role\":\"user\",\"content\":' || to_json(text) || '}],\"tools\":[' || concat_ws(',', CASE WHEN item_id % 3 = 0 THEN '{\"type\":\"web_search\"}' END, CASE WHEN item_id % 5 = 0 THEN '{\"type\":\"x_search\"}' END) || '],\"stream\":false}' AS answer FROM benchmark")
+@query("p24_payloads", "SELECT item_id, '{\"model\":\"m\",\"messages\":[{\"role\":\"system\",\"content\":' || to_json(CASE WHEN item_id % 2 = 0 THEN 'be brief' ELSE 'Search the web, answer briefly, and name the pages that each statement rests on; say it where they are few or doubtful.' END) || '},{\"role\":\"user\",\"content\":' || to_json(text) || '}],\"stream\":false' || CASE WHEN item_id % 3 = 0 THEN ',\"tools\":[{\"type\":\"web_search\"}]' ELSE '' END || '}' AS chat, '{\"model\":\"m\",\"input\":[' || CASE WHEN item_id % 2 = 0 THEN '{\"role\":\"system\",\"content\":\"be brief\"},' ELSE '' END || '{\"role\":\"user\",\"content\":' || to_json(text) || '}],\"tools\":[' || concat_ws(',', CASE WHEN item_id % 3 = 0 THEN '{\"type\":\"web_search\"}' END, CASE WHEN item_id % 5 = 0 THEN '{\"type\":\"x_search\"}' END) || '],\"stream\":false}' AS answer FROM benchmark")
 def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = lambda m: F.col("item_id") % m == 0
     system = F.when(n(2), "be brief").otherwise(" ")

@@ -1,13 +1,14 @@
 """Golden rows for what SQL does not express, and edge cases of the functions."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from lodeworks.functions import text as T
 from lodeworks.functions import urls as U
-from lodeworks.operators import audit, documents, ranking, sources_ops, structure
+from lodeworks.operators import artifacts, audit, documents, ranking, sources_ops, structure
 from lodeworks.sources import payloads, tables
 
 
@@ -255,3 +256,31 @@ def test_heading_rules(spark):
     rows = [("Abstract", True), ("2 Data", True), ("Figure 1", False), ("see http://x", False), ("random words", False), ("## Methods", True)]
     df = spark.createDataFrame(rows, "x string, y boolean").select(structure.is_heading(F.col("x")).alias("g"), "y")
     assert all(r["g"] == r["y"] for r in df.collect())
+
+
+def test_intervals_of_a_long_document_meet_in_bins(spark):
+    """100,000 chunks and as many sections of one document, in seconds; one interval spans all, and some end where others begin."""
+    n = 100_000
+    chunks = spark.range(n).selectExpr("1L AS doc", "id AS chunk", "id * 100 AS byte_start", "id * 100 + 150 AS byte_end").unionByName(spark.sql(f"SELECT 1L AS doc, -1L AS chunk, 0L AS byte_start, {n * 100}L AS byte_end"))
+    sections = spark.range(n).selectExpr("1L AS doc", "id AS section_id", "id * 100 + 50 AS section_start", "id * 100 + 150 AS section_end").unionByName(spark.sql("SELECT 2L AS doc, 0L AS section_id, 0L AS section_start, 10L AS section_end"))
+    got = documents.overlapping(chunks, sections, "doc")
+    assert got.columns == ["doc", "chunk", "byte_start", "byte_end", "section_id", "section_start", "section_end"]
+    # A chunk reaches its own section, the one before (which ends in it) and the next (which begins at its end).
+    assert got.where("chunk >= 0").count() == 3 * n - 2 and got.where("chunk < 0").count() == n
+
+
+def test_intervals_against_brute_force(spark):
+    rng = random.Random(3)
+    make = lambda: [(rng.randrange(3), i, a, a + rng.choice([-1, 0, 1, 5, 200])) for i, a in enumerate(rng.randrange(300) for _ in range(80))]
+    chunks, sections = make(), make()
+    got = documents.overlapping(spark.createDataFrame(chunks, "doc long, chunk long, byte_start long, byte_end long"), spark.createDataFrame(sections, "doc long, section_id long, section_start long, section_end long"), "doc")
+    expected = sorted((c, s) for d, c, a, b in chunks for e, s, x, y in sections if d == e and a <= b and x <= y and b >= x and a <= y)
+    assert sorted((r["chunk"], r["section_id"]) for r in got.collect()) == expected
+
+
+def test_single_rows_become_a_table(spark):
+    row = lambda page, index, y, n_rows=1, n_cols=3, x=10.0, w=100.0, strategy="g": (1, page, index, strategy, n_rows, n_cols, x, y, w, 16.0 if x is not None else None)
+    tables = [*(row(1, i, 100.0 + 18 * i) for i in range(5)), row(1, 9, 300.0), row(2, 0, 0.0, n_rows=32), row(2, 1, 20.0), row(2, 2, 40.0), row(3, 0, 0.0, n_cols=1), row(3, 1, 18.0, n_cols=1), row(4, 0, 0.0), row(4, 1, 18.0, x=29.0), row(4, 2, 36.0, strategy="h"), row(5, 0, 0.0, x=None), row(5, 1, 1.0)]
+    got = artifacts.merge_single_rows(spark.createDataFrame(tables, "doc_id long, page long, index int, strategy string, n_rows int, n_cols int, x double, y double, w double, h double"))
+    found = sorted((r["page"], r["members"], r["n_rows"]) for r in got.collect())
+    assert found == [(1, [0, 1, 2, 3, 4], 5), (1, [9], 1), (2, [0, 1], 33), (2, [2], 1), (3, [0], 1), (3, [1], 1), (4, [0], 1), (4, [1], 1), (4, [2], 1), (5, [0], 1), (5, [1], 1)]
