@@ -52,21 +52,22 @@ def repeated_noise(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return solid.groupBy(key, "norm").agg(F.count("*").alias("n")).where((F.col("n") >= REPEATS) & looks_like_noise(F.col("norm")))
 
 
-def text_signals(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, n_lines (not blank), n_repeated (distinct lines with three occurrences or more), short_ratio, n_figures, n_tables, n_urls; a row for each document with such lines.
+def text_signals(docs: DataFrame, key: str = "doc_id", blank: bool = False) -> DataFrame:
+    """key, n_lines (not blank), n_repeated (distinct lines with three occurrences or more), short_ratio, n_figures, n_tables, n_urls; a row for each document with such lines, if blank for the others too (short_ratio null).
 
     All in the document's row: in sorted lines, one that repeats is equal to the second next and unlike the one before.
     """
     trimmed = F.filter(F.transform(lines_of(F.col("text")), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: x != "")
-    rows = docs.select(key, trimmed.alias("solid")).where(F.size("solid") > 0)
+    rows = docs.select(key, trimmed.alias("solid"))
+    rows = rows if blank else rows.where(F.size("solid") > 0)
     rows = rows.select(key, "solid", F.transform("solid", ascii_lower).alias("low"), F.array_sort(F.transform("solid", squeeze)).alias("sorted"))
     line = lambda i: F.get(F.col("sorted"), i)
-    starts = F.filter(F.sequence(F.lit(0), F.size("sorted") - 1), lambda i: (line(i) == line(i + REPEATS - 1)) & ((i == 0) | (line(i - 1) != line(i))))
+    starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size("sorted") - 1, F.lit(0))), lambda i: (line(i) == line(i + REPEATS - 1)) & ((i == 0) | (line(i - 1) != line(i))))
     count = lambda lines, test: F.size(F.filter(lines, test)).cast("long")
     n = F.size("solid").cast("long")
     return rows.select(
         key, n.alias("n_lines"), F.size(starts).cast("long").alias("n_repeated"), count("low", lambda x: x.startswith("fig.") | x.startswith("figure ")).alias("n_figures"), count("low", lambda x: x.startswith("table ")).alias("n_tables"),
-        count("low", lambda x: x.contains("http://") | x.contains("https://")).alias("n_urls"), (count("solid", lambda x: F.char_length(x) <= SHORT_LINE) / n).alias("short_ratio"),
+        count("low", lambda x: x.contains("http://") | x.contains("https://")).alias("n_urls"), (count("solid", lambda x: F.char_length(x) <= SHORT_LINE) / F.nullif(n, F.lit(0))).alias("short_ratio"),
     )
 
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeworks.operators import audit as A
+from lodeworks.operators import audit_state
 from lodeworks.plans.registry import query
+from lodeworks.sources.shared import shared_root
 from lodeworks.sources.tables import live_entry, put_entries, table, values
 
 SQL_EVENTS = "e AS (SELECT event_id AS seq, 'tool' || (user_id % 7) AS tool, event_type <> 'error' AS ok, epoch_us(ts) // 1000 AS at_ms, CASE WHEN event_type = 'error' AND event_id % 3 <> 0 THEN CASE event_id % 4 WHEN 0 THEN 'timeout' WHEN 1 THEN 'provider' WHEN 2 THEN 'parse' ELSE 'other' END END AS error_kind FROM events)"
@@ -101,3 +105,16 @@ def epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("s10_sha256", "SELECT doc_id, sha256(text) AS sha FROM documents")
 def sha(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.encode("text", "UTF-8"), 256).alias("sha"))
+
+
+@query(
+    "a22_incremental_state",
+    f"WITH {SQL_EVENTS}, r AS (SELECT tool, seq FROM e ORDER BY seq DESC LIMIT 1000), n AS (SELECT tool, count(*) AS n FROM r GROUP BY 1) SELECT tool, count(*) AS total, count(*) FILTER (ok) AS success, count(*) FILTER (NOT ok) AS failure, arg_max(at_ms, seq) FILTER (ok) AS last_success_ms, arg_max(at_ms, seq) FILTER (NOT ok) AS last_failure_ms, coalesce(any_value(n.n), 0) AS in_recent FROM e LEFT JOIN n USING (tool) GROUP BY tool",
+)
+def incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events in three loads, each on the snapshot of the one before; the last comes twice."""
+    path, events = f"{shared_root(spark)}/audit-state-{uuid.uuid4().hex}", calls(spark, sf_dir)
+    low, high = events.agg(F.min("seq"), F.max("seq")).first()
+    for share in (0.4, 0.7, 1.0, 1.0):
+        audit_state.load(spark, path, events.where(F.col("seq") <= low + int((high - low) * share)))
+    return audit_state.snapshot(spark, path)

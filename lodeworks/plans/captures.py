@@ -63,14 +63,14 @@ def captured(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").selectExpr(f"{p} AS provider", f"{k} AS kind", f"{N} AS id", f"{raw} AS raw")
 
 
-def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _stored(spark: SparkSession, sf_dir: str, **only) -> DataFrame:
     path = f"{shared_root(spark)}/captures-{uuid.uuid4().hex}"
     committed.save(captured(spark, sf_dir), path, by="provider,kind")
-    return committed.load(spark, path)
+    return committed.load(spark, path, **only)
 
 
 def _records(spark: SparkSession, sf_dir: str, provider: str) -> DataFrame:
-    found = literature.paper_records(_stored(spark, sf_dir).where(F.col("provider") == provider))
+    found = literature.paper_records(_stored(spark, sf_dir, provider=provider))
     return found.withColumn("authors", F.array_join("authors", ";")).withColumn("pos", F.col("pos").cast("int"))
 
 
@@ -117,7 +117,7 @@ def openalex(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("a10_referenced_records", "SELECT 'openalex' AS provider, page_id AS id, i::INT AS pos, 'W' || (i + 1) AS url FROM pages, range(2) t(i) WHERE page_id % 4 = 1 AND page_id // 4 % 4 = 1 AND page_id // 8 % 2 = 0")
 def referenced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return literature.referenced_records(_stored(spark, sf_dir))
+    return literature.referenced_records(_stored(spark, sf_dir, provider="openalex", kind="get"))
 
 
 @query(

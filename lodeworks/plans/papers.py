@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeworks.operators import documents as D
+from lodeworks.operators import passes
 from lodeworks.operators import progressive as P
 from lodeworks.operators import structure as S
 from lodeworks.operators import vision as V
 from lodeworks.plans.documents import SQL_SRC, with_golden
-from lodeworks.plans.registry import query
+from lodeworks.plans.registry import _ORACLES, query
 from lodeworks.sources.tables import table, values
 
 PAPERS = ["# arXiv:2301.1\n\nA Study of Lode Bodies\nAnn Bee\n\n## Abstract\nWe study lodes.\nMore.", "Provided proper attribution one may\nThe First Real Title: Part 2\nabstract\n", "short\nends with a stop, so it is no title.\nhttp://x.example/a title\nAbstract of things here\nOnly now a title comes", "ABSTRACT\nAt once.\nA later line that is long", "", "12345 67890\nNo Abstract Heading Here"]
@@ -254,3 +255,16 @@ def placed(spark: SparkSession, sf_dir: str) -> DataFrame:
     label, text = F.when(t % 3 == 0, " ").otherwise(F.left("text", F.lit(5))), F.when(t % 5 > 1, F.left("text", F.lit(9)))
     e = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), t.alias("seq"), kind.alias("kind"), label.alias("label"), text.alias("text"), F.concat(F.lit("user"), (t % 4).cast("string")).alias("anchor_id"))
     return S.placed_entities(e, anchored(spark, sf_dir)).select("doc_id", "entity_id", "label", "caption", "byte_start")
+
+
+@query(
+    "t15_pass_report",
+    f"""WITH {SQL_SRC}, c AS ({_ORACLES["h6_clean_text"]}), w AS ({_ORACLES["h9_text_warnings"]}), n AS (SELECT count(*) AS n, sum(length(coalesce(text, '')))::BIGINT AS chars FROM src), o AS (SELECT sum(length(text))::BIGINT AS chars, count(warning) AS warned FROM c)
+SELECT 'validate_options' AS pass, 'ok' AS status, NULL::BIGINT AS documents, NULL::BIGINT AS input_chars, NULL::BIGINT AS output_chars, NULL::BIGINT AS documents_with_warnings, NULL::VARCHAR AS error
+UNION ALL SELECT 'raw_text_extraction', 'ok', n, chars, chars, 0, NULL FROM n UNION ALL SELECT 'text_signal', 'ok', n, chars, chars, (SELECT count(*) FROM w WHERE warnings <> ''), NULL FROM n
+UNION ALL SELECT 'text_clean', 'ok', n, n.chars, o.chars, warned, NULL FROM n, o UNION ALL SELECT 'validate_options', 'failed', NULL, NULL, NULL, NULL, 'unknown text mode: odd'""",
+)
+def pass_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of a run, and of one whose mode does not exist."""
+    docs = with_golden(spark, sf_dir)
+    return passes.run_passes(docs, "clean")[1].unionByName(passes.run_passes(docs, "odd")[1])

@@ -2,12 +2,14 @@
 
     register(spark)
     captures.write.format("committed").option("by", "provider,kind").mode("append").save(path)
-    spark.read.format("committed").load(path).where("provider = 'openalex'")
+    load(spark, path, provider="openalex", kind=["get", "search"])
 
 A task writes Parquet files below folders of the `by` columns' values; the driver then adds one numbered manifest, by a link that
 fails if the number is taken, so what a lost task or a failed job leaves is never read.  A stream names itself
-(option stream): a micro-batch that comes again finds its manifest and its files are dropped.  Readers plan from manifests: filters on the
-`by` columns choose files before any is opened, small files share a partition.  A stream's offset is the number of the last manifest.
+(option stream): a micro-batch that comes again finds its manifest and its files are dropped.  Readers plan from manifests: what is asked
+of the `by` columns (option only) chooses files before any is opened, small files share a partition.  With option
+pushdown (and spark.sql.python.filterPushdown.enabled) Spark's own filters choose them too; that is not the default, because Spark 4.1 then plans all
+scans of one DataFrame with the filters of the last, so two filtered uses of one load would read the same files.  A stream's offset is the number of the last manifest.
 """
 
 from __future__ import annotations
@@ -35,8 +37,7 @@ PARTITION_BYTES, HELD_BYTES = 32 << 20, 64 << 20
 
 
 def register(spark: SparkSession) -> None:
-    """Make the format known to a session, and let filters reach Python sources."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    """Make the format known to a session."""
     spark.dataSource.register(CommittedFolder)
 
 
@@ -149,8 +150,21 @@ def _rows(path: str, schema: StructType, partition: Files | None) -> Iterator[pa
 class Reader(ds.DataSourceReader):
     def __init__(self, options: dict, schema: StructType):
         self.path, self.schema, self.most = options["path"], schema, int(options.get("partition_bytes", PARTITION_BYTES))
+        self.only = json.loads(options.get("only", "{}"))
         self.filters: list[ds.Filter] = []
 
+    def partitions(self) -> list[Files]:
+        files = [f for m in Folder(self.path).current() for f in m["files"] if all(_holds(x, f["values"]) is not False for x in self.filters)]
+        files = [f for f in files if all(c not in f["values"] or f["values"][c] in wanted for c, wanted in self.only.items())]
+        return _planned(files, self.most)
+
+    def read(self, partition: Files | None) -> Iterator[pa.RecordBatch]:
+        return _rows(self.path, self.schema, partition)
+
+
+class FilteringReader(Reader):
+    """Takes filters on the `by` columns from Spark."""
+
     def pushFilters(self, filters: list[ds.Filter]) -> Iterator[ds.Filter]:
         by = {c: "" for m in Folder(self.path).current() for c in m["by"]}
         for f in filters:
@@ -160,13 +174,6 @@ class Reader(ds.DataSourceReader):
             else:
                 yield f
 
-    def partitions(self) -> list[Files]:
-        files = [f for m in Folder(self.path).current() for f in m["files"] if all(_holds(x, f["values"]) is not False for x in self.filters)]
-        return _planned(files, self.most)
-
-    def read(self, partition: Files | None) -> Iterator[pa.RecordBatch]:
-        return _rows(self.path, self.schema, partition)
-
 
 class StreamReader(ds.DataSourceStreamReader):
     def __init__(self, options: dict, schema: StructType):
@@ -274,7 +281,7 @@ class CommittedFolder(ds.DataSource):
         return StructType.fromJson(json.loads(known[-1]["schema"]))
 
     def reader(self, schema: StructType) -> Reader:
-        return Reader(self.options, schema)
+        return (FilteringReader if self.options.get("pushdown") == "true" else Reader)(self.options, schema)
 
     def streamReader(self, schema: StructType) -> StreamReader:
         return StreamReader(self.options, schema)
@@ -291,9 +298,28 @@ def save(df: DataFrame, path: str, by: str = "", mode: str = "append") -> None:
     df.write.format("committed").option("by", by).mode(mode).save(path)
 
 
-def load(spark: SparkSession, path: str) -> DataFrame:
+def load(spark: SparkSession, path: str, **only) -> DataFrame:
+    """The folder's rows; only: for columns, the value or list of values that rows must have.  Files of other values are not opened."""
     register(spark)
-    return spark.read.format("committed").load(path)
+    wanted = {c: v if isinstance(v, list) else [v] for c, v in only.items()}
+    rows = spark.read.format("committed").option("only", json.dumps(wanted)).load(path)
+    for c, values in wanted.items():
+        known = [v for v in values if v is not None]
+        rows = rows.where((F.col(c).isin(*known) if known else F.lit(False)) | (F.col(c).isNull() if None in values else F.lit(False)))
+    return rows
+
+
+def vacuum(path: str) -> int:
+    """Delete what was replaced: files and manifests before the last one that replaces everything; their number.  For folders that no stream reads."""
+    folder, kept = Folder(path), {f["path"] for m in Folder(path).current() for f in m["files"]}
+    known = folder.manifests()
+    last = max((n for n, m in known if m["replaces"]), default=0)
+    gone = [f for n, m in known if n < last for f in m["files"] if f["path"] not in kept]
+    folder.drop(gone)
+    for n, _ in known:
+        if n < last:
+            folder.store.delete_file(folder.at(COMMITS, f"{n:012d}.json"))
+    return len(gone)
 
 
 MANIFEST = "files array<struct<path: string, rows: long, bytes: long, values: map<string, string>>>, stream string, batch long"

@@ -33,8 +33,7 @@ def stream_audit(calls: DataFrame, path: str, name: str, progress: str):
 
 def export_jsonl(spark: SparkSession, path: str, out: str, days: list[str] | None = None) -> None:
     """A JSON line for each record of a folder, appended to out: only the days that are asked for are read."""
-    records = committed.load(spark, path)
-    records = records if days is None else records.where(F.col("day").isin(*days))
+    records = committed.load(spark, path) if days is None else committed.load(spark, path, day=days)
     records.select(F.to_json(F.struct(*RECORD), {"ignoreNullFields": "false"}).alias("value")).write.mode("append").text(out)
 
 
@@ -75,6 +74,5 @@ def artifact_totals(spark: SparkSession, path: str) -> DataFrame:
 
 def read_artifacts(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
     """The contents that were written, with their digest as a check: intact."""
-    files = committed.load(spark, f"{path}/files")
-    files = files if kind is None else files.where(F.col("kind") == kind)
+    files = committed.load(spark, f"{path}/files") if kind is None else committed.load(spark, f"{path}/files", kind=kind)
     return files.withColumn("intact", F.sha2(F.col("content").cast("binary"), 256) == F.col("sha256"))

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodeworks.sources import committed
-from lodeworks.sources.committed import Folder, StreamWriter, _planned, load, manifest_files, register, save
+from lodeworks.sources.committed import Folder, Reader, StreamWriter, _planned, load, manifest_files, register, save
 
 
 @pytest.fixture
@@ -44,10 +44,28 @@ def test_appends_overwrites_and_types(spark, path):
 def test_filters_choose_files(spark, path, condition, files):
     """A file for each pair of values; a partition for each file."""
     save(rows(spark, 60).coalesce(1), path, by="provider,kind")
-    register(spark)
-    df = spark.read.format("committed").option("partition_bytes", "1").load(path).where(condition)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        df = spark.read.format("committed").option("partition_bytes", "1").option("pushdown", "true").load(path).where(condition)
+        assert ids(df) == ids(rows(spark, 60).where(condition))
+        assert df.rdd.getNumPartitions() == max(files, 1 if files == 0 and df.rdd.getNumPartitions() else files)
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
+@pytest.mark.parametrize("only, condition, files", [({"provider": "p1"}, "provider = 'p1'", 3), ({"provider": ["p0", "p2"], "kind": "k/ü 1"}, "provider in ('p0', 'p2') and kind = 'k/ü 1'", 2), ({"kind": None}, "kind is null", 3), ({"kind": [None, "k/ü 0"]}, "kind is null or kind = 'k/ü 0'", 6), ({"raw": "none"}, "false", 9)])
+def test_values_choose_files(spark, path, only, condition, files):
+    save(rows(spark, 60).coalesce(1), path, by="provider,kind")
+    df = load(spark, path, **only)
     assert ids(df) == ids(rows(spark, 60).where(condition))
-    assert df.rdd.getNumPartitions() == max(files, 1 if files == 0 and df.rdd.getNumPartitions() else files)
+    assert len(Reader({"path": path, "partition_bytes": "1", "only": json.dumps({c: v if isinstance(v, list) else [v] for c, v in only.items()})}, df.schema).partitions()) == files
+
+
+def test_two_filtered_uses_of_one_load(spark, path):
+    save(rows(spark, 60), path, by="provider")
+    df = load(spark, path)
+    both = df.where("provider = 'p0'").unionAll(df.where("provider = 'p1'"))
+    assert ids(both) == [i for i in range(60) if i % 3 < 2]
 
 
 def test_a_failed_write_is_never_read(spark, path):
