@@ -8,17 +8,18 @@ from pyspark.sql import functions as F
 from lodeworks.operators import artifacts as A
 from lodeworks.operators import structure as S
 from lodeworks.plans.registry import query
+from lodeworks.plans.templates import by_group, by_group_sql, by_page, by_page_sql
 from lodeworks.sources.tables import table, values
 
 TABLES = ["[['a','b'],['1','2'],['3','4']]", "[['a']]", "[['a','b'],['','']]", "[['a','b','c'],['1',''],['2','3','4']]", "[['x','y','z','w']]", "[['a','b'],['1',''],['2',''],['3',''],['4','']]", "[['p|q','r'],['s','t']]", str([["one long line of prose that is no cell at all", "7"]] * 5 + [["short", "8"]] * 4).replace(", ", ","), str([["one long line of prose that is no cell at all", "7"]] * 4 + [["short", "8"]] * 5).replace(", ", ",")]
 TABLE_ROWS = ", ".join(f"({i}, {t.replace('[', 'array(').replace(']', ')')})" for i, t in enumerate(TABLES))
 SQL_TABLES = ", ".join(f"({i}, {t})" for i, t in enumerate(TABLES))
-SQL_STATS = f"s AS (SELECT id, t, len(t)::INT AS rows, coalesce(list_max(list_transform(t, lambda r: len(r))), 0)::INT AS cols, coalesce(list_sum(list_transform(t, lambda r: len(list_filter(r, lambda c: trim(c) <> '')))), 0)::INT AS filled, coalesce(list_sum(list_transform(t, lambda r: len(r))), 0)::INT AS cells, len(list_filter(t, lambda r: len(list_filter(r, lambda c: trim(c) <> '')) >= 2)) AS rich FROM (VALUES {SQL_TABLES}) v(id, t)), g AS (SELECT *, CASE WHEN cells = 0 THEN 1.0 ELSE 1 - filled::DOUBLE / cells END AS empty_ratio, rows >= 2 AND cols >= 2 AND rich * 2 >= rows AS real_grid FROM s)"
+SQL_STATS = f"s AS (SELECT id, t, len(t)::INT AS rows, coalesce(list_max(list_transform(t, lambda r: len(r))), 0)::INT AS cols, coalesce(list_sum(list_transform(t, lambda r: len(list_filter(r, lambda c: trim(c) <> '')))), 0)::INT AS filled, coalesce(list_sum(list_transform(t, lambda r: len(r))), 0)::INT AS cells, len(list_filter(t, lambda r: len(list_filter(r, lambda c: trim(c) <> '')) >= 2)) AS rich FROM {by_page_sql(SQL_TABLES, "id, t")} v), g AS (SELECT *, CASE WHEN cells = 0 THEN 1.0 ELSE 1 - filled::DOUBLE / cells END AS empty_ratio, rows >= 2 AND cols >= 2 AND rich * 2 >= rows AS real_grid FROM s)"
 
 
 @query("g7_table_stats", f"WITH {SQL_STATS} SELECT id, rows, cols, filled, empty_ratio, real_grid FROM g")
 def table_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return values(spark, TABLE_ROWS, "id, t").select("id", A.table_stats(F.col("t")).alias("s")).select("id", "s.*")
+    return by_page(spark, sf_dir, TABLE_ROWS, "id, t").select("id", A.table_stats(F.col("t")).alias("s")).select("id", "s.*")
 
 
 @query(
@@ -27,7 +28,7 @@ def table_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def table_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = A.table_stats(F.col("t"))
-    return values(spark, TABLE_ROWS, "id, t").select("id", A.table_filter_reason(s, F.col("t")).alias("reason"), F.round(A.table_quality(s), 6).alias("quality"))
+    return by_page(spark, sf_dir, TABLE_ROWS, "id, t").select("id", A.table_filter_reason(s, F.col("t")).alias("reason"), F.round(A.table_quality(s), 6).alias("quality"))
 
 
 SQL_LINE = lambda r: f"'| ' || array_to_string(list_transform(range(1, cols + 1), lambda i: replace(replace(trim(coalesce({r}[i], '')), '|', '\\|'), chr(10), ' ')), ' | ') || ' |'"
@@ -35,48 +36,55 @@ SQL_LINE = lambda r: f"'| ' || array_to_string(list_transform(range(1, cols + 1)
 
 @query("l3_table_markdown", f"WITH {SQL_STATS} SELECT id, array_to_string(list_concat([{SQL_LINE('t[1]')}], ['|' || repeat('---|', cols)], list_transform(t[2:], lambda r: {SQL_LINE('r')}), ['']), chr(10)) AS markdown FROM s")
 def table_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return values(spark, TABLE_ROWS, "id, t").select("id", A.table_markdown(F.col("t")).alias("markdown"))
+    return by_page(spark, sf_dir, TABLE_ROWS, "id, t").select("id", A.table_markdown(F.col("t")).alias("markdown"))
 
 
-IMAGES = "(3, 1, 0, 120, 100, NULL, NULL), (3, 1, 1, 119, 100, NULL, NULL), (1, 1, 0, 400, 300, 100.0, 80.0), (1, 1, 1, 100, 100, NULL, NULL), (1, 1, 2, 400, 400, 50.0, 30.0), (1, 2, 0, 300, 200, 20.0, 20.0), (1, 2, 1, 60, 60, 200.0, 100.0), (2, 1, 0, 250, 250, NULL, NULL)"
-IMAGE_COLUMNS = "doc_id, page, image_index, width, height, box_width, box_height"
-SQL_IMAGES = f"v AS (SELECT * FROM (VALUES {IMAGES}) v({IMAGE_COLUMNS}))"
+def _numbers(spark: SparkSession, sf_dir: str, sql: str, name: str) -> DataFrame:
+    """SQL over one of the given tables, which both engines read."""
+    return spark.sql(sql.replace(f"FROM {name}", "FROM {source}"), source=table(spark, sf_dir, name))
+
+
+#: Images of the pages of orders; every other one has a box.
+IMAGES = """SELECT l_orderkey AS doc_id, CAST(l_linenumber % 2 AS INT) AS page, CAST(l_linenumber * 1000000 + l_partkey % 1000 * 1000 + l_suppkey % 1000 AS INT) AS image_index, CAST(40 + l_partkey % 600 AS INT) AS width, CAST(40 + l_suppkey * 7 % 500 AS INT) AS height,
+  CASE WHEN l_partkey % 2 = 0 THEN CAST(1 + l_suppkey % 150 AS DOUBLE) END AS box_width, CASE WHEN l_partkey % 2 = 0 THEN CAST(1 + l_partkey % 90 AS DOUBLE) END AS box_height FROM lineitem"""
+SQL_IMAGES = f"v AS (SELECT * FROM ({IMAGES}))"
 
 
 @query("e13_image_filter_reason", f"WITH {SQL_IMAGES} SELECT doc_id, page, image_index, CASE WHEN width * height < 50000 THEN 'tiny_pixel' WHEN box_width IS NOT NULL AND box_width * box_height < 3000 AND NOT (box_width >= 60 AND box_height >= 40) THEN 'small_bbox' END AS reason FROM v")
 def image_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return values(spark, IMAGES, IMAGE_COLUMNS).select("doc_id", "page", "image_index", A.image_filter_reason(*(F.col(c) for c in ("width", "height", "box_width", "box_height"))).alias("reason"))
+    return _numbers(spark, sf_dir, IMAGES, "lineitem").select("doc_id", "page", "image_index", A.image_filter_reason(*(F.col(c) for c in ("width", "height", "box_width", "box_height"))).alias("reason"))
 
 
 @query("d18_image_order", f"WITH {SQL_IMAGES} SELECT doc_id, page, image_index, row_number() OVER (PARTITION BY doc_id, page ORDER BY coalesce(box_width * box_height, width * height) DESC, width * height DESC, image_index)::INT AS n FROM v")
 def image_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.image_order(values(spark, IMAGES, IMAGE_COLUMNS), ["doc_id", "page"]).select("doc_id", "page", "image_index", "n")
+    return A.image_order(_numbers(spark, sf_dir, IMAGES, "lineitem"), ["doc_id", "page"]).select("doc_id", "page", "image_index", "n")
 
 
 @query("l5_image_signals", f"WITH {SQL_IMAGES} SELECT doc_id, page, count(*) AS images, count(*) FILTER (width * height >= 20000 OR coalesce(box_width * box_height, width * height) >= 12000) AS large, count(*) FILTER (width * height < 4096 OR coalesce(box_width * box_height, width * height) < 2500) AS tiny FROM v GROUP BY 1, 2")
 def image_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.image_signals(values(spark, IMAGES, IMAGE_COLUMNS), ["doc_id", "page"])
+    return A.image_signals(_numbers(spark, sf_dir, IMAGES, "lineitem"), ["doc_id", "page"])
 
 
-MANIFEST = "(1, 1, 'written'), (1, 1, 'filtered'), (1, 2, 'error'), (2, 1, 'written'), (2, 1, 'written')"
+MANIFEST = "SELECT page_id % 10 AS doc_id, page_id % 70 AS page, CASE page_id % 4 WHEN 1 THEN 'filtered' WHEN 2 THEN 'error' ELSE 'written' END AS status FROM pages"
 
 
-@query("g4_manifest_totals", f"SELECT doc_id, page, count(*) AS candidates, count(*) FILTER (status = 'written') AS written, count(*) FILTER (status = 'filtered') AS filtered, count(*) FILTER (status = 'error') AS errors, grouping(page)::INT AS whole FROM (VALUES {MANIFEST}) v(doc_id, page, status) GROUP BY GROUPING SETS ((doc_id), (doc_id, page))")
+@query("g4_manifest_totals", f"SELECT doc_id, page, count(*) AS candidates, count(*) FILTER (status = 'written') AS written, count(*) FILTER (status = 'filtered') AS filtered, count(*) FILTER (status = 'error') AS errors, grouping(page)::INT AS whole FROM ({MANIFEST}) GROUP BY GROUPING SETS ((doc_id), (doc_id, page))")
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.manifest_totals(values(spark, MANIFEST, "doc_id, page, status"), "doc_id", "page")
+    return A.manifest_totals(_numbers(spark, sf_dir, MANIFEST, "pages"), "doc_id", "page")
 
 
-BOXES = "(1, 1, 0, 10, 10, 30.0, 0.0, 10.0, 10.0), (1, 1, 1, 10, 10, 0.0, 0.0, 10.0, 10.0), (1, 1, 2, 10, 10, 200.0, 200.0, 5.0, 5.0), (1, 1, 3, 900, 900, 45.0, 0.0, 90.0, 90.0), (1, 1, 4, 900, 900, 20.0, 30.0, 20.0, 20.0), (1, 2, 0, 10, 10, 0.0, 0.0, 1.0, 1.0), (1, 2, 1, 10, 10, NULL, NULL, NULL, NULL), (2, 1, 0, 10, 10, 0.0, 100.0, 5.0, 5.0), (2, 1, 1, 10, 10, 41.0, 99.0, 5.0, 5.0), (2, 1, 2, 10, 10, 82.1, 99.5, 5.0, 5.0)"
-BOX_COLUMNS = "doc_id, page, image_index, width, height, x, y, w, h"
+#: Boxes of the images of orders' pages, some without; small ones lie close to each other.
+BOXES = """SELECT l_orderkey AS doc_id, CAST(l_linenumber % 2 AS INT) AS page, CAST(l_linenumber * 1000000 + l_partkey % 1000 * 1000 + l_suppkey % 1000 AS INT) AS image_index, CAST(CASE WHEN l_partkey % 9 = 0 THEN 900 ELSE 10 + l_partkey % 20 END AS INT) AS width, CAST(CASE WHEN l_partkey % 9 = 0 THEN 900 ELSE 12 END AS INT) AS height,
+  CASE WHEN l_suppkey % 13 <> 0 THEN CAST(l_suppkey % 60 + CAST(l_partkey % 1000 AS DOUBLE) / CAST(1024 AS DOUBLE) AS DOUBLE) END AS x, CASE WHEN l_suppkey % 13 <> 0 THEN CAST(l_linenumber * 30 + l_partkey % 25 + CAST(l_suppkey % 1000 AS DOUBLE) / CAST(1024 AS DOUBLE) AS DOUBLE) END AS y, CASE WHEN l_suppkey % 13 <> 0 THEN CAST(5 + l_partkey % 9 * 12 AS DOUBLE) END AS w, CASE WHEN l_suppkey % 13 <> 0 THEN CAST(5 + l_partkey % 9 * 11 AS DOUBLE) END AS h FROM lineitem"""
 
 
-@query("l10_union_box", f"SELECT doc_id, page, min(x)::DOUBLE AS x, min(y)::DOUBLE AS y, max(x + w)::DOUBLE AS \"right\", max(y + h)::DOUBLE AS bottom FROM (VALUES {BOXES}) v({BOX_COLUMNS}) GROUP BY 1, 2")
+@query("l10_union_box", f"SELECT doc_id, page, min(x)::DOUBLE AS x, min(y)::DOUBLE AS y, max(x + w)::DOUBLE AS \"right\", max(y + h)::DOUBLE AS bottom FROM ({BOXES}) GROUP BY 1, 2")
 def union_box(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.union_box(values(spark, BOXES, BOX_COLUMNS), ["doc_id", "page"]).select("doc_id", "page", *(F.col(c).cast("double").alias(c) for c in ("x", "y", "right", "bottom")))
+    return A.union_box(_numbers(spark, sf_dir, BOXES, "lineitem"), ["doc_id", "page"]).select("doc_id", "page", *(F.col(c).cast("double").alias(c) for c in ("x", "y", "right", "bottom")))
 
 
 #: A fold along a page's rejected boxes, from top to bottom.
-SQL_GROUPS = f"""WITH b AS (SELECT doc_id, page, list({{'x': x::DOUBLE, 'y': y::DOUBLE, 'r': (x + w)::DOUBLE, 'b': (y + h)::DOUBLE, 'n': 1}} ORDER BY y, x) AS l FROM (VALUES {BOXES}) v({BOX_COLUMNS}) WHERE x IS NOT NULL AND (width * height < 50000 OR (w * h < 3000 AND NOT (w >= 60 AND h >= 40))) GROUP BY 1, 2),
+SQL_GROUPS = f"""WITH b AS (SELECT doc_id, page, list({{'x': x::DOUBLE, 'y': y::DOUBLE, 'r': (x + w)::DOUBLE, 'b': (y + h)::DOUBLE, 'n': 1}} ORDER BY y, x) AS l FROM ({BOXES}) WHERE x IS NOT NULL AND (width * height < 50000 OR (w * h < 3000 AND NOT (w >= 60 AND h >= 40))) GROUP BY 1, 2),
 g AS (SELECT doc_id, page, list_reduce(list_transform(l, lambda e: [e]), lambda a, e: CASE WHEN e[1].x <= a[-1].r + 36 AND e[1].r >= a[-1].x - 36 AND e[1].y <= a[-1].b + 36 AND e[1].b >= a[-1].y - 36
   THEN list_append(a[:-2], {{'x': least(a[-1].x, e[1].x), 'y': least(a[-1].y, e[1].y), 'r': greatest(a[-1].r, e[1].r), 'b': greatest(a[-1].b, e[1].b), 'n': a[-1].n + 1}}) ELSE list_concat(a, e) END) AS l FROM b),
 m AS (SELECT doc_id, page, list_filter(l, lambda e: e.n >= 2) AS l FROM g)
@@ -85,7 +93,7 @@ SELECT doc_id::BIGINT AS doc_id, page, generate_subscripts(l, 1)::INT AS "group"
 
 @query("g10_group_boxes", SQL_GROUPS)
 def group_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = values(spark, BOXES, BOX_COLUMNS)
+    b = _numbers(spark, sf_dir, BOXES, "lineitem")
     return A.group_boxes(b.select(F.col("doc_id").cast("long"), F.col("page").cast("int"), "image_index", "width", "height", *(F.col(c).cast("double") for c in "xywh")))
 
 
@@ -105,24 +113,23 @@ def markdown_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.markdown_tables(values(spark, MARKDOWN_ROWS, "doc_id, page, text"))
 
 
-PAGES = "(1, 1, 0, 0, 0, 0, 0, 0), (1, 2, 1, 0, 0, 0, 2, 0), (1, 3, 1, 0, 1, 0, 1, 0), (1, 4, 0, 1, 0, 5, 6, 0), (1, 5, 0, 2, 1, 0, 1, 3), (1, 6, 0, 0, 1, 0, 1, 0), (2, 1, 0, 0, 0, 3, 3, 1), (2, 2, 0, 0, 0, 0, 0, 2), (2, 3, 1, 1, 2, 5, 7, 0), (2, 4, 0, 0, 1, 4, 5, 0), (2, 5, 0, 0, 0, 2, 2, 0)"
-PAGE_COLUMNS = "doc_id, page, figure_captions, table_captions, large_images, tiny_images, images, tables"
-#: Each rule with its condition; base: nothing else holds.
-SQL_TRIAGE = f"""r AS (SELECT *, figure_captions > 0 AND large_images = 0 AS a, table_captions > 0 AND tables = 0 AS b, table_captions > 0 AND tables > 0 AS c, tiny_images >= 3 AND large_images = 0 AS d, tiny_images >= 5 AND NOT (tiny_images >= 3 AND large_images = 0) AS e, figure_captions > 0 AND large_images > 0 AS f FROM (VALUES {PAGES}) v({PAGE_COLUMNS})),
+#: Signals of documents' pages.
+PAGES = "SELECT doc_id % 40 AS doc_id, CAST(doc_id AS INT) AS page, CAST(n_chars % 3 AS INT) AS figure_captions, CAST(floor(n_chars / 3) % 3 AS INT) AS table_captions, CAST(floor(n_chars / 7) % 2 AS INT) AS large_images, CAST(floor(n_chars / 5) % 7 AS INT) AS tiny_images, CAST(floor(n_chars / 5) % 7 + floor(n_chars / 7) % 2 AS INT) AS images, CAST(floor(n_chars / 11) % 3 AS INT) AS tables FROM documents"
+SQL_TRIAGE = f"""r AS (SELECT *, figure_captions > 0 AND large_images = 0 AS a, table_captions > 0 AND tables = 0 AS b, table_captions > 0 AND tables > 0 AS c, tiny_images >= 3 AND large_images = 0 AS d, tiny_images >= 5 AND NOT (tiny_images >= 3 AND large_images = 0) AS e, figure_captions > 0 AND large_images > 0 AS f FROM ({PAGES})),
 p AS (SELECT *, 80 * a::INT + 65 * b::INT + 55 * c::INT + 70 * d::INT + 45 * e::INT + 25 * f::INT + CASE WHEN NOT (a OR b OR c OR d OR e OR f) AND tables > 0 THEN 1 ELSE 0 END AS priority,
   concat_ws(',', CASE WHEN a THEN 'figure_caption_without_large_bitmap' END, CASE WHEN b THEN 'table_caption_without_geometry_table' END, CASE WHEN c THEN 'table_geometry_needs_visual_check' END, CASE WHEN d THEN 'fragmented_image_components' END, CASE WHEN e THEN 'many_tiny_image_xobjects' END, CASE WHEN f THEN 'figure_caption_with_bitmap_verify' END, CASE WHEN NOT (a OR b OR c OR d OR e OR f) AND tables > 0 THEN 'baseline_table_sample' END) AS reasons FROM r)"""
 
 
 @query("d14_triage", f"WITH {SQL_TRIAGE} SELECT doc_id, page, priority, reasons FROM p")
 def triage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.page_priority(values(spark, PAGES, PAGE_COLUMNS)).select("doc_id", "page", "priority", "reasons")
+    return A.page_priority(_numbers(spark, sf_dir, PAGES, "documents")).select("doc_id", "page", "priority", "reasons")
 
 
 @query("d15_page_priority", f"WITH {SQL_TRIAGE} SELECT doc_id, page, priority, row_number() OVER (PARTITION BY doc_id ORDER BY priority DESC, page)::INT AS rank FROM p WHERE priority > 0 QUALIFY rank <= 4")
 def page_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodeworks.operators.ranking import top_k
 
-    rows = A.page_priority(values(spark, PAGES, PAGE_COLUMNS)).where("priority > 0").select("doc_id", "page", "priority")
+    rows = A.page_priority(_numbers(spark, sf_dir, PAGES, "documents")).where("priority > 0").select("doc_id", "page", "priority")
     return top_k(rows, "doc_id", [F.desc("priority"), F.col("page")], 4)
 
 
@@ -143,9 +150,9 @@ def canonical_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 ANSWER_ROWS = "(1, 0, false, 10, 'a', 'first'), (1, 1, true, 2, NULL, 'second'), (1, 2, false, 10, 'c', 'third'), (2, 0, NULL, 1, 'd', 'only')"
 
 
-@query("d17_answer_order", f"SELECT question_id, pos, row_number() OVER (PARTITION BY question_id ORDER BY coalesce(accepted, false) DESC, score DESC, pos)::INT AS place FROM (VALUES {ANSWER_ROWS}) v(question_id, pos, accepted, score, author, body)")
+@query("d17_answer_order", f"SELECT question_id, pos, row_number() OVER (PARTITION BY question_id ORDER BY coalesce(accepted, false) DESC, score DESC, pos)::INT AS place FROM {by_group_sql(ANSWER_ROWS, "question_id, pos, accepted, score, author, body")} v")
 def answer_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.order_answers(values(spark, ANSWER_ROWS, "question_id, pos, accepted, score, author, body")).select("question_id", "pos", "place")
+    return S.order_answers(by_group(spark, sf_dir, ANSWER_ROWS, "question_id, pos, accepted, score, author, body")).select("question_id", "pos", "place")
 
 
 @query("n8_first_available", "SELECT page_id, coalesce(CASE WHEN trim(a) <> '' THEN a END, CASE WHEN trim(html) <> '' THEN html END) AS content FROM (SELECT page_id, html, CASE WHEN page_id % 3 = 0 THEN '  ' WHEN page_id % 3 = 1 THEN url END AS a FROM pages)")

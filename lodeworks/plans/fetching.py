@@ -10,6 +10,7 @@ from lodeworks.operators import fetching as FT
 from lodeworks.operators import rendering as RD
 from lodeworks.operators import structure as S
 from lodeworks.plans.registry import query
+from lodeworks.plans.templates import by_page, by_page_sql, count_rows
 from lodeworks.sources import chat as C
 from lodeworks.sources.tables import table, values
 
@@ -68,9 +69,9 @@ def scraped(spark: SparkSession, sf_dir: str) -> DataFrame:
 LOCATIONS = """(0, 'a@b.example', '10.5555/x', '{"best_oa_location":{"url_for_pdf":"https://p.example/x.pdf","url":"https://p.example/x"}}'), (1, 'a@b.example', '10.5555/y', '{"best_oa_location":{"url":"https://p.example/y"}}'), (2, 'a@b.example', '10.5555/z', '{"best_oa_location":{"url_for_pdf":null,"url":"https://p.example/z"}}'), (3, NULL, '10.5555/x', '{"best_oa_location":{"url":"https://p.example/x"}}'), (4, 'a@b.example', NULL, '{"best_oa_location":{"url":"https://p.example/x"}}'), (5, 'a@b.example', '10.5555/w', '{"best_oa_location":null}')"""
 
 
-@query("a12_open_location", "SELECT * FROM (VALUES (0, 'https://p.example/x.pdf', 'unpaywall', 'unpaywall_oa_pdf'), (1, 'https://p.example/y', 'unpaywall', 'unpaywall_oa_pdf')) v(id, url, source, status)")
+@query("a12_open_location", f"SELECT * FROM {by_page_sql("(0, 'https://p.example/x.pdf', 'unpaywall', 'unpaywall_oa_pdf'), (1, 'https://p.example/y', 'unpaywall', 'unpaywall_oa_pdf')", 'id, url, source, status', 'url', turns=count_rows(LOCATIONS))} v")
 def open_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.open_location(values(spark, LOCATIONS, "id, email, doi, raw"))
+    return C.open_location(by_page(spark, sf_dir, LOCATIONS, "id, email, doi, raw", "raw"))
 
 
 @query("t20_hidden_article_url", "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'https://mp.weixin.qq.com/s?a=' || page_id || '&b=1' END AS found FROM pages")
@@ -146,9 +147,9 @@ def issue(spark: SparkSession, sf_dir: str) -> DataFrame:
 REPOSITORIES = "(0, 'o/r', 'A repository', 'main', 12, 3, 'MIT', '  # Readme ' || chr(10)), (1, 'o/s', ' ', 'dev', 0, 0, NULL, NULL)"
 
 
-@query("n5_render_repository", f"SELECT id, '# ' || name || chr(10) || chr(10) || CASE WHEN trim(about) <> '' THEN about || chr(10) || chr(10) ELSE '' END || '**Default branch:** ' || branch || chr(10) || '**Stars:** ' || stars || chr(10) || '**Forks:** ' || forks || chr(10) || coalesce('**License:** ' || license || chr(10), '') || chr(10) || '## README' || chr(10) || chr(10) || regexp_replace(coalesce(readme, ''), '^\\s+|\\s+$', '', 'g') || chr(10) AS markdown FROM (VALUES {REPOSITORIES}) v(id, name, about, branch, stars, forks, license, readme)")
+@query("n5_render_repository", f"SELECT id, '# ' || name || chr(10) || chr(10) || CASE WHEN trim(about) <> '' THEN about || chr(10) || chr(10) ELSE '' END || '**Default branch:** ' || branch || chr(10) || '**Stars:** ' || stars || chr(10) || '**Forks:** ' || forks || chr(10) || coalesce('**License:** ' || license || chr(10), '') || chr(10) || '## README' || chr(10) || chr(10) || regexp_replace(coalesce(readme, ''), '^\\s+|\\s+$', '', 'g') || chr(10) AS markdown FROM {by_page_sql(REPOSITORIES, "id, name, about, branch, stars, forks, license, readme", "about, readme")} v")
 def repository(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = values(spark, REPOSITORIES, "id, name, about, branch, stars, forks, license, readme")
+    v = by_page(spark, sf_dir, REPOSITORIES, "id, name, about, branch, stars, forks, license, readme", "about, readme")
     return v.select("id", RD.render_repository(*(F.col(c) for c in ("name", "about", "branch", "stars", "forks", "license", "readme"))).alias("markdown"))
 
 
@@ -177,9 +178,9 @@ OPTIONS = [(None, None), ("", " CITATIONS "), ("Broad", "date"), ("precise", "be
 OPTION_ROWS = ", ".join("({}, {}, {})".format(i, *("NULL" if x is None else f"'{x}'" for x in o)) for i, o in enumerate(OPTIONS))
 
 
-@query("s8_search_options", f"SELECT id, CASE WHEN trim(coalesce(mode, '')) = '' THEN 'balanced' WHEN lower(trim(mode)) IN ('balanced', 'broad', 'precise') THEN lower(trim(mode)) END AS mode, CASE WHEN trim(coalesce(sort, '')) = '' THEN 'relevance' WHEN lower(trim(sort)) IN ('relevance', 'citations', 'date') THEN lower(trim(sort)) END AS sort FROM (VALUES {OPTION_ROWS}) v(id, mode, sort)")
+@query("s8_search_options", f"SELECT id, CASE WHEN trim(coalesce(mode, '')) = '' THEN 'balanced' WHEN lower(trim(mode)) IN ('balanced', 'broad', 'precise') THEN lower(trim(mode)) END AS mode, CASE WHEN trim(coalesce(sort, '')) = '' THEN 'relevance' WHEN lower(trim(sort)) IN ('relevance', 'citations', 'date') THEN lower(trim(sort)) END AS sort FROM {by_page_sql(OPTION_ROWS, "id, mode, sort", "")} v")
 def options(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return values(spark, OPTION_ROWS, "id, mode, sort").select("id", O.one_of(F.col("mode"), O.SEARCH_MODES).alias("mode"), O.one_of(F.col("sort"), O.ORDERS).alias("sort"))
+    return by_page(spark, sf_dir, OPTION_ROWS, "id, mode, sort", "").select("id", O.one_of(F.col("mode"), O.SEARCH_MODES).alias("mode"), O.one_of(F.col("sort"), O.ORDERS).alias("sort"))
 
 
 @query("s8_selected_sources", "SELECT * FROM (VALUES (0, 'dblp,semantic,arxiv'), (1, 'dblp,semantic,arxiv,openalex,crossref'), (2, 'semantic,arxiv,semantic'), (3, NULL), (4, '')) v(id, sources)")
@@ -196,9 +197,9 @@ def session_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 LOCATORS = "(0, 'u', NULL, ''), (1, 'u', 'd', NULL), (2, NULL, NULL, NULL), (3, ' ', 'd', '  ')"
 
 
-@query("e16_exactly_one", f"SELECT id, (trim(coalesce(a, '')) <> '')::INT + (trim(coalesce(b, '')) <> '')::INT + (trim(coalesce(c, '')) <> '')::INT = 1 AS valid FROM (VALUES {LOCATORS}) v(id, a, b, c)")
+@query("e16_exactly_one", f"SELECT id, (trim(coalesce(a, '')) <> '')::INT + (trim(coalesce(b, '')) <> '')::INT + (trim(coalesce(c, '')) <> '')::INT = 1 AS valid FROM {by_page_sql(LOCATORS, "id, a, b, c", "")} v")
 def locators(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return values(spark, LOCATORS, "id, a, b, c").select("id", O.exactly_one(F.col("a"), F.col("b"), F.col("c")).alias("valid"))
+    return by_page(spark, sf_dir, LOCATORS, "id, a, b, c", "").select("id", O.exactly_one(F.col("a"), F.col("b"), F.col("c")).alias("valid"))
 
 
 @query("e17_pdf_problem", "SELECT page_id, CASE WHEN octet_length(encode(b)) > 4000 THEN 'academic pdf exceeds max size: ' || octet_length(encode(b)) || ' > 4000' WHEN NOT starts_with(b, '%PDF') THEN 'resolved academic full text is not a PDF' END AS problem FROM (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN '%PDF-1.7 ' || html ELSE html END AS b FROM pages)")
@@ -211,10 +212,10 @@ ARTICLES = "(0, 'https://a.example/1', '/link?x', 's', 'd', 't'), (1, ' ', '//li
 SQL_ARTICLE_KEY = "coalesce(CASE WHEN trim(url) <> '' THEN url END, CASE WHEN trim(list_url) <> '' THEN list_url END, coalesce(source, '') || '|' || coalesce(date, '') || '|' || coalesce(title, ''))"
 
 
-@query("c10_distinct_articles", f"SELECT id, CASE WHEN list_url LIKE '//%' THEN 'https:' || list_url WHEN list_url LIKE '/%' THEN 'https://base.example' || list_url ELSE list_url END AS list_url FROM (VALUES {ARTICLES}) v(id, url, list_url, source, date, title) QUALIFY row_number() OVER (PARTITION BY {SQL_ARTICLE_KEY} ORDER BY id) = 1")
+@query("c10_distinct_articles", f"SELECT id, CASE WHEN list_url LIKE '//%' THEN 'https:' || list_url WHEN list_url LIKE '/%' THEN 'https://base.example' || list_url ELSE list_url END AS list_url FROM {by_page_sql(ARTICLES, "id, url, list_url, source, date, title", "url, list_url")} v QUALIFY row_number() OVER (PARTITION BY {SQL_ARTICLE_KEY} ORDER BY id) = 1")
 def distinct_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first article of each key, with its list address made absolute."""
-    rows = values(spark, ARTICLES, "id, url, list_url, source, date, title")
+    rows = by_page(spark, sf_dir, ARTICLES, "id, url, list_url, source, date, title", "url, list_url")
     key = O.article_key(*(F.col(c) for c in ("url", "list_url", "source", "date", "title")))
     first = rows.groupBy(key.alias("key")).agg(F.min_by(F.struct("id", "list_url"), "id").alias("r"))
     return first.select("r.id", O.absolute_url(F.col("r.list_url"), "https://base.example").alias("list_url"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeworks.plans.registry import query
-from lodeworks.plans.templates import filled, pick
+from lodeworks.plans.templates import by_page, by_page_sql, filled, pick
 from lodeworks.sources import more_payloads as M
 from lodeworks.sources.tables import table, values
 
@@ -34,19 +34,19 @@ def _rows(items: list[str | None]) -> str:
     return ", ".join(f"({i}, " + ("NULL" if x is None else f"'{x}'") + ")" for i, x in enumerate(items))
 
 
-@query("p9_bibliography_hits", "SELECT * FROM (VALUES (0, 0::BIGINT, 'T1', 2020::BIGINT, '10.1/a', 'A; B'), (0, 1, 'T2', NULL, NULL, 'C')) v(id, pos, title, year, doi, authors)")
+@query("p9_bibliography_hits", f"SELECT * FROM {by_page_sql("(0, 0::BIGINT, 'T1', 2020::BIGINT, '10.1/a', 'A; B'), (0, 1, 'T2', NULL, NULL, 'C')", 'id, pos, title, year, doi, authors', turns=len(HITS))} v")
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.bibliography_hits(values(spark, _rows(HITS), "id, raw"))
+    return M.bibliography_hits(by_page(spark, sf_dir, _rows(HITS), "id, raw"))
 
 
-@query("p17_page_extract", f"WITH p AS (SELECT id, (CAST(raw::JSON -> '$.query.pages.*' AS JSON[]))[1] AS v FROM (VALUES {_rows(EXTRACTS)}) v(id, raw)) SELECT id, v ->> '$.title' AS title, CASE WHEN trim(v ->> '$.extract') <> '' THEN v ->> '$.extract' END AS extract FROM p")
+@query("p17_page_extract", f"WITH p AS (SELECT id, (CAST(raw::JSON -> '$.query.pages.*' AS JSON[]))[1] AS v FROM {by_page_sql(_rows(EXTRACTS), "id, raw", "raw")} v) SELECT id, v ->> '$.title' AS title, CASE WHEN trim(v ->> '$.extract') <> '' THEN v ->> '$.extract' END AS extract FROM p")
 def extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return values(spark, _rows(EXTRACTS), "id, raw").select("id", M.page_extract(F.col("raw")).alias("p")).select("id", "p.*")
+    return by_page(spark, sf_dir, _rows(EXTRACTS), "id, raw", "raw").select("id", M.page_extract(F.col("raw")).alias("p")).select("id", "p.*")
 
 
-@query("p13_question_items", "SELECT * FROM (VALUES (0, 'a', 'u', 3::BIGINT, 0::BIGINT), (0, 'b', NULL, 0, 0)) v(id, title, url, votes, comments)")
+@query("p13_question_items", f"SELECT * FROM {by_page_sql("(0, 'a', 'u', 3::BIGINT, 0::BIGINT), (0, 'b', NULL, 0, 0)", 'id, title, url, votes, comments', turns=len(ITEMS))} v")
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return values(spark, _rows(ITEMS), "id, raw").select("id", F.explode(M.question_items(F.col("raw"))).alias("x")).select("id", "x.*")
+    return by_page(spark, sf_dir, _rows(ITEMS), "id, raw").select("id", F.explode(M.question_items(F.col("raw"))).alias("x")).select("id", "x.*")
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -92,9 +92,9 @@ def outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 CODES = ['{"Code":0,"Data":{}}', '{"Code":"7"}', '{"Code":null}', "{}", "no json", None]
 
 
-@query("p13_answer_code", "SELECT * FROM (VALUES (0, 0::BIGINT), (1, 7), (2, -1), (3, -1), (4, -1), (5, -1)) v(id, code)")
+@query("p13_answer_code", f"SELECT * FROM {by_page_sql('(0, 0::BIGINT), (1, 7), (2, -1), (3, -1), (4, -1), (5, -1)', 'id, code', turns=len(CODES))} v")
 def answer_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return values(spark, _rows(CODES), "id, raw").select("id", M.answer_code(F.col("raw")).alias("code"))
+    return by_page(spark, sf_dir, _rows(CODES), "id, raw").select("id", M.answer_code(F.col("raw")).alias("code"))
 
 
 #: Conversations as captured comment lists: every other turn without an author, every fifth without a body.

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeworks.plans.registry import query
+from lodeworks.plans.templates import by_page, by_page_sql
 from lodeworks.sources import payloads as P
 from lodeworks.sources.tables import table, values
 
@@ -26,13 +27,13 @@ def _rows(payloads: list[str]) -> str:
     return ", ".join(f"({i}, '{p}')" for i, p in enumerate(payloads))
 
 
-def _table(spark: SparkSession, payloads: list[str]) -> DataFrame:
-    return values(spark, _rows(payloads), "id, raw")
+def _table(spark: SparkSession, sf_dir: str, payloads: list[str]) -> DataFrame:
+    return by_page(spark, sf_dir, _rows(payloads), "id, raw", "raw")
 
 
 SQL_URL = lambda v: f"CASE WHEN json_type({v}) = 'VARCHAR' THEN {v} ->> '$' WHEN list_contains(json_keys({v}), 'url') THEN {v} ->> '$.url' ELSE {v} ->> '$.uri' END AS url, CASE WHEN json_type({v}) <> 'VARCHAR' THEN {v} ->> '$.title' END AS title"
 
-SQL_ITEMS = f"p AS (SELECT id, raw::JSON AS v FROM (VALUES {_rows(ANSWERS)}) v(id, raw)), i AS (SELECT id, generate_subscripts(x, 1) - 1 AS a, unnest(x) AS item FROM (SELECT *, CAST(v -> '$.output' AS JSON[]) AS x FROM p)), c AS (SELECT id, a, generate_subscripts(x, 1) - 1 AS b, unnest(x) AS content FROM (SELECT *, CAST(item -> '$.content' AS JSON[]) AS x FROM i))"
+SQL_ITEMS = f"p AS (SELECT id, raw::JSON AS v FROM {by_page_sql(_rows(ANSWERS), "id, raw", "raw")} v), i AS (SELECT id, generate_subscripts(x, 1) - 1 AS a, unnest(x) AS item FROM (SELECT *, CAST(v -> '$.output' AS JSON[]) AS x FROM p)), c AS (SELECT id, a, generate_subscripts(x, 1) - 1 AS b, unnest(x) AS content FROM (SELECT *, CAST(item -> '$.content' AS JSON[]) AS x FROM i))"
 
 
 @query(
@@ -47,47 +48,49 @@ SQL_ITEMS = f"p AS (SELECT id, raw::JSON AS v FROM (VALUES {_rows(ANSWERS)}) v(i
 SELECT id, row_number() OVER (PARTITION BY id ORDER BY a, path, b, n) - 1 AS pos, url, title FROM k""",
 )
 def answer_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.answer_sources(_table(spark, ANSWERS))
+    return P.answer_sources(_table(spark, sf_dir, ANSWERS))
 
 
 @query("p1_answer_text", f"WITH {SQL_ITEMS}, d AS (SELECT id, x, min({{'a': a, 'b': b}}) AS k FROM (SELECT id, a, b, trim(content ->> '$.text', ' ') AS x FROM c) WHERE x <> '' GROUP BY 1, 2), j AS (SELECT id, string_agg(x, chr(10) ORDER BY k) AS parts FROM d GROUP BY 1) SELECT id, coalesce(nullif(trim(v ->> '$.output_text'), ''), parts, '') AS content FROM p LEFT JOIN j USING (id)")
 def answer_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.answer_text(_table(spark, ANSWERS))
+    return P.answer_text(_table(spark, sf_dir, ANSWERS))
 
 
-@query("p4_result_rows", f"WITH p AS (SELECT id, raw::JSON AS v FROM (VALUES {_rows(RESULTS)}) v(id, raw)), s AS (SELECT id, generate_subscripts(x, 1)::BIGINT - 1 AS pos, unnest(x) AS value FROM (SELECT *, CAST(coalesce(v -> '$.data', v -> '$.results') AS JSON[]) AS x FROM p)), u AS (SELECT id, pos, {SQL_URL('value')}, CASE WHEN json_type(value) <> 'VARCHAR' THEN coalesce(value ->> '$.content', value ->> '$.description', value ->> '$.markdown') END AS description FROM s) SELECT * FROM u WHERE trim(url) <> ''")
+@query("p4_result_rows", f"WITH p AS (SELECT id, raw::JSON AS v FROM {by_page_sql(_rows(RESULTS), "id, raw", "raw")} v), s AS (SELECT id, generate_subscripts(x, 1)::BIGINT - 1 AS pos, unnest(x) AS value FROM (SELECT *, CAST(coalesce(v -> '$.data', v -> '$.results') AS JSON[]) AS x FROM p)), u AS (SELECT id, pos, {SQL_URL('value')}, CASE WHEN json_type(value) <> 'VARCHAR' THEN coalesce(value ->> '$.content', value ->> '$.description', value ->> '$.markdown') END AS description FROM s) SELECT * FROM u WHERE trim(url) <> ''")
 def result_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.result_rows(_table(spark, RESULTS), ("data", "results"), ("content", "description", "markdown"))
+    return P.result_rows(_table(spark, sf_dir, RESULTS), ("data", "results"), ("content", "description", "markdown"))
 
 
-@query("p8_papers", f"WITH p AS (SELECT id AS n, raw::JSON AS v FROM (VALUES {_rows(PAPERS)}) v(id, raw)) SELECT n, coalesce(v ->> '$.externalIds.DOI', v ->> '$.paperId', v ->> '$.title') AS id, v ->> '$.title' AS title, (v ->> '$.year')::BIGINT AS year, (v ->> '$.citationCount')::BIGINT AS citations, v ->> '$.externalIds.DOI' AS doi, v ->> '$.externalIds.ArXiv' AS arxiv, CASE WHEN (v -> '$.authors') IS NOT NULL THEN array_to_string(v ->> '$.authors[*].name', '; ') END AS authors, CASE WHEN list_contains(json_keys(v), 'openAccessPdf') THEN json_type((v -> '$.openAccessPdf')) <> 'NULL' END AS open_access, v ->> '$.openAccessPdf.url' AS pdf_url FROM p")
+@query("p8_papers", f"WITH p AS (SELECT id AS n, raw::JSON AS v FROM {by_page_sql(_rows(PAPERS), "id, raw", "raw")} v) SELECT n, coalesce(v ->> '$.externalIds.DOI', v ->> '$.paperId', v ->> '$.title') AS id, v ->> '$.title' AS title, (v ->> '$.year')::BIGINT AS year, (v ->> '$.citationCount')::BIGINT AS citations, v ->> '$.externalIds.DOI' AS doi, v ->> '$.externalIds.ArXiv' AS arxiv, CASE WHEN (v -> '$.authors') IS NOT NULL THEN array_to_string(v ->> '$.authors[*].name', '; ') END AS authors, CASE WHEN list_contains(json_keys(v), 'openAccessPdf') THEN json_type((v -> '$.openAccessPdf')) <> 'NULL' END AS open_access, v ->> '$.openAccessPdf.url' AS pdf_url FROM p")
 def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, PAPERS).select(F.col("id").alias("n"), P.papers(F.col("raw")).alias("p")).select("n", "p.*")
+    return _table(spark, sf_dir, PAPERS).select(F.col("id").alias("n"), P.papers(F.col("raw")).alias("p")).select("n", "p.*")
 
 
-@query("p10_works", f"WITH p AS (SELECT id AS n, raw::JSON AS v FROM (VALUES {_rows(WORKS)}) v(id, raw)) SELECT n, v ->> '$.id' AS id, v ->> '$.display_name' AS title, regexp_replace(v ->> '$.doi', '^https://doi.org/', '') AS doi, (v ->> '$.publication_year')::BIGINT AS year, (v ->> '$.cited_by_count')::BIGINT AS citations, coalesce(json_array_length(v -> '$.referenced_works'), 0)::INT AS n_references, (v ->> '$.open_access.is_oa')::BOOLEAN AS open_access FROM p")
+@query("p10_works", f"WITH p AS (SELECT id AS n, raw::JSON AS v FROM {by_page_sql(_rows(WORKS), "id, raw", "raw")} v) SELECT n, v ->> '$.id' AS id, v ->> '$.display_name' AS title, regexp_replace(v ->> '$.doi', '^https://doi.org/', '') AS doi, (v ->> '$.publication_year')::BIGINT AS year, (v ->> '$.cited_by_count')::BIGINT AS citations, coalesce(json_array_length(v -> '$.referenced_works'), 0)::INT AS n_references, (v ->> '$.open_access.is_oa')::BOOLEAN AS open_access FROM p")
 def works(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, WORKS).select(F.col("id").alias("n"), P.works(F.col("raw")).alias("w")).select("n", "w.*")
+    return _table(spark, sf_dir, WORKS).select(F.col("id").alias("n"), P.works(F.col("raw")).alias("w")).select("n", "w.*")
 
 
-@query("p11_crossref", f"WITH p AS (SELECT id AS n, raw::JSON AS v FROM (VALUES {_rows(CROSS)}) v(id, raw)), a AS (SELECT n, string_agg(trim(concat_ws(' ', x ->> '$.given', x ->> '$.family')), '; ' ORDER BY k) AS authors FROM (SELECT n, generate_subscripts(l, 1) AS k, unnest(l) AS x FROM (SELECT n, CAST(v -> '$.author' AS JSON[]) AS l FROM p)) GROUP BY 1) SELECT n, v ->> '$.DOI' AS doi, v ->> '$.title[0]' AS title, authors, coalesce(v ->> '$.published-print.date-parts[0][0]', v ->> '$.published-online.date-parts[0][0]')::BIGINT AS year, (v ->> '$.is-referenced-by-count')::BIGINT AS citations FROM p LEFT JOIN a USING (n)")
+@query("p11_crossref", f"WITH p AS (SELECT id AS n, raw::JSON AS v FROM {by_page_sql(_rows(CROSS), "id, raw", "raw")} v), a AS (SELECT n, string_agg(trim(concat_ws(' ', x ->> '$.given', x ->> '$.family')), '; ' ORDER BY k) AS authors FROM (SELECT n, generate_subscripts(l, 1) AS k, unnest(l) AS x FROM (SELECT n, CAST(v -> '$.author' AS JSON[]) AS l FROM p)) GROUP BY 1) SELECT n, v ->> '$.DOI' AS doi, v ->> '$.title[0]' AS title, authors, coalesce(v ->> '$.published-print.date-parts[0][0]', v ->> '$.published-online.date-parts[0][0]')::BIGINT AS year, (v ->> '$.is-referenced-by-count')::BIGINT AS citations FROM p LEFT JOIN a USING (n)")
 def crossref(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, CROSS).select(F.col("id").alias("n"), P.crossref_works(F.col("raw")).alias("w")).select("n", "w.*")
+    return _table(spark, sf_dir, CROSS).select(F.col("id").alias("n"), P.crossref_works(F.col("raw")).alias("w")).select("n", "w.*")
 
 
-@query("p14_repositories", f"WITH p AS (SELECT id AS n, raw::JSON AS v FROM (VALUES {_rows(REPOS)}) v(id, raw)) SELECT n, v ->> '$.full_name' AS full_name, v ->> '$.description' AS description, (v ->> '$.stargazers_count')::BIGINT AS stars, (v ->> '$.forks_count')::BIGINT AS forks, nullif(v ->> '$.license.spdx_id', 'NOASSERTION') AS license FROM p")
+@query("p14_repositories", f"WITH p AS (SELECT id AS n, raw::JSON AS v FROM {by_page_sql(_rows(REPOS), "id, raw", "raw")} v) SELECT n, v ->> '$.full_name' AS full_name, v ->> '$.description' AS description, (v ->> '$.stargazers_count')::BIGINT AS stars, (v ->> '$.forks_count')::BIGINT AS forks, nullif(v ->> '$.license.spdx_id', 'NOASSERTION') AS license FROM p")
 def repositories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, REPOS).select(F.col("id").alias("n"), P.repositories(F.col("raw")).alias("r")).select("n", "r.*")
+    return _table(spark, sf_dir, REPOS).select(F.col("id").alias("n"), P.repositories(F.col("raw")).alias("r")).select("n", "r.*")
 
 
-@query("p15_models", f"WITH p AS (SELECT id AS n, raw::JSON AS v FROM (VALUES {_rows(MODELS)}) v(id, raw)) SELECT n, v ->> '$.id' AS id, regexp_extract(v ->> '$.id', '^(.*)/[^/]*$', 1) AS owner, regexp_extract(v ->> '$.id', '([^/]*)$', 1) AS name, array_to_string(list_sort(list_distinct(v ->> '$.tags[*]')), ',') AS tags, (v ->> '$.downloads')::BIGINT AS downloads, (v ->> '$.likes')::BIGINT AS likes FROM p")
+@query("p15_models", f"WITH p AS (SELECT id AS n, raw::JSON AS v FROM {by_page_sql(_rows(MODELS), "id, raw", "raw")} v) SELECT n, v ->> '$.id' AS id, regexp_extract(v ->> '$.id', '^(.*)/[^/]*$', 1) AS owner, regexp_extract(v ->> '$.id', '([^/]*)$', 1) AS name, array_to_string(list_sort(list_distinct(v ->> '$.tags[*]')), ',') AS tags, (v ->> '$.downloads')::BIGINT AS downloads, (v ->> '$.likes')::BIGINT AS likes FROM p")
 def models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, MODELS).select(F.col("id").alias("n"), P.models(F.col("raw")).alias("m")).select("n", "m.*")
+    return _table(spark, sf_dir, MODELS).select(F.col("id").alias("n"), P.models(F.col("raw")).alias("m")).select("n", "m.*")
 
 
-@query("p14_readme", "SELECT id, decode(from_base64(regexp_replace(raw, '\\s', '', 'g'))) AS readme FROM (VALUES (0, 'IyBUaXRs' || chr(10) || 'ZQo='), (1, 'aGVsbG8=')) v(id, raw)")
+@query("p14_readme", "SELECT page_id AS id, html AS readme FROM pages")
 def readme(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return values(spark, "(0, 'IyBUaXRs\\nZQo='), (1, 'aGVsbG8=')", "id, raw").select("id", P.decoded_readme(F.col("raw")).alias("readme"))
+    """Pages in base64, a line break after each 60 characters."""
+    raw = F.regexp_replace(F.base64(F.encode("html", "UTF-8")), "([^\\n]{60})", "$1\n")
+    return table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), P.decoded_readme(raw).alias("readme"))
 
 
 ATOM = """<feed><entry><id>http://arxiv.org/abs/1</id><title>One

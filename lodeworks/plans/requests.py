@@ -10,6 +10,7 @@ from lodeworks.operators import audit as A
 from lodeworks.operators import vision_output as O
 from lodeworks.plans.audit import SQL_EVENTS
 from lodeworks.plans.registry import query
+from lodeworks.plans.templates import by_page, by_page_sql
 from lodeworks.sources.tables import table, values
 
 #: The benchmark's items as queries, with filters by rule.
@@ -40,10 +41,10 @@ def bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
 YEARS = "(0, NULL, NULL, NULL, 'relevance'), (1, 2020, 2020, true, 'citations'), (2, 2019, 2021, false, 'date'), (3, 2019, NULL, NULL, ' Date '), (4, NULL, 2021, true, 'CITATIONS'), (5, NULL, NULL, true, 'date')"
 
 
-@query("p23_literature_filters", f"SELECT id, nullif(concat_ws(',', 'from_publication_date:' || a || '-01-01', 'to_publication_date:' || b || '-12-31', CASE WHEN oa THEN 'is_oa:true' END), '') AS works, CASE WHEN lower(trim(sort)) = 'citations' THEN 'cited_by_count:desc' WHEN lower(trim(sort)) = 'date' AND coalesce(a, b) IS NOT NULL THEN 'publication_date:desc' END AS works_order, CASE WHEN a = b THEN a::VARCHAR WHEN coalesce(a, b) IS NOT NULL THEN coalesce(a::VARCHAR, '') || '-' || coalesce(b::VARCHAR, '') END AS years, CASE lower(trim(sort)) WHEN 'citations' THEN 'citationCount:desc' WHEN 'date' THEN 'publicationDate:desc' END AS papers_order FROM (VALUES {YEARS}) v(id, a, b, oa, sort)")
+@query("p23_literature_filters", f"SELECT id, nullif(concat_ws(',', 'from_publication_date:' || a || '-01-01', 'to_publication_date:' || b || '-12-31', CASE WHEN oa THEN 'is_oa:true' END), '') AS works, CASE WHEN lower(trim(sort)) = 'citations' THEN 'cited_by_count:desc' WHEN lower(trim(sort)) = 'date' AND coalesce(a, b) IS NOT NULL THEN 'publication_date:desc' END AS works_order, CASE WHEN a = b THEN a::VARCHAR WHEN coalesce(a, b) IS NOT NULL THEN coalesce(a::VARCHAR, '') || '-' || coalesce(b::VARCHAR, '') END AS years, CASE lower(trim(sort)) WHEN 'citations' THEN 'citationCount:desc' WHEN 'date' THEN 'publicationDate:desc' END AS papers_order FROM {by_page_sql(YEARS, "id, a, b, oa, sort", "")} v")
 def filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b, oa, sort = (F.col(c) for c in ("a", "b", "oa", "sort"))
-    return values(spark, YEARS, "id, a, b, oa, sort").select("id", Q.works_filter(a, b, oa).alias("works"), Q.works_order(sort, a, b).alias("works_order"), Q.year_filter(a, b).alias("years"), Q.papers_order(sort).alias("papers_order"))
+    return by_page(spark, sf_dir, YEARS, "id, a, b, oa, sort", "").select("id", Q.works_filter(a, b, oa).alias("works"), Q.works_order(sort, a, b).alias("works_order"), Q.year_filter(a, b).alias("years"), Q.papers_order(sort).alias("papers_order"))
 
 
 @query("p24_payloads", "SELECT item_id, '{\"model\":\"m\",\"messages\":[{\"role\":\"system\",\"content\":' || to_json(CASE WHEN item_id % 2 = 0 THEN 'be brief' ELSE 'Search the web, answer briefly, and name the pages that each statement rests on; say it where they are few or doubtful.' END) || '},{\"role\":\"user\",\"content\":' || to_json(text) || '}],\"stream\":false' || CASE WHEN item_id % 3 = 0 THEN ',\"tools\":[{\"type\":\"web_search\"}]' ELSE '' END || '}' AS chat, '{\"model\":\"m\",\"input\":[' || CASE WHEN item_id % 2 = 0 THEN '{\"role\":\"system\",\"content\":\"be brief\"},' ELSE '' END || '{\"role\":\"user\",\"content\":' || to_json(text) || '}],\"tools\":[' || concat_ws(',', CASE WHEN item_id % 3 = 0 THEN '{\"type\":\"web_search\"}' END, CASE WHEN item_id % 5 = 0 THEN '{\"type\":\"x_search\"}' END) || '],\"stream\":false}' AS answer FROM benchmark")
@@ -63,13 +64,13 @@ def addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 COMPLETIONS = """(0, '{"table_completions":[{"page":3,"label":"Table 1","status":"Complete","headers":["a","b"],"rows":[["1","2"],["3"]],"confidence":0.9},{"status":"not-visible","markdown":"| x |","notes":"n"},{"status":"odd"}],"figure_completions":[{"label":"F","status":"READY"},{"status":"broken"},{},{"status":"missing"},{"status":"fifth"}]}'), (1, '{}'), (2, 'no json')"""
-SQL_COMPLETED = "SELECT * FROM (VALUES (0, 'table', 0, 3, 'Table 1', 'reconstructed', 'ok', '| a | b |' || chr(10) || '| --- | --- |' || chr(10) || '| 1 | 2 |' || chr(10) || '| 3 |  |'), (0, 'table', 1, 0, NULL, 'not_visible', 'missed', '| x |'), (0, 'table', 2, 0, NULL, 'uncertain', 'uncertain', NULL), (0, 'figure', 0, 0, 'F', 'crop_ready', 'ok', NULL), (0, 'figure', 1, 0, NULL, 'fragmented', 'uncertain', NULL), (0, 'figure', 2, 0, NULL, 'uncertain', 'uncertain', NULL), (0, 'figure', 3, 0, NULL, 'not_visible', 'missed', NULL)) v(id, kind, n, page, label, status, repair, markdown)"
+SQL_COMPLETED = f"SELECT * FROM {by_page_sql("(0, 'table', 0, 3, 'Table 1', 'reconstructed', 'ok', '| a | b |' || chr(10) || '| --- | --- |' || chr(10) || '| 1 | 2 |' || chr(10) || '| 3 |  |'), (0, 'table', 1, 0, NULL, 'not_visible', 'missed', '| x |'), (0, 'table', 2, 0, NULL, 'uncertain', 'uncertain', NULL), (0, 'figure', 0, 0, 'F', 'crop_ready', 'ok', NULL), (0, 'figure', 1, 0, NULL, 'fragmented', 'uncertain', NULL), (0, 'figure', 2, 0, NULL, 'uncertain', 'uncertain', NULL), (0, 'figure', 3, 0, NULL, 'not_visible', 'missed', NULL)", 'id, kind, n, page, label, status, repair, markdown', turns=3)} v"
 
 
 @query("p22_completions", SQL_COMPLETED)
 def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With L8: the repair that each completion stands for."""
-    return O.completions(values(spark, COMPLETIONS, "id, raw"), F.lit(0)).select("id", "kind", "n", "page", "label", "status", "repair", "markdown")
+    return O.completions(by_page(spark, sf_dir, COMPLETIONS, "id, raw"), F.lit(0)).select("id", "kind", "n", "page", "label", "status", "repair", "markdown")
 
 
 @query("a22_audit_snapshot", f"WITH {SQL_EVENTS}, t AS (SELECT tool, count(*) AS total, count(*) FILTER (NOT ok) AS failure FROM e GROUP BY 1), r AS (SELECT tool, seq FROM e QUALIFY row_number() OVER (ORDER BY seq DESC) <= 100) SELECT tool, any_value(total) AS total, any_value(failure) AS failure, count(seq) AS in_recent FROM t LEFT JOIN r USING (tool) GROUP BY 1")
@@ -95,8 +96,8 @@ FAILURES = "(0, 'timeout', NULL, 504), (1, 'upstream', 'Connection reset', 502),
 @query(
     "e11_failure_classes",
     f"""SELECT id, coalesce(kind IN ('timeout', 'upstream') OR (kind = 'provider' AND regexp_matches(lower(message), 'http 429|too many requests|rate limit|token plan|http 50[0234]|request failed|timeout')), false) AS model_again, coalesce(kind = 'timeout' OR (kind IN ('upstream', 'provider') AND regexp_matches(lower(message), 'http 429|too many requests|rate limit|http 50[0234]|timed out|timeout|connect|body read failed|request failed')), false) AS download_again,
-CASE WHEN status IN (401, 403, 429, 432, 433) THEN 'key' WHEN status IN (502, 503, 504) THEN 'transient' END AS status_class, CASE kind WHEN 'timeout' THEN 'timeout' WHEN 'oauth' THEN 'auth_error' WHEN 'parse' THEN 'parse_error' ELSE 'provider_error' END AS reason, CASE WHEN kind = 'timeout' THEN 'Retry later or increase the timeout.' WHEN kind IN ('upstream', 'provider') THEN 'Check provider credentials, upstream status, proxy settings, and response limits.' WHEN kind = 'oauth' THEN 'Run login/status diagnostics or refresh the OAuth token.' WHEN kind = 'parse' THEN 'The upstream response or local payload was malformed.' END AS hint FROM (VALUES {FAILURES}) v(id, kind, message, status)""",
+CASE WHEN status IN (401, 403, 429, 432, 433) THEN 'key' WHEN status IN (502, 503, 504) THEN 'transient' END AS status_class, CASE kind WHEN 'timeout' THEN 'timeout' WHEN 'oauth' THEN 'auth_error' WHEN 'parse' THEN 'parse_error' ELSE 'provider_error' END AS reason, CASE kind {' '.join(f"WHEN '{k}' THEN '{h}'" for k, h in A.HINTS.items())} END AS hint FROM {by_page_sql(FAILURES, "id, kind, message, status", "")} v""",
 )
 def failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind, message = F.col("kind"), F.col("message")
-    return values(spark, FAILURES, "id, kind, message, status").select("id", A.model_call_retryable(kind, message).alias("model_again"), A.download_retryable(kind, message).alias("download_again"), A.status_class(F.col("status")).alias("status_class"), A.answer_failure(kind).alias("reason"), A.error_hint(kind).alias("hint"))
+    return by_page(spark, sf_dir, FAILURES, "id, kind, message, status", "").select("id", A.model_call_retryable(kind, message).alias("model_again"), A.download_retryable(kind, message).alias("download_again"), A.status_class(F.col("status")).alias("status_class"), A.answer_failure(kind).alias("reason"), A.error_hint(kind).alias("hint"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodeworks.functions import text as T
 from lodeworks.operators import ranking as R
 from lodeworks.plans.registry import query
+from lodeworks.plans.templates import by_page, by_page_sql
 from lodeworks.sources.shared import materialize
 from lodeworks.sources.tables import table, values
 
@@ -198,7 +199,7 @@ IDENTIFIER_ROWS = ", ".join(f"({i}, '{x}')" for i, x in enumerate(IDENTIFIERS))
 
 @query(
     "s2_identifier_classify",
-    f"""WITH v AS (SELECT id, trim(raw) AS t, trim(regexp_replace(trim(raw), '^(?i:doi:)', '')) AS b FROM (VALUES {IDENTIFIER_ROWS}) v(id, raw)),
+    f"""WITH v AS (SELECT id, trim(raw) AS t, trim(regexp_replace(trim(raw), '^(?i:doi:)', '')) AS b FROM {by_page_sql(IDENTIFIER_ROWS, "id, raw", "")} v),
 w AS (SELECT *, regexp_replace(trim(regexp_extract(b, '^10\\.48550/(?:arXiv|arxiv)\\.(.*)$', 1)), '(\\.pdf)+$', '') AS u, lower(regexp_extract(t, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)) AS host, regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') AS is_url, '^[0-9]{{4}}\\.[^.]{{4,}}(\\..*)?$' AS shape, '^[A-Za-z]+://[^/?#]*/(?:abs|pdf)/([^?#]*)' AS path FROM v),
 k AS (SELECT *, CASE WHEN regexp_matches(u, shape) THEN 'arxiv of doi' WHEN b LIKE '10.%' THEN 'doi' WHEN is_url AND suffix(host, 'arxiv.org') AND regexp_matches(t, path) THEN 'arxiv of url' WHEN is_url AND suffix(host, 'openalex.org') THEN 'openalex' WHEN is_url AND suffix(host, 'dblp.org') THEN 'dblp' WHEN is_url THEN 'url' WHEN regexp_matches(regexp_replace(t, '\\.pdf$', ''), shape) THEN 'arxiv' WHEN regexp_matches(t, '^W[0-9]*$') THEN 'openalex' WHEN regexp_matches(t, '^[0-9A-Fa-f]{{32,}}$') THEN 'semantic' ELSE 'query' END AS rule FROM w)
 SELECT id, regexp_extract(rule, '^\\w+') AS kind, CASE rule WHEN 'arxiv of doi' THEN u WHEN 'doi' THEN b WHEN 'arxiv of url' THEN regexp_replace(regexp_extract(t, path, 1), '\\.pdf$', '') ELSE t END AS value FROM k""",
@@ -206,4 +207,4 @@ SELECT id, regexp_extract(rule, '^\\w+') AS kind, CASE rule WHEN 'arxiv of doi'
 def identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodeworks.functions.identifiers import classify_identifier
 
-    return values(spark, IDENTIFIER_ROWS, "id, raw").select("id", classify_identifier(F.col("raw")).alias("c")).select("id", "c.*")
+    return by_page(spark, sf_dir, IDENTIFIER_ROWS, "id, raw", "").select("id", classify_identifier(F.col("raw")).alias("c")).select("id", "c.*")

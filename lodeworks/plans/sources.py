@@ -9,6 +9,7 @@ from lodeworks.functions import text as T
 from lodeworks.functions import urls as U
 from lodeworks.operators import sources_ops as S
 from lodeworks.plans.registry import query
+from lodeworks.plans.templates import by_page, by_page_sql
 from lodeworks.sources.tables import table, values
 
 SQL_HOST = lambda c: f"nullif(regexp_replace(lower(CASE WHEN contains(replace(trim({c}), ' ', '%20'), '://') THEN regexp_extract(replace(trim({c}), ' ', '%20'), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1) ELSE regexp_extract(replace(trim({c}), ' ', '%20'), '^([^/?#:]*)(?:[/?#]|$)', 1) END), '^(www\\.)+|\\.+$', '', 'g'), '')"
@@ -35,12 +36,12 @@ def hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "e1_domain_filter",
-    f"WITH h AS (SELECT id, {SQL_HOST('url')} AS host FROM (VALUES {URL_ROWS}) v(id, url)) SELECT id, CASE WHEN host IS NULL THEN false ELSE (host = 'example.com' OR suffix(host, '.example.com') OR host = 'example.org' OR suffix(host, '.example.org')) AND NOT (host = 'shop.example.com' OR suffix(host, '.shop.example.com')) END AS both, host IS NULL OR NOT (host = 'shop.example.com' OR suffix(host, '.shop.example.com')) AS excluded_only FROM h",
+    f"WITH h AS (SELECT id, {SQL_HOST('url')} AS host FROM {by_page_sql(URL_ROWS, "id, url", "url")} v) SELECT id, CASE WHEN host IS NULL THEN false ELSE (host = 'example.com' OR suffix(host, '.example.com') OR host = 'example.org' OR suffix(host, '.example.org')) AND NOT (host = 'shop.example.com' OR suffix(host, '.shop.example.com')) END AS both, host IS NULL OR NOT (host = 'shop.example.com' OR suffix(host, '.shop.example.com')) AS excluded_only FROM h",
 )
 def domain_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     inc, exc, none = F.array(*map(F.lit, INCLUDE)), F.array(*map(F.lit, EXCLUDE)), F.array().cast("array<string>")
     host = U.host_for_match(F.col("url"))
-    return values(spark, URL_ROWS, "id, url").select("id", U.allowed(host, inc, exc).alias("both"), U.allowed(host, none, exc).alias("excluded_only"))
+    return by_page(spark, sf_dir, URL_ROWS, "id, url", "url").select("id", U.allowed(host, inc, exc).alias("both"), U.allowed(host, none, exc).alias("excluded_only"))
 
 
 @query("e2_domain_include", f"WITH h AS (SELECT page_id, {SQL_HOST('url')} AS host FROM pages), top AS (SELECT host FROM h GROUP BY 1 ORDER BY count(*) DESC, host LIMIT 3) SELECT page_id FROM h WHERE EXISTS (SELECT 1 FROM top WHERE h.host = top.host OR suffix(h.host, '.' || top.host))")
@@ -55,7 +56,7 @@ def domain_include(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "n1_source_type",
-    f"""WITH v AS (SELECT id, url, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host, list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/'), lambda s: s <> '') AS s FROM (VALUES {URL_ROWS}) v(id, url)),
+    f"""WITH v AS (SELECT id, url, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host, list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/'), lambda s: s <> '') AS s FROM {by_page_sql(URL_ROWS, "id, url", "url")} v),
 w AS (SELECT *, url_decode(coalesce(s[2], '')) AS title FROM v)
 SELECT id, CASE WHEN host = 'github.com' AND len(s) = 4 AND s[3] = 'issues' AND regexp_matches(s[4], '^[0-9]{{1,19}}$') THEN 'github_issue' WHEN host = 'github.com' AND len(s) = 4 AND s[3] = 'pull' AND regexp_matches(s[4], '^[0-9]{{1,19}}$') THEN 'github_pr' WHEN host = 'github.com' AND len(s) = 2 THEN 'github_repo'
 WHEN (regexp_matches(host, '^(meta\\.)?(stackoverflow\\.com|serverfault\\.com|superuser\\.com|askubuntu\\.com|mathoverflow\\.net)$') OR suffix(host, '.stackexchange.com')) AND s[1] = 'questions' AND regexp_matches(coalesce(s[2], ''), '^[0-9]{{1,19}}$') THEN 'stack_exchange'
@@ -63,7 +64,7 @@ WHEN host = 'arxiv.org' AND s[1] IN ('abs', 'pdf') AND s[2] IS NOT NULL THEN 'ar
 WHEN suffix(host, '.wikipedia.org') AND s[1] = 'wiki' AND s[2] IS NOT NULL AND NOT regexp_matches(lower(title), '^(special|talk|category|help|user|wikipedia|file|template|portal|draft):') THEN 'wikipedia' ELSE 'generic' END AS source_type FROM w""",
 )
 def source_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return values(spark, URL_ROWS, "id, url").select("id", U.source_type(F.col("url")).alias("source_type"))
+    return by_page(spark, sf_dir, URL_ROWS, "id, url", "url").select("id", U.source_type(F.col("url")).alias("source_type"))
 
 
 @query("c1_merge_sources", f"WITH {SQL_MERGED} SELECT session_id, url, provider, content, pos FROM m")
@@ -128,9 +129,9 @@ CITED = ["See [[1]](https://a.example/x) and [[22]](http://b.example/y).", "none
 CITED_ROWS = ", ".join(f"({i}, '{c}')" for i, c in enumerate(CITED))
 
 
-@query("p3_inline_citations", f"SELECT id, unnest(regexp_extract_all(c, '\\[\\[\\d+\\]\\]\\((https?://[^ \\n\\t\\[<)]*)\\)', 1)) AS url FROM (VALUES {CITED_ROWS}) v(id, c)")
+@query("p3_inline_citations", f"SELECT id, unnest(regexp_extract_all(c, '\\[\\[\\d+\\]\\]\\((https?://[^ \\n\\t\\[<)]*)\\)', 1)) AS url FROM {by_page_sql(CITED_ROWS, "id, c", "c")} v")
 def inline_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return values(spark, CITED_ROWS, "id, c").select("id", F.explode(F.regexp_extract_all("c", F.lit(r"\[\[\d+\]\]\((https?://[^ \n\t\[<)]*)\)"), F.lit(1))).alias("url"))
+    return by_page(spark, sf_dir, CITED_ROWS, "id, c", "c").select("id", F.explode(F.regexp_extract_all("c", F.lit(r"\[\[\d+\]\]\((https?://[^ \n\t\[<)]*)\)"), F.lit(1))).alias("url"))
 
 
 MATERIALS = ["code at https://github.com/a/b, data (https://zenodo.org/record/1).", "https://huggingface.co/datasets/x https://huggingface.co/spaces/y https://huggingface.co/z/", "see http://lib.readthedocs.io/en/ and https://my-project.example/", "HTTPS://GITHUB.com/a/b https://github.com/a/b", "nothing", "https://arxiv.org/e-print/2 https://other.example/e-print/2 https://arxiv.org/src/3"]
@@ -139,12 +140,12 @@ MATERIAL_ROWS = ", ".join(f"({i}, '{m}')" for i, m in enumerate(MATERIALS))
 
 @query(
     "s5_material_links",
-    f"""WITH t AS (SELECT id, unnest(list_filter(list_transform(string_split_regex(t, '\\s+'), lambda w: rtrim(trim(w, '"''()[]{{}}<>,.;'), '/')), lambda w: regexp_matches(w, '^https?://'))) AS url FROM (VALUES {MATERIAL_ROWS}) v(id, t)),
+    f"""WITH t AS (SELECT id, unnest(list_filter(list_transform(string_split_regex(t, '\\s+'), lambda w: rtrim(trim(w, '"''()[]{{}}<>,.;'), '/')), lambda w: regexp_matches(w, '^https?://'))) AS url FROM {by_page_sql(MATERIAL_ROWS, "id, t", "t")} v),
 k AS (SELECT DISTINCT id, url, lower(url) AS u FROM t), c AS (SELECT id, url, CASE WHEN contains(u, 'github.com/') OR contains(u, 'gitlab.com/') THEN 'code' WHEN contains(u, 'huggingface.co/') AND contains(u, '/datasets/') THEN 'dataset' WHEN contains(u, 'huggingface.co/') AND contains(u, '/spaces/') THEN 'demo' WHEN contains(u, 'huggingface.co/') THEN 'model' WHEN contains(u, 'paperswithcode.com/') THEN 'code' WHEN contains(u, 'zenodo.org/') OR contains(u, 'figshare.com/') THEN 'dataset' WHEN contains(u, 'arxiv.org/src/') OR contains(u, 'arxiv.org/e-print/') THEN 'supplement' WHEN contains(u, 'colab.research.google.com/') THEN 'demo' WHEN contains(u, 'docs.') OR contains(u, '/docs') OR contains(u, 'readthedocs.io/') THEN 'documentation' WHEN contains(u, 'project') OR contains(u, 'demo') OR contains(u, 'dataset') OR contains(u, 'code') THEN 'project' END AS kind FROM k)
 SELECT id, url, kind, CASE WHEN kind IN ('code', 'dataset', 'model', 'demo', 'supplement') THEN 'high' WHEN kind = 'documentation' THEN 'medium' WHEN kind IS NOT NULL THEN 'low' END AS confidence FROM c WHERE kind IS NOT NULL""",
 )
 def material_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = values(spark, MATERIAL_ROWS, "id, t").select("id", F.explode(F.array_distinct(U.url_tokens(F.col("t")))).alias("url"))
+    rows = by_page(spark, sf_dir, MATERIAL_ROWS, "id, t", "t").select("id", F.explode(F.array_distinct(U.url_tokens(F.col("t")))).alias("url"))
     kind = U.material_kind(F.col("url"))
     return rows.select("id", "url", kind.alias("kind"), U.material_confidence(kind).alias("confidence")).where("kind is not null")
 
