@@ -63,3 +63,19 @@ def download_order(host: Column, direct: Column) -> Column:
     ranged = F.exists(F.array(*map(F.lit, RANGE_FIRST_HOSTS)), lambda x: (h == x) | F.endswith(h, F.concat(F.lit("."), x)))
     own = F.when(ranged, F.array(F.lit("current_range_parallel"), F.lit("current_full"))).otherwise(F.array(F.lit("current_full"), F.lit("current_range_parallel")))
     return F.when(direct, F.concat(own, F.array(F.lit("direct_range_parallel"), F.lit("direct_full")))).otherwise(own)
+
+
+def range_problem(value: Column, low: int, high: int, name: str) -> Column:
+    """Why a number is refused; null if it is in its range, or not given."""
+    return F.when(~value.between(low, high), F.lit(f"{name} must be between {low} and {high}"))
+
+
+def mapped_urls(urls: Column, limit: Column) -> Column:
+    """A site map's addresses, no more than asked for, whatever the service sent; blank ones do not count."""
+    return F.slice(F.filter(urls, lambda u: F.trim(u) != ""), F.lit(1), F.greatest(limit, F.lit(0)).cast("int"))
+
+
+def structuring_input(source: Column, source_sha256: Column, content: Column) -> Column:
+    """What is structured, and its hash: the source text with its own hash if there is one, else the content with a hash of it."""
+    there = source.isNotNull()
+    return F.struct(F.when(there, source).otherwise(content).alias("text"), F.when(there, source_sha256).otherwise(F.sha2(F.encode(content, "UTF-8"), 256)).alias("sha256"))

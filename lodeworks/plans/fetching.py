@@ -232,3 +232,23 @@ def download_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("c12_distinct_strings", "SELECT doc_id, list_sort(list_distinct(string_split(text, ' '))) AS words FROM documents")
 def distinct_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.array_sort(F.array_distinct(F.split("text", " ", -1))).alias("words"))
+
+
+@query("e16_range_problems", "SELECT doc_id, CASE WHEN n_chars BETWEEN 100 AND 2000 THEN NULL ELSE 'max_chars must be between 100 and 2000' END AS problem FROM documents")
+def range_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", O.range_problem(F.col("n_chars"), 100, 2000, "max_chars").alias("problem"))
+
+
+@query("t3_mapped_urls", "SELECT page_id, len(u)::INT AS n, array_to_string(u, ' ') AS urls FROM (SELECT page_id, (list_filter(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1), lambda x: trim(x) <> ''))[1 : page_id % 7] AS u FROM pages)")
+def mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's links as a map of its site, cut to a limit by the page's number."""
+    links = F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)
+    rows = table(spark, sf_dir, "pages").select("page_id", O.mapped_urls(links, F.col("page_id") % 7).alias("u"))
+    return rows.select("page_id", F.size("u").alias("n"), F.array_join("u", " ").alias("urls"))
+
+
+@query("t11_structuring_input", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN upper(lang) ELSE text END AS text, CASE WHEN doc_id % 3 = 0 THEN 'sha-' || source ELSE sha256(text) END AS sha256 FROM documents")
+def structuring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    third = F.col("doc_id") % 3 == 0
+    chosen = O.structuring_input(F.when(third, F.upper("lang")), F.when(third, F.concat(F.lit("sha-"), "source")), F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", chosen.alias("c")).select("doc_id", "c.*")
