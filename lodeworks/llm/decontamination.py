@@ -77,9 +77,11 @@ def windows(rows: DataFrame, key: str, lengths: list[int], plain: bool = False)
         words = marked(rows, key).select(key, F.array_remove(F.split("m", rf"[^{TOKEN}]+"), "").alias("words"))
         tokens = words.select(key, F.transform("words", lambda w: F.when(_typed(w), F.substring(w, 1, 1)).otherwise(w)).alias("t"), "words")
     # The outer form: the inner one would add filters on the token arrays below itself, which compute them once more each.
+    # Each token is hashed once, a window's hash is one of its tokens' hashes.
+    hashed = tokens.select(key, "t", "words", F.transform("t", lambda w: F.xxhash64(w)).alias("hashes"))
     starts = F.when(F.size("t") >= min(lengths), F.sequence(F.lit(0), F.size("t") - min(lengths)))
-    places = tokens.select(key, "t", "words", F.explode_outer(starts).alias("position")).where("position is not null")
-    of = lambda n: F.xxhash64(*(F.get(F.col("t"), F.col("position") + k) for k in range(n)))
+    places = hashed.select(key, "t", "words", "hashes", F.explode_outer(starts).alias("position")).where("position is not null")
+    of = lambda n: F.xxhash64(*(F.get(F.col("hashes"), F.col("position") + k) for k in range(n)))
     if len(lengths) == 1:
         return places.select(key, "t", "words", F.lit(lengths[0]).alias("length"), "position", of(lengths[0]).alias("hash"))
     each = F.explode(F.array(*(F.struct(F.lit(n).alias("length"), of(n).alias("hash")) for n in lengths))).alias("w")
