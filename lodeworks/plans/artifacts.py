@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodeworks.operators import artifacts as A
 from lodeworks.operators import structure as S
 from lodeworks.plans.registry import query
-from lodeworks.plans.templates import by_group, by_group_sql, by_page, by_page_sql
+from lodeworks.plans.templates import by_group, by_group_sql, by_page, by_page_sql, over
 from lodeworks.sources.tables import table, values
 
 TABLES = ["[['a','b'],['1','2'],['3','4']]", "[['a']]", "[['a','b'],['','']]", "[['a','b','c'],['1',''],['2','3','4']]", "[['x','y','z','w']]", "[['a','b'],['1',''],['2',''],['3',''],['4','']]", "[['p|q','r'],['s','t']]", str([["one long line of prose that is no cell at all", "7"]] * 5 + [["short", "8"]] * 4).replace(", ", ","), str([["one long line of prose that is no cell at all", "7"]] * 4 + [["short", "8"]] * 5).replace(", ", ",")]
@@ -39,11 +39,6 @@ def table_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by_page(spark, sf_dir, TABLE_ROWS, "id, t").select("id", A.table_markdown(F.col("t")).alias("markdown"))
 
 
-def _numbers(spark: SparkSession, sf_dir: str, sql: str, name: str) -> DataFrame:
-    """SQL over one of the given tables, which both engines read."""
-    return spark.sql(sql.replace(f"FROM {name}", "FROM {source}"), source=table(spark, sf_dir, name))
-
-
 #: Images of the pages of orders; every other one has a box.
 IMAGES = """SELECT l_orderkey AS doc_id, CAST(l_linenumber % 2 AS INT) AS page, CAST(l_linenumber * 1000000 + l_partkey % 1000 * 1000 + l_suppkey % 1000 AS INT) AS image_index, CAST(40 + l_partkey % 600 AS INT) AS width, CAST(40 + l_suppkey * 7 % 500 AS INT) AS height,
   CASE WHEN l_partkey % 2 = 0 THEN CAST(1 + l_suppkey % 150 AS DOUBLE) END AS box_width, CASE WHEN l_partkey % 2 = 0 THEN CAST(1 + l_partkey % 90 AS DOUBLE) END AS box_height FROM lineitem"""
@@ -52,17 +47,17 @@ SQL_IMAGES = f"v AS (SELECT * FROM ({IMAGES}))"
 
 @query("e13_image_filter_reason", f"WITH {SQL_IMAGES} SELECT doc_id, page, image_index, CASE WHEN width * height < 50000 THEN 'tiny_pixel' WHEN box_width IS NOT NULL AND box_width * box_height < 3000 AND NOT (box_width >= 60 AND box_height >= 40) THEN 'small_bbox' END AS reason FROM v")
 def image_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _numbers(spark, sf_dir, IMAGES, "lineitem").select("doc_id", "page", "image_index", A.image_filter_reason(*(F.col(c) for c in ("width", "height", "box_width", "box_height"))).alias("reason"))
+    return over(spark, sf_dir, IMAGES, "lineitem").select("doc_id", "page", "image_index", A.image_filter_reason(*(F.col(c) for c in ("width", "height", "box_width", "box_height"))).alias("reason"))
 
 
 @query("d18_image_order", f"WITH {SQL_IMAGES} SELECT doc_id, page, image_index, row_number() OVER (PARTITION BY doc_id, page ORDER BY coalesce(box_width * box_height, width * height) DESC, width * height DESC, image_index)::INT AS n FROM v")
 def image_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.image_order(_numbers(spark, sf_dir, IMAGES, "lineitem"), ["doc_id", "page"]).select("doc_id", "page", "image_index", "n")
+    return A.image_order(over(spark, sf_dir, IMAGES, "lineitem"), ["doc_id", "page"]).select("doc_id", "page", "image_index", "n")
 
 
 @query("l5_image_signals", f"WITH {SQL_IMAGES} SELECT doc_id, page, count(*) AS images, count(*) FILTER (width * height >= 20000 OR coalesce(box_width * box_height, width * height) >= 12000) AS large, count(*) FILTER (width * height < 4096 OR coalesce(box_width * box_height, width * height) < 2500) AS tiny FROM v GROUP BY 1, 2")
 def image_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.image_signals(_numbers(spark, sf_dir, IMAGES, "lineitem"), ["doc_id", "page"])
+    return A.image_signals(over(spark, sf_dir, IMAGES, "lineitem"), ["doc_id", "page"])
 
 
 MANIFEST = "SELECT page_id % 10 AS doc_id, page_id % 70 AS page, CASE page_id % 4 WHEN 1 THEN 'filtered' WHEN 2 THEN 'error' ELSE 'written' END AS status FROM pages"
@@ -70,7 +65,7 @@ MANIFEST = "SELECT page_id % 10 AS doc_id, page_id % 70 AS page, CASE page_id %
 
 @query("g4_manifest_totals", f"SELECT doc_id, page, count(*) AS candidates, count(*) FILTER (status = 'written') AS written, count(*) FILTER (status = 'filtered') AS filtered, count(*) FILTER (status = 'error') AS errors, grouping(page)::INT AS whole FROM ({MANIFEST}) GROUP BY GROUPING SETS ((doc_id), (doc_id, page))")
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.manifest_totals(_numbers(spark, sf_dir, MANIFEST, "pages"), "doc_id", "page")
+    return A.manifest_totals(over(spark, sf_dir, MANIFEST, "pages"), "doc_id", "page")
 
 
 #: Boxes of the images of orders' pages, some without; small ones lie close to each other.
@@ -80,7 +75,7 @@ BOXES = """SELECT l_orderkey AS doc_id, CAST(l_linenumber % 2 AS INT) AS page, C
 
 @query("l10_union_box", f"SELECT doc_id, page, min(x)::DOUBLE AS x, min(y)::DOUBLE AS y, max(x + w)::DOUBLE AS \"right\", max(y + h)::DOUBLE AS bottom FROM ({BOXES}) GROUP BY 1, 2")
 def union_box(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.union_box(_numbers(spark, sf_dir, BOXES, "lineitem"), ["doc_id", "page"]).select("doc_id", "page", *(F.col(c).cast("double").alias(c) for c in ("x", "y", "right", "bottom")))
+    return A.union_box(over(spark, sf_dir, BOXES, "lineitem"), ["doc_id", "page"]).select("doc_id", "page", *(F.col(c).cast("double").alias(c) for c in ("x", "y", "right", "bottom")))
 
 
 #: A fold along a page's rejected boxes, from top to bottom.
@@ -93,7 +88,7 @@ SELECT doc_id::BIGINT AS doc_id, page, generate_subscripts(l, 1)::INT AS "group"
 
 @query("g10_group_boxes", SQL_GROUPS)
 def group_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = _numbers(spark, sf_dir, BOXES, "lineitem")
+    b = over(spark, sf_dir, BOXES, "lineitem")
     return A.group_boxes(b.select(F.col("doc_id").cast("long"), F.col("page").cast("int"), "image_index", "width", "height", *(F.col(c).cast("double") for c in "xywh")))
 
 
@@ -122,14 +117,14 @@ p AS (SELECT *, 80 * a::INT + 65 * b::INT + 55 * c::INT + 70 * d::INT + 45 * e::
 
 @query("d14_triage", f"WITH {SQL_TRIAGE} SELECT doc_id, page, priority, reasons FROM p")
 def triage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.page_priority(_numbers(spark, sf_dir, PAGES, "documents")).select("doc_id", "page", "priority", "reasons")
+    return A.page_priority(over(spark, sf_dir, PAGES, "documents")).select("doc_id", "page", "priority", "reasons")
 
 
 @query("d15_page_priority", f"WITH {SQL_TRIAGE} SELECT doc_id, page, priority, row_number() OVER (PARTITION BY doc_id ORDER BY priority DESC, page)::INT AS rank FROM p WHERE priority > 0 QUALIFY rank <= 4")
 def page_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodeworks.operators.ranking import top_k
 
-    rows = A.page_priority(_numbers(spark, sf_dir, PAGES, "documents")).where("priority > 0").select("doc_id", "page", "priority")
+    rows = A.page_priority(over(spark, sf_dir, PAGES, "documents")).where("priority > 0").select("doc_id", "page", "priority")
     return top_k(rows, "doc_id", [F.desc("priority"), F.col("page")], 4)
 
 

@@ -86,13 +86,12 @@ def rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.round_robin(table(spark, sf_dir, "events").select(F.col("event_id").alias("request_no")), 5, 2).groupBy("key_no").agg(F.count("*").alias("n"))
 
 
-SECRETS = ['{"user":"a","API_KEY":"x","nested":{"access-key":"y","list":[{"Authorization":"z","ok":1}]}}', '{"plain":true,"n":null}', "no json", '{"tokens":[1,2]}']
-SECRET_ROWS = ", ".join(f"({i}, '{s}')" for i, s in enumerate(SECRETS))
+SECRETS_OF = """CASE event_id % 4 WHEN 0 THEN '{"user":' || user_id || ',"api_key":"' || event_id || '","inner":{"list":[{"access_token":{"a":1},"ok":"é"}],"n":1.5}}' WHEN 1 THEN '[{"api_key":null},' || user_id || ',"api_key"]' WHEN 2 THEN 'no JSON ' || event_id ELSE NULL END"""
 
 
-@query("s13_redact_json")
+@query("s13_redact_json", """SELECT event_id AS id, CASE event_id % 4 WHEN 0 THEN '{"user":' || user_id || ',"api_key":"***","inner":{"list":[{"access_token":"***","ok":"é"}],"n":1.5}}' WHEN 1 THEN '[{"api_key":"***"},' || user_id || ',"api_key"]' WHEN 2 THEN 'no JSON ' || event_id END AS payload FROM events""")
 def redact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return values(spark, SECRET_ROWS, "id, payload").select("id", A.redact_json(F.col("payload")).alias("payload"))
+    return table(spark, sf_dir, "events").selectExpr("event_id AS id", f"{SECRETS_OF} AS payload").select("id", A.redact_json(F.col("payload")).alias("payload"))
 
 
 @query("s11_epoch_text", "SELECT doc_id, strftime(make_timestamp((1600000000 + doc_id * 98765)::BIGINT * 1000000), '%Y-%m-%d %H:%M:%S') AS at FROM documents")

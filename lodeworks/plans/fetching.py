@@ -111,9 +111,10 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", FT.fallback_message(answer, F.col("turn")).alias("message"))
 
 
-@query("t4_citation_sources", "SELECT * FROM (VALUES (1, 'a,c'), (2, ''), (3, 'd')) v(id, providers)")
+@query("t4_citation_sources", "SELECT page_id AS id, CASE page_id % 4 WHEN 0 THEN 'a' || page_id || ',c' WHEN 1 THEN '' WHEN 2 THEN 'd' ELSE '' END AS providers FROM pages")
 def citation_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = values(spark, "(1, array('a', 'openalex_reference', 'c')), (2, array('openalex_reference')), (3, array('d'))", "id, providers")
+    lists = "CASE page_id % 4 WHEN 0 THEN array(concat('a', page_id), 'openalex_reference', 'c') WHEN 1 THEN array('openalex_reference') WHEN 2 THEN array('d') ELSE array() END AS providers"
+    rows = table(spark, sf_dir, "pages").selectExpr("page_id AS id", lists)
     structs = F.transform("providers", lambda p: F.struct(p.alias("provider"), F.lit("u").alias("url")))
     return rows.select("id", F.array_join(F.transform(FT.without_reference_sources(structs), lambda s: s["provider"]), ",").alias("providers"))
 
@@ -183,9 +184,9 @@ def options(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by_page(spark, sf_dir, OPTION_ROWS, "id, mode, sort", "").select("id", O.one_of(F.col("mode"), O.SEARCH_MODES).alias("mode"), O.one_of(F.col("sort"), O.ORDERS).alias("sort"))
 
 
-@query("s8_selected_sources", "SELECT * FROM (VALUES (0, 'dblp,semantic,arxiv'), (1, 'dblp,semantic,arxiv,openalex,crossref'), (2, 'semantic,arxiv,semantic'), (3, NULL), (4, '')) v(id, sources)")
+@query("s8_selected_sources", f"SELECT * FROM {by_page_sql("(0, 'dblp,semantic,arxiv'), (1, 'dblp,semantic,arxiv,openalex,crossref'), (2, 'semantic,arxiv,semantic'), (3, NULL), (4, '')", 'id, sources')} v")
 def chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = values(spark, "(0, array(), 'precise'), (1, array(), 'broad'), (2, array('S2, arxiv', ' Semantic_Scholar '), 'broad'), (3, array('arxiv', 'pubmed'), 'broad'), (4, array(' , '), 'precise')", "id, asked, mode")
+    rows = by_page(spark, sf_dir, "(0, array(), 'precise'), (1, array(), 'broad'), (2, array('S2, arxiv', ' Semantic_Scholar '), 'broad'), (3, array('arxiv', 'pubmed'), 'broad'), (4, array(' , '), 'precise')", "id, asked, mode")
     return rows.select("id", F.array_join(O.selected_sources(F.col("asked").cast("array<string>"), F.col("mode")), ",").alias("sources"))
 
 

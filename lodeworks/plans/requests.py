@@ -10,7 +10,7 @@ from lodeworks.operators import audit as A
 from lodeworks.operators import vision_output as O
 from lodeworks.plans.audit import SQL_EVENTS
 from lodeworks.plans.registry import query
-from lodeworks.plans.templates import by_page, by_page_sql
+from lodeworks.plans.templates import by_page, by_page_sql, over
 from lodeworks.sources.tables import table, values
 
 #: The benchmark's items as queries, with filters by rule.
@@ -54,13 +54,13 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", Q.chat_payload(F.lit("m"), system, F.col("text"), n(3)).alias("chat"), Q.answer_payload(F.lit("m"), system, F.col("text"), n(3), n(5)).alias("answer"))
 
 
-REPOS = "('o', 'r', '7', 30), ('o', 's', '8', 0), ('p', 'q', '9', 500)"
+REPOS = "SELECT 'o' || CAST(c_custkey % 5 AS STRING) AS o, 'r' || CAST(c_nationkey AS STRING) AS r, CAST(c_custkey AS STRING) AS n, CAST(c_custkey % 300 AS INT) AS m FROM customer"
 
 
-@query("t19_addresses", f"SELECT n, 'https://api.github.com/repos/' || o || '/' || r || '/pulls/' || n || '/reviews?per_page=' || k AS reviews, 'https://api.stackexchange.com/2.3/questions/' || n || '?site=' || r || '&filter=f' AS question, 'https://api.stackexchange.com/2.3/questions/' || n || '/answers?site=' || r || '&filter=f&order=desc&sort=votes&pagesize=' || k AS answers FROM (SELECT *, least(greatest(m + 1, 1), 100) AS k FROM (VALUES {REPOS}) v(o, r, n, m))")
+@query("t19_addresses", f"SELECT n, 'https://api.github.com/repos/' || o || '/' || r || '/pulls/' || n || '/reviews?per_page=' || k AS reviews, 'https://api.stackexchange.com/2.3/questions/' || n || '?site=' || r || '&filter=f' AS question, 'https://api.stackexchange.com/2.3/questions/' || n || '/answers?site=' || r || '&filter=f&order=desc&sort=votes&pagesize=' || k AS answers FROM (SELECT *, least(greatest(m + 1, 1), 100) AS k FROM ({REPOS}))")
 def addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, r, n, m = (F.col(c) for c in "ornm")
-    return values(spark, REPOS, "o, r, n, m").select("n", F.get(Q.comment_addresses(o, r, n, m), F.lit(2)).alias("reviews"), Q.question_address(n, r, "f").alias("question"), Q.answers_address(n, r, "f", m).alias("answers"))
+    return over(spark, sf_dir, REPOS, "customer").select("n", F.get(Q.comment_addresses(o, r, n, m), F.lit(2)).alias("reviews"), Q.question_address(n, r, "f").alias("question"), Q.answers_address(n, r, "f", m).alias("answers"))
 
 
 COMPLETIONS = """(0, '{"table_completions":[{"page":3,"label":"Table 1","status":"Complete","headers":["a","b"],"rows":[["1","2"],["3"]],"confidence":0.9},{"status":"not-visible","markdown":"| x |","notes":"n"},{"status":"odd"}],"figure_completions":[{"label":"F","status":"READY"},{"status":"broken"},{},{"status":"missing"},{"status":"fifth"}]}'), (1, '{}'), (2, 'no json')"""

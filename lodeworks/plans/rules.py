@@ -9,7 +9,7 @@ from lodeworks.functions import rules as R
 from lodeworks.operators import entities as E
 from lodeworks.operators import sources_ops as S
 from lodeworks.plans.registry import query
-from lodeworks.plans.templates import by_group, by_group_sql, by_page, by_page_sql
+from lodeworks.plans.templates import by_group, by_group_sql, by_page, by_page_sql, over
 from lodeworks.plans.sources import SQL_HOST
 from lodeworks.sources.tables import table, values
 
@@ -30,13 +30,14 @@ def public_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by_page(spark, sf_dir, _rows(POLICY), "id, url", "url").select("id", R.is_public_url(F.col("url")).alias("public"))
 
 
-PROXY = "('a.example.com'), ('example.com'), ('badexample.com'), ('intra'), ('x.corp.net')"
+#: Hosts of the pages' numbers: within, at and beside the entries.
+PROXY = "SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'a' || CAST(page_id AS STRING) || '.example.com' WHEN 1 THEN 'example.com' WHEN 2 THEN 'bad' || CAST(page_id AS STRING) || 'example.com' WHEN 3 THEN 'intra' WHEN 4 THEN 'x.corp.net' ELSE 'p' || CAST(page_id AS STRING) || '.example.org' END AS host FROM pages"
 
 
-@query("e10_no_proxy", f"SELECT host, host = 'example.com' OR suffix(host, '.example.com') OR host = 'corp.net' OR suffix(host, '.corp.net') OR host = 'intra' AS direct FROM (VALUES {PROXY}) v(host)")
+@query("e10_no_proxy", f"SELECT page_id, host, host = 'example.com' OR suffix(host, '.example.com') OR host = 'corp.net' OR suffix(host, '.corp.net') OR host = 'intra' AS direct FROM ({PROXY})")
 def no_proxy(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = F.array(F.lit("example.com"), F.lit("*.corp.net"), F.lit(" INTRA "), F.lit(""))
-    return values(spark, PROXY, "host").select("host", R.bypasses_proxy(F.col("host"), entries).alias("direct"))
+    return over(spark, sf_dir, PROXY, "pages").select("page_id", "host", R.bypasses_proxy(F.col("host"), entries).alias("direct"))
 
 
 HOSTS = ["stackoverflow.com", "meta.stackoverflow.com", "dsp.stackexchange.com", "meta.stackexchange.com", "mathoverflow.net", "example.com", "en.wikipedia.org", "zh-yue.m.wikipedia.org"]
@@ -63,15 +64,15 @@ def base_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by_page(spark, sf_dir, _rows(BASES), "id, u", "u").select("id", R.versioned_base(F.col("u")).alias("base"))
 
 
-ATTEMPTS = ", ".join(f"('{s}', {n})" for s in ("pdf", "llm", "openalex", "semantic", "arxiv", "none") for n in (-1, 0, 1, 2, 3, 4, 5, 9))
+ATTEMPTS = "SELECT DISTINCT CASE event_id % 6 WHEN 0 THEN 'pdf' WHEN 1 THEN 'llm' WHEN 2 THEN 'openalex' WHEN 3 THEN 'semantic' WHEN 4 THEN 'arxiv' ELSE 'none' END AS service, CAST(user_id % 11 - 1 AS INT) AS attempt FROM events"
 
 
 @query(
     "s23_backoff",
-    f"""SELECT service, attempt, CASE service WHEN 'pdf' THEN CASE WHEN attempt <= 1 THEN 600 WHEN attempt = 2 THEN 1200 ELSE 2400 END WHEN 'llm' THEN 600 * 2 ** least(greatest(attempt - 1, 0), 4) WHEN 'openalex' THEN CASE WHEN attempt <= 0 THEN 1000 ELSE 3000 END WHEN 'semantic' THEN 2500 + 2500 * greatest(attempt, 0) WHEN 'arxiv' THEN 3000 * (greatest(attempt, 0) + 1) END::INT AS ms FROM (VALUES {ATTEMPTS}) v(service, attempt)""",
+    f"""SELECT service, attempt, CASE service WHEN 'pdf' THEN CASE WHEN attempt <= 1 THEN 600 WHEN attempt = 2 THEN 1200 ELSE 2400 END WHEN 'llm' THEN 600 * 2 ** least(greatest(attempt - 1, 0), 4) WHEN 'openalex' THEN CASE WHEN attempt <= 0 THEN 1000 ELSE 3000 END WHEN 'semantic' THEN 2500 + 2500 * greatest(attempt, 0) WHEN 'arxiv' THEN 3000 * (greatest(attempt, 0) + 1) END::INT AS ms FROM ({ATTEMPTS})""",
 )
 def backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return values(spark, ATTEMPTS, "service, attempt").select("service", "attempt", R.backoff_ms(F.col("service"), F.col("attempt")).alias("ms"))
+    return over(spark, sf_dir, ATTEMPTS, "events").select("service", "attempt", R.backoff_ms(F.col("service"), F.col("attempt")).alias("ms"))
 
 
 IDS = "(0, '10.1/a', NULL, 's', NULL, 't'), (1, NULL, '2301.4', NULL, 'W1', 't'), (2, NULL, NULL, NULL, NULL, 'only title'), (3, NULL, NULL, 's', 'W2', NULL)"

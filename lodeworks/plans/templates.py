@@ -65,3 +65,8 @@ def by_group(spark: SparkSession, sf_dir: str, rows: str, columns: str) -> DataF
     key, *others = (c.strip() for c in columns.split(","))
     met = table(spark, sf_dir, "pages").select("page_id").crossJoin(F.broadcast(values(spark, rows, columns)))
     return met.select((F.col("page_id") * 1000 + F.col(key)).alias(key), *others)
+
+
+def over(spark: SparkSession, sf_dir: str, sql: str, name: str) -> DataFrame:
+    """SQL over one of the given tables, which both engines read."""
+    return spark.sql(sql.replace(f"FROM {name}", "FROM {source}"), source=table(spark, sf_dir, name))

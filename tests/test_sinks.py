@@ -45,3 +45,13 @@ def test_mended_after_a_failure_between_the_steps(spark, monkeypatch):
     assert sorted((r["doc_id"], r["name"]) for r in committed.load(spark, f"{path}/files").collect()) == [(1, "a"), (2, "a")]
     totals = {r["doc_id"]: (r["candidates"], r["written"], r["filtered"], r["errors"]) for r in sinks.artifact_totals(spark, path).where("whole = 1").collect()}
     assert totals == {1: (2, 1, 1, 0), 2: (1, 1, 0, 0)}
+
+
+def test_secrets_of_any_spelling_and_depth(spark):
+    from pyspark.sql import functions as F
+
+    from lodeworks.operators.audit import redact_json
+
+    rows = ['{"user":"a","API_KEY":"x","nested":{"access-key":"y","list":[{"Authorization":"z","ok":1}]}}', '{"plain":true,"n":null}', "no json", None]
+    got = [r["p"] for r in spark.createDataFrame([(r,) for r in rows], "p string").coalesce(1).select(redact_json(F.col("p")).alias("p")).collect()]
+    assert got == ['{"user":"a","API_KEY":"***","nested":{"access-key":"***","list":[{"Authorization":"***","ok":1}]}}', *rows[1:]]
