@@ -10,7 +10,7 @@ from lodeworks.operators import fetching as FT
 from lodeworks.operators import rendering as RD
 from lodeworks.operators import structure as S
 from lodeworks.plans.registry import query
-from lodeworks.plans.templates import by_page, by_page_sql, count_rows
+from lodeworks.plans.templates import by_page, by_page_sql, count_rows, over
 from lodeworks.sources import chat as C
 from lodeworks.sources.tables import table, values
 
@@ -222,12 +222,12 @@ def distinct_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.select("r.id", O.absolute_url(F.col("r.list_url"), "https://base.example").alias("list_url"))
 
 
-HOSTS = "('arxiv.org', true), ('Export.arXiv.org', false), ('x.aclanthology.org', true), ('notarxiv.org', true), ('lode.example', false)"
+HOSTS = "SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'arxiv.org' WHEN 1 THEN 'Export' || CAST(page_id AS STRING) || '.arXiv.org' WHEN 2 THEN 'x.aclanthology.org' WHEN 3 THEN 'notarxiv.org' ELSE 'h' || CAST(page_id AS STRING) || '.example' END AS host, page_id % 3 = 0 AS direct FROM pages"
 
 
-@query("s22_download_order", f"SELECT host, CASE WHEN regexp_matches(lower(host), '(^|[.])(arxiv[.]org|openaccess[.]thecvf[.]com|aclanthology[.]org)$') THEN 'current_range_parallel,current_full' ELSE 'current_full,current_range_parallel' END || CASE WHEN direct THEN ',direct_range_parallel,direct_full' ELSE '' END AS strategies FROM (VALUES {HOSTS}) v(host, direct)")
+@query("s22_download_order", f"SELECT page_id, host, CASE WHEN regexp_matches(lower(host), '(^|[.])(arxiv[.]org|openaccess[.]thecvf[.]com|aclanthology[.]org)$') THEN 'current_range_parallel,current_full' ELSE 'current_full,current_range_parallel' END || CASE WHEN direct THEN ',direct_range_parallel,direct_full' ELSE '' END AS strategies FROM ({HOSTS})")
 def download_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return values(spark, HOSTS, "host, direct").select("host", F.array_join(O.download_order(F.col("host"), F.col("direct")), ",").alias("strategies"))
+    return over(spark, sf_dir, HOSTS, "pages").select("page_id", "host", F.array_join(O.download_order(F.col("host"), F.col("direct")), ",").alias("strategies"))
 
 
 @query("c12_distinct_strings", "SELECT doc_id, list_sort(list_distinct(string_split(text, ' '))) AS words FROM documents")

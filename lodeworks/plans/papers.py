@@ -12,6 +12,7 @@ from lodeworks.operators import structure as S
 from lodeworks.operators import vision as V
 from lodeworks.plans.documents import SQL_SRC, with_golden
 from lodeworks.plans.registry import _ORACLES, query
+from lodeworks.plans.templates import by_page, by_page_sql, over
 from lodeworks.sources.tables import table, values
 
 PAPERS = ["# arXiv:2301.1\n\nA Study of Lode Bodies\nAnn Bee\n\n## Abstract\nWe study lodes.\nMore.", "Provided proper attribution one may\nThe First Real Title: Part 2\nabstract\n", "short\nends with a stop, so it is no title.\nhttp://x.example/a title\nAbstract of things here\nOnly now a title comes", "ABSTRACT\nAt once.\nA later line that is long", "", "12345 67890\nNo Abstract Heading Here"]
@@ -167,11 +168,11 @@ BOXES = "(0, array(0.1, 0.1, 0.4, 0.3), array(0.41, 0.2, 0.9, 0.9)), (1, array(0
 
 @query(
     "l6_boxes",
-    f"""WITH v AS (SELECT id, a::DOUBLE[] AS a, b::DOUBLE[] AS b FROM (VALUES {BOXES.replace("array(", "list_value(")}) v(id, a, b))
+    f"""WITH v AS (SELECT id, a::DOUBLE[] AS a, b::DOUBLE[] AS b FROM {by_page_sql(BOXES.replace("array(", "list_value("), "id, a, b")} v)
 SELECT id, len(a) = 4 AND list_min(a) >= 0 AND list_max(a) <= 1 AND a[3] > a[1] AND a[4] > a[2] AND (a[3] - a[1]) * (a[4] - a[2]) >= 0.002 AS valid, a[3] + 0.015 >= b[1] AND b[3] + 0.015 >= a[1] AND a[4] + 0.015 >= b[2] AND b[4] + 0.015 >= a[2] AS touch, round(greatest(a[1] - 0.05, 0), 6) AS left_, round(least(a[3] + 0.05, 1), 6) AS right_ FROM v""",
 )
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = values(spark, BOXES, "id, a, b").select("id", F.col("a").cast("array<double>").alias("a"), F.col("b").cast("array<double>").alias("b"))
+    v = by_page(spark, sf_dir, BOXES, "id, a, b").select("id", F.col("a").cast("array<double>").alias("a"), F.col("b").cast("array<double>").alias("b"))
     e = V.expanded_box(F.col("a"), 0.05, 0.1)
     return v.select("id", V.valid_box(F.col("a")).isNotNull().alias("valid"), V.boxes_touch(F.col("a"), F.col("b")).alias("touch"), F.round(F.get(e, F.lit(0)), 6).alias("left_"), F.round(F.get(e, F.lit(2)), 6).alias("right_"))
 
@@ -209,12 +210,18 @@ def bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.page_bundle(values(spark, CAPTION_ROWS, "doc_id, page, text"), images, tables).select("doc_id", "page", "figure_captions", "table_captions", "priority")
 
 
-LAYOUT = "(0, 1, 10, 400, 5, 0), (0, 2, 0, 0, 0, 1), (0, 3, 201, 400, 9, 0), (0, 4, 0, 0, 0, 0), (1, 1, 24, 10, 3, 0), (1, 2, 25, 10, 3, 2)"
+#: Pages of 40 documents by the numbers of `documents`.
+LAYOUT = "SELECT doc_id % 40 AS doc_id, CAST(doc_id AS INT) AS page, CAST(n_chars % 300 AS INT) AS spans, CAST(CASE WHEN n_chars % 4 = 0 THEN 0 ELSE n_chars % 500 END AS INT) AS chars, CAST(n_chars % 50 AS INT) AS lines, CAST(n_chars % 3 AS INT) AS images FROM documents"
 
 
-@query("t14_layout_warnings", "SELECT * FROM (VALUES (0, 'page 3 has fragmented text layout: spans=201, chars=400, lines=9|2 pages have no extracted text chars|1 pages look image-only; OCR would be required for text|1 pages have highly fragmented text spans'), (1, 'page 2 has fragmented text layout: spans=25, chars=10, lines=3|1 pages have highly fragmented text spans')) v(doc_id, warnings)")
+@query(
+    "t14_layout_warnings",
+    f"""WITH l AS (SELECT *, chars = 0 AS blank, chars > 0 AND spans > greatest(chars // 2, 24) AS broken FROM ({LAYOUT})),
+g AS (SELECT doc_id, string_agg('page ' || page || ' has fragmented text layout: spans=' || spans || ', chars=' || chars || ', lines=' || lines, '|' ORDER BY page) FILTER (broken) AS each, count(*) FILTER (blank) AS b, count(*) FILTER (blank AND images > 0) AS i, count(*) FILTER (broken) AS f FROM l GROUP BY 1)
+SELECT doc_id, concat_ws('|', each, CASE WHEN b > 0 THEN b || ' pages have no extracted text chars' END, CASE WHEN i > 0 THEN i || ' pages look image-only; OCR would be required for text' END, CASE WHEN f > 0 THEN f || ' pages have highly fragmented text spans' END) AS warnings FROM g""",
+)
 def layout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.layout_warnings(values(spark, LAYOUT, "doc_id, page, spans, chars, lines, images")).select("doc_id", F.array_join("warnings", "|").alias("warnings"))
+    return V.layout_warnings(over(spark, sf_dir, LAYOUT, "documents")).select("doc_id", F.array_join("warnings", "|").alias("warnings"))
 
 
 @query(

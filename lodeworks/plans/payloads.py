@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeworks.plans.registry import query
-from lodeworks.plans.templates import by_page, by_page_sql
+from lodeworks.plans.templates import by_page, by_page_sql, over
 from lodeworks.sources import payloads as P
 from lodeworks.sources.tables import table, values
 
@@ -102,6 +102,18 @@ def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.feed_entries(spark.createDataFrame([(0, ATOM)], "id int, xml string"))
 
 
+FEEDS = """SELECT page_id AS id, '<feed><entry><id>http://arxiv.org/abs/' || CAST(page_id AS STRING) || '</id><title>One' || chr(10) || ' two ' || CAST(page_id AS STRING) || '</title><summary> s  one </summary><published>' || CAST(2000 + page_id % 20 AS STRING) || '-06-12T00:00:00Z</published><author><name>A</name></author><author><name>B' || CAST(page_id AS STRING) || '</name></author><category term="cs.CL"/><category term="cs.LG"/></entry><entry><id>2</id><title>Three</title><summary>s</summary><published>none</published><author><name>C</name></author><category term="cs.DS"/></entry></feed>' AS xml FROM pages"""
+
+
+@query(
+    "p16_page_feeds",
+    "SELECT page_id AS id, 0 AS pos, 'http://arxiv.org/abs/' || page_id AS entry_id, 'One two ' || page_id AS title, 's one' AS summary, (2000 + page_id % 20)::INT AS year, 'A; B' || page_id AS authors, 'cs.CL cs.LG' AS categories FROM pages UNION ALL SELECT page_id, 1, '2', 'Three', 's', NULL, 'C', 'cs.DS' FROM pages",
+)
+def page_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A feed of two entries for each page."""
+    return P.feed_entries(over(spark, sf_dir, FEEDS, "pages"))
+
+
 STREAMS = [("r1", ['event: x.delta\ndata: {"delta":"He', 'llo"}\n\n', "data: [DONE]\n\n"]), ("r2", ['﻿data: {"choices":[{"delta":{"content":"A"}}]}\r\n\r\ndata: {"choices":[{"delta":{"content":"B"}}]}\r\n\r\n']), ("r3", ['event: x.failed\ndata: {"response":{"error":{"message":"boom"}}}\n\n']), ("r4", ['data: {"type":"x.completed","response":{"output_text":"full"}}\n\n'])]
 
 
