@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodeworks.llm.common import id_and_text
-from lodeworks.llm.training import SAMPLE_ROWS, descend, fold, row_sample, sigmoid, training_labels
+from lodeworks.llm.training import SAMPLE_ROWS, bounded, descend, fold, row_sample, sigmoid, training_labels
 
 HELD_OUT = (4, 2)
 THRESHOLD = 0.7
@@ -158,8 +158,8 @@ def trained(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
     trusted = training_labels(labels, "quality", parts, part, 2 * sample_rows).where("label = 1")
     # At most 2 * sample_rows labels: a bounded side.
     positive = docs.join(F.broadcast(trusted), F.col("doc_id") == F.col("label_doc"), "left_semi")
-    matrix = lambda df: np.array([list(x) for x in feature_rows(df).select("x").toPandas()["x"]], float).reshape(-1, len(FEATURES))
-    p, u = matrix(row_sample(positive, sample_rows)), matrix(row_sample(docs, sample_rows))
+    matrix = lambda df: np.array([list(x) for x in bounded(feature_rows(row_sample(df, sample_rows)).select("x"), sample_rows).toPandas()["x"]], float).reshape(-1, len(FEATURES))
+    p, u = matrix(positive), matrix(docs)
     return fit(p, u) if len(p) and len(u) else None
 
 

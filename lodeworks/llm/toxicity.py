@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from lodeworks.llm.byte_bpe import slices
 from lodeworks.llm.common import id_and_text, materialize
-from lodeworks.llm.training import SAMPLE_ROWS, descend, fold, row_sample, sigmoid, training_labels
+from lodeworks.llm.training import SAMPLE_ROWS, bounded, descend, fold, row_sample, sigmoid, training_labels
 
 HELD_OUT = (5, 0)
 MOST_CUES, LEAST_DOCS, LEAST_ODDS = 2000, 4, 3.5
@@ -259,7 +259,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPL
 
     votes = materialize(docs.mapInArrow(find, "doc_id long, length long, pattern long, cues array<int>"), "toxic-votes")
     models = label_models(materialize(votes.groupBy("length", "pattern").agg(F.count("*").alias("n")), "vote-patterns"), n_voters)
-    sample = row_sample(votes, 2 * sample_rows).select("length", "pattern", "cues").toPandas()
+    sample = bounded(row_sample(votes, 2 * sample_rows).select("length", "pattern", "cues"), 2 * sample_rows).toPandas()
     soft = posteriors(models, sample["length"].to_numpy(np.int64), sample["pattern"].to_numpy(np.int64), n_voters)
     weights = train_classifier([list(c) for c in sample["cues"]], soft, len(cues.names))
 

@@ -16,16 +16,21 @@ def fold(doc_id, parts: int):
 
 
 def row_sample(rows: DataFrame, most: int) -> DataFrame:
-    """About `most` of the rows (all if there are fewer), each drawn by itself, whatever its doc_id; never more than SLACK times as many."""
+    """About `most` of the rows (all if there are fewer), each drawn by itself, whatever its doc_id."""
     n = rows.count()
-    return rows if n <= most else rows.sample(fraction=most / n, seed=SEED).limit(int(most * SLACK))
+    return rows if n <= most else rows.sample(fraction=most / n, seed=SEED)
+
+
+def bounded(sample: DataFrame, most: int) -> DataFrame:
+    """A sample on its way to the driver, in the few columns that are fitted on: never more than SLACK times as many rows as asked for."""
+    return sample.limit(int(most * SLACK))
 
 
 def training_labels(labels: DataFrame, column: str, parts: int, held_out: int, most: int = SAMPLE_ROWS) -> DataFrame:
     """label_doc, label: rows outside the held-out fold, a bounded sample; documents labelled both ways are left out."""
     known = labels.where(F.col(column).isNotNull() & F.col("doc_id").isNotNull()).where(fold("doc_id", parts) != held_out)
     known = known.groupBy("doc_id").agg(F.min(column).alias("low"), F.max(column).alias("label")).where("low = label")
-    return row_sample(known, most).select(F.col("doc_id").cast("long").alias("label_doc"), F.col("label").cast("int").alias("label"))
+    return bounded(row_sample(known, most), most).select(F.col("doc_id").cast("long").alias("label_doc"), F.col("label").cast("int").alias("label"))
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
