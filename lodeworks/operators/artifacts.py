@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,25 +86,43 @@ def union_box(rows: DataFrame, key: list[str]) -> DataFrame:
 def group_boxes(rows: DataFrame) -> DataFrame:
     """rows (doc_id, page, image_index, width, height, x, y, w, h) -> doc_id, page, group, members, x, y, right, bottom.
 
-    Parts of a picture: images with a box that the filter rejects, from top to bottom, then from left to right.  A box
-    joins the group before it if it is within JOIN_GAP of the group's box so far, so the order decides;
-    a page's boxes are folded in one group, bounded by the page.  Groups of one are left out.
+    Parts of a picture: images with a box that the filter rejects, from top to bottom, then from left to right (ties: the
+    narrower, then the lower one first).  A box joins the group before it if it is within JOIN_GAP of the group's box so far, so the
+    order decides; pages are folded as one sorted stream that holds a single group.  Groups of one are left out.
     """
     rows = rows.where(F.col("x").isNotNull() & image_filter_reason(F.col("width"), F.col("height"), F.col("w"), F.col("h")).isNotNull())
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        groups: list[list] = []
-        for r in pdf.sort_values(["y", "x"], kind="stable").itertuples():
-            box = [r.x, r.y, r.x + r.w, r.y + r.h]
-            g = groups[-1] if groups else None
-            if g and box[0] <= g[2] + JOIN_GAP and box[2] >= g[0] - JOIN_GAP and box[1] <= g[3] + JOIN_GAP and box[3] >= g[1] - JOIN_GAP:
-                groups[-1] = [min(g[0], box[0]), min(g[1], box[1]), max(g[2], box[2]), max(g[3], box[3]), g[4] + 1]
-            else:
-                groups.append([*box, 1])
-        kept = [g for g in groups if g[4] >= 2]
-        return pd.DataFrame([(pdf["doc_id"].iloc[0], pdf["page"].iloc[0], i, g[4], *g[:4]) for i, g in enumerate(kept, 1)], columns=["doc_id", "page", "group", "members", "x", "y", "right", "bottom"])
-
-    return rows.groupBy("doc_id", "page").applyInPandas(fold, "doc_id long, page int, group int, members int, x double, y double, right double, bottom double")
+    boxes = rows.select(F.col("doc_id").cast("long"), F.col("page").cast("int"), *(c.cast("double").alias(n) for n, c in (("x", F.col("x")), ("y", F.col("y")), ("right", F.col("x") + F.col("w")), ("bottom", F.col("y") + F.col("h")))))
+    placed = boxes.repartition("doc_id", "page").sortWithinPartitions("doc_id", "page", F.asc_nulls_last("y"), "x", "right", "bottom")
+    names = ["doc_id", "page", "group", "members", "x", "y", "right", "bottom"]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), *[pa.float64()] * 4]
+        current, n, members, left, top, right, bottom = None, 0, 0, 0.0, 0.0, 0.0, 0.0
+        out: list[tuple] = []
+
+        def flush() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * len(kinds), kinds)], names)
+            out.clear()
+            return made
+
+        for batch in batches:
+            keys = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "page")))
+            for key, x, y, r, b in zip(keys, *(batch.column(c).to_numpy(zero_copy_only=False).tolist() for c in ("x", "y", "right", "bottom"))):
+                if key == current and x <= right + JOIN_GAP and r >= left - JOIN_GAP and y <= bottom + JOIN_GAP and b >= top - JOIN_GAP:
+                    left, top, right, bottom, members = min(left, x), min(top, y), max(right, r), max(bottom, b), members + 1
+                    continue
+                if members >= 2:
+                    n += 1
+                    out.append((*current, n, members, left, top, right, bottom))
+                if key != current:
+                    current, n = key, 0
+                left, top, right, bottom, members = x, y, r, b, 1
+            yield flush()
+        if members >= 2:
+            out.append((*current, n + 1, members, left, top, right, bottom))
+        yield flush()
+
+    return placed.mapInArrow(fold, "doc_id long, page int, group int, members int, x double, y double, right double, bottom double")
 
 
 # How far edges and widths of rows of one table may differ, the gap between them, rows that still take another one.
