@@ -94,4 +94,4 @@ def epoch_text(seconds: Column) -> Column:
 def inverted_abstract(index: Column) -> Column:
     """The words of a map word -> positions, by position (ties by word)."""
     pairs = F.flatten(F.transform(F.map_entries(index), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("p"), e["key"].alias("w")))))
-    return F.array_join(F.transform(F.array_sort(pairs), lambda s: s["w"]), " ")
+    return F.array_join(F.transform(F.sort_array(pairs), lambda s: s["w"]), " ")

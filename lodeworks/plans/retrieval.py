@@ -165,12 +165,18 @@ def truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("p19_inverted_abstract", "SELECT doc_id, array_to_string(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> ''), ' ') AS abstract FROM documents")
 def abstract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents' words inverted to word -> positions (two groupings, the first combined before the shuffle) and restored."""
-    words = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.filter(F.split("text", r"\s+"), lambda w: w != "")).alias("p", "w"))
-    index = words.groupBy("doc_id", "w").agg(F.array_sort(F.collect_list("p")).alias("at")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "at"))).alias("index"))
-    restored = index.select("doc_id", T.inverted_abstract(F.col("index")).alias("abstract"))
-    blank = table(spark, sf_dir, "documents").select("doc_id").join(index.select("doc_id"), "doc_id", "left_anti").select("doc_id", F.lit("").alias("abstract"))
-    return restored.unionByName(blank)
+    """Documents' words inverted to word -> positions and restored, within the row: nothing is shuffled.
+
+    Sorted with their places, equal words are runs; a run's places are its word's positions.
+    """
+    words = F.filter(F.split("text", r"[\t\n\f\r ]+"), lambda w: w != "")
+    placed = table(spark, sf_dir, "documents").select("doc_id", F.sort_array(F.transform(words, lambda w, p: F.struct(w.alias("w"), p.alias("p")))).alias("s"))
+    at = lambda i: F.get(F.col("s"), i)
+    starts = F.filter(F.transform("s", lambda x, i: i), lambda i: (i == 0) | (at(i)["w"] != at(i - 1)["w"]))
+    runs = placed.select("doc_id", "s", starts.alias("starts"), F.size("s").alias("n"))
+    run = lambda a, j: F.slice(F.col("s"), a + 1, F.coalesce(F.get(F.col("starts"), j + 1), F.col("n")) - a)
+    entries = F.transform("starts", lambda a, j: F.struct(at(a)["w"].alias("w"), F.transform(run(a, j), lambda x: x["p"]).alias("at")))
+    return runs.select("doc_id", F.map_from_entries(entries).alias("index")).select("doc_id", T.inverted_abstract(F.col("index")).alias("abstract"))
 
 
 PAPER_ROWS = """(1, 0, 0, 'Deep Nets', 2019, '10.1/A', NULL, NULL, NULL, 5), (1, 0, 1, 'Other', NULL, NULL, '2001.00001', NULL, NULL, NULL), (1, 1, 0, 'deep  nets!', 2021, '10.1/B', NULL, NULL, 'W7', 9),
