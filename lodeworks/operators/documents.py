@@ -6,12 +6,14 @@ import math
 import re
 from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from lodeworks.functions.text import ascii_lower, squeeze
@@ -25,6 +27,8 @@ REPEATS, SHORT_LINE, NOISE_BYTES, NOISE_CHARS, JOINED_CHARS, EXCERPT = 3, 18, 3,
 CHUNK_PROFILES = {"fast": (4500, 300, 3, 1000), "balanced": (6500, 500, 2, 1600), "strict": (5500, 700, 1, 1800)}
 MODES = {"": "clean", "clean": "clean", "none": "raw", "raw": "raw", "light": "light"}
 SPACE = " \t\n\x0b\x0c\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Bytes of text that a task has as Python objects at once.
+PIECE_BYTES = 1 << 20
 FNV_OFFSET, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
 
 
@@ -200,14 +204,38 @@ def reference_tail(text: str | None) -> str:
     return clean(raw[at:].decode(), "light")[0][:REFERENCE_TAIL] if at >= 0 else ""
 
 
-def reference_tails(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, tail, in Arrow batches."""
+def text_pieces(batches: Iterator[pa.RecordBatch], most: int = PIECE_BYTES) -> Iterator[tuple[list, list]]:
+    """Keys and texts of batches (key, text), about `most` bytes of text at once, a text at least."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < len(ends):
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+            piece = batch.slice(at, end - at)
+            yield piece.column(0).to_pylist(), piece.column(1).to_pylist()
+            at = end
+
+
+def by_pieces(docs: DataFrame, key: str, work: Callable[[list, list], list[tuple]], fields: list[StructField]) -> DataFrame:
+    """work(keys, texts) -> rows (key and fields) of all docs, without a shuffle.
+
+    A task turns a piece of a batch into Python objects and gives its rows before it takes the next one, so what it holds is bounded
+    by PIECE_BYTES, however many and long the rows of a batch are.
+    """
+    schema = StructType([docs.schema[key], *fields])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({key: pdf[key], "tail": [reference_tail(t) for t in pdf["text"]]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow = to_arrow_schema(schema)
+        for names, texts in text_pieces(batches):
+            if rows := work(names, texts):
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
 
-    return docs.select(key, "text").mapInPandas(run, StructType([docs.schema[key], StructField("tail", StringType())]))
+    return docs.select(key, "text").mapInArrow(run, schema)
+
+
+def reference_tails(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, tail, in Arrow batches."""
+    return by_pieces(docs, key, lambda names, texts: [(name, reference_tail(t)) for name, t in zip(names, texts)], [StructField("tail", StringType())])
 
 
 def noise_warning(n: Column) -> Column:
@@ -218,13 +246,9 @@ def clean_documents(docs: DataFrame, mode: str = "clean", key: str = "doc_id") -
     """key, text, n_noise, warning.  Joining lines depends on the lines before, so a document is folded in Arrow batches."""
     mode = text_mode(mode)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            done = [clean(t, mode) for t in pdf["text"]]
-            yield pd.DataFrame({key: pdf[key], "text": [t for t, _ in done], "n_noise": [n for _, n in done]})
-
-    schema = StructType([docs.schema[key], StructField("text", StringType()), StructField("n_noise", LongType())])
-    return docs.select(key, "text").mapInPandas(run, schema).withColumn("warning", noise_warning(F.col("n_noise")))
+    fields = [StructField("text", StringType()), StructField("n_noise", LongType())]
+    cleaned = by_pieces(docs, key, lambda names, texts: [(name, *clean(t, mode)) for name, t in zip(names, texts)], fields)
+    return cleaned.withColumn("warning", noise_warning(F.col("n_noise")))
 
 
 def fnv1a(texts: list[str]) -> np.ndarray:
@@ -257,13 +281,10 @@ def paragraph_spans(raw: bytes) -> list[tuple[int, int]]:
 def paragraph_ranges(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, byte_start, byte_end of each paragraph, in Arrow batches."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            spans = [(name, *span) for name, text in zip(pdf[key], pdf["text"]) for span in paragraph_spans((text or "").encode())]
-            yield pd.DataFrame(spans, columns=[key, "byte_start", "byte_end"])
+    def spans(names: list, texts: list) -> list[tuple]:
+        return [(name, *span) for name, text in zip(names, texts) for span in paragraph_spans((text or "").encode())]
 
-    schema = StructType([docs.schema[key], StructField("byte_start", LongType()), StructField("byte_end", LongType())])
-    return docs.select(key, "text").mapInPandas(run, schema)
+    return by_pieces(docs, key, spans, [StructField("byte_start", LongType()), StructField("byte_end", LongType())])
 
 
 def chunk_spans(raw: bytes, most: int, overlap: int) -> list[tuple[int, int]]:
@@ -301,24 +322,19 @@ def chunks(docs: DataFrame, profile: str = "balanced", key: str = "doc_id", anch
     byte_start, byte_end, excerpt) of each document, in Arrow batches: no shuffle.  Equal lines of a chunk share an id.
     """
     most, overlap, *_ = CHUNK_PROFILES[profile]
-    names = [key, "chunk_id", "byte_start", "byte_end", "line_start", "line_end", "chunk", "n_anchors"]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = [(name, piece) for name, text in zip(pdf[key], pdf["text"]) for piece in chunk_text(text or "", most, overlap)]
-            if not found:
-                continue
-            out = pd.DataFrame([(name, f"chunk_{p[0]:04d}", *p[1:6], len(p[6])) for name, p in found], columns=names)
-            if anchors:
-                hashes = iter(fnv1a([a[3] for _, p in found for a in p[6]]).tolist())
-                out["anchors"] = [[{"anchor_id": f"c{p[0]:04d}_{next(hashes):010x}", "line": a[0], "byte_start": a[1], "byte_end": a[2], "excerpt": a[3]} for a in p[6]] for _, p in found]
-            yield out
+
+    def cut(names: list, texts: list) -> list[tuple]:
+        found = [(name, piece) for name, text in zip(names, texts) for piece in chunk_text(text or "", most, overlap)]
+        rows = [(name, f"chunk_{p[0]:04d}", *p[1:6], len(p[6])) for name, p in found]
+        if not anchors:
+            return rows
+        hashes = iter(fnv1a([a[3] for _, p in found for a in p[6]]).tolist())
+        return [(*row, [{"anchor_id": f"c{p[0]:04d}_{next(hashes):010x}", "line": a[0], "byte_start": a[1], "byte_end": a[2], "excerpt": a[3]} for a in p[6]]) for row, (_, p) in zip(rows, found)]
 
     fields = "chunk_id string, byte_start long, byte_end long, line_start long, line_end long, chunk string, n_anchors long"
     if anchors:
         fields += ", anchors array<struct<anchor_id:string,line:long,byte_start:long,byte_end:long,excerpt:string>>"
-    schema = StructType([docs.schema[key], *StructType.fromDDL(fields).fields])
-    return docs.select(key, "text").mapInPandas(run, schema)
+    return by_pieces(docs, key, cut, StructType.fromDDL(fields).fields)
 
 
 def anchors_of(chunk_rows: DataFrame, key: str = "doc_id") -> DataFrame:
