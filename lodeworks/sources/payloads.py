@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -167,11 +167,32 @@ def fold_events(body: str) -> tuple[str, str, str | None]:
 
 
 def stream_responses(chunks: DataFrame) -> DataFrame:
-    """chunks (resp_id, seq, chunk binary) -> resp_id, status, content, error: an ordered fold of each response's bytes."""
+    """chunks (resp_id, seq, chunk binary) -> resp_id, status, content, error: an ordered fold of each response's bytes.
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        body = b"".join(pdf.sort_values("seq")["chunk"]).decode(errors="replace")
-        status, content, error = fold_events(body)
-        return pd.DataFrame({"resp_id": [pdf["resp_id"].iloc[0]], "status": [status], "content": [content], "error": [error]})
-
-    return chunks.groupBy("resp_id").applyInPandas(fold, "resp_id string, status string, content string, error string")
+    Responses are a sorted stream, of which a task holds one at a time.
+    """
+    placed = chunks.select("resp_id", "seq", "chunk").repartition("resp_id").sortWithinPartitions("resp_id", F.asc_nulls_last("seq"))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, current, held, begun = ["resp_id", "status", "content", "error"], None, [], False
+
+        def ended() -> tuple:
+            return (current, *fold_events(b"".join(held).decode(errors="replace")))
+
+        def made(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], names)
+
+        for batch in batches:
+            out = []
+            for name, chunk in zip(batch.column("resp_id").to_pylist(), batch.column("chunk").to_pylist()):
+                if begun and name != current:
+                    out.append(ended())
+                    held = []
+                current, begun = name, True
+                held.append(chunk or b"")
+            if out:
+                yield made(out)
+        if begun:
+            yield made([ended()])
+
+    return placed.mapInArrow(fold, "resp_id string, status string, content string, error string")
