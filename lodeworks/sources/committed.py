@@ -33,7 +33,9 @@ from pyspark.sql.types import StructType
 
 COMMITS = "_commits"
 #: Bytes of files in a read partition; bytes that a task holds before it writes files.
-PARTITION_BYTES, HELD_BYTES = 32 << 20, 64 << 20
+PARTITION_BYTES, HELD_BYTES = 32 << 20, 16 << 20
+#: Rows that a reader turns to Arrow at once.
+READ_ROWS = 4_096
 
 
 def register(spark: SparkSession) -> None:
@@ -142,7 +144,7 @@ def _rows(path: str, schema: StructType, partition: Files | None) -> Iterator[pa
         with folder.store.open_input_file(folder.at(f["path"])) as source:
             parquet = pq.ParquetFile(source)
             names = [n for n in parquet.schema_arrow.names if n in wanted.names]
-            for batch in parquet.iter_batches(columns=names):
+            for batch in parquet.iter_batches(READ_ROWS, columns=names):
                 have = {**{n: pa.nulls(batch.num_rows, wanted.field(n).type) for n in wanted.names}, **dict(zip(names, batch.columns)), **{k: pa.array([v] * batch.num_rows, wanted.field(k).type) for k, v in f["values"].items() if k in wanted.names}}
                 yield pa.RecordBatch.from_arrays([have[n].cast(wanted.field(n).type) for n in wanted.names], schema=wanted)
 
@@ -227,12 +229,13 @@ class _Sink:
                 files.append({"path": where, "values": dict(zip(self.by, values)), "rows": part.num_rows, "bytes": folder.store.get_file_info(folder.at(where)).size})
 
         for batch in batches:
-            if batch.num_rows:
-                held.append(batch)
-                size += batch.nbytes
-            if size > HELD_BYTES:
-                flush()
-                held, size = [], 0
+            step = max(1, batch.num_rows * HELD_BYTES // max(1, 4 * batch.nbytes))
+            for at in range(0, batch.num_rows, step):
+                held.append(batch.slice(at, step))
+                size += held[-1].nbytes
+                if size > HELD_BYTES:
+                    flush()
+                    held, size = [], 0
         if held:
             flush()
         return Written(files)
