@@ -2,12 +2,13 @@
 
 A response's state is its parser: the bytes that are no whole event yet, the events' metadata, and its texts as appended lists, so
 that a batch writes what is new and not what came before.  Chunks may come in any order and twice: those ahead of their turn wait in
-a map by number.  A response gives one row, when it ends, is closed, or has had no chunk for `idle` of event time (the timer of a stream that never ends);
+an appended list.  Every access is a call out of Python, so a batch reads and writes each of a response's states once, and only those that have something.  A response gives one row, when it ends, is closed, or has had no chunk for `idle` of event time (the timer of a stream that never ends);
 from then on its number of chunks is kept, so that late or repeated chunks change nothing, until a second timer clears it.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 
@@ -28,29 +29,39 @@ class FoldResponses(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.parser = handle.getValueState("parser", "state string, rest binary, turn long")
+        self.parser = handle.getValueState("parser", "state string, rest binary, turn long, ahead long, timer long")
         self.texts = handle.getListState("texts", "text string")
         self.contents = handle.getListState("contents", "text string")
-        self.waiting = handle.getMapState("waiting", "seq long", "chunk binary, closed boolean")
-
-    def _timer(self, at_ms: int) -> None:
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
-        self.handle.registerTimer(at_ms + self.idle_ms)
-
-    def _load(self) -> tuple[Response, int]:
-        if not self.parser.exists():
-            return Response(most_bytes=self.most_bytes), 0
-        state, rest, turn = self.parser.get()
-        lists = ([r[0] for r in held.get()] if held.exists() else [] for held in (self.texts, self.contents))
-        return restored(state, bytes(rest), *lists), turn
+        self.waiting = handle.getListState("waiting", "seq long, chunk binary, closed boolean")
+
+    def _timer(self, at_ms: int, old: int | None) -> int:
+        """The time of the response's only timer, set anew if it is another."""
+        new = at_ms + self.idle_ms
+        if new != old:
+            if old is not None:
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer(new)
+        return new
+
+    def _load(self) -> tuple[Response, int, int, int | None]:
+        """The response, its next chunk's number, how many chunks have been kept ahead of their turn, its timer."""
+        found = self.parser.get()
+        if found is None:
+            return Response(most_bytes=self.most_bytes), 0, 0, None
+        state, rest, turn, ahead, timer = found
+        if json.loads(state)["ended"]:
+            return restored(state, bytes(rest), [], []), turn, ahead, timer
+        return restored(state, bytes(rest), *([r[0] for r in held.get()] for held in (self.texts, self.contents))), turn, ahead, timer
+
+    def _keep(self, response: Response, turn: int, ahead: int, timer: int) -> None:
+        self.parser.update((response.to_state(), response.rest, turn, ahead, timer))
 
     def _rows(self, key: tuple, r: Response) -> Iterator[Row]:
         final = None if r.final is None else compact(r.final)
         yield Row(resp_id=key[0], ended=r.ended, content=r.text(), sources=r.sources(), final=final, error=r.error)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        response, turn = self._load()
+        response, turn, ahead, timer = self._load()
         was, had = response.ended, (len(response.texts), len(response.contents))
         latest, arrived = timerValues.getCurrentWatermarkInMs(), {}
         for row in rows:
@@ -58,44 +69,45 @@ class FoldResponses(StatefulProcessor):
             latest = max(latest, int(row.at.timestamp() * 1000)) if row.at else latest
         if was:  # this response has had its row
             return
-        while not response.ended:
-            if self.waiting.containsKey((turn,)):
-                arrived.setdefault(turn, self.waiting.getValue((turn,)))
-                self.waiting.removeKey((turn,))
-            if turn not in arrived:
-                break
-            chunk, closed = arrived.pop(turn)
+        known: dict = {}
+        for seq, chunk, closed in self.waiting.get() if ahead else ():
+            known.setdefault(seq, (chunk, closed))
+        while not response.ended and (turn in arrived or turn in known):
+            chunk, closed = arrived.pop(turn) if turn in arrived else known[turn]
             response.feed(bytes(chunk or b""))
             if closed:
                 response.close()
             turn += 1
-        self._timer(latest)
+        timer = self._timer(latest, timer)
         if response.ended:
-            yield from self._ended(key, response, turn)
+            yield from self._ended(key, response, turn, ahead, timer)
             return
-        for seq, held in arrived.items():
-            if seq is not None and seq > turn and not self.waiting.containsKey((seq,)):
-                self.waiting.updateValue((seq,), tuple(held))
-        self.parser.update((response.to_state(), response.rest, turn))
+        new = [(seq, *held) for seq, held in arrived.items() if seq is not None and seq > turn and seq not in known]
+        if ahead and not new and all(seq < turn for seq in known):
+            self.waiting.clear()
+            ahead = 0
+        elif new:
+            self.waiting.appendList(new)
+            ahead += len(new)
+        self._keep(response, turn, ahead, timer)
         for held, now, before in ((self.texts, response.texts, had[0]), (self.contents, response.contents, had[1])):
             if len(now) > before:
                 held.appendList([(t,) for t in now[before:]])
 
-    def _ended(self, key, response: Response, turn: int) -> Iterator[Row]:
-        for held in (self.texts, self.contents, self.waiting):
-            held.clear()
-        done = Response(ended=response.ended)
-        self.parser.update((done.to_state(), b"", turn))
+    def _ended(self, key, response: Response, turn: int, ahead: int, timer: int) -> Iterator[Row]:
+        for held, some in ((self.texts, response.texts), (self.contents, response.contents), (self.waiting, ahead)):
+            if some:
+                held.clear()
+        self._keep(Response(ended=response.ended), turn, 0, timer)
         yield from self._rows(key, response)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        response, turn = self._load()
+        response, turn, ahead, _ = self._load()
         if response.ended:
             self.parser.clear()
             return
         response.close()
-        self._timer(timerValues.getCurrentWatermarkInMs())
-        yield from self._ended(key, response, turn)
+        yield from self._ended(key, response, turn, ahead, self._timer(timerValues.getCurrentWatermarkInMs(), None))
 
 
 def with_state_store(spark: SparkSession) -> SparkSession:
