@@ -134,7 +134,8 @@ def merge_single_rows(tables: DataFrame) -> DataFrame:
 
     From top to bottom, then from left to right: a table of one row joins the one before it, as that has become, if it has its columns and
     strategy and stands close below (or above).  What a table has become decides, so a page is a fold over its sorted array, in the
-    row; it is bounded by what a page holds.  Tables without a box stay alone, behind the others.
+    row; it is bounded by what a page holds.  Tables without a box stay alone, behind the others.  At one place the index decides, and
+    where an index repeats the other columns, so rows in any order give the same tables.
     """
     place = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(float("inf")))
     box = [F.col(c).cast("double").alias(c) for c in ("x", "y", "w", "h")]

@@ -284,3 +284,12 @@ def test_single_rows_become_a_table(spark):
     got = artifacts.merge_single_rows(spark.createDataFrame(tables, "doc_id long, page long, index int, strategy string, n_rows int, n_cols int, x double, y double, w double, h double"))
     found = sorted((r["page"], r["members"], r["n_rows"]) for r in got.collect())
     assert found == [(1, [0, 1, 2, 3, 4], 5), (1, [9], 1), (2, [0, 1], 33), (2, [2], 1), (3, [0], 1), (3, [1], 1), (4, [0], 1), (4, [1], 1), (4, [2], 1), (5, [0], 1), (5, [1], 1)]
+
+
+def test_single_rows_at_one_place_with_one_index_in_any_order(spark):
+    """A table of one row and one of two: in one order they join, in the other they do not. Whichever comes first in the input, the result is the same."""
+    tables = [(1, page, 5, "g", n_rows, 3, 10.0, 100.0, 100.0, 8.0) for page in range(20) for n_rows in (1, 2)]
+    schema = "doc_id long, page long, index int, strategy string, n_rows int, n_cols int, x double, y double, w double, h double"
+    for rows, parts in ((tables, 1), (tables[::-1], 1), (random.Random(4).sample(tables, len(tables)), 7)):
+        got = artifacts.merge_single_rows(spark.createDataFrame(rows, schema).repartition(parts))
+        assert sorted((r["page"], r["members"], r["n_rows"]) for r in got.collect()) == sorted((page, [5], n) for page in range(20) for n in (1, 2))
